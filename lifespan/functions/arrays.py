@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,14 @@ from lifespan.config import edge_length
 from lifespan.fixed_values import STATISTICS
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use the result several times in ``body``.
+
+    An expression repeated inside a lambda would run again for every element.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
@@ -37,33 +47,46 @@ def channel_statistics(values: Column, length: int, edge: int | None = None) ->
     axis = time_axis(length)
     norm = sum(t * t for t in axis)
     weights = F.array(*[F.lit(t / norm) for t in axis])
-    ordered = F.sort_array(values)
-    first, last = F.get(values, F.lit(0)), F.get(values, F.lit(length - 1))
-    mean = total(values) / length
-    parts = {
-        "last": last,
-        "first": first,
-        "delta": last - first,
-        "mean": mean,
-        "std": population_std(values, length, mean),
-        "min": F.array_min(values),
-        "max": F.array_max(values),
-        "q25": linear_quantile(ordered, length, 0.25),
-        "q50": linear_quantile(ordered, length, 0.50),
-        "q75": linear_quantile(ordered, length, 0.75),
-        "slope": total(F.zip_with(values, weights, lambda v, w: v * w)),
-        "tail_mean": total(F.slice(values, length - edge + 1, edge)) / edge,
-        "head_mean": total(F.slice(values, 1, edge)) / edge,
-    }
-    return F.struct(*[parts[s].alias(s) for s in STATISTICS])
-
-
-def spread(values: Column, size: int) -> dict[str, Column]:
-    """Mean, population std, min and max of a short array."""
-    mean = total(values) / size
-    return {
-        "mean": mean,
-        "std": population_std(values, size, mean),
-        "min": F.array_min(values),
-        "max": F.array_max(values),
-    }
+
+    def body(p: Column) -> Column:
+        series, mean, ordered = p["series"], p["mean"], p["ordered"]
+        first, last = F.get(series, F.lit(0)), F.get(series, F.lit(length - 1))
+        parts = {
+            "last": last,
+            "first": first,
+            "delta": last - first,
+            "mean": mean,
+            "std": population_std(series, length, mean),
+            "min": F.get(ordered, F.lit(0)),
+            "max": F.get(ordered, F.lit(length - 1)),
+            "q25": linear_quantile(ordered, length, 0.25),
+            "q50": linear_quantile(ordered, length, 0.50),
+            "q75": linear_quantile(ordered, length, 0.75),
+            "slope": total(F.zip_with(series, weights, lambda v, w: v * w)),
+            "tail_mean": total(F.slice(series, length - edge + 1, edge)) / edge,
+            "head_mean": total(F.slice(series, 1, edge)) / edge,
+        }
+        return F.struct(*[parts[s].alias(s) for s in STATISTICS])
+
+    prepared = F.struct(
+        values.alias("series"),
+        (total(values) / length).alias("mean"),
+        F.sort_array(values).alias("ordered"),
+    )
+    return let(prepared, body)
+
+
+def spread(values: Column, size: int) -> Column:
+    """Mean, population std, min and max of a short array as a struct."""
+
+    def body(p: Column) -> Column:
+        return F.struct(
+            p["mean"].alias("mean"),
+            population_std(p["items"], size, p["mean"]).alias("std"),
+            F.array_min(p["items"]).alias("min"),
+            F.array_max(p["items"]).alias("max"),
+        )
+
+    return let(
+        values, lambda v: let(F.struct(v.alias("items"), (total(v) / size).alias("mean")), body)
+    )

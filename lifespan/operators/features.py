@@ -23,13 +23,9 @@ def with_statistics(
     ).drop("__series")
 
 
-def _one(stats: str, statistic: str) -> Column:
-    return F.col(f"{stats}.{statistic}")
-
-
 def statistic_major(stats: str = "stats") -> Column:
     """All channels of the first statistic, then of the second, and so on."""
-    return F.flatten(F.array(*[_one(stats, n) for n in STATISTICS]))
+    return ar.let(F.col(stats), lambda a: F.flatten(F.array(*[a[n] for n in STATISTICS])))
 
 
 def flat_window() -> Column:
@@ -43,9 +39,9 @@ def direct_features(age: str, scale, stats: str = "stats") -> Column:
 
 def invariant_features(age: str, scale, channels: int, stats: str = "stats") -> Column:
     """Spread of each statistic over the channels, reducer by reducer, then age."""
-    columns = [ar.spread(_one(stats, n), channels) for n in STATISTICS]
-    parts = [F.array(*[c[reducer] for c in columns]) for reducer in INVARIANT_REDUCERS]
-    return F.concat(*parts, age_features(F.col(age), scale))
+    spreads = ar.let(F.col(stats), lambda a: F.array(*[ar.spread(a[n], channels) for n in STATISTICS]))
+    ordered = ar.let(spreads, lambda a: F.concat(*[a[r] for r in INVARIANT_REDUCERS]))
+    return F.concat(ordered, age_features(F.col(age), scale))
 
 
 def feature_names(channels: list[str]) -> list[str]:
