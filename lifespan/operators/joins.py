@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,12 @@ def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def alias_table(spark: SparkSession, groups: dict[str, tuple[str, ...]], key) -> DataFrame:
-    """``(alias, canonical)`` from alias groups; ``key`` normalises the spellings in Spark."""
-    pairs = [(spelling, name) for name, spellings in groups.items() for spelling in (name, *spellings)]
+    """``(alias, canonical)`` from alias groups; ``key`` makes the comparison key in Spark."""
+    pairs = [
+        (unicodedata.normalize("NFKC", spelling), name)
+        for name, spellings in groups.items()
+        for spelling in (name, *spellings)
+    ]
     raw = spark.createDataFrame(pairs, "spelling string, canonical string")
     return F.broadcast(raw.select(key(F.col("spelling")).alias("alias"), "canonical").distinct())
 

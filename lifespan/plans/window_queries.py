@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lifespan.fixed_values import STATISTICS
 from lifespan.functions import scalar as sc
-from lifespan.operators import binning, features, stats, windows
+from lifespan.operators import binning, features, split, stats, windows
 from lifespan.operators import segments as sg
 from lifespan.plans.registry import (
     EMBEDDING_CELLS, READINGS, STEPS, SUPPLIER_DAYS, WINDOW_CELLS, query, stats_sql,
@@ -22,6 +22,11 @@ def rounded(df, columns, digits=6):
     return df.select(*[F.round(c, digits).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def training(df):
+    """Rows of training units: those with a digest in the lower 13/16 of the range."""
+    return df.where(split.digest(0) < "d")
+
+
 def step_windows(spark, base):
     steps = tb.event_steps(spark, base)
     w = windows.sliding_windows(
@@ -70,10 +75,10 @@ def _pair_bins(spark, base):
     _BINS_SQL + """
 SELECT round(regr_intercept(cur, temp), 6) AS intercept, round(regr_slope(cur, temp), 9) AS slope,
        count(*) FILTER (cur IS NOT NULL AND temp IS NOT NULL) AS n, coalesce(var_pop(temp) <= 1e-12, true) AS degenerate
-FROM b WHERE unit_id % 5 <> 0""",
+FROM b WHERE sha256('0:' || unit_id) < 'd'""",
 )
 def fit_baseline(spark, base):
-    train = _pair_bins(spark, base).where("unit_id % 5 <> 0")
+    train = training(_pair_bins(spark, base))
     fit = stats.fit_baseline(train, "cur", "temp")
     return fit.select(
         F.round("intercept", 6).alias("intercept"), F.round("slope", 9).alias("slope"), "n", "degenerate"
@@ -199,10 +204,10 @@ def unit_registry(spark, base):
     "a07_fit_norm_stats",
     "WITH" + READINGS + """
 SELECT channel, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS n, false AS absent, false AS absent_has_values
-FROM ev WHERE unit_id % 5 <> 0 GROUP BY 1""",
+FROM ev WHERE sha256('0:' || unit_id) < 'd' GROUP BY 1""",
 )
 def fit_norm_stats(spark, base):
-    train = tb.event_readings(spark, base).where("unit_id % 5 <> 0")
+    train = training(tb.event_readings(spark, base))
     return rounded(stats.fit_norm_stats(train, CH), ["mean", "std"])
 
 
@@ -224,12 +229,12 @@ def absent_channel(spark, base):
 @query(
     "a09_apply_norm",
     "WITH" + READINGS + """,
-n AS (SELECT channel, avg(value) AS mean, stddev_pop(value) AS std FROM ev WHERE unit_id % 5 <> 0 GROUP BY 1)
+n AS (SELECT channel, avg(value) AS mean, stddev_pop(value) AS std FROM ev WHERE sha256('0:' || unit_id) < 'd' GROUP BY 1)
 SELECT unit_id, row_number, channel, round((value - mean) / std, 6) AS norm, false AS imputed FROM ev JOIN n USING (channel)""",
 )
 def apply_norm(spark, base):
     ev = tb.event_readings(spark, base)
-    fitted = stats.fit_norm_stats(ev.where("unit_id % 5 <> 0"), CH)
+    fitted = stats.fit_norm_stats(training(ev), CH)
     out = stats.apply_norm(ev, fitted, CH)
     return out.select("unit_id", "row_number", "channel", F.round("norm", 6).alias("norm"), "imputed")
 
