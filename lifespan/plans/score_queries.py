@@ -50,12 +50,12 @@ def isotonic_sql(source: str, series: list[str], prefix: str = "") -> str:
 @query(
     "e09_isotonic_nonincreasing",
     "WITH" + STEPS + ", src AS (SELECT unit_id, step AS i, value FROM st)," + isotonic_sql("src", ["value"]) + """
-SELECT unit_id, i AS step, round(g, 6) AS level FROM iso""",
+SELECT unit_id, i AS step, round(g, 9) AS level FROM iso""",
 )
 def isotonic_query(spark, base):
     st = tb.event_steps(spark, base).select("unit_id", "step", "value")
     out = isotonic.isotonic_nonincreasing(st, STEP_AXIS, "value", "level")
-    return out.select("unit_id", "step", F.round("level", 6).alias("level"))
+    return out.select("unit_id", "step", F.round("level", 9).alias("level"))
 
 
 # -- joins -----------------------------------------------------------------------
@@ -325,10 +325,10 @@ def _finished(spark, base):
 
 @query(
     "m07_project_and_clip",
-    "WITH" + PRED_SQL + _FINISH_SQL + " SELECT unit_id, step, round(y_pred_raw, 6) AS y_pred_raw, round(y_pred, 6) AS y_pred, clamped FROM fin",
+    "WITH" + PRED_SQL + _FINISH_SQL + " SELECT unit_id, step, round(y_pred_raw, 9) AS y_pred_raw, round(y_pred, 9) AS y_pred, clamped FROM fin",
 )
 def project_and_clip(spark, base):
-    return rounded(_finished(spark, base).select("unit_id", "step", "y_pred_raw", "y_pred", "clamped"), ["y_pred_raw", "y_pred"])
+    return rounded(_finished(spark, base).select("unit_id", "step", "y_pred_raw", "y_pred", "clamped"), ["y_pred_raw", "y_pred"], 9)
 
 
 @query(
@@ -342,10 +342,10 @@ def bound_violations(spark, base):
 
 @query(
     "m08_member_interval",
-    "WITH" + PRED_SQL + _FINISH_SQL + " SELECT unit_id, step, round(p10, 6) AS p10, round(p90, 6) AS p90, round(ensemble_std, 6) AS ensemble_std FROM fin",
+    "WITH" + PRED_SQL + _FINISH_SQL + " SELECT unit_id, step, round(p10, 9) AS p10, round(p90, 9) AS p90, round(ensemble_std, 9) AS ensemble_std FROM fin",
 )
 def member_interval(spark, base):
-    return rounded(_finished(spark, base).select("unit_id", "step", "p10", "p90", "ensemble_std"), ["p10", "p90", "ensemble_std"])
+    return rounded(_finished(spark, base).select("unit_id", "step", "p10", "p90", "ensemble_std"), ["p10", "p90", "ensemble_std"], 9)
 
 
 @query(

@@ -1,13 +1,327 @@
-"""Arrays of samples stored per unit."""
+"""Many small files in one job: columnar tables, binary tables, archives, sinks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lifespan import fixed_values as fv
+from lifespan.functions.scalar import design_id
+from lifespan.operators import segments as sg
+
+_CELLS = "source string, row_number long, column string, text string, code string"
+
+
+# -- scans -----------------------------------------------------------------
+def read_columnar(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).withColumn("source", F.input_file_name())
+
+
+def records_over_cap(df: DataFrame, maximum: int = fv.MAX_RECORDS_PER_FILE) -> DataFrame:
+    """Files with more records than a single logical file may hold."""
+    return df.groupBy("source").agg(F.count(F.lit(1)).alias("n_records")).where(F.col("n_records") > maximum)
+
 
 def explode_sample_arrays(df: DataFrame, channels: list[str], keys: list[str]) -> DataFrame:
     """Channel arrays of equal length become one row per sample."""
     return df.select(*keys, F.posexplode(F.arrays_zip(*channels)).alias("sample", "__v")).select(
         *keys, "sample", *[F.col(f"__v.{c}").alias(c) for c in channels]
     )
+
+
+def suffix(path: Column) -> Column:
+    """Lower-case suffix of a file name, with double ones of archives kept whole."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    double = F.regexp_extract(name, r"(\.tar\.(?:gz|bz2|xz))$", 1)
+    return F.when(double != "", double).otherwise(F.regexp_extract(name, r"(\.[^.]+)$", 1))
+
+
+def file_kind(path: Column) -> Column:
+    s = suffix(path)
+    return (
+        F.when(s.isin(*fv.TEXT_SUFFIXES), "text")
+        .when(s.isin(*fv.JSON_SUFFIXES), "json")
+        .when(s.isin(*fv.COLUMNAR_SUFFIXES), "columnar")
+        .when(s.isin(*fv.ARRAY_SUFFIXES), "arrays")
+        .when(s.isin(*fv.ARCHIVE_SUFFIXES), "archive")
+        .otherwise("unsupported_file_type")
+    )
+
+
+def discover_inputs(files: DataFrame, path: str = "path") -> DataFrame:
+    """Which files have a name in the sample grammar; the others are listed, not dropped."""
+    stem = F.regexp_replace(F.element_at(F.split(F.col(path), "/"), -1), r"\.[^.]*$", "")
+    return files.withColumn("stem", stem).withColumn(
+        "accepted", design_id(F.col("stem"))["dev"].isNotNull()
+    )
+
+
+def read_small_files(spark: SparkSession, glob: str, max_bytes: int = fv.MAX_FILE_BYTES) -> DataFrame:
+    """``(source, length, content)``; the size limit is pushed to the scan."""
+    return (
+        spark.read.format("binaryFile").load(glob)
+        .where(F.col("length") <= max_bytes)
+        .select(F.col("path").alias("source"), "length", "content")
+    )
+
+
+def oversized_files(spark: SparkSession, glob: str, max_bytes: int = fv.MAX_FILE_BYTES) -> DataFrame:
+    return (
+        spark.read.format("binaryFile").load(glob)
+        .where(F.col("length") > max_bytes)
+        .select(F.col("path").alias("source"), F.lit("file_too_large").alias("code"))
+    )
+
+
+def decode_files(files: DataFrame) -> DataFrame:
+    """Cells ``(source, row_number, column, text, code)`` of Feather, Arrow, Parquet and NumPy files.
+
+    One Arrow batch of bounded files at a time; a file that cannot be read gives one row
+    with a code instead.
+    """
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.feather as feather
+        import pyarrow.parquet as parquet
+
+        def columns_of(name, content):
+            lower = name.lower()
+            if lower.endswith((".parquet", ".pq")):
+                return parquet.read_table(io.BytesIO(content)).to_pydict()
+            if lower.endswith((".feather", ".arrow", ".ipc")):
+                try:
+                    return feather.read_table(io.BytesIO(content)).to_pydict()
+                except pa.ArrowInvalid:
+                    return pa.ipc.open_stream(io.BytesIO(content)).read_all().to_pydict()
+            loaded = np.load(io.BytesIO(content), allow_pickle=False)
+            if isinstance(loaded, np.ndarray):
+                loaded = {"": loaded}
+            named = {}
+            for key in loaded.files if hasattr(loaded, "files") else loaded:
+                array = loaded[key]
+                if array.dtype.names:
+                    named.update({n: array[n] for n in array.dtype.names})
+                else:
+                    named[key] = array
+            return named
+
+        def rows_of(name, content):
+            try:
+                columns = columns_of(name, content)
+            except ValueError as exc:
+                return None, "unsafe_object_array" if "allow_pickle" in str(exc) else "invalid_binary_file"
+            except Exception:
+                return None, "invalid_binary_file"
+            sizes = set()
+            for values in columns.values():
+                if getattr(values, "ndim", 1) != 1:
+                    return None, "binary_layout_required"
+                sizes.add(len(values))
+            if len(columns) < 2 or "" in columns:
+                return None, "binary_layout_required"
+            if len(sizes) != 1:
+                return None, "binary_column_length"
+            return columns, None
+
+        def text(v):
+            if v is None:
+                return None
+            if isinstance(v, bytes):
+                return v.decode("utf-8", "replace").strip()
+            if hasattr(v, "item"):
+                v = v.item()
+            if hasattr(v, "isoformat"):
+                return v.isoformat()
+            return (repr(v) if isinstance(v, float) else str(v)).strip()
+
+        for batch in batches:
+            for source, content in zip(batch["source"], batch["content"]):
+                columns, code = rows_of(source, content)
+                if code:
+                    yield pd.DataFrame({"source": [source], "row_number": [None], "column": [None], "text": [None], "code": [code]})
+                    continue
+                for column, values in columns.items():
+                    yield pd.DataFrame(
+                        {
+                            "source": source,
+                            "row_number": range(len(values)),
+                            "column": column,
+                            "text": [text(v) for v in values],
+                            "code": None,
+                        }
+                    )
+
+    return files.select("source", "content").mapInPandas(decode, _CELLS)
+
+
+# -- archives --------------------------------------------------------------
+_MEMBERS = "source string, kind string, member string, size long, encrypted boolean, is_link boolean, content binary"
+
+
+def _open_archives(files: DataFrame, with_content: bool) -> DataFrame:
+    limit = fv.MAX_FILE_BYTES
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import gzip
+        import io
+        import tarfile
+        import zipfile
+
+        def members(name, content):
+            lower = name.lower()
+            if lower.endswith(".zip"):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for i in z.infolist():
+                        if not i.is_dir():
+                            link = (i.external_attr >> 16) & 0o170000 == 0o120000
+                            locked = bool(i.flag_bits & 1)
+                            take = with_content and not locked and i.file_size <= limit
+                            data = z.open(i).read(limit + 1) if take else None
+                            yield "zip", i.filename, i.file_size, locked, link, data
+            elif lower.endswith(".gz") and not lower.endswith(".tar.gz"):
+                with gzip.GzipFile(fileobj=io.BytesIO(content)) as g:
+                    data = g.read(limit + 1)
+                yield "gzip", name.rsplit("/", 1)[-1][:-3], len(data), False, False, data if with_content else None
+            else:
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
+                    for i in t:
+                        if not i.isdir():
+                            link = not i.isfile()
+                            take = with_content and not link and i.size <= limit
+                            data = t.extractfile(i).read(limit + 1) if take else None
+                            yield "tar", i.name, i.size, False, link, data
+
+        names = ["kind", "member", "size", "encrypted", "is_link", "content"]
+        for batch in batches:
+            for source, content in zip(batch["source"], batch["content"]):
+                try:
+                    for row in members(source, content):
+                        yield pd.DataFrame([(source, *row)], columns=["source", *names])
+                except Exception:
+                    yield pd.DataFrame([(source, "unreadable", None, None, False, False, None)], columns=["source", *names])
+
+    return files.select("source", "content").mapInPandas(walk, _MEMBERS)
+
+
+def list_members(files: DataFrame) -> DataFrame:
+    """Members of zip, tar (gz, bz2, xz) and gz files without unpacking them."""
+    return _open_archives(files, with_content=False).drop("content")
+
+
+def member_issues(
+    members: DataFrame,
+    max_members: int = fv.MAX_FILES,
+    max_bytes: int = fv.MAX_FILE_BYTES,
+    max_total: int = fv.MAX_TOTAL_BYTES,
+) -> DataFrame:
+    """Codes per archive; an archive with any code is not unpacked."""
+    path = F.coalesce("member", F.lit(""))
+    unsafe = (
+        F.col("encrypted")
+        | F.col("is_link")
+        | (path == "")
+        | path.contains("\\")
+        | path.rlike(r"[\x00-\x1f]")
+        | path.startswith("/")
+        | path.rlike(r"(^|/)\.\.(/|$)")
+        | path.rlike(r"^[A-Za-z]:")
+    )
+    data = [*fv.TEXT_SUFFIXES, *fv.JSON_SUFFIXES, *fv.COLUMNAR_SUFFIXES, *fv.ARRAY_SUFFIXES, *fv.OTHER_DATA_SUFFIXES]
+    code = (
+        F.when(F.col("kind") == "unreadable", "invalid_archive")
+        .when(unsafe, F.concat(F.lit("unsafe_"), "kind", F.lit("_member")))
+        .when(~suffix(path).isin(*data), "archive_member_unsupported")
+        .when((F.col("size") < 0) | (F.col("size") > max_bytes), "expanded_file_too_large")
+    )
+    single = members.select("source", code.alias("code")).where("code is not null")
+    same = members.groupBy("source", "kind", F.lower(F.regexp_replace(path, r"(^|/)\./", "$1")).alias("p")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    doubled = same.where("n > 1").select("source", F.concat(F.lit("duplicate_"), "kind", F.lit("_member")).alias("code"))
+    totals = members.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
+    many = totals.where(F.col("n") > max_members).select("source", F.lit("too_many_files").alias("code"))
+    large = totals.where(F.col("b") > max_total).select("source", F.lit("expanded_batch_too_large").alias("code"))
+    return single.unionByName(doubled).unionByName(many).unionByName(large).distinct()
+
+
+def expand_archives(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of sound archives as files ``(source, content, container)``, and the issues."""
+    issues = member_issues(list_members(files))
+    sound = files.join(issues.select("source").distinct(), "source", "left_anti")
+    members = _open_archives(sound, with_content=True)
+    return (
+        members.select(
+            F.concat_ws("::", "source", "member").alias("source"), "content",
+            F.col("source").alias("container"), "member",
+        ),
+        issues,
+    )
+
+
+# -- sinks -----------------------------------------------------------------
+def guard_output(path: str, protected: list[str]) -> str:
+    """Refuse to write below a raw or hold-out root."""
+    import posixpath
+
+    target = posixpath.normpath(path)
+    for root in protected:
+        base = posixpath.normpath(root)
+        if target == base or target.startswith(base.rstrip("/") + "/"):
+            raise PermissionError(f"writing below {base} is not allowed")
+    return path
+
+
+def write_unit_dataset(
+    df: DataFrame, path: str, axis: sg.Axis, protected: list[str] = (), compression: str = "zstd"
+) -> None:
+    """One folder of Parquet files per unit.
+
+    Rows move by unit and time segment, so a very long unit is written by many tasks.
+    Folders of units that are not part of ``df`` are left out of the new version.
+    """
+    guard_output(path, list(protected))
+    rows = axis.segmented(df)
+    (
+        rows.repartition(*axis.keys)
+        .sortWithinPartitions(*axis.keys, *axis.order)
+        .drop(sg.SEG)
+        .write.mode("overwrite")
+        .partitionBy(*axis.unit)
+        .option("compression", compression)
+        .parquet(path)
+    )
+
+
+def write_predictions(predictions: DataFrame, path: str, protected: list[str] = ()) -> None:
+    guard_output(path, list(protected))
+    columns = ["window_id", "unit_id", "t_end", "route_id", "prediction", "rul_unit", "truth"]
+    predictions.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+
+
+# fixed values: column order of the flat export
+EXPORT_COLUMNS = (
+    "filename", "input_sha256", "container_filename", "container_sha256", "archive_member", "line",
+    "model_name", "framework", "manifest_sha256", "member_sha256s", "selection_aggregation",
+    "production_point_aggregation", "production_point_seed", "interval_member_seeds",
+    "uncertainty_mode", "window_index", "time", "time_order", "rul_unit", "y_pred_rul_raw",
+    "y_pred_rul", "rul_output_clamped", "p10", "p50", "p90", "ensemble_std",
+)
+
+
+def export_batch(predictions: DataFrame, registry: DataFrame, key: str = "filename") -> DataFrame:
+    """One row per prediction with the provenance of its file; lists are joined by ';'."""
+    joined = predictions.join(registry, key)
+    listed = [c for c, kind in registry.dtypes if kind.startswith("array")]
+    for column in listed:
+        joined = joined.withColumn(column, F.array_join(F.transform(column, lambda v: v.cast("string")), ";"))
+    blank = ["container_filename", "container_sha256", "archive_member", "production_point_seed"]
+    for column in blank:
+        joined = joined.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit("")))
+    return joined.select(*EXPORT_COLUMNS)
