@@ -68,7 +68,7 @@ def finish(
     for name in sources.values():
         df = df.withColumn(name, clip_unit(F.col(name)) * F.lit(rmax))
     return interval(df, "point_norm", [f"{m}_safe" for m in members]).select(
-        *scored.columns,
+        *sg.columns_of(scored),
         (F.col("raw_norm") * F.lit(rmax)).alias("y_pred_raw"),
         F.col("point_norm").alias("y_pred"),
         (F.col("raw_norm") * F.lit(rmax) != F.col("point_norm")).alias("clamped"),

@@ -95,10 +95,10 @@ def project_columns(
     if longest is None:
         longest = df.groupBy(*axis.unit).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if longest <= slice_rows:
-        return out.select(*df.columns, *columns.values())
+        return out.select(*sg.columns_of(df), *columns.values())
     long = numbered.where(F.col("__rows") > slice_rows)
     return out.unionByName(_project_long(long, axis, columns, slice_rows)).select(
-        *df.columns, *columns.values()
+        *sg.columns_of(df), *columns.values()
     )
 
 

@@ -97,7 +97,7 @@ def asof_join(
     axis = Axis((unit,), ("__t", "__side", "__tie"), width)
     filled = sg.last_known(both, axis, "__known", "__match").where(F.col("__side") == 1)
     return filled.select(
-        *telemetry.columns, *[F.col(f"__match.{c}").alias(c) for c in ("matched_t", *values)]
+        *sg.columns_of(telemetry), *[F.col(f"__match.{c}").alias(c) for c in ("matched_t", *values)]
     )
 
 

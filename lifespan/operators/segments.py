@@ -21,6 +21,11 @@ _ROW = "__row"
 _CARRY = "__carry"
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of a table; channel names may hold dots."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 @dataclass(frozen=True)
 class Axis:
     """Unit keys, ordering columns (the first is numeric) and segment extent."""
@@ -97,7 +102,7 @@ def _neighbour(df, axis, columns, prefix, forward):
         F.when(at_edge, F.col(f"{_CARRY}.v_{c}")).otherwise(shift(c).over(window)).alias(prefix + c)
         for c in columns
     ]
-    return rows.join(carried, axis.keys).select(*df.columns, *picked)
+    return rows.join(carried, axis.keys).select(*columns_of(df), *picked)
 
 
 def running_min(df: DataFrame, axis: Axis, value: str, name: str) -> DataFrame:

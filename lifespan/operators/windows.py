@@ -58,7 +58,7 @@ def trend_targets(
         rows.withColumn("__ahead", ahead)
         .where(~F.col("__halo"))
         .select(
-            *steps.columns,
+            *sg.columns_of(steps),
             F.transform(
                 F.sequence(F.lit(0), F.lit(horizon - 1)), lambda h: F.get("__ahead", h)["v"]
             ).alias("y_trend"),

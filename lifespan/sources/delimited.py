@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lifespan.functions.scalar import finite, mask_ids, round_half_even
 
 SEPARATORS = (",", "\t", ";")
+SPARK_CHARSETS = ("UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32", "US-ASCII", "ISO-8859-1")
 PREDICTION_COLUMNS = ("window_id", "unit_id", "t_end", "route_id", "prediction", "rul_unit", "truth")
 
 
@@ -29,6 +30,9 @@ def read_delimited(
     spark: SparkSession, path: str, separator: str | None = None, encoding: str = "UTF-8"
 ) -> DataFrame:
     """Every column as text, with the file it came from; rows of another width fail."""
+    if encoding.upper() not in SPARK_CHARSETS:
+        # Spark reads the other JVM charsets (GB18030 is one of them) only with this set
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     sep = separator or sniff_separator(spark, path)
     df = (
         spark.read.option("header", True)

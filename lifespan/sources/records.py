@@ -14,7 +14,7 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
     """Elements of the top-level array of each file; a header row makes objects of the rest."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("source", F.input_file_name())
+    whole = spark.read.text(path, wholetext=True).withColumn("source", F.input_file_name())
     items = whole.select("source", F.from_json("value", "array<string>").alias("items"))
     first = F.get("items", F.lit(0))
     header = F.from_json(first, "array<string>")
