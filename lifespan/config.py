@@ -81,6 +81,6 @@ WHEEL = Contract(
 CONTRACTS = {c.name: c for c in (BATTERY, WHEEL)}
 
 # Rows one task may hold for one unit before the unit is split across tasks.
-SEGMENT_ROWS = 50_000
+SEGMENT_ROWS = 100_000
 # Largest table that is shipped to every executor, in rows.
 BROADCAST_ROWS = 100_000

@@ -61,13 +61,22 @@ def reconstruct_cycles(
             F.min_by("hi", "t").alias("first_hi"),
         )
     )
-    settled = parts.select(
-        "unit_id",
+    own = ["n_samples", "temp_mean", "charge_time", "c_rate_mean"]
+    none = F.lit(None).cast("double")
+    # a cycle hands its first values to the cycle before it; the cycles are built once
+    mine = F.struct("cycle", *own, none.alias("soh"), none.alias("hi"))
+    before = F.struct(
         (F.col("cycle") - 1).alias("cycle"),
+        *[F.lit(None).cast("bigint" if c == "n_samples" else "double").alias(c) for c in own],
         F.col("first_soh").alias("soh"),
         F.col("first_hi").alias("hi"),
     )
-    joined = parts.drop("first_soh", "first_hi").join(settled, ["unit_id", "cycle"])
+    joined = (
+        parts.select("unit_id", F.explode(F.array(mine, before)).alias("c"))
+        .groupBy("unit_id", "c.cycle")
+        .agg(*[F.max(f"c.{c}").alias(c) for c in (*own, "soh", "hi")])
+        .where(F.col("n_samples").isNotNull() & F.col("soh").isNotNull())
+    )
     if per_cycle is not None:
         joined = joined.where(F.col("n_samples") == per_cycle)
     return joined.withColumn("capacity", F.lit(q0) * F.col("soh")).withColumn(
@@ -80,9 +89,10 @@ def failure_cycle(
 ) -> DataFrame:
     """First cycle at or below 80 % of nominal capacity, and the labels it gives."""
     reached = F.col(capacity) <= F.lit(fv.END_OF_LIFE_SOH * q0 + 1e-9)
-    firsts = cycles.groupBy("unit_id").agg(F.min(F.when(reached, F.col(cycle))).alias("failure_cycle"))
+    axis = Axis(("unit_id",), (cycle,), 50_000.0)
+    first = F.min(F.when(reached, F.col(cycle)))
     return (
-        cycles.join(firsts, "unit_id")
+        sg.unit_values(cycles, axis, {"failure_cycle": (first, F.min)})
         .withColumn("censored", F.col("failure_cycle").isNull())
         .withColumn("rul", F.col("failure_cycle") - F.col(cycle))
         .withColumn("fail", F.coalesce(F.col(cycle) >= F.col("failure_cycle"), F.lit(False)).cast("int"))

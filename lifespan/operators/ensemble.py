@@ -50,7 +50,6 @@ def finish(
     rmax: float,
     aggregate: str = "median3",
     postprocess: str = "isotonic_nonincreasing",
-    longest: int | None = None,
 ) -> DataFrame:
     """Point prediction, interval and safety flags from three normalised members.
 
@@ -61,7 +60,7 @@ def finish(
     df = scored.withColumn("raw_norm", aggregate_members(aggregate))
     sources = {"raw_norm": "point_norm", **{m: f"{m}_safe" for m in members}}
     if postprocess == "isotonic_nonincreasing":
-        df = isotonic.project_columns(df, axis, sources, longest=longest)
+        df = isotonic.project_columns(df, axis, sources)
     else:
         for value, name in sources.items():
             df = isotonic.projected(df, axis, value, name, postprocess)

@@ -144,26 +144,23 @@ def interval_coverage(rows: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def alpha_lambda(rows: DataFrame, alpha: float = 0.2) -> DataFrame:
+def alpha_lambda(rows: DataFrame, alpha: float = 0.2, segment: float = 1000.0) -> DataFrame:
     """Share of windows within ±alpha of the truth and the earliest lasting relative life.
 
     ``horizon`` is one minus the relative age after which no window leaves the band
     (null when the last window is outside).
     """
     inside = F.abs(F.col("y_pred") - F.col("y_true")) <= alpha * F.col("y_true")
-    marked = rows.withColumn("inside", inside)
+    axis = Axis(("unit_id",), ("t_end",), segment)
+    out = F.max(F.when(~F.col("inside"), F.col("t_end")))
+    marked = sg.unit_values(rows.withColumn("inside", inside), axis, {"last_out": (out, F.max)})
+    after = F.col("last_out").isNull() | (F.col("t_end") > F.col("last_out"))
     per_unit = marked.groupBy("unit_id").agg(
         F.avg(F.col("inside").cast("double")).alias("accuracy"),
-        F.max(F.when(~F.col("inside"), F.col("t_end"))).alias("last_out"),
         F.max("t_end").alias("life"),
+        F.min(F.when(after, F.col("t_end"))).alias("start"),
     )
-    later = marked.join(per_unit.select("unit_id", "last_out"), "unit_id").where(
-        F.col("last_out").isNull() | (F.col("t_end") > F.col("last_out"))
-    )
-    starts = later.groupBy("unit_id").agg(F.min("t_end").alias("start"))
-    return per_unit.join(starts, "unit_id", "left").select(
-        "unit_id", "accuracy", (1.0 - F.col("start") / F.col("life")).alias("horizon")
-    )
+    return per_unit.select("unit_id", "accuracy", (1.0 - F.col("start") / F.col("life")).alias("horizon"))
 
 
 def metrics_by_split(ledger: DataFrame) -> DataFrame:

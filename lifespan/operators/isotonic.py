@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -81,47 +79,38 @@ def project_columns(
     axis: Axis,
     columns: dict[str, str],
     slice_rows: int = SEGMENT_ROWS,
-    longest: int | None = None,
 ) -> DataFrame:
     """Project several value columns of the same rows in one pass.
 
     Units that fit one slice are projected from one grouped list; only longer units
-    take the block route.  ``longest`` is the row count of the longest unit where it is
-    already known, else it is counted.
+    take the block route.  An axis of whole units says that all are short; otherwise the
+    longest is counted.
     """
-    numbered = sg.row_numbers(df, axis, "__position", "__rows")
-    short = numbered.where(F.col("__rows") <= slice_rows)
-    out = _project_short(short, columns)
-    if longest is None:
+    longest = 0
+    if not axis.whole_units:
         longest = df.groupBy(*axis.unit).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if longest <= slice_rows:
-        return out.select(*sg.columns_of(df), *columns.values())
-    long = numbered.where(F.col("__rows") > slice_rows)
-    return out.unionByName(_project_long(long, axis, columns, slice_rows)).select(
-        *sg.columns_of(df), *columns.values()
-    )
+        return _project_short(df, list(axis.order), columns).select(*sg.columns_of(df), *columns.values())
+    numbered = sg.row_numbers(df, axis, "__position", "__rows")
+    short = _project_short(numbered.where(F.col("__rows") <= slice_rows), ["__position"], columns)
+    long = _project_long(numbered.where(F.col("__rows") > slice_rows), axis, columns, slice_rows)
+    return short.unionByName(long).select(*sg.columns_of(df), *columns.values())
 
 
-def _project_short(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
-    @F.pandas_udf("array<double>")
-    def fit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([_fit(np.asarray(v, dtype=float)) for v in batch])
+def _project_short(rows: DataFrame, order: list[str], columns: dict[str, str]) -> DataFrame:
+    names = list(columns.values())
 
-    # the position comes first and is unique, so it alone decides the order
-    keep = [c for c in rows.columns if c not in ("unit_id", "__position")]
-    lists = rows.groupBy("unit_id").agg(
-        F.sort_array(F.collect_list(F.struct("__position", *keep))).alias("__rows_of_unit")
-    )
-    fitted = lists.select(
-        "unit_id",
-        "__rows_of_unit",
-        *[fit(F.col(f"__rows_of_unit.{value}")).alias(f"__fit_{name}") for value, name in columns.items()],
-    )
-    zipped = fitted.select("unit_id", F.posexplode("__rows_of_unit").alias("__i", "__r"), *[f"__fit_{n}" for n in columns.values()])
-    return zipped.select(
-        "unit_id", "__r.*", *[F.get(f"__fit_{n}", F.col("__i")).alias(n) for n in columns.values()]
-    )
+    @F.pandas_udf(", ".join(f"{n} array<double>" for n in names))
+    def fit(*series: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({n: [_fit(np.asarray(v, dtype=float)) for v in s] for n, s in zip(names, series)})
+
+    # the order columns come first and are unique, so they alone decide the order
+    keep = [c for c in rows.columns if c not in ("unit_id", *order)]
+    packed = F.struct(*[F.col(f"`{c}`") for c in (*order, *keep)])
+    lists = rows.groupBy("unit_id").agg(F.sort_array(F.collect_list(packed)).alias("__rows_of_unit"))
+    fitted = lists.withColumn("__fit", fit(*[F.col(f"__rows_of_unit.{value}") for value in columns]))
+    zipped = fitted.select("unit_id", F.posexplode("__rows_of_unit").alias("__i", "__r"), "__fit")
+    return zipped.select("unit_id", "__r.*", *[F.get(f"__fit.{n}", F.col("__i")).alias(n) for n in names])
 
 
 def _fit(values: np.ndarray) -> np.ndarray:

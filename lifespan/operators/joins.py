@@ -68,23 +68,24 @@ def join_references(
 
 def matched_units(left: DataFrame, right: DataFrame, key: str = "unit_id") -> DataFrame:
     """Rows of units that both sides have."""
-    return left.join(right.select(key).distinct(), key, "left_semi")
+    return sg.spread_join(left, right.select(key).distinct(), [key], "left_semi")
 
 
 def without(left: DataFrame, listed: DataFrame, key: str = "unit_id") -> DataFrame:
     """Rows of units that are not listed (hold-out isolation)."""
-    return left.join(listed.select(key).distinct(), key, "left_anti")
+    return sg.spread_join(left, listed.select(key).distinct(), [key], "left_anti")
 
 
 def asof_join(
-    telemetry: DataFrame, predictions: DataFrame, t: str, pred_t: str, values: list[str], width: float,
-    unit: str = "unit_id", tie: str = "row_number",
+    telemetry: DataFrame, predictions: DataFrame, t: str, pred_t: str, values: list[str], axis: Axis,
+    tie: str = "row_number",
 ) -> DataFrame:
     """Latest prediction at or before each reading; of equal times the last counts.
 
-    Both sides go on one axis and the last prediction is carried forward segment by
-    segment, so neither a busy unit nor a long one meets in one task.
+    Both sides go on one time axis, cut like ``axis``, and the last prediction is carried
+    forward, so neither a busy unit nor a long one has to meet in one task.
     """
+    unit = axis.unit[0]
     side = telemetry.select("*", F.col(t).alias("__t"), F.lit(1).alias("__side"), F.col(tie).cast("long").alias("__tie"))
     known = predictions.select(
         unit,
@@ -94,8 +95,8 @@ def asof_join(
         F.struct(F.col(pred_t).alias("matched_t"), *values).alias("__known"),
     )
     both = side.unionByName(known, allowMissingColumns=True)
-    axis = Axis((unit,), ("__t", "__side", "__tie"), width)
-    filled = sg.last_known(both, axis, "__known", "__match").where(F.col("__side") == 1)
+    merged = axis.ordered_by("__t", "__side", "__tie")
+    filled = sg.last_known(both, merged, "__known", "__match").where(F.col("__side") == 1)
     return filled.select(
         *sg.columns_of(telemetry), *[F.col(f"__match.{c}").alias(c) for c in ("matched_t", *values)]
     )

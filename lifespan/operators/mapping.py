@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lifespan import fixed_values as fv
 from lifespan.functions import scalar as sc
 from lifespan.operators import joins
+from lifespan.operators import segments as sg
 
 
 def with_nfkc(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -21,7 +22,7 @@ def with_nfkc(df: DataFrame, column: str, out: str) -> DataFrame:
         return texts.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
     names = df.select(column).distinct().withColumn(out, nfkc(F.col(column)))
-    return df.join(names, column, "left")
+    return sg.spread_join(df, names, [column], "left")
 
 
 def normalise_names(df: DataFrame, column: str, out: str, strict: bool = False) -> DataFrame:
@@ -152,8 +153,6 @@ def metadata_summary(rows: DataFrame, key: list[str], columns: list[str], shown:
 
 def first_values(rows: DataFrame, key: list[str], column: str, shown: int = 8) -> DataFrame:
     """The first distinct values per key as rows; ranks use hashed slots, not one window."""
-    from lifespan.operators import segments as sg
-
     distinct = rows.select(*key, F.trim(column).alias("text")).where("text <> ''").distinct()
     slot = F.ascii(F.substring("text", 1, 1)) * 256 + F.coalesce(F.ascii(F.substring("text", 2, 1)), F.lit(0))
     axis = sg.Axis(tuple(key), ("__slot", "text"), 1.0)

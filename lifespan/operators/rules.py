@@ -32,7 +32,7 @@ def collect(*rules: DataFrame) -> DataFrame:
 
 def valid_units(df: DataFrame, violations: DataFrame) -> DataFrame:
     """Rows of units without any violation."""
-    return df.join(violations.select("unit_id").distinct(), "unit_id", "left_anti")
+    return sg.spread_join(df, violations.select("unit_id").distinct(), ["unit_id"], "left_anti")
 
 
 # -- readings --------------------------------------------------------------

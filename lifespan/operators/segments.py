@@ -1,24 +1,29 @@
 """Ordered work on units of any size.
 
-A unit may hold a third of all rows, so nothing here opens a window over a whole
-unit.  The time axis of each unit is cut into segments of a fixed extent; ordered
-work runs inside ``(unit, segment)`` and one summary row per segment carries the
-state (row count, last row, running minimum) over the segment borders.  Only the
-summary rows of a unit meet in one task.
+A unit may hold a third of all rows, so a window over a whole unit is only opened where
+every unit is known to be small.  ``Axis.fit`` counts the rows per unit first.  With no
+large unit, one window per unit does the work.  Otherwise the time axis of each large
+unit is cut into segments of bounded row count; ordered work runs inside
+``(unit, segment)`` and one summary row per segment carries the state (row count, last
+row, running minimum) over the segment borders.  Only the summary rows of a unit meet
+in one task.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lifespan.config import BROADCAST_ROWS, SEGMENT_ROWS
+
 SEG = "__segment"
 BLOCK = "__block"
 _ROW = "__row"
 _CARRY = "__carry"
+_WIDTH = "__width"
 
 
 def columns_of(df: DataFrame) -> list[Column]:
@@ -28,18 +33,71 @@ def columns_of(df: DataFrame) -> list[Column]:
 
 @dataclass(frozen=True)
 class Axis:
-    """Unit keys, ordering columns (the first is numeric) and segment extent."""
+    """Unit keys, ordering columns (the first is numeric) and how units are cut.
+
+    ``width`` is the extent of one segment on the first ordering column; None leaves a
+    unit whole.  ``large`` holds a width of their own for the units that need one.
+    """
 
     unit: tuple[str, ...]
     order: tuple[str, ...]
-    width: float
+    width: float | None = None
+    large: DataFrame | None = field(default=None, compare=False)
+    n_large: int = 0
+
+    @classmethod
+    def fit(cls, df: DataFrame, unit: tuple[str, ...], order: tuple[str, ...], grain: float, rows: int = SEGMENT_ROWS) -> Axis:
+        """Axis for ``df``: whole units where all are small, segments for the large ones.
+
+        ``grain`` is the shortest segment worth making.  The first job reads the unit
+        columns alone; only if there are large units a second one reads their times.
+        """
+        from lifespan.sources.storage import cut_lineage
+
+        counts = df.groupBy(*unit).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
+        if counts.isEmpty():
+            return cls(unit, order)
+        ids = cut_lineage(counts.select(*unit))
+        n_large = ids.count()
+        small = F.broadcast(ids) if n_large <= BROADCAST_ROWS else ids
+        mine = df.select(*unit, order[0]).join(small, list(unit), "left_semi")
+        density = (
+            mine.groupBy(*unit, F.floor(F.col(order[0]) / F.lit(float(grain))).alias("__g"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .groupBy(*unit)
+            .agg(F.max("n").alias("n"))
+        )
+        width = F.lit(float(grain)) * F.greatest(F.lit(1.0), F.floor(F.lit(float(rows)) / F.col("n")))
+        return cls(unit, order, None, cut_lineage(density.select(*unit, width.alias(_WIDTH))), n_large)
+
+    @property
+    def whole_units(self) -> bool:
+        return self.width is None and self.large is None
 
     @property
     def keys(self) -> list[str]:
-        return [*self.unit, SEG]
+        return list(self.unit) if self.whole_units else [*self.unit, SEG]
+
+    def dense(self, step: str, rows: int = SEGMENT_ROWS) -> Axis:
+        """Axis over a dense position column of the same units."""
+        return Axis(self.unit, (step,), None if self.whole_units else float(rows))
+
+    def ordered_by(self, *order: str) -> Axis:
+        """The same units and cuts with more ordering columns after the first."""
+        return replace(self, order=order)
 
     def segmented(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(SEG, F.floor(F.col(self.order[0]) / F.lit(float(self.width))))
+        if self.whole_units:
+            return df
+        t = F.col(self.order[0])
+        if self.large is None:
+            return df.withColumn(SEG, F.floor(t / F.lit(float(self.width))))
+        widths = (
+            df.join(F.broadcast(self.large), list(self.unit), "left")
+            if self.n_large <= BROADCAST_ROWS
+            else spread_join(df, self.large, list(self.unit), "left")
+        )
+        return widths.withColumn(SEG, F.coalesce(F.floor(t / F.col(_WIDTH)), F.lit(0))).drop(_WIDTH)
 
     def local(self):
         return Window.partitionBy(*self.keys).orderBy(*self.order)
@@ -62,6 +120,9 @@ class Axis:
 
 def row_numbers(df: DataFrame, axis: Axis, name: str = "step", total: str | None = None) -> DataFrame:
     """Zero-based row position inside each unit, optionally with the unit's row count."""
+    if axis.whole_units:
+        numbered = df.withColumn(name, (F.row_number().over(axis.local()) - 1).cast("long"))
+        return numbered.withColumn(total, F.count(F.lit(1)).over(axis.whole())) if total else numbered
     rows = axis.segmented(df)
     counts = rows.groupBy(*axis.keys).agg(F.count(F.lit(1)).alias(_CARRY))
     offsets = [F.coalesce(F.sum(_CARRY).over(axis.before()), F.lit(0)).alias("__offset")]
@@ -76,6 +137,35 @@ def row_numbers(df: DataFrame, axis: Axis, name: str = "step", total: str | None
     )
 
 
+def unit_values(df: DataFrame, axis: Axis, values: dict[str, tuple]) -> DataFrame:
+    """Attach aggregates of the whole unit to each of its rows.
+
+    ``values`` maps a name to ``(aggregate, merge)``: the aggregate runs per segment,
+    ``merge`` combines the segment results of a unit.  Rows meet the result on
+    ``(unit, segment)``, so the rows of a huge unit are never joined on the unit alone.
+    """
+    if axis.whole_units:
+        # a whole-unit aggregate needs no order, but the rows of a unit are few here
+        return df.select(*columns_of(df), *[agg.over(axis.whole()).alias(n) for n, (agg, _) in values.items()])
+    rows = axis.segmented(df)
+    parts = rows.groupBy(*axis.keys).agg(*[agg.alias(f"__part_{n}") for n, (agg, _) in values.items()])
+    merged = parts.select(
+        *axis.keys, *[merge(f"__part_{n}").over(axis.whole()).alias(n) for n, (_, merge) in values.items()]
+    )
+    return rows.join(merged, axis.keys).drop(SEG)
+
+
+def spread_join(df: DataFrame, units: DataFrame, keys: list[str], how: str, salts: int = 16) -> DataFrame:
+    """Join rows to a table with one row per key when a single key may hold most rows.
+
+    The small side is repeated once per salt and the rows of a key spread over the
+    salts.  The salt comes from the row itself, so a repeated task gives the same one.
+    """
+    copies = units.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*columns_of(df)), F.lit(salts)).cast("int"))
+    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
 def previous_row(df: DataFrame, axis: Axis, columns: list[str], prefix: str = "prev_") -> DataFrame:
     """Values of the row before, also when that row lies in an earlier segment."""
     return _neighbour(df, axis, columns, prefix, forward=False)
@@ -87,26 +177,30 @@ def next_row(df: DataFrame, axis: Axis, columns: list[str], prefix: str = "next_
 
 
 def _neighbour(df, axis, columns, prefix, forward):
+    if axis.whole_units:
+        shift = F.lead if forward else F.lag
+        return df.select(*columns_of(df), *[shift(c).over(axis.local()).alias(prefix + c) for c in columns])
     rows = axis.segmented(df)
-    payload = F.struct(*axis.order, *[F.col(c).alias(f"v_{c}") for c in columns])
-    edge = (F.min_by if forward else F.max_by)(payload, axis.position())
+    pick = F.min_by if forward else F.max_by
     shift = F.lead if forward else F.lag
-    carried = (
-        rows.groupBy(*axis.keys)
-        .agg(edge.alias(_CARRY))
-        .select(*axis.keys, shift(_CARRY).over(axis.across()).alias(_CARRY))
+    # a single numeric position keeps this a hash aggregation
+    position = F.col(axis.order[0]) if len(axis.order) == 1 else axis.position()
+    edges = rows.groupBy(*axis.keys).agg(*[pick(F.col(c), position).alias(f"__edge_{c}") for c in columns])
+    carried = edges.select(
+        *axis.keys, *[shift(f"__edge_{c}").over(axis.across()).alias(f"__edge_{c}") for c in columns]
     )
     window = axis.local()
     at_edge = shift(F.lit(True)).over(window).isNull()
     picked = [
-        F.when(at_edge, F.col(f"{_CARRY}.v_{c}")).otherwise(shift(c).over(window)).alias(prefix + c)
-        for c in columns
+        F.when(at_edge, F.col(f"__edge_{c}")).otherwise(shift(c).over(window)).alias(prefix + c) for c in columns
     ]
     return rows.join(carried, axis.keys).select(*columns_of(df), *picked)
 
 
 def running_min(df: DataFrame, axis: Axis, value: str, name: str) -> DataFrame:
     """Smallest value seen so far in the unit."""
+    if axis.whole_units:
+        return df.withColumn(name, F.min(value).over(axis.running()))
     rows = axis.segmented(df)
     carried = (
         rows.groupBy(*axis.keys)
@@ -123,6 +217,8 @@ def running_min(df: DataFrame, axis: Axis, value: str, name: str) -> DataFrame:
 
 def running_sum(df: DataFrame, axis: Axis, value: str, name: str) -> DataFrame:
     """Sum of the values seen so far in the unit."""
+    if axis.whole_units:
+        return df.withColumn(name, F.sum(value).over(axis.running()))
     rows = axis.segmented(df)
     carried = (
         rows.groupBy(*axis.keys)
@@ -139,6 +235,8 @@ def running_sum(df: DataFrame, axis: Axis, value: str, name: str) -> DataFrame:
 
 def last_known(df: DataFrame, axis: Axis, value: str, name: str) -> DataFrame:
     """Latest non-null value at or before each row."""
+    if axis.whole_units:
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(axis.running()))
     rows = axis.segmented(df)
     present = F.col(value).isNotNull()
     carried = (
@@ -182,15 +280,14 @@ def rank_by_hash(df: DataFrame, group: list[str], digest: str, name: str, total:
     return ranked.drop("__slot")
 
 
-def ranked_values(df: DataFrame, group: list[str], value: str, slots: int = 256) -> DataFrame:
-    """Distinct values of each group with the row positions they cover.
+def ranked_values(counted: DataFrame, group: list[str], value: str, slots: int = 64) -> DataFrame:
+    """Row positions covered by the distinct values of each group.
 
-    Equal values are counted before anything is ordered.  Cut points near the
+    ``counted`` has one row per group and value with its row count ``n``.  Cut points near the
     quantiles split the distinct values of a group into even slots; the ranks
     inside a slot are exact, whatever the cut points are.  Groups are the features
     of a contract (a few hundred), so their cut points may be shipped.
     """
-    counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
     fractions = [i / slots for i in range(1, slots)]
     cuts = counted.groupBy(*group).agg(
         F.percentile_approx(value, fractions, 10 * slots).alias("__cuts")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lifespan.config import SEGMENT_ROWS
 from lifespan.operators import segments as sg
 from lifespan.operators.segments import Axis
+from lifespan.sources.storage import cut_lineage
 
 
 def sliding_windows(
@@ -97,10 +98,9 @@ def downsample_until(df: DataFrame, axis: Axis, limit_time: str, points: int) ->
     """Rows up to the first one at or after ``limit_time``, thinned with both ends kept."""
     n = sg.row_numbers(df, axis, "position", "n_rows")
     early = F.count_if(F.col(axis.order[0]) < F.col(limit_time))
-    stops = n.groupBy(*axis.unit).agg(
-        F.least(F.greatest(early, F.lit(1)), F.max("n_rows") - 1).alias("stop")
-    )
-    joined = n.join(stops, list(axis.unit)).where(F.col("position") <= F.col("stop"))
+    counted = sg.unit_values(n, axis, {"__early": (early, F.sum)})
+    stop = F.least(F.greatest(F.col("__early"), F.lit(1)), F.col("n_rows") - 1)
+    joined = counted.withColumn("stop", stop).drop("__early").where(F.col("position") <= F.col("stop"))
     keep = (F.col("stop") + 1 <= points) | _kept_positions(
         F.col("position"), F.col("stop"), points, rounded=True
     )
@@ -129,17 +129,19 @@ def running_minimum(df: DataFrame, axis: Axis, value: str, name: str) -> DataFra
 def quantile_edges(features: DataFrame, bins: int, group: str = "feature", value: str = "value") -> DataFrame:
     """Cut points per feature: midpoints of neighbours, or of order statistics.
 
-    Values are counted per feature before they are ranked; only the feature sizes,
-    one row for each feature of the contract, are shipped to the executors.
+    The features are read once: values are counted per feature, written to the shared
+    folder, and ranked from there.  Only the feature sizes, one row for each feature of
+    the contract, are shipped to the executors.
     """
-    ranked = sg.ranked_values(features, [group], value)
-    sizes = ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("n_rows"))
-    wide = ranked.join(F.broadcast(sizes), group)
-    return _few(wide, group, value, bins).unionByName(_many(wide, group, value, bins))
+    counted = cut_lineage(features.groupBy(group, value).agg(F.count(F.lit(1)).alias("n")))
+    sizes = F.broadcast(counted.groupBy(group).agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("n_rows")))
+    sized = counted.join(sizes, group)
+    few = _few(sized.where(F.col("n_distinct") <= bins), group, value)
+    ranked = sg.ranked_values(sized.where(F.col("n_distinct") > bins).drop("n_distinct"), [group], value)
+    return few.unionByName(_many(ranked, group, value, bins))
 
 
-def _few(wide, group, value, bins):
-    few = wide.where(F.col("n_distinct") <= bins)
+def _few(few, group, value):
     window = Window.partitionBy(group).orderBy(value)
     return (
         few.withColumn("next", F.lead(value).over(window))
@@ -149,8 +151,7 @@ def _few(wide, group, value, bins):
     )
 
 
-def _many(wide, group, value, bins):
-    many = wide.where(F.col("n_distinct") > bins)
+def _many(many, group, value, bins):
     last = F.col("n_rows") - 1
     near = F.greatest(F.floor((F.col("rank_from") - 1) * bins / last), F.lit(1))
     far = F.least(F.ceil((F.col("rank_to") + 1) * bins / last), F.lit(bins - 1))

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from lifespan.config import Boosting
 from lifespan.fixed_values import MEMBER_SEEDS
 from lifespan.operators import evaluate, experts, features, split
-from lifespan.operators.segments import Axis
 from lifespan.plans import scoring
 from lifespan.plans.registry import query
-from lifespan.plans.score_queries import PLAN, _flagship_steps
+from lifespan.plans.score_queries import PLAN, flagship_steps
 from lifespan.sources import tables as tb
 from lifespan.sources.storage import cut_lineage
 
@@ -20,13 +19,7 @@ RMAX = 20.0
 
 def labelled_windows(spark, base):
     """Feature windows of the event steps with their split and a capped label."""
-    st = _flagship_steps(spark, base)
-    train = st.where(split.digest(0) < "d")
-    steps = scoring.attach_row(st, evaluate.age_scale(train, "age"))
-    fitted = scoring.step_statistics(train, PLAN.channels)
-    w = scoring.window_features(
-        scoring.normalise_steps(steps, fitted, PLAN.channels), PLAN, ["t", "age", "age_scale", "y_true"]
-    )
+    w = scoring.window_features(flagship_steps(spark, base, tb.event_axis(spark, base)), PLAN, ["t", "age", "age_scale", "y_true"])
     out = w.select(
         "unit_id", "window_index", F.col("t").alias("t_end"), "age", "age_scale", F.least("y_true", F.lit(RMAX)).alias("y_true"),
         features.statistic_major().alias("tree_x"),
@@ -81,6 +74,6 @@ def refit_plan(spark, base):
     parts = []
     for stage, members, rows in (("selection", selection, val), ("final", final, w)):
         scored = scoring.score(rows, PLAN, members.predictor("tree_x", "direct_x"))
-        metrics = evaluate.regression_metrics(scored, Axis(("unit_id",), ("window_index",), 1e6))
+        metrics = evaluate.regression_metrics(scored, scoring.WINDOW_AXIS)
         parts.append(metrics.withColumn("stage", F.lit(stage)))
     return parts[0].unionByName(parts[1])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lifespan import fixed_values as fv
 from lifespan.functions import scalar as sc
 from lifespan.operators import evaluate, joins, mapping
+from lifespan.operators import segments as sg
 from lifespan.plans.registry import READINGS, STEPS, SUPPLIER_DAYS, query
 from lifespan.plans.window_queries import rounded
 from lifespan.sources import delimited, files, storage
@@ -250,9 +251,10 @@ def classify_metadata(spark, base):
  round(greatest(value / 2.0, (hour / 1000 - first_value(hour / 1000) OVER w) / (0.045 - first_value(hour / 1000) OVER w)), 6) AS wheel FROM st WINDOW w AS (PARTITION BY unit_id ORDER BY step)""",
 )
 def health_index(spark, base):
-    st = tb.event_steps(spark, base)
-    start = st.groupBy("unit_id").agg(F.min_by("hour", "step").alias("h0"))
-    out = st.join(start, "unit_id")
+    axis = tb.event_axis(spark, base)
+    st = tb.event_steps(spark, base, axis)
+    first = F.max(F.when(F.col("step") == 0, F.col("hour")))
+    out = sg.unit_values(st, axis, {"h0": (first, F.max)})
     return out.select(
         "unit_id", "step", F.round(sc.battery_health(F.col("k") / 100), 6).alias("battery"),
         F.round(sc.wheel_health(F.col("value"), F.col("hour") / 1000, F.col("h0") / 1000), 6).alias("wheel"),
@@ -451,7 +453,7 @@ def read_columnar(spark, base):
 def write_unit_dataset(spark, base):
     path = f"{storage.checkpoint_folder(spark)}/units-{uuid.uuid4().hex}"
     d = tb.supplier_days(spark, base).select("unit_id", "t", "quantity", "price")
-    files.write_unit_dataset(d, path, tb.day_axis())
+    files.write_unit_dataset(d, path, tb.DAY_AXIS)
     back = spark.read.parquet(path)
     return back.select(F.col("unit_id").cast("bigint").alias("unit_id"), "t", "quantity", "price")
 

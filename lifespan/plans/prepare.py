@@ -41,8 +41,7 @@ def _collect(*parts: DataFrame) -> DataFrame:
 
 
 def _passed(df: DataFrame, violations: DataFrame) -> DataFrame:
-    bad = violations.select("unit_id").distinct()
-    return df.withColumn("unit_id", F.col("unit_id").cast("string")).join(bad, "unit_id", "left_anti")
+    return rules.valid_units(df.withColumn("unit_id", F.col("unit_id").cast("string")), violations)
 
 
 def parse_readings(spark: SparkSession, raw: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ SELECT unit_id, 'incomplete_time_steps' AS code, max(n_steps) AS n_steps,
 )
 def incomplete_steps(spark, base):
     ev = tb.event_readings(spark, base).withColumn("t", F.floor(F.col("t") / 86400))
-    out = rules.incomplete_steps(ev, Axis(("unit_id",), ("t",), 4096.0), ["click", "error", "view"])
+    out = rules.incomplete_steps(ev, Axis(("unit_id",), ("t",)), ["click", "error", "view"])
     shown = F.transform("examples", lambda s: F.concat_ws(":", s["t"].cast("string"), F.array_join(s["missing"], "+")))
     return out.select("unit_id", "code", "n_steps", F.array_join(shown, ";").alias("examples"))
 
@@ -129,7 +129,8 @@ UNION ALL SELECT unit_id, 'index_origin', CAST(first AS DOUBLE) FROM f WHERE fir
 UNION ALL SELECT unit_id, 'time_gap', CAST(gap AS DOUBLE) FROM f WHERE gap IS NOT NULL""",
 )
 def index_axis(spark, base):
-    st = tb.event_steps(spark, base)
+    axis = tb.event_axis(spark, base)
+    st = tb.event_steps(spark, base, axis)
     u, s = F.col("unit_id") % 5, F.col("step").cast("double")
     t = (
         F.when(u == 1, s + (s >= 20).cast("int"))
@@ -138,7 +139,7 @@ def index_axis(spark, base):
         .when(u == 4, s - 1)
         .otherwise(s)
     )
-    return rules.index_axis(st.select("unit_id", t.alias("t")), Axis(("unit_id",), ("t",), 4096.0))
+    return rules.index_axis(st.select("unit_id", t.alias("t")), axis.dense("t"))
 
 
 @query(
@@ -155,7 +156,7 @@ def bin_axis(spark, base):
     bins = ev.groupBy("unit_id", sc.bin_index(F.col("t"), 86400.0).alias("bin")).agg(
         F.collect_set(F.when(F.col("channel").isin(*required), F.col("channel"))).alias("have")
     )
-    return rules.bin_axis(bins, Axis(("unit_id",), ("bin",), 4096.0), required)
+    return rules.bin_axis(bins, Axis(("unit_id",), ("bin",)), required)
 
 
 @query(
@@ -236,7 +237,7 @@ p AS (SELECT unit_id, t, t - lag(t) OVER (PARTITION BY unit_id ORDER BY t) AS d
 SELECT unit_id, count(*) FILTER (d <= 0) AS n_not_rising, count(*) FILTER (abs(d - 1.0) > 1e-6) AS n_off_grid, abs(min(t)) < 1e-12 AS starts_at_zero FROM p GROUP BY 1""",
 )
 def sample_grid(spark, base):
-    return rules.sample_grid(tb.supplier_days(spark, base), tb.day_axis(), 1.0)
+    return rules.sample_grid(tb.supplier_days(spark, base), tb.DAY_AXIS, 1.0)
 
 
 @query(
@@ -258,7 +259,8 @@ p AS (SELECT unit_id, value - lag(value) OVER w AS dv, k - lag(k) OVER w AS dk F
 SELECT unit_id, count(*) FILTER (dv < -1.5) AS value_breaks, count(*) FILTER (dk > 0.5) AS k_breaks FROM p GROUP BY 1""",
 )
 def monotone(spark, base):
-    return rules.monotone(tb.event_steps(spark, base), tb.event_axis(), {"value": 1.5}, {"k": 0.5})
+    axis = tb.event_axis(spark, base)
+    return rules.monotone(tb.event_steps(spark, base, axis), axis, {"value": 1.5}, {"k": 0.5})
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lifespan.fixed_values import MEMBER_SEEDS
 from lifespan.functions import scalar as sc
 from lifespan.operators import ensemble, evaluate, isotonic, joins, policy, split
-from lifespan.operators.segments import Axis
+from lifespan.operators import segments as sg
 from lifespan.plans import scoring
 from lifespan.plans.registry import READINGS, STEPS, WINDOW_CELLS, query, stats_sql
 from lifespan.plans.window_queries import rounded, step_windows
@@ -19,8 +19,8 @@ pr AS (SELECT unit_id, step, t / 86400.0 AS t_end, value / 100.0 - 0.4 AS m17, k
               greatest(0.0, (n_steps - 1 - step) / 4.0) AS y_true FROM st)"""
 
 
-def predictions(spark, base):
-    st = tb.event_steps(spark, base)
+def predictions(spark, base, axis=None):
+    st = tb.event_steps(spark, base, axis)
     return st.select(
         "unit_id",
         "step",
@@ -32,9 +32,6 @@ def predictions(spark, base):
     )
 
 
-STEP_AXIS = Axis(("unit_id",), ("step",), 50_000.0)
-
-
 def isotonic_sql(source: str, series: list[str], prefix: str = "") -> str:
     """Min-max form of the projection of several columns of ``source (unit_id, i, …)``."""
     stacked = " UNION ALL ".join(f"SELECT unit_id, i, '{s}' AS series, {s} AS v FROM {source}" for s in series)
@@ -53,8 +50,9 @@ def isotonic_sql(source: str, series: list[str], prefix: str = "") -> str:
 SELECT unit_id, i AS step, round(g, 9) AS level FROM iso""",
 )
 def isotonic_query(spark, base):
-    st = tb.event_steps(spark, base).select("unit_id", "step", "value")
-    out = isotonic.isotonic_nonincreasing(st, STEP_AXIS, "value", "level")
+    axis = tb.event_axis(spark, base)
+    st = tb.event_steps(spark, base, axis).select("unit_id", "step", "value")
+    out = isotonic.isotonic_nonincreasing(st, axis.dense("step"), "value", "level")
     return out.select("unit_id", "step", F.round("level", 9).alias("level"))
 
 
@@ -96,7 +94,7 @@ def asof(spark, base):
     ev = tb.event_readings(spark, base)
     p = ev.where("channel = 'purchase'").select("unit_id", "row_number", "t")
     c = ev.where("channel = 'click'").select("unit_id", "row_number", F.col("t").alias("pred_t"), F.col("value").alias("y_pred"))
-    return joins.asof_join(p, c, "t", "pred_t", ["y_pred"], 86400.0)
+    return joins.asof_join(p, c, "t", "pred_t", ["y_pred"], tb.event_axis(spark, base))
 
 
 @query(
@@ -320,7 +318,8 @@ fin AS (SELECT w.unit_id, w.i AS step, raw * 20 AS y_pred_raw, point AS y_pred,
 
 
 def _finished(spark, base):
-    return ensemble.finish(predictions(spark, base), STEP_AXIS, 20.0)
+    axis = tb.event_axis(spark, base)
+    return ensemble.finish(predictions(spark, base, axis), axis.dense("step"), 20.0)
 
 
 @query(
@@ -353,7 +352,8 @@ def member_interval(spark, base):
     "WITH" + PRED_SQL + """ SELECT unit_id, step, round(greatest(0.0, least(1.0, min(m17) OVER (PARTITION BY unit_id ORDER BY step))) * 20, 6) AS y_pred FROM pr""",
 )
 def running_min_mode(spark, base):
-    out = ensemble.finish(predictions(spark, base), STEP_AXIS, 20.0, "seed17", "causal_running_min")
+    axis = tb.event_axis(spark, base)
+    out = ensemble.finish(predictions(spark, base, axis), axis.dense("step"), 20.0, "seed17", "causal_running_min")
     return rounded(out.select("unit_id", "step", "y_pred"), ["y_pred"])
 
 
@@ -378,19 +378,18 @@ def closed_form(windowed):
     return out
 
 
-def _flagship_steps(spark, base):
-    st = tb.event_steps(spark, base).withColumn("age", F.col("t") / 86400.0)
-    life = st.groupBy("unit_id").agg(F.max("age").alias("life"))
-    return st.join(life, "unit_id").withColumn("y_true", F.col("life") - F.col("age")).drop("life", "row_number")
+def flagship_steps(spark, base, axis):
+    """Numbered steps with age, true remaining life, and the scale and statistics of training units."""
+    rows = tb.event_rows(spark, base).withColumn("age", F.col("t") / 86400.0)
+    train = rows.where(split.digest(0) < "d")
+    fitted = scoring.step_statistics(train, PLAN.channels, F.max("age").alias("age_scale"))
+    steps = sg.unit_values(sg.row_numbers(rows, axis, "step"), axis, {"life": (F.max("age"), F.max)})
+    steps = steps.withColumn("y_true", F.col("life") - F.col("age")).drop("life", "row_number")
+    return scoring.normalise_steps(steps, fitted, PLAN.channels)
 
 
-def predict_events(spark, base):
-    st = _flagship_steps(spark, base)
-    train = st.where(split.digest(0) < "d")
-    scale = evaluate.age_scale(train, "age")
-    steps = scoring.attach_row(st, scale)
-    fitted = scoring.step_statistics(train, PLAN.channels)
-    return scoring.predict_batch(steps, fitted, PLAN, closed_form)
+def predict_events(spark, base, axis):
+    return scoring.predict_batch(flagship_steps(spark, base, axis), PLAN, closed_form, axis.dense("window_index"))
 
 
 def _flag_members() -> str:
@@ -431,7 +430,7 @@ _FLAG_COLS = ["y_true", "y_pred_raw", "y_pred", "p10", "p90", "ensemble_std"]
     "WITH" + FLAGSHIP_SQL + " SELECT unit_id, window_index, t_end, clamped, " + ", ".join(f"round({c}, 5) AS {c}" for c in _FLAG_COLS) + " FROM res",
 )
 def predict_batch(spark, base):
-    out = predict_events(spark, base)
+    out = predict_events(spark, base, tb.event_axis(spark, base))
     return rounded(out.drop("m17", "m42", "m73"), _FLAG_COLS, 5)
 
 
@@ -443,7 +442,8 @@ SELECT round(sqrt(avg(er * er)), 5) AS rmse, round(avg(abs(er)), 5) AS mae, roun
  count(*) FILTER (y_pred > pp + 1e-9) / count(pp) AS upward_fraction, count(*) AS n_windows, count(DISTINCT unit_id) AS n_units FROM e""",
 )
 def predict_metrics(spark, base):
-    out = evaluate.regression_metrics(predict_events(spark, base), Axis(("unit_id",), ("window_index",), 1e6))
+    axis = tb.event_axis(spark, base)
+    out = evaluate.regression_metrics(predict_events(spark, base, axis), axis.dense("window_index"))
     return rounded(out, ["rmse", "mae", "bias", "unit_macro_rmse"], 5)
 
 
@@ -456,8 +456,9 @@ SELECT round(sqrt(avg(er * er)), 6) AS rmse, round(avg(abs(er)), 6) AS mae, roun
  round(count(*) FILTER (p > pp + 1e-9) / count(pp), 9) AS upward_fraction, count(*) AS n_windows, count(DISTINCT unit_id) AS n_units FROM e""",
 )
 def regression_metrics(spark, base):
-    p = predictions(spark, base).withColumn("y_pred", F.col("m17") * 20)
-    out = evaluate.regression_metrics(p, STEP_AXIS)
+    axis = tb.event_axis(spark, base)
+    p = predictions(spark, base, axis).withColumn("y_pred", F.col("m17") * 20)
+    out = evaluate.regression_metrics(p, axis.dense("step"))
     return rounded(rounded(out, ["rmse", "mae", "bias", "unit_macro_rmse"]), ["upward_fraction"], 9)
 
 
@@ -529,8 +530,9 @@ def select_best(spark, base):
     "WITH" + STEPS + """ SELECT unit_id, step // 20 AS part, n_steps AS unit_rows, string_agg(step || ':' || row_number, ',' ORDER BY step) AS rows FROM st GROUP BY 1, 2, 3""",
 )
 def bundle_by_unit(spark, base):
-    st = tb.event_steps(spark, base)
-    out = evaluate.bundle_by_unit(st, tb.event_axis(), ["step", "row_number"], 20)
+    axis = tb.event_axis(spark, base)
+    st = tb.event_steps(spark, base, axis)
+    out = evaluate.bundle_by_unit(st, axis, ["step", "row_number"], 20)
     text = F.transform("rows", lambda r: F.concat_ws(":", r["step"].cast("string"), r["row_number"].cast("string")))
     return out.select("unit_id", "part", "unit_rows", F.array_join(text, ",").alias("rows"))
 

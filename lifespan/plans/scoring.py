@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lifespan.config import SEGMENT_ROWS
 from lifespan.fixed_values import MEMBER_SEEDS
 from lifespan.functions.scalar import finite
 from lifespan.operators import ensemble, features, windows
 from lifespan.operators.segments import Axis
 
+WINDOW_AXIS = Axis(("unit_id",), ("window_index",), float(SEGMENT_ROWS))
+
 # Given windows with ``stats``, ``age`` and ``age_scale``, add ``direct_<seed>`` and
 # ``tree_<seed>`` in units of the life scale.
 Predictor = Callable[[DataFrame], DataFrame]
@@ -32,18 +35,17 @@ class ScoringPlan:
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate to every row."""
-    return (
-        df.withColumn("__one", F.lit(1))
-        .join(F.broadcast(row.withColumn("__one", F.lit(1))), "__one")
-        .drop("__one")
-    )
+    """Add the columns of a one-row aggregate to every row, as a scalar subquery."""
+    packed = df.withColumn("__fitted", row.select(F.struct("*")).scalar())
+    return packed.select(*[c for c in df.columns], "__fitted.*")
 
 
-def step_statistics(train: DataFrame, channels: tuple[str, ...]) -> DataFrame:
-    """One row: mean and population std of every channel over training steps."""
+def step_statistics(train: DataFrame, channels: tuple[str, ...], *more: Column) -> DataFrame:
+    """One row: mean and population std of every channel over training steps, and further aggregates."""
     return train.agg(
-        *[F.avg(c).alias(f"{c}__mean") for c in channels], *[F.stddev_pop(c).alias(f"{c}__std") for c in channels]
+        *[F.avg(c).alias(f"{c}__mean") for c in channels],
+        *[F.stddev_pop(c).alias(f"{c}__std") for c in channels],
+        *more,
     )
 
 
@@ -55,14 +57,17 @@ def normalise_steps(steps: DataFrame, fitted: DataFrame, channels: tuple[str, ..
         for c in channels
     }
     imputed = sum(((~finite(v)).cast("int") for v in scaled.values()), F.lit(0))
-    kept = [c for c in steps.columns if c not in channels]
+    kept = [c for c in df.columns if c not in channels and not c.endswith(("__mean", "__std"))]
     return df.select(
         *kept, imputed.alias("imputed_cells"), *[F.when(finite(v), v).otherwise(0.0).alias(c) for c, v in scaled.items()]
     )
 
 
-def score(windowed: DataFrame, plan: ScoringPlan, predictor: Predictor, longest: int | None = None) -> DataFrame:
-    """Members, age blend, aggregation, projection, clipping and interval."""
+def score(windowed: DataFrame, plan: ScoringPlan, predictor: Predictor, axis: Axis = WINDOW_AXIS) -> DataFrame:
+    """Members, age blend, aggregation, projection, clipping and interval.
+
+    ``axis`` says whether the windows of every unit are known to be few.
+    """
     scored = predictor(windowed)
     blended = scored.select(
         "unit_id",
@@ -76,8 +81,7 @@ def score(windowed: DataFrame, plan: ScoringPlan, predictor: Predictor, longest:
             for s in MEMBER_SEEDS
         ],
     )
-    axis = Axis(("unit_id",), ("window_index",), 1e6)
-    return ensemble.finish(blended, axis, plan.rmax, plan.aggregate, plan.postprocess, longest)
+    return ensemble.finish(blended, axis, plan.rmax, plan.aggregate, plan.postprocess)
 
 
 def window_features(steps: DataFrame, plan: ScoringPlan, carry: list[str]) -> DataFrame:
@@ -86,9 +90,9 @@ def window_features(steps: DataFrame, plan: ScoringPlan, carry: list[str]) -> Da
 
 
 def predict_batch(
-    steps: DataFrame, fitted: DataFrame, plan: ScoringPlan, predictor: Predictor, longest: int | None = None
+    steps: DataFrame, plan: ScoringPlan, predictor: Predictor, axis: Axis = WINDOW_AXIS
 ) -> DataFrame:
-    """Steps ``(unit_id, step, t, age, [y_true], channels…)`` in, predictions out."""
+    """Normalised steps ``(unit_id, step, t, age, [y_true], channels…)`` in, predictions out."""
     carry = [c for c in ("t", "age", "age_scale", "y_true") if c in steps.columns]
-    windowed = window_features(normalise_steps(steps, fitted, plan.channels), plan, carry)
-    return score(windowed.withColumnRenamed("t", "t_end"), plan, predictor, longest)
+    windowed = window_features(steps, plan, carry)
+    return score(windowed.withColumnRenamed("t", "t_end"), plan, predictor, axis)

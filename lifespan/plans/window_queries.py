@@ -162,7 +162,8 @@ SELECT unit_id, round(min(CASE WHEN pv IS NULL THEN t ELSE pt + (100.0 - pv) / (
 FROM pr WHERE value >= 100 AND (pv IS NULL OR pv < 100) GROUP BY 1""",
 )
 def first_crossing(spark, base):
-    out = binning.first_crossing(tb.event_steps(spark, base), tb.event_axis(), "value", 100.0)
+    axis = tb.event_axis(spark, base)
+    out = binning.first_crossing(tb.event_steps(spark, base, axis), axis, "value", 100.0)
     return rounded(out, ["crossing_time"], 4)
 
 
@@ -176,8 +177,9 @@ r AS (SELECT unit_id, run, min(t) AS s, max(t) AS e FROM g WHERE over = 1 GROUP
 SELECT unit_id, min(s) AS first_time FROM r WHERE e - s >= 86400 GROUP BY 1""",
 )
 def sustained(spark, base):
+    axis = tb.event_axis(spark, base)
     return binning.sustained_exceedance(
-        tb.event_steps(spark, base), tb.event_axis(), "value", 30.0, 86400.0
+        tb.event_steps(spark, base, axis), axis, "value", 30.0, 86400.0
     )
 
 
@@ -405,7 +407,8 @@ def drop_negative(spark, base):
 SELECT unit_id, step, min(value) OVER (PARTITION BY unit_id ORDER BY step) AS floor_value FROM st""",
 )
 def running_min(spark, base):
-    out = windows.running_minimum(tb.event_steps(spark, base), tb.event_axis(), "value", "floor_value")
+    axis = tb.event_axis(spark, base)
+    out = windows.running_minimum(tb.event_steps(spark, base, axis), axis, "value", "floor_value")
     return out.select("unit_id", "step", "floor_value")
 
 
@@ -418,7 +421,8 @@ SELECT st.unit_id, st.step, st.t, st.value, st.n_steps AS source_points, CAST(25
 FROM st JOIN (SELECT DISTINCT unit_id, step FROM ix) USING (unit_id, step)""",
 )
 def downsample_even(spark, base):
-    out = windows.downsample_even(tb.event_steps(spark, base), tb.event_axis(), 25)
+    axis = tb.event_axis(spark, base)
+    out = windows.downsample_even(tb.event_steps(spark, base, axis), axis, 25)
     return out.select(
         "unit_id", F.col("position").alias("step"), "t", "value", "source_points", "display_points"
     )
@@ -433,8 +437,9 @@ ix AS (SELECT unit_id, stop, CASE WHEN i = 9 THEN stop ELSE CAST(round_even(i *
 SELECT st.unit_id, st.step, st.t, ix.stop FROM st JOIN (SELECT DISTINCT * FROM ix) ix USING (unit_id, step)""",
 )
 def downsample_until(spark, base):
-    st = tb.event_steps(spark, base).withColumn("failure_time", F.lit(1296000.0))
-    out = windows.downsample_until(st, tb.event_axis(), "failure_time", 10)
+    axis = tb.event_axis(spark, base)
+    st = tb.event_steps(spark, base, axis).withColumn("failure_time", F.lit(1296000.0))
+    out = windows.downsample_until(st, axis, "failure_time", 10)
     return out.select("unit_id", F.col("position").alias("step"), "t", "stop")
 
 
@@ -443,7 +448,8 @@ def downsample_until(spark, base):
     "WITH" + STEPS + """ SELECT unit_id, step, value FROM st WHERE step % CAST(ceil(n_steps / 20.0) AS BIGINT) = 0""",
 )
 def downsample_stride(spark, base):
-    out = windows.downsample_stride(tb.event_steps(spark, base), tb.event_axis(), 20)
+    axis = tb.event_axis(spark, base)
+    out = windows.downsample_stride(tb.event_steps(spark, base, axis), axis, 20)
     return out.select("unit_id", F.col("position").alias("step"), "value")
 
 
@@ -497,7 +503,8 @@ def assign_bins(spark, base):
     "WITH" + STEPS + """ SELECT unit_id, step, t, value FROM st WHERE step = CAST(floor(0.37 * (n_steps - 1) + 0.5) AS BIGINT)""",
 )
 def history_progress(spark, base):
-    out = windows.row_at_progress(tb.event_steps(spark, base), tb.event_axis(), 0.37)
+    axis = tb.event_axis(spark, base)
+    out = windows.row_at_progress(tb.event_steps(spark, base, axis), axis, 0.37)
     return out.select("unit_id", F.col("position").alias("step"), "t", "value")
 
 

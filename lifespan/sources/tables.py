@@ -38,14 +38,18 @@ def event_readings(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def event_axis(width: float = DAY_S) -> Axis:
-    return Axis(("unit_id",), ("t", "row_number"), width)
+def event_axis(spark: SparkSession, base: str) -> Axis:
+    """Axis of the event times, cut where a user has very many events."""
+    keyed = read(spark, base, "events").select(
+        F.col("user_id").alias("unit_id"), (seconds("ts") - F.lit(EPOCH_2024_S)).alias("t")
+    )
+    return Axis.fit(keyed, ("unit_id",), ("t", "row_number"), grain=1.0)
 
 
-def event_steps(spark: SparkSession, base: str) -> DataFrame:
-    """Wide telemetry: every event is one step with three channels."""
+def event_rows(spark: SparkSession, base: str) -> DataFrame:
+    """Wide telemetry without positions: every event is one row with three channels."""
     e = read(spark, base, "events")
-    wide = e.select(
+    return e.select(
         F.col("user_id").alias("unit_id"),
         F.col("event_id").alias("row_number"),
         (seconds("ts") - F.lit(EPOCH_2024_S)).alias("t"),
@@ -53,7 +57,11 @@ def event_steps(spark: SparkSession, base: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("double").alias("k"),
         F.hour("ts").cast("double").alias("hour"),
     )
-    return row_numbers(wide, event_axis(), "step", "n_steps")
+
+
+def event_steps(spark: SparkSession, base: str, axis: Axis | None = None) -> DataFrame:
+    """The event rows numbered 0, 1, 2, … inside each unit."""
+    return row_numbers(event_rows(spark, base), axis or event_axis(spark, base), "step", "n_steps")
 
 
 def supplier_days(spark: SparkSession, base: str) -> DataFrame:
@@ -73,8 +81,8 @@ def supplier_days(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def day_axis(width: float = 4096.0) -> Axis:
-    return Axis(("unit_id",), ("t",), width)
+# one row per unit and calendar day, so a unit is small by construction
+DAY_AXIS = Axis(("unit_id",), ("t",))
 
 
 def embedding_windows(spark: SparkSession, base: str, length: int = 16, channels: int = 4) -> DataFrame:

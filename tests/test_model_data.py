@@ -149,7 +149,7 @@ def constant_members(w):
 def score_steps(steps, contract):
     plan = prepare.scoring_plan(contract)
     fitted = scoring.step_statistics(steps, plan.channels)
-    return scoring.predict_batch(steps, fitted, plan, constant_members)
+    return scoring.predict_batch(scoring.normalise_steps(steps, fitted, plan.channels), plan, constant_members)
 
 
 def test_battery_upload_end_to_end(spark):

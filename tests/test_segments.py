@@ -9,7 +9,13 @@ from lifespan.operators import binning, isotonic, joins, split, windows
 from lifespan.operators import segments as sg
 from lifespan.operators.segments import Axis
 
-AXIS = Axis(("unit_id",), ("t", "row"), 7.0)
+NARROW = Axis(("unit_id",), ("t", "row"), 7.0)
+WHOLE = Axis(("unit_id",), ("t", "row"))
+both_axes = pytest.mark.parametrize("axis", [NARROW, WHOLE, "fitted"])
+
+
+def resolve(axis, df):
+    return Axis.fit(df, ("unit_id",), ("t", "row"), grain=1.0, rows=30) if axis == "fitted" else axis
 
 
 @pytest.fixture(scope="module")
@@ -34,39 +40,57 @@ def ordered(pdf):
     return pdf.sort_values(["unit_id", "t", "row"]).reset_index(drop=True)
 
 
-def test_row_numbers(spark, skewed):
-    out = ordered(sg.row_numbers(as_spark(spark, skewed), AXIS, "step", "n").toPandas())
+@both_axes
+def test_row_numbers(spark, skewed, axis):
+    axis = resolve(axis, as_spark(spark, skewed))
+    out = ordered(sg.row_numbers(as_spark(spark, skewed), axis, "step", "n").toPandas())
     want = ordered(skewed)
     assert (out["step"] == want.groupby("unit_id").cumcount()).all()
     assert (out["n"] == want.groupby("unit_id")["row"].transform("size")).all()
 
 
-def test_previous_and_next(spark, skewed):
+@both_axes
+def test_previous_and_next(spark, skewed, axis):
+    axis = resolve(axis, as_spark(spark, skewed))
     df = as_spark(spark, skewed)
-    out = ordered(sg.next_row(sg.previous_row(df, AXIS, ["value"]), AXIS, ["value"]).toPandas())
+    out = ordered(sg.next_row(sg.previous_row(df, axis, ["value"]), axis, ["value"]).toPandas())
     want = ordered(skewed)
     for name, shift in (("prev_value", 1), ("next_value", -1)):
         expected = want.groupby("unit_id")["value"].shift(shift)
         assert out[name].fillna(-99).tolist() == expected.fillna(-99).tolist()
 
 
-def test_running_min_and_sum(spark, skewed):
+@both_axes
+def test_running_min_and_sum(spark, skewed, axis):
+    axis = resolve(axis, as_spark(spark, skewed))
     df = as_spark(spark, skewed)
-    out = ordered(sg.running_sum(sg.running_min(df, AXIS, "value", "low"), AXIS, "value", "total").toPandas())
+    out = ordered(sg.running_sum(sg.running_min(df, axis, "value", "low"), axis, "value", "total").toPandas())
     want = ordered(skewed).groupby("unit_id")["value"]
     assert out["low"].tolist() == want.cummin().tolist()
     assert np.allclose(out["total"], want.cumsum())
 
 
-def test_last_known(spark, skewed):
-    out = ordered(sg.last_known(as_spark(spark, skewed), AXIS, "maybe", "seen").toPandas())
+@both_axes
+def test_last_known(spark, skewed, axis):
+    axis = resolve(axis, as_spark(spark, skewed))
+    out = ordered(sg.last_known(as_spark(spark, skewed), axis, "maybe", "seen").toPandas())
     expected = ordered(skewed).groupby("unit_id")["maybe"].ffill()
     assert out["seen"].fillna(-99).tolist() == expected.fillna(-99).tolist()
 
 
+def test_fitted_axis_cuts_only_large_units(spark, skewed):
+    df = as_spark(spark, skewed)
+    axis = Axis.fit(df, ("unit_id",), ("t", "row"), grain=1.0, rows=30)
+    sizes = axis.segmented(df).groupBy("unit_id", sg.SEG).count().toPandas().set_index("unit_id")
+    assert axis.n_large == 2 and sizes.loc["hot", "count"].max() <= 30
+    assert (sizes.loc[["b", "c"], sg.SEG] == 0).all()
+    assert Axis.fit(df, ("unit_id",), ("t", "row"), grain=1.0, rows=1000).whole_units
+
+
 def test_ranked_values_cover_all_positions(spark, skewed):
     pdf = skewed.assign(value=(skewed["value"] * 4).round())
-    out = sg.ranked_values(as_spark(spark, pdf), ["unit_id"], "value", slots=8).toPandas()
+    counted = as_spark(spark, pdf).groupBy("unit_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    out = sg.ranked_values(counted, ["unit_id"], "value", slots=8).toPandas()
     for unit, rows in out.groupby("unit_id"):
         values = np.sort(pdf.loc[pdf.unit_id == unit, "value"].to_numpy())
         for r in rows.itertuples():
@@ -83,6 +107,19 @@ def test_quantile_edges_match_order_statistics(spark):
     assert np.allclose(out["edge"], expected)
 
 
+@both_axes
+def test_unit_values_and_spread_join(spark, skewed, axis):
+    axis = resolve(axis, as_spark(spark, skewed))
+    df = as_spark(spark, skewed)
+    out = ordered(sg.unit_values(df, axis, {"top": (F.max("value"), F.max), "n": (F.count("value"), F.sum)}).toPandas())
+    want = ordered(skewed).groupby("unit_id")["value"]
+    assert out["top"].tolist() == want.transform("max").tolist() and out["n"].tolist() == want.transform("size").tolist()
+    units = spark.createDataFrame([("hot", 1), ("b", 2)], "unit_id string, tag int")
+    assert sg.spread_join(df, units, ["unit_id"], "left_anti").count() == 41
+    assert sg.spread_join(df, units, ["unit_id"], "inner").count() == 603
+    assert sg.spread_join(df, units, ["unit_id"], "left").count() == len(skewed)
+
+
 def brute_isotonic(values):
     n = len(values)
     means = lambda a, b: np.mean(values[a : b + 1])
@@ -139,20 +176,22 @@ def test_trend_targets_across_blocks(spark):
     assert len(out) == 23
 
 
-def test_asof_ties_take_last(spark):
+@pytest.mark.parametrize("axis", [Axis(("unit_id",), ("t",), 2.0), Axis(("unit_id",), ("t",))])
+def test_asof_ties_take_last(spark, axis):
     left = spark.createDataFrame([("u", 1, 5.0), ("u", 2, 20.0), ("v", 3, 1.0)], "unit_id string, row_number long, t double")
     right = spark.createDataFrame(
         [("u", 10, 5.0, 1.0), ("u", 11, 5.0, 2.0), ("u", 12, 6.0, 3.0)], "unit_id string, row_number long, pt double, p double"
     )
-    out = {r.row_number: (r.matched_t, r.p) for r in joins.asof_join(left, right, "t", "pt", ["p"], 2.0).collect()}
+    out = {r.row_number: (r.matched_t, r.p) for r in joins.asof_join(left, right, "t", "pt", ["p"], axis).collect()}
     assert out == {1: (5.0, 2.0), 2: (6.0, 3.0), 3: (None, None)}
 
 
-def test_first_crossing_and_sustained(spark):
+@pytest.mark.parametrize("axis", [NARROW, WHOLE])
+def test_first_crossing_and_sustained(spark, axis):
     pdf = pd.DataFrame({"unit_id": "u", "t": np.arange(40.0), "row": range(40), "value": [0.0] * 10 + [4.0] * 2 + [0.0] * 5 + [6.0] * 23, "maybe": None})
     df = as_spark(spark, pdf)
-    assert binning.first_crossing(df, AXIS, "value", 1.0).first().crossing_time == pytest.approx(9.25)
-    assert binning.sustained_exceedance(df, AXIS, "value", 3.0, 5.0).first().first_time == 17.0
+    assert binning.first_crossing(df, axis, "value", 1.0).first().crossing_time == pytest.approx(9.25)
+    assert binning.sustained_exceedance(df, axis, "value", 3.0, 5.0).first().first_time == 17.0
 
 
 def test_split_clamps_and_is_stable(spark):
