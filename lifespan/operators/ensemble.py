@@ -64,8 +64,7 @@ def finish(
     else:
         for value, name in sources.items():
             df = isotonic.projected(df, axis, value, name, postprocess)
-    for name in sources.values():
-        df = df.withColumn(name, clip_unit(F.col(name)) * F.lit(rmax))
+    df = df.withColumns({name: clip_unit(F.col(name)) * F.lit(rmax) for name in sources.values()})
     return interval(df, "point_norm", [f"{m}_safe" for m in members]).select(
         *sg.columns_of(scored),
         (F.col("raw_norm") * F.lit(rmax)).alias("y_pred_raw"),
@@ -80,14 +79,16 @@ def finish(
 def interval(df: DataFrame, point: str, members: list[str]) -> DataFrame:
     """10 % and 90 % quantiles of the members, widened to hold the point value."""
     n = len(members)
-    ordered = F.sort_array(F.array(*members))
-    mean = sum((F.col(m) for m in members[1:]), F.col(members[0])) / n
-    spread = sum(((F.col(m) - mean) * (F.col(m) - mean) for m in members), F.lit(0.0)) / n
-    return (
-        df.withColumn("p10", F.least(linear_quantile(ordered, n, 0.10), F.col(point)))
-        .withColumn("p90", F.greatest(linear_quantile(ordered, n, 0.90), F.col(point)))
-        .withColumn("ensemble_std", F.sqrt(spread))
-    )
+    ordered = df.withColumn("__ordered", F.sort_array(F.array(*members)))
+    mean = "(" + " + ".join(members) + f") / {n}"
+    squares = " + ".join(f"({m} - {mean}) * ({m} - {mean})" for m in members)
+    return ordered.withColumns(
+        {
+            "p10": F.least(linear_quantile(F.col("__ordered"), n, 0.10), F.col(point)),
+            "p90": F.greatest(linear_quantile(F.col("__ordered"), n, 0.90), F.col(point)),
+            "ensemble_std": F.expr(f"sqrt(({squares}) / {n})"),
+        }
+    ).drop("__ordered")
 
 
 def bound_violations(df: DataFrame, raw: str, rmax: float) -> DataFrame:

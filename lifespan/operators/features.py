@@ -39,7 +39,8 @@ def direct_features(age: str, scale, stats: str = "stats") -> Column:
 
 def invariant_features(age: str, scale, channels: int, stats: str = "stats") -> Column:
     """Spread of each statistic over the channels, reducer by reducer, then age."""
-    spreads = ar.let(F.col(stats), lambda a: F.array(*[ar.spread(a[n], channels) for n in STATISTICS]))
+    per_statistic = ar.let(F.col(stats), lambda a: F.array(*[a[n] for n in STATISTICS]))
+    spreads = F.transform(per_statistic, lambda values: ar.spread(values, channels))
     ordered = ar.let(spreads, lambda a: F.concat(*[a[r] for r in INVARIANT_REDUCERS]))
     return F.concat(ordered, age_features(F.col(age), scale))
 

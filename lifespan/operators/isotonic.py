@@ -30,32 +30,29 @@ def _pool(blocks: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _pool_groups(df: DataFrame, group) -> DataFrame:
-    """Pool the blocks of each unit inside slices of bounded size."""
+def _pool_groups(df: DataFrame, keys: list[str], group) -> DataFrame:
+    """Pool the blocks of each series inside slices of bounded size."""
     pool = F.pandas_udf(_pool, _POOL)
-    lists = df.groupBy("unit_id", group.alias("__slice")).agg(
+    lists = df.groupBy(*keys, group.alias("__slice")).agg(
         F.sort_array(F.collect_list(F.struct("first", "n", "total"))).alias("__b")
     )
-    return lists.select("unit_id", F.explode(pool("__b")).alias("__p")).select("unit_id", "__p.*")
+    return lists.select(*keys, F.explode(pool("__b")).alias("__p")).select(*keys, "__p.*")
 
 
-def isotonic_blocks(rows: DataFrame, slice_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Blocks ``(unit_id, first, n, total)`` of the projection of ``(unit_id, position, value)``.
+def isotonic_blocks(rows: DataFrame, keys: list[str], slice_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Blocks ``(keys, first, n, total)`` of the projection of ``(keys, position, value)``.
 
-    Pooling neighbours gives the same result in any order.  Slices of a unit are
+    Pooling neighbours gives the same result in any order.  Slices of a series are
     pooled on their own; while blocks still rise somewhere across a slice border, the
     blocks are numbered again and pooled in slices shifted by half.  No task ever holds
-    more than ``slice_rows`` blocks of a unit, and units within one slice need one pass.
+    more than ``slice_rows`` blocks of a series.
     """
     start = rows.select(
-        "unit_id", F.col("position").alias("first"), F.lit(1).cast("long").alias("n"), F.col("value").alias("total")
+        *keys, F.col("position").alias("first"), F.lit(1).cast("long").alias("n"), F.col("value").alias("total")
     )
-    blocks = _pool_groups(start, F.floor(F.col("first") / slice_rows))
-    longest = rows.agg(F.max("position")).first()[0]
-    if longest is None or longest < slice_rows:
-        return blocks
+    blocks = _pool_groups(start, keys, F.floor(F.col("first") / slice_rows))
+    axis = Axis(tuple(keys), ("first",), float(slice_rows))
     shift = 0
-    axis = Axis(("unit_id",), ("first",), float(slice_rows))
     while True:
         blocks = cut_lineage(blocks)
         pairs = sg.previous_row(blocks, axis, ["n", "total"], "prev_")
@@ -64,7 +61,7 @@ def isotonic_blocks(rows: DataFrame, slice_rows: int = SEGMENT_ROWS) -> DataFram
             return blocks
         shift = slice_rows // 2 - shift
         numbered = sg.row_numbers(blocks, axis, "__k")
-        blocks = _pool_groups(numbered, F.floor((F.col("__k") + shift) / slice_rows))
+        blocks = _pool_groups(numbered, keys, F.floor((F.col("__k") + shift) / slice_rows))
 
 
 def isotonic_nonincreasing(
@@ -126,18 +123,18 @@ def _fit(values: np.ndarray) -> np.ndarray:
 
 
 def _project_long(rows: DataFrame, axis: Axis, columns: dict[str, str], slice_rows: int) -> DataFrame:
-    out = rows
-    for value, name in columns.items():
-        blocks = isotonic_blocks(
-            rows.select("unit_id", F.col("__position").alias("position"), F.col(value).alias("value")), slice_rows
-        )
-        marks = blocks.select(
-            "unit_id", F.col("first").alias("__position"), (F.col("total") / F.col("n")).alias("__level")
-        )
-        joined = out.join(marks, ["unit_id", "__position"], "left")
-        by_position = Axis(axis.unit, ("__position",), float(slice_rows))
-        out = sg.last_known(joined, by_position, "__level", name).drop("__level")
-    return out
+    """All value columns as series of one block run; each block level is then carried forward."""
+    series = F.array(*[F.struct(F.lit(n).alias("series"), F.col(v).alias("value")) for v, n in columns.items()])
+    stacked = rows.select("unit_id", F.col("__position").alias("position"), F.explode(series).alias("s"))
+    blocks = isotonic_blocks(stacked.select("unit_id", "position", "s.*"), ["unit_id", "series"], slice_rows)
+    level = F.col("total") / F.col("n")
+    marks = blocks.groupBy("unit_id", F.col("first").alias("__position")).agg(
+        *[F.max(F.when(F.col("series") == n, level)).alias(f"__level_{n}") for n in columns.values()]
+    )
+    joined = rows.join(marks, ["unit_id", "__position"], "left")
+    by_position = Axis(axis.unit, ("__position",), float(slice_rows))
+    out = sg.last_known_columns(joined, by_position, {f"__level_{n}": n for n in columns.values()})
+    return out.drop(*[f"__level_{n}" for n in columns.values()])
 
 
 def projected(df: DataFrame, axis: Axis, value: str, name: str, mode: str, slice_rows: int = SEGMENT_ROWS) -> DataFrame:

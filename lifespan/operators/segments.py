@@ -235,20 +235,26 @@ def running_sum(df: DataFrame, axis: Axis, value: str, name: str) -> DataFrame:
 
 def last_known(df: DataFrame, axis: Axis, value: str, name: str) -> DataFrame:
     """Latest non-null value at or before each row."""
+    return last_known_columns(df, axis, {value: name})
+
+
+def last_known_columns(df: DataFrame, axis: Axis, columns: dict[str, str]) -> DataFrame:
+    """``last_known`` for several columns at once; maps a value column to its new name."""
+    local = {n: F.last(v, ignorenulls=True).over(axis.running()) for v, n in columns.items()}
     if axis.whole_units:
-        return df.withColumn(name, F.last(value, ignorenulls=True).over(axis.running()))
+        return df.select(*columns_of(df), *[c.alias(n) for n, c in local.items()])
     rows = axis.segmented(df)
-    present = F.col(value).isNotNull()
-    carried = (
-        rows.groupBy(*axis.keys)
-        .agg(F.max_by(F.col(value), F.when(present, axis.position())).alias(_CARRY))
-        .select(*axis.keys, F.last(_CARRY, ignorenulls=True).over(axis.before()).alias(_CARRY))
+    position = F.col(axis.order[0]) if len(axis.order) == 1 else axis.position()
+    latest = [
+        F.max_by(F.col(v), F.when(F.col(v).isNotNull(), position)).alias(f"{_CARRY}_{n}") for v, n in columns.items()
+    ]
+    carried = rows.groupBy(*axis.keys).agg(*latest).select(
+        *axis.keys,
+        *[F.last(f"{_CARRY}_{n}", ignorenulls=True).over(axis.before()).alias(f"{_CARRY}_{n}") for n in columns.values()],
     )
-    return (
-        rows.withColumn(_ROW, F.last(value, ignorenulls=True).over(axis.running()))
-        .join(carried, axis.keys)
-        .withColumn(name, F.coalesce(_ROW, _CARRY))
-        .drop(SEG, _ROW, _CARRY)
+    seen = rows.select("*", *[c.alias(f"{_ROW}_{n}") for n, c in local.items()]).join(carried, axis.keys)
+    return seen.select(
+        *columns_of(df), *[F.coalesce(f"{_ROW}_{n}", f"{_CARRY}_{n}").alias(n) for n in columns.values()]
     )
 
 

@@ -366,16 +366,15 @@ OFFSETS = dict(zip(MEMBER_SEEDS, (-0.10, 0.0, 0.15)))
 
 def closed_form(windowed):
     """Three deterministic members from window statistics, standing in for fitted models."""
-    first = F.get("stats", F.lit(0))
-    second = F.get("stats", F.lit(1))
-    logistic = lambda x: 1.0 / (1.0 + F.exp(-x))
-    ratio = F.col("age") / F.col("age_scale")
-    out = windowed
+    members = {}
     for seed, offset in OFFSETS.items():
-        direct = logistic(F.lit(offset) + 0.8 * first["slope"] - 0.3 * second["tail_mean"] + 0.2 * first["std"])
-        tree = 1.1 - ratio + F.lit(offset) * first["mean"] + 0.1 * (second["q75"] - second["q25"])
-        out = out.withColumn(f"direct_{seed}", direct).withColumn(f"tree_{seed}", tree)
-    return out
+        members[f"direct_{seed}"] = F.expr(
+            f"1d / (1d + exp(-(({offset}d) + 0.8d * stats[0].slope - 0.3d * stats[1].tail_mean + 0.2d * stats[0].std)))"
+        )
+        members[f"tree_{seed}"] = F.expr(
+            f"1.1d - age / age_scale + ({offset}d) * stats[0].mean + 0.1d * (stats[1].q75 - stats[1].q25)"
+        )
+    return windowed.withColumns(members)
 
 
 def flagship_steps(spark, base, axis):
