@@ -280,7 +280,7 @@ def rank_by_hash(df: DataFrame, group: list[str], digest: str, name: str, total:
     The digest is uniform, so its leading digits cut even one huge group into
     equal parts.
     """
-    part = F.conv(F.substring(digest, 1, 3), 16, 10).cast("long")
+    part = F.conv(F.substring(digest, 1, 4), 16, 10).cast("long")
     axis = Axis(tuple(group), ("__slot", digest), 1.0)
     ranked = row_numbers(df.withColumn("__slot", part), axis, name, total)
     return ranked.drop("__slot")

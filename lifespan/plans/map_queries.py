@@ -12,7 +12,7 @@ from lifespan.operators import evaluate, joins, mapping
 from lifespan.operators import segments as sg
 from lifespan.plans.registry import READINGS, STEPS, SUPPLIER_DAYS, query
 from lifespan.plans.window_queries import rounded
-from lifespan.sources import delimited, files, storage
+from lifespan.sources import delimited, files, records, storage
 from lifespan.sources import tables as tb
 
 
@@ -525,3 +525,61 @@ def run_ledger(spark, base):
     ledger.append_run(path, receipt)
     back = spark.read.parquet(path)
     return back.groupBy("component").agg(F.sum("n_windows").alias("n_windows"), F.count(F.lit(1)).alias("runs"))
+
+
+def _folder(spark, kind):
+    return f"{storage.checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+@query("s01_read_delimited", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_acctbal AS VARCHAR) AS c_acctbal FROM customer")
+def read_delimited(spark, base):
+    path = _folder(spark, "delimited")
+    c = tb.read(spark, base, "customer").select("c_custkey", "c_name", "c_acctbal")
+    c.write.option("header", True).option("sep", ";").csv(path)
+    return delimited.read_delimited(spark, path).drop("source")
+
+
+@query(
+    "s02_read_json_records",
+    """SELECT 'event_id' AS "column", count(*) AS n, CAST(sum(event_id) AS DOUBLE) AS total FROM events UNION ALL SELECT 'user_id', count(*), CAST(sum(user_id) AS DOUBLE) FROM events""",
+)
+def read_json_records(spark, base):
+    path = _folder(spark, "records")
+    e = tb.read(spark, base, "events")
+    e.select(F.to_json(F.struct("event_id", "user_id")).alias("value")).write.text(path)
+    cells, _ = records.read_json_records(spark, path)
+    return cells.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text").cast("bigint")).cast("double").alias("total"))
+
+
+@query("s04_ingest_many_files", """SELECT l_suppkey AS unit_id, count(*) AS n_rows, round(sum(l_quantity), 4) AS quantity FROM lineitem GROUP BY 1""")
+def ingest_many_files(spark, base):
+    path = _folder(spark, "many")
+    li = tb.read(spark, base, "lineitem").select("l_suppkey", "l_linenumber", "l_quantity")
+    li.repartition(16, "l_suppkey").write.partitionBy("l_suppkey").parquet(path)
+    cells = files.decode_files(files.read_small_files(spark, f"{path}/*/*.parquet"))
+    unit = F.regexp_extract("source", r"l_suppkey=(\d+)", 1).cast("bigint")
+    quantity = F.col("column") == "l_quantity"
+    return cells.groupBy(unit.alias("unit_id")).agg(
+        F.count_if(quantity).alias("n_rows"), F.round(F.sum(F.when(quantity, F.col("text").cast("double"))), 4).alias("quantity")
+    )
+
+
+@query("s05_expand_archives", """SELECT 'c_custkey' AS "column", count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS total FROM customer UNION ALL SELECT 'c_nationkey', count(*), CAST(sum(c_nationkey) AS BIGINT) FROM customer""")
+def expand_archives(spark, base):
+    path = _folder(spark, "archives")
+    c = tb.read(spark, base, "customer").select("c_custkey", "c_nationkey")
+    c.repartition(4, "c_nationkey").write.option("header", True).option("compression", "gzip").csv(path)
+    parts, _ = files.expand_archives(files.read_small_files(spark, f"{path}/*.csv.gz"))
+    cells = files.decode_files(parts)
+    return cells.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text").cast("bigint")).alias("total"))
+
+
+@query("s11_read_commented_csv", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")
+def read_commented_csv(spark, base):
+    path = _folder(spark, "commented")
+    s = tb.read(spark, base, "supplier")
+    line = F.concat_ws(",", F.col("s_suppkey").cast("string"), "s_name")
+    text = F.concat(F.lit("# exported\ns_suppkey,s_name\n# row\n"), line)
+    s.repartition(100).select(text.alias("value")).write.text(path)
+    # every part file has the comment, the header and one row; the header occurs once per file
+    return delimited.read_commented_csv(spark, path).where("s_suppkey <> 's_suppkey'")

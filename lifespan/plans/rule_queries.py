@@ -100,6 +100,18 @@ def unit_mismatch(spark, base):
     return rules.unit_mismatch(declared_units(spark, base), expected, aliases)
 
 
+@query(
+    "v04_ambiguous_wide_unit",
+    "SELECT c_name AS unit_id, 'ambiguous_wide_unit' AS code, '2' AS details FROM customer WHERE c_mktsegment = 'BUILDING'",
+)
+def ambiguous_wide_unit(spark, base):
+    c = tb.read(spark, base, "customer")
+    n = F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("unit"), F.lit("channel"), F.lit("channel"))).otherwise(
+        F.array(F.lit("unit"), F.lit("channel"))
+    )
+    return rules.ambiguous_wide_unit(c.select(F.col("c_name").alias("source"), F.explode(n).alias("semantic")))
+
+
 @query(
     "v05_incomplete_steps",
     "WITH" + READINGS + """,

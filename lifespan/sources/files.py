@@ -77,22 +77,57 @@ def oversized_files(spark: SparkSession, glob: str, max_bytes: int = fv.MAX_FILE
 
 
 def decode_files(files: DataFrame) -> DataFrame:
-    """Cells ``(source, row_number, column, text, code)`` of Feather, Arrow, Parquet and NumPy files.
+    """Cells ``(source, row_number, column, text, code)`` of small files, read by their suffix.
+
+    Delimited text and JSON arrays, Feather, Arrow, Parquet, and NumPy tables.
 
     One Arrow batch of bounded files at a time; a file that cannot be read gives one row
     with a code instead.
     """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import csv
         import io
+        import json
 
         import numpy as np
         import pyarrow as pa
         import pyarrow.feather as feather
         import pyarrow.parquet as parquet
 
+        def text_of(content):
+            for encoding in ("utf-8-sig", "gb18030"):
+                try:
+                    return content.decode(encoding)
+                except UnicodeDecodeError:
+                    continue
+            raise ValueError("unsupported_encoding")
+
+        def delimited_columns(lower, content):
+            lines = text_of(content)
+            head = lines.split("\n", 1)[0]
+            tab = lower.endswith((".tsv", ".tab"))
+            sep = "\t" if tab else max((",", "\t", ";"), key=head.count)
+            rows = [r for r in csv.reader(io.StringIO(lines, newline=""), delimiter=sep) if r]
+            header = [h.strip() for h in rows[0]]
+            if len(set(header)) != len(header):
+                raise ValueError("ambiguous_header")
+            if any(len(r) != len(header) for r in rows):
+                raise ValueError("row_column_count")
+            return {h: [r[i] for r in rows[1:]] for i, h in enumerate(header)}
+
+        def json_columns(content):
+            items = json.loads(text_of(content))
+            header = items[0] if isinstance(items[0], list) else list(items[0])
+            rows = items[1:] if isinstance(items[0], list) else [[r[h] for h in header] for r in items]
+            return {h: [r[i] for r in rows] for i, h in enumerate(header)}
+
         def columns_of(name, content):
             lower = name.lower()
+            if lower.endswith((".csv", ".tsv", ".txt", ".tab", ".dat")):
+                return delimited_columns(lower, content)
+            if lower.endswith(".json"):
+                return json_columns(content)
             if lower.endswith((".parquet", ".pq")):
                 return parquet.read_table(io.BytesIO(content)).to_pydict()
             if lower.endswith((".feather", ".arrow", ".ipc")):
@@ -116,9 +151,12 @@ def decode_files(files: DataFrame) -> DataFrame:
             try:
                 columns = columns_of(name, content)
             except ValueError as exc:
-                return None, "unsafe_object_array" if "allow_pickle" in str(exc) else "invalid_binary_file"
+                known = ("ambiguous_header", "row_column_count", "unsupported_encoding")
+                if str(exc) in known:
+                    return None, str(exc)
+                return None, "unsafe_object_array" if "allow_pickle" in str(exc) else "invalid_file"
             except Exception:
-                return None, "invalid_binary_file"
+                return None, "invalid_file"
             sizes = set()
             for values in columns.values():
                 if getattr(values, "ndim", 1) != 1:

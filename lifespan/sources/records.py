@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lifespan.operators import segments as sg
+
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """One raw object per non-empty line with its file."""
@@ -54,6 +56,7 @@ def read_json_records(spark: SparkSession, path: str, lines: bool = True) -> tup
 
 
 def record_cells(records: DataFrame) -> DataFrame:
-    sound = records.join(record_issues(records), "source", "left_anti")
+    # one file may hold most records, so the rows of a file are spread over the join
+    sound = sg.spread_join(records, record_issues(records).select("source"), ["source"], "left_anti")
     cells = F.from_json("record", "map<string,string>")
     return sound.select("source", F.xxhash64("record").alias("record_id"), F.explode(cells).alias("column", "text"))

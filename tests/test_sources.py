@@ -67,22 +67,25 @@ def binaries(tmp_path):
     np.save(tmp_path / "o.npy", np.array([{}, {}], dtype=object))
     np.savez(tmp_path / "len.npz", cycle=np.arange(3), value=np.arange(2))
     np.savez(tmp_path / "dim.npz", cycle=np.zeros((2, 2)), value=np.arange(2))
+    (tmp_path / "g.csv").write_bytes("cycle;value\n0;1.5\n1;2.5\n".encode("gb18030"))
+    (tmp_path / "w.tsv").write_text("cycle\tvalue\n0\n")
+    (tmp_path / "j.json").write_text('[{"cycle": 0, "value": 1.5}, {"value": 2.5, "cycle": 1}]')
     return tmp_path
 
 
 def test_binary_tables(spark, binaries):
     small = files.read_small_files(spark, str(binaries / "*"))
     out = files.decode_files(small).withColumn("file", F.element_at(F.split("source", "/"), -1)).toPandas()
-    for name in ("a.feather", "s.arrow", "b.npz", "c.npy"):
+    for name in ("a.feather", "s.arrow", "b.npz", "c.npy", "g.csv", "j.json"):
         cells = out[(out.file == name)].sort_values(["column", "row_number"])
         assert cells["text"].tolist() == ["0", "1", "1.5", "2.5"], name
     codes = out.dropna(subset=["code"]).set_index("file")["code"].to_dict()
-    assert codes == {"o.npy": "unsafe_object_array", "len.npz": "binary_column_length", "dim.npz": "binary_layout_required"}
+    assert codes == {"o.npy": "unsafe_object_array", "len.npz": "binary_column_length", "dim.npz": "binary_layout_required", "w.tsv": "row_column_count"}
 
 
 def test_size_limit(spark, binaries):
     assert files.read_small_files(spark, str(binaries / "*"), max_bytes=10).count() == 0
-    assert files.oversized_files(spark, str(binaries / "*"), max_bytes=10).count() == 7
+    assert files.oversized_files(spark, str(binaries / "*"), max_bytes=10).count() == 10
 
 
 def test_archives(spark, tmp_path):
