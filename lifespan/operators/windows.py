@@ -20,15 +20,18 @@ def sliding_windows(
     step: str = "step",
     carry: list[str] = (),
     block: int = SEGMENT_ROWS,
+    axis: Axis | None = None,
 ) -> DataFrame:
     """Windows of ``length`` steps starting every ``stride`` steps of a unit.
 
     ``step`` counts 0, 1, 2, … inside the unit.  ``x`` holds the window row by row,
     ``carry`` columns are those of the last step.  A unit is cut into blocks that
-    overlap by ``length - 1`` steps, so no task holds a whole unit.
+    overlap by ``length - 1`` steps, so no task holds a whole unit.  Where ``axis`` says
+    that all units are small the blocks are left out, and steps that already lie
+    together by unit are not moved again.
     """
-    rows = sg.with_halo(steps, step, block, before=length - 1)
-    frame = Window.partitionBy(unit, sg.BLOCK).orderBy(step).rowsBetween(-(length - 1), 0)
+    rows, keys = _framed(steps, unit, step, block, axis, before=length - 1)
+    frame = Window.partitionBy(*keys).orderBy(step).rowsBetween(-(length - 1), 0)
     start = F.col(step) - (length - 1)
     return (
         rows.withColumn("x", F.collect_list(F.array(*[F.col(c).cast("double") for c in channels])).over(frame))
@@ -37,6 +40,12 @@ def sliding_windows(
     )
 
 
+def _framed(steps, unit, step, block, axis, before=0, after=0):
+    if axis is not None and axis.whole_units:
+        return steps.withColumn("__halo", F.lit(False)), [unit]
+    return sg.with_halo(steps, step, block, before, after), [unit, sg.BLOCK]
+
+
 def window_count(rows: Column, length: int, stride: int) -> Column:
     """How many windows a unit of ``rows`` steps gives."""
     return F.when(rows >= length, F.floor((rows - length) / stride) + 1).otherwise(F.lit(0))
@@ -49,11 +58,11 @@ def drop_negative(windows: DataFrame, label: str) -> DataFrame:
 
 def trend_targets(
     steps: DataFrame, label: str, horizon: int, unit: str = "unit_id", step: str = "step",
-    block: int = SEGMENT_ROWS,
+    block: int = SEGMENT_ROWS, axis: Axis | None = None,
 ) -> DataFrame:
     """The next ``horizon`` labels of each step and a mask of those that exist."""
-    rows = sg.with_halo(steps, step, block, after=horizon)
-    frame = Window.partitionBy(unit, sg.BLOCK).orderBy(step).rowsBetween(1, horizon)
+    rows, keys = _framed(steps, unit, step, block, axis, after=horizon)
+    frame = Window.partitionBy(*keys).orderBy(step).rowsBetween(1, horizon)
     ahead = F.collect_list(F.struct(F.col(label).alias("v"))).over(frame)
     return (
         rows.withColumn("__ahead", ahead)

@@ -19,7 +19,8 @@ RMAX = 20.0
 
 def labelled_windows(spark, base):
     """Feature windows of the event steps with their split and a capped label."""
-    w = scoring.window_features(flagship_steps(spark, base, tb.event_axis(spark, base)), PLAN, ["t", "age", "age_scale", "y_true"])
+    axis = tb.event_axis(spark, base)
+    w = scoring.window_features(flagship_steps(spark, base, axis), PLAN, ["t", "age", "age_scale", "y_true"], axis)
     out = w.select(
         "unit_id", "window_index", F.col("t").alias("t_end"), "age", "age_scale", F.least("y_true", F.lit(RMAX)).alias("y_true"),
         features.statistic_major().alias("tree_x"),

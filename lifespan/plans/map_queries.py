@@ -30,7 +30,7 @@ def normalise_name(spark, base):
     return mapping.normalise_names(loose, "label", "header_key", strict=True).select("p_partkey", "name_key", "header_key")
 
 
-@query("p01_compatibility_form")
+@query("p01_compatibility_form", "SELECT conv_id, turn, 'AB' || role AS plain FROM conversations")
 def compatibility_form(spark, base):
     d = tb.read(spark, base, "conversations").select("conv_id", "turn", "role", F.concat(F.lit("ＡＢ"), "role").alias("wide"))
     return mapping.with_nfkc(d, "wide", "plain").select("conv_id", "turn", "plain")

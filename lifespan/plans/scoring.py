@@ -84,8 +84,8 @@ def score(windowed: DataFrame, plan: ScoringPlan, predictor: Predictor, axis: Ax
     return ensemble.finish(blended, axis, plan.rmax, plan.aggregate, plan.postprocess)
 
 
-def window_features(steps: DataFrame, plan: ScoringPlan, carry: list[str]) -> DataFrame:
-    w = windows.sliding_windows(steps, list(plan.channels), plan.length, plan.stride, carry=carry)
+def window_features(steps: DataFrame, plan: ScoringPlan, carry: list[str], axis: Axis = WINDOW_AXIS) -> DataFrame:
+    w = windows.sliding_windows(steps, list(plan.channels), plan.length, plan.stride, carry=carry, axis=axis)
     return features.with_statistics(w, plan.length, len(plan.channels)).drop("x")
 
 
@@ -94,5 +94,5 @@ def predict_batch(
 ) -> DataFrame:
     """Normalised steps ``(unit_id, step, t, age, [y_true], channels…)`` in, predictions out."""
     carry = [c for c in ("t", "age", "age_scale", "y_true") if c in steps.columns]
-    windowed = window_features(steps, plan, carry)
+    windowed = window_features(steps, plan, carry, axis)
     return score(windowed.withColumnRenamed("t", "t_end"), plan, predictor, axis)

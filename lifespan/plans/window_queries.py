@@ -28,9 +28,10 @@ def training(df):
 
 
 def step_windows(spark, base):
-    steps = tb.event_steps(spark, base)
+    axis = tb.event_axis(spark, base)
+    steps = tb.event_steps(spark, base, axis)
     w = windows.sliding_windows(
-        steps, list(tb.STEP_CHANNELS), LENGTH, STRIDE, carry=["t", "n_steps"]
+        steps, list(tb.STEP_CHANNELS), LENGTH, STRIDE, carry=["t", "n_steps"], axis=axis
     )
     return w.withColumnRenamed("t", "t_end")
 
@@ -515,7 +516,8 @@ SELECT unit_id, step, lead(value, 1) OVER w AS y1, lead(value, 2) OVER w AS y2,
        lead(value, 3) OVER w IS NOT NULL AS m3 FROM st WINDOW w AS (PARTITION BY unit_id ORDER BY step)""",
 )
 def trend_targets(spark, base):
-    out = windows.trend_targets(tb.event_steps(spark, base), "value", 3)
+    axis = tb.event_axis(spark, base)
+    out = windows.trend_targets(tb.event_steps(spark, base, axis), "value", 3, axis=axis)
     y = lambda i: F.get("y_trend", F.lit(i)).alias(f"y{i + 1}")
     return out.select("unit_id", "step", y(0), y(1), y(2), F.get("mask", F.lit(2)).alias("m3"))
 
