@@ -419,7 +419,8 @@ def running_min(spark, base):
 ix AS (SELECT unit_id, n_steps, CASE WHEN i = 24 THEN n_steps - 1 ELSE CAST(floor(i * ((n_steps - 1) / 24.0)) AS BIGINT) END AS step
        FROM (SELECT DISTINCT unit_id, n_steps FROM st WHERE n_steps > 25) CROSS JOIN range(25) r(i))
 SELECT st.unit_id, st.step, st.t, st.value, st.n_steps AS source_points, CAST(25 AS BIGINT) AS display_points
-FROM st JOIN (SELECT DISTINCT unit_id, step FROM ix) USING (unit_id, step)""",
+FROM st JOIN (SELECT DISTINCT unit_id, step FROM ix) USING (unit_id, step)
+UNION ALL SELECT unit_id, step, t, value, n_steps, n_steps FROM st WHERE n_steps <= 25""",
 )
 def downsample_even(spark, base):
     axis = tb.event_axis(spark, base)
