@@ -50,10 +50,9 @@ def lookup(df: DataFrame, code: str, table: DataFrame, table_code: str, value: s
 
 
 def keep_last(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """One row per key, the last in ``order``; hash partials, no window over a hot key."""
-    rest = [c for c in rows.columns if c not in key]
-    packed = rows.groupBy(*key).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("__r"))
-    return packed.select(*key, *[F.col(f"__r.{c}").alias(c) for c in rest])
+    """One row per key, the last in ``order`` (unique inside a key); no window over a hot key."""
+    rest = [c for c in rows.columns if c not in (*key, order)]
+    return rows.groupBy(*key).agg(F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in rest])
 
 
 def join_references(

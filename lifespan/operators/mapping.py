@@ -66,11 +66,9 @@ def file_headers(spark: SparkSession, file_columns: DataFrame) -> DataFrame:
 
 def detect_layout(headers: DataFrame, max_columns: int = fv.MAX_COLUMNS) -> DataFrame:
     """Per source: long, wide, or the code of the first fault of its header row."""
-    named = headers.groupBy("source", "header_key").agg(
+    # the meanings follow from the key, so they can be grouping columns
+    named = headers.groupBy("source", "header_key", "semantic", "metadata", "channel").agg(
         F.count(F.lit(1)).alias("same_key"),
-        F.first("semantic").alias("semantic"),
-        F.first("metadata").alias("metadata"),
-        F.first("channel").alias("channel"),
         F.max(F.coalesce(F.trim("column"), F.lit("")) == "").alias("blank"),
     )
     is_meta = F.col("semantic").isNull() & F.col("metadata").isNotNull()

@@ -12,7 +12,8 @@ from lifespan.operators import segments as sg
 
 def risk_state(rows: DataFrame, margin: float, order: list[str], p10: str = "p10") -> DataFrame:
     """State of a unit by its first finite lower bound."""
-    known = F.when(finite(F.col(p10)), F.struct(*order))
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    known = F.when(finite(F.col(p10)), position)
     first = rows.groupBy("unit_id").agg(F.min_by(F.col(p10), known).alias("first_p10"))
     return first.withColumn(
         "risk",

@@ -62,7 +62,7 @@ class Axis:
         small = F.broadcast(ids) if n_large <= BROADCAST_ROWS else ids
         mine = df.select(*unit, order[0]).join(small, list(unit), "left_semi")
         density = (
-            mine.groupBy(*unit, F.floor(F.col(order[0]) / F.lit(float(grain))).alias("__g"))
+            mine.groupBy(*unit, F.floor(F.col(order[0]) / F.lit(float(grain))).alias("__grain"))
             .agg(F.count(F.lit(1)).alias("n"))
             .groupBy(*unit)
             .agg(F.max("n").alias("n"))
@@ -277,13 +277,12 @@ def with_halo(
 def rank_by_hash(df: DataFrame, group: list[str], digest: str, name: str, total: str) -> DataFrame:
     """Zero-based rank and size inside a group, ordered by a hex digest.
 
-    The digest is uniform, so its leading digits cut even one huge group into
-    equal parts.
+    Small groups are ranked whole.  The digest is uniform, so its leading digits cut a
+    huge group into equal parts.
     """
-    part = F.conv(F.substring(digest, 1, 4), 16, 10).cast("long")
-    axis = Axis(tuple(group), ("__slot", digest), 1.0)
-    ranked = row_numbers(df.withColumn("__slot", part), axis, name, total)
-    return ranked.drop("__slot")
+    slots = df.withColumn("__slot", F.conv(F.substring(digest, 1, 4), 16, 10).cast("long"))
+    axis = Axis.fit(slots, tuple(group), ("__slot", digest), grain=1.0)
+    return row_numbers(slots, axis, name, total).drop("__slot")
 
 
 def ranked_values(counted: DataFrame, group: list[str], value: str, slots: int = 64) -> DataFrame:

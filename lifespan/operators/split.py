@@ -22,20 +22,23 @@ def cell_tail_split(
     At least one and at most all but one unit of a cell; a single unit trains.  Units
     on the hold-out list are set aside before the cells are counted.
     """
+    held = F.lit(False)
     marked = units
     if holdout is not None:
-        listed = holdout.select("unit_id").distinct().withColumn("__held", F.lit(True))
+        listed = holdout.select("unit_id").distinct().withColumn("__listed", F.lit(True))
         marked = units.join(listed, "unit_id", "left")
-        held = marked.where("__held").select("unit_id", cell, F.lit("holdout").alias("split"))
-        marked = marked.where(F.col("__held").isNull()).drop("__held")
-    ranked = sg.rank_by_hash(marked.withColumn("__d", digest(seed)), [cell], "__d", "__r", "__n")
+        held = F.col("__listed").isNotNull()
+    marked = marked.select("unit_id", cell, held.alias("__held"), digest(seed).alias("__d"))
+    ranked = sg.rank_by_hash(marked, [cell, "__held"], "__d", "__r", "__n")
     n_val = F.when(F.col("__n") == 1, 0).otherwise(
         F.greatest(F.lit(1), F.least(F.floor(F.col("__n") * F.lit(val_frac)), F.col("__n") - 1))
     )
-    out = ranked.select(
-        "unit_id", cell, F.when(F.col("__r") >= F.col("__n") - n_val, "val").otherwise("train").alias("split")
+    part = (
+        F.when(F.col("__held"), "holdout")
+        .when(F.col("__r") >= F.col("__n") - n_val, "val")
+        .otherwise("train")
     )
-    return out.unionByName(held) if holdout is not None else out
+    return ranked.select("unit_id", cell, part.alias("split"))
 
 
 def split_differences(computed: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -59,8 +59,8 @@ def isotonic_query(spark, base):
 # -- joins -----------------------------------------------------------------------
 @query(
     "j01_reference_predictions",
-    """WITH r1 AS (SELECT l_orderkey AS unit_id, l_linenumber AS window_id, arg_max(l_quantity, (l_extendedprice, l_quantity)) AS y FROM lineitem GROUP BY 1, 2),
-r2 AS (SELECT l_orderkey AS unit_id, l_linenumber AS window_id, arg_max(l_quantity, (l_discount, l_quantity)) AS y FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
+    """WITH r1 AS (SELECT l_orderkey AS unit_id, l_linenumber AS window_id, arg_max(l_quantity, l_extendedprice) AS y FROM lineitem GROUP BY 1, 2),
+r2 AS (SELECT l_orderkey AS unit_id, l_linenumber AS window_id, arg_max(l_quantity, l_extendedprice) AS y FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
 SELECT o_orderkey AS unit_id, CAST(o_custkey % 7 + 1 AS INTEGER) AS window_id, o_totalprice AS p50, r1.y AS reference_1, r2.y AS reference_2
 FROM orders LEFT JOIN r1 ON r1.unit_id = o_orderkey AND r1.window_id = o_custkey % 7 + 1 LEFT JOIN r2 ON r2.unit_id = o_orderkey AND r2.window_id = o_custkey % 7 + 1""",
 )
@@ -70,7 +70,7 @@ def reference_predictions(spark, base):
     )
     li = tb.read(spark, base, "lineitem").withColumnsRenamed({"l_orderkey": "unit_id", "l_linenumber": "window_id"})
     first = li.select("unit_id", "window_id", F.col("l_extendedprice").alias("o"), F.col("l_quantity").alias("y_pred"))
-    second = li.where("l_returnflag = 'R'").select("unit_id", "window_id", F.col("l_discount").alias("o"), F.col("l_quantity").alias("y_pred"))
+    second = li.where("l_returnflag = 'R'").select("unit_id", "window_id", F.col("l_extendedprice").alias("o"), F.col("l_quantity").alias("y_pred"))
     return joins.join_references(o, first, second, "o")
 
 
