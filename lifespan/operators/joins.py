@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +13,16 @@ from lifespan.operators import segments as sg
 from lifespan.operators.segments import Axis
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+
 def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A fixed lookup table, small by construction and therefore broadcast."""
+    """A fixed lookup table: part of the plan, small by construction and therefore broadcast."""
     if len(rows) > BROADCAST_ROWS:
         raise ValueError("a lookup of this size must be read as a table")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    fields = [part.split() for part in schema.split(",")]
+    arrays = [pa.array([r[i] for r in rows], _ARROW[kind]) for i, (_, kind) in enumerate(fields)]
+    return F.broadcast(spark.createDataFrame(pa.table(arrays, names=[name for name, _ in fields])))
 
 
 def alias_table(spark: SparkSession, groups: dict[str, tuple[str, ...]], key) -> DataFrame:
@@ -26,7 +32,7 @@ def alias_table(spark: SparkSession, groups: dict[str, tuple[str, ...]], key) ->
         for name, spellings in groups.items()
         for spelling in (name, *spellings)
     ]
-    raw = spark.createDataFrame(pairs, "spelling string, canonical string")
+    raw = dimension(spark, pairs, "spelling string, canonical string")
     return F.broadcast(raw.select(key(F.col("spelling")).alias("alias"), "canonical").distinct())
 
 

@@ -285,14 +285,19 @@ def rank_by_hash(df: DataFrame, group: list[str], digest: str, name: str, total:
     return row_numbers(slots, axis, name, total).drop("__slot")
 
 
-def ranked_values(counted: DataFrame, group: list[str], value: str, slots: int = 64) -> DataFrame:
+def ranked_values(
+    counted: DataFrame, group: list[str], value: str, slots: int = 64, whole: bool = False
+) -> DataFrame:
     """Row positions covered by the distinct values of each group.
 
-    ``counted`` has one row per group and value with its row count ``n``.  Cut points near the
+    ``counted`` has one row per group and value with its row count ``n``; ``whole`` says that
+    every group has few of them.  Otherwise cut points near the
     quantiles split the distinct values of a group into even slots; the ranks
     inside a slot are exact, whatever the cut points are.  Groups are the features
     of a contract (a few hundred), so their cut points may be shipped.
     """
+    if whole:
+        return _with_ranks(running_sum(counted, Axis(tuple(group), (value,)), "n", "upto"))
     fractions = [i / slots for i in range(1, slots)]
     cuts = counted.groupBy(*group).agg(
         F.percentile_approx(value, fractions, 10 * slots).alias("__cuts")
@@ -301,10 +306,13 @@ def ranked_values(counted: DataFrame, group: list[str], value: str, slots: int =
         "__slot", F.size(F.filter("__cuts", lambda c: c < F.col(value)))
     )
     axis = Axis(tuple(group), ("__slot", value), 1.0)
-    summed = running_sum(placed.drop("__cuts"), axis, "n", "upto")
-    return summed.withColumn("rank_from", F.col("upto") - F.col("n")).withColumn(
-        "rank_to", F.col("upto") - 1
-    ).drop("upto", "__slot")
+    return _with_ranks(running_sum(placed.drop("__cuts"), axis, "n", "upto")).drop("__slot")
+
+
+def _with_ranks(summed):
+    return summed.withColumns(
+        {"rank_from": F.col("upto") - F.col("n"), "rank_to": F.col("upto") - 1}
+    ).drop("upto")
 
 
 def all_of(conditions: list[Column]) -> Column:

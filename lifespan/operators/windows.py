@@ -143,10 +143,14 @@ def quantile_edges(features: DataFrame, bins: int, group: str = "feature", value
     the contract, are shipped to the executors.
     """
     counted = cut_lineage(features.groupBy(group, value).agg(F.count(F.lit(1)).alias("n")))
-    sizes = F.broadcast(counted.groupBy(group).agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("n_rows")))
-    sized = counted.join(sizes, group)
+    sizes = cut_lineage(counted.groupBy(group).agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("n_rows")))
+    largest = sizes.agg(F.max("n_distinct")).first()[0] or 0
+    sized = counted.join(F.broadcast(sizes), group)
     few = _few(sized.where(F.col("n_distinct") <= bins), group, value)
-    ranked = sg.ranked_values(sized.where(F.col("n_distinct") > bins).drop("n_distinct"), [group], value)
+    if largest <= bins:
+        return few
+    many = sized.where(F.col("n_distinct") > bins).drop("n_distinct")
+    ranked = sg.ranked_values(many, [group], value, whole=largest <= SEGMENT_ROWS)
     return few.unionByName(_many(ranked, group, value, bins))
 
 

@@ -87,10 +87,11 @@ def test_fitted_axis_cuts_only_large_units(spark, skewed):
     assert Axis.fit(df, ("unit_id",), ("t", "row"), grain=1.0, rows=1000).whole_units
 
 
-def test_ranked_values_cover_all_positions(spark, skewed):
+@pytest.mark.parametrize("whole", [False, True])
+def test_ranked_values_cover_all_positions(spark, skewed, whole):
     pdf = skewed.assign(value=(skewed["value"] * 4).round())
     counted = as_spark(spark, pdf).groupBy("unit_id", "value").agg(F.count(F.lit(1)).alias("n"))
-    out = sg.ranked_values(counted, ["unit_id"], "value", slots=8).toPandas()
+    out = sg.ranked_values(counted, ["unit_id"], "value", slots=8, whole=whole).toPandas()
     for unit, rows in out.groupby("unit_id"):
         values = np.sort(pdf.loc[pdf.unit_id == unit, "value"].to_numpy())
         for r in rows.itertuples():
@@ -98,7 +99,9 @@ def test_ranked_values_cover_all_positions(spark, skewed):
         assert rows["n"].sum() == len(values)
 
 
-def test_quantile_edges_match_order_statistics(spark):
+@pytest.mark.parametrize("rows", [10, 100_000])
+def test_quantile_edges_match_order_statistics(spark, rows, monkeypatch):
+    monkeypatch.setattr(windows, "SEGMENT_ROWS", rows)
     rng = np.random.default_rng(5)
     values = rng.normal(size=400).round(2)
     pdf = pd.DataFrame({"feature": 0, "value": values})
