@@ -13,8 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     # time stamps are compared in UTC
     "spark.sql.session.timeZone": "UTC",
-    # many small rows per Arrow batch are fine, whole files are not
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # rows that hold whole files are sent to Python in batches of bounded size
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lifespan.fixed_values import MAX_FILE_BYTES
 from lifespan.operators import segments as sg
+from lifespan.sources.files import read_small_files
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -14,10 +16,14 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.trim("value") != "").withColumnRenamed("value", "record")
 
 
-def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """Elements of the top-level array of each file; a header row makes objects of the rest."""
-    whole = spark.read.text(path, wholetext=True).withColumn("source", F.input_file_name())
-    items = whole.select("source", F.from_json("value", "array<string>").alias("items"))
+def read_json_arrays(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Elements of the top-level array of each file; a header row makes objects of the rest.
+
+    A file is one value here, so files over the size limit are left to ``oversized_files``.
+    """
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\\ufeff", "")
+    small = read_small_files(spark, path, max_bytes)
+    items = small.select("source", F.from_json(text, "array<string>").alias("items"))
     first = F.get("items", F.lit(0))
     header = F.from_json(first, "array<string>")
     from_rows = F.transform(
