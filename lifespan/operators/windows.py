@@ -30,6 +30,8 @@ def sliding_windows(
     that all units are small the blocks are left out, and steps that already lie
     together by unit are not moved again.
     """
+    if stride > 1:
+        return _chunked_windows(steps, channels, length, stride, unit, step, list(carry), block, axis)
     rows, keys = _framed(steps, unit, step, block, axis, before=length - 1)
     frame = Window.partitionBy(*keys).orderBy(step).rowsBetween(-(length - 1), 0)
     start = F.col(step) - (length - 1)
@@ -40,6 +42,33 @@ def sliding_windows(
     )
 
 
+def _chunked_windows(steps, channels, length, stride, unit, step, carry, block, axis):
+    """Windows as runs of whole chunks of ``stride`` steps.
+
+    A frame over single steps would build a list at every step and drop most of them.
+    """
+    n_chunks = -(-length // stride)
+    block = max(1, block // stride) * stride
+    rows, keys = _framed(steps, unit, step, block, axis, before=(n_chunks - 1) * stride)
+    row = F.struct(step, F.array(*[F.col(c).cast("double") for c in channels]).alias("__x"), *carry)
+    chunks = rows.groupBy(*keys, F.floor(F.col(step) / stride).alias("__chunk"), "__halo").agg(
+        F.sort_array(F.collect_list(row)).alias("__rows")
+    )
+    frame = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(-(n_chunks - 1), 0)
+    reach = length - (n_chunks - 1) * stride
+    runs = chunks.withColumn("__run", F.flatten(F.collect_list("__rows").over(frame))).where(
+        ~F.col("__halo") & (F.col("__chunk") >= n_chunks - 1) & (F.size("__rows") >= reach)
+    )
+    last = F.get("__run", F.lit(length - 1))
+    return runs.select(
+        unit,
+        (F.col("__chunk") - (n_chunks - 1)).alias("window_index"),
+        last[step].alias("end_step"),
+        *[last[c].alias(c) for c in carry],
+        F.slice(F.col("__run.__x"), 1, length).alias("x"),
+    )
+
+
 def _framed(steps, unit, step, block, axis, before=0, after=0):
     if axis is not None and axis.whole_units:
         return steps.withColumn("__halo", F.lit(False)), [unit]

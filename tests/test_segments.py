@@ -154,14 +154,19 @@ def test_isotonic_in_slices(spark, shape, slice_rows):
         assert (np.diff(rows["level"]) <= 1e-12).all()
 
 
-def test_windows_across_blocks(spark):
+@pytest.mark.parametrize("length,stride", [(10, 3), (12, 4), (5, 1), (3, 7), (10, 10)])
+@pytest.mark.parametrize("axis", [None, Axis(("unit_id",), ("step",))])
+def test_windows_across_blocks(spark, length, stride, axis):
     n = 103
-    pdf = pd.DataFrame({"unit_id": "u", "step": range(n), "v": np.arange(n) * 1.5})
-    out = windows.sliding_windows(spark.createDataFrame(pdf), ["v"], 10, 3, block=11).toPandas().sort_values("window_index")
-    assert out["window_index"].tolist() == list(range((n - 10) // 3 + 1))
+    pdf = pd.DataFrame({"unit_id": "u", "step": range(n), "v": np.arange(n) * 1.5, "t": np.arange(n) * 10.0})
+    df = spark.createDataFrame(pdf).repartition(5)
+    out = windows.sliding_windows(df, ["v"], length, stride, carry=["t"], block=23, axis=axis)
+    out = out.toPandas().sort_values("window_index")
+    assert out["window_index"].tolist() == list(range((n - length) // stride + 1))
     for r in out.itertuples():
-        start = r.window_index * 3
-        assert [row[0] for row in r.x] == [1.5 * (start + i) for i in range(10)]
+        start = r.window_index * stride
+        assert [row[0] for row in r.x] == [1.5 * (start + i) for i in range(length)]
+        assert r.end_step == start + length - 1 and r.t == 10.0 * r.end_step
 
 
 @pytest.mark.parametrize("rows,length,stride,count", [(60, 60, 5, 1), (90, 60, 5, 7), (30, 30, 1, 1), (40, 30, 1, 11), (59, 60, 5, 0)])
