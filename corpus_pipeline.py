@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lifespan.llm import mixing, pieces, quality, queries
+from lifespan.llm import mixing, quality, queries, secret_scan, superminhash
 from lifespan.llm.common import documents, new_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,18 +21,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    return superminhash.keep_one(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are cut out of the texts; every document stays."""
+    return secret_scan.redact(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, or left out, so that sources come to their targets."""
     return mixing.emit(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text (binary, little-endian 32-bit), with the number of ids."""
+    """Number of ids of every text, and digests of its ids and of what they decode to."""
     return queries.piece_digests(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("secret_scans", secret_scans),
     ("mix_sources", mix_sources),
     ("sentencepiece", sentencepiece),
 ]

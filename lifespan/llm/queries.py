@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifespan.llm import mixing, pieces, quality, records
+from lifespan.llm import centroids, fm_index, mincut, mixing, multiset, pieces, quality, records, secret_scan, superminhash
 from lifespan.llm.common import documents, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,86 @@ def piece_digests(docs: DataFrame) -> DataFrame:
 @query("op8_sentencepiece")
 def op8_sentencepiece(spark: SparkSession, base: str) -> DataFrame:
     return piece_digests(documents(spark, base))
+
+
+@query("op2_secret_ownership")
+def op2_secret_ownership(spark: SparkSession, base: str) -> DataFrame:
+    found = secret_scan.spans(documents(spark, base))
+    plain = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE))
+    n_of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        n_of(0).alias("n_assign"),
+        n_of(1).alias("n_access"),
+        n_of(2).alias("n_hex"),
+        F.sha2(secret_scan.joined(plain), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["copied"])).cast("long").alias("n_copied"),
+        F.size(F.filter("spans", lambda s: ~s["copied"])).cast("long").alias("n_live"),
+    )
+
+
+@query("op6_language_centroids")
+def op6_language_centroids(spark: SparkSession, base: str) -> DataFrame:
+    docs = documents(spark, base)
+    out = centroids.held_out(F.col("doc_id"))
+    model = centroids.fit(docs.filter(~out))
+    return centroids.predict(docs.select("doc_id", out.alias("held_out"), "text"), model)
+
+
+@query("op5_min_cut_text")
+def op5_min_cut_text(spark: SparkSession, base: str) -> DataFrame:
+    pages = spark.read.parquet(f"{base}/pages.parquet").select("page_id", "url", "html")
+    return mincut.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op9_multiset_fingerprint")
+def op9_multiset_fingerprint(spark: SparkSession, base: str) -> DataFrame:
+    found = multiset.with_next(documents(spark, base))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.base64("fingerprint").alias("fingerprint"),
+        F.base64("edited_fingerprint").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+NEAR_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '{_GAP}'), lambda x: x <> '') AS ws FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g AS a JOIN g AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM c JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+r(x, y) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, w.doc_id = m.c AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM r GROUP BY 1) AS m USING (doc_id)"""
+
+
+@query("op7_superminhash", NEAR_SQL)
+def op7_superminhash(spark: SparkSession, base: str) -> DataFrame:
+    return superminhash.near_duplicates(documents(spark, base)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+REPEATS_SQL = rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS.replace("(t,", "(coalesce(text, ''),")} AS ws FROM documents),
+g AS MATERIALIZED (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM g),
+c AS MATERIALIZED (SELECT DISTINCT doc_id, i + o AS p FROM m, range(13) AS x(o) WHERE least < doc_id),
+p AS (SELECT doc_id, ws[k] AS word, k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM w)),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n
+      FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.p = p.k WHERE c.p IS NULL GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)"""
+
+
+@query("op10_fm_index", REPEATS_SQL)
+def op10_fm_index(spark: SparkSession, base: str) -> DataFrame:
+    done = fm_index.remove_repeats(documents(spark, base))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
