@@ -1,7 +1,8 @@
 """Repeated passages by FM-indexes over shards of the corpus.
 
 A window of 13 words can only equal one with the same anchor, the run of five words in it with the
-least hash.  Anchors that stand in one document alone are left out, and the windows of the others
+least hash.  Documents whose whole sequence of words stands in a smaller document need no search: all of it
+goes.  Of the others, anchors that stand in one document alone are left out, and the windows of the others
 go to shards by anchor, as segments: runs of windows with one anchor.  Each shard builds an
 FM-index of its distinct segments (Burrows-Wheeler transform in a wavelet matrix of packed bits)
 and streams them through it.  Backward search gives the matching statistics of every window; where
@@ -18,12 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lifespan.llm.common import partitions_of, pieces_of
-from lifespan.llm.words import Words, hashes, runs, split
+from lifespan.llm.common import cut, partitions_of, pieces_of
+from lifespan.llm.words import Words, hashes, mixed, runs, split
 
 _U = np.uint64
 
@@ -315,24 +316,60 @@ def _shard(key: list[int], text: list[bytes], least: list[int], count: list[int]
 
 
 def _occurrences(joined: DataFrame, common: np.ndarray, settings: Settings) -> DataFrame:
-    """``key, segment, doc_id, first``: where the segments stand."""
+    """``key, segment, doc_id, mark, first``: where the segments stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", SLICE):
-            ids = batch.column("doc_id").to_pylist()
+            ids, marks = batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist()
             rows = list(_segments(batch.column("text"), batch.column("anchors").to_pylist(), common, settings))
             if rows:
                 row, key, first, text = zip(*rows)
                 columns = [
-                    pa.array(key, pa.int64()), pa.array(text, pa.binary()), pa.array([ids[r] for r in row], pa.int64()), pa.array(first, pa.int32())
+                    pa.array(key, pa.int64()),
+                    pa.array(text, pa.binary()),
+                    pa.array([ids[r] for r in row], pa.int64()),
+                    pa.array([marks[r] for r in row], pa.int32()),
+                    pa.array(first, pa.int32()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "segment", "doc_id", "first"])
+                yield pa.RecordBatch.from_arrays(columns, ["key", "segment", "doc_id", "mark", "first"])
 
-    return joined.mapInArrow(run, "key long, segment binary, doc_id long, first int")
+    return joined.mapInArrow(run, "key long, segment binary, doc_id long, mark int, first int")
+
+
+def _mark() -> Column:
+    """Upper half of the hash of the text."""
+    return F.shiftright(F.xxhash64("text"), 32).cast("int")
+
+
+def copies(docs: DataFrame, settings: Settings = PRODUCTION) -> DataFrame:
+    """``doc_id, print`` (hash of the text), ``n_words`` of the rows whose whole sequence of words,
+    a window or longer, also makes up a document with a smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, "text", SLICE):
+            w = split(batch.column("text"))
+            counts = w.counts()
+            long = np.flatnonzero(counts >= settings.window)
+            if not len(long):
+                continue
+            value, begin = hashes(w), w.bounds()
+            # each word with its place: sums of them tell sequences apart, in two lanes
+            place = (np.arange(len(value)) - np.repeat(begin[:-1], counts)).astype(np.uint64)
+            chosen = np.isin(w.row, long)
+            first = np.concatenate([[0], np.cumsum(counts[long])[:-1]])
+            lanes = [np.add.reduceat(mixed(value + mixed(place + _U(k)))[chosen], first).view(np.int64) for k in (1, 1 << 40)]
+            columns = [batch.column("doc_id").take(pa.array(long)), batch.column("print").take(pa.array(long)), pa.array(counts[long])]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, lanes)], ["doc_id", "print", "n_words", "a", "b"])
+
+    schema = "doc_id long, print long, n_words long, a long, b long"
+    digests = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(run, schema))
+    first = digests.groupBy("a", "b", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    return cut(digests.join(first, ["a", "b", "n_words"]).filter("first < doc_id").select("doc_id", "print", "n_words"))
 
 
 def repeated_windows(docs: DataFrame, settings: Settings = PRODUCTION) -> DataFrame:
-    """``doc_id, starts``: first words of the windows that also start in a smaller document.
+    """``doc_id, starts``: first words of the windows that also start in a smaller document, each
+    behind 32 bits of the hash of the text.
 
     ``docs`` has ``doc_id`` (long, not null) and ``text``.  Documents without such windows have no row.
     """
@@ -340,12 +377,15 @@ def repeated_windows(docs: DataFrame, settings: Settings = PRODUCTION) -> DataFr
     shared = _shared(_pairs(docs, settings, common))
     lists = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     # texts meet the lists, and later what is removed, by one exchange on their id
-    joined = docs.join(lists.withColumnRenamed("doc_id", "owner"), F.col("doc_id") == F.col("owner"), "left").select("doc_id", "text", "anchors")
+    joined = docs.join(lists.withColumnRenamed("doc_id", "owner"), F.col("doc_id") == F.col("owner"), "left")
+    joined = joined.select("doc_id", "text", "anchors", _mark().alias("mark"))
     searched = _searched(_distinct(joined, common, settings), settings)
     digest = F.xxhash64("segment")
     found = searched.select("key", digest.alias("digest"), "least")
-    places = _occurrences(joined, common, settings).select("key", digest.alias("digest"), "doc_id", "first")
-    starts = F.filter(F.transform("least", lambda d, i: F.when(d < F.col("doc_id"), F.col("first") + i)), lambda x: x.isNotNull())
+    places = _occurrences(joined, common, settings).select("key", digest.alias("digest"), "doc_id", "mark", "first")
+    # ids may be repeated: 32 bits of the text's hash say which row a start belongs to
+    start = lambda i: F.shiftleft(F.col("mark").cast("long"), 32).bitwiseOR((F.col("first") + i).cast("long"))
+    starts = F.filter(F.transform("least", lambda d, i: F.when(d < F.col("doc_id"), start(i))), lambda x: x.isNotNull())
     removed = places.join(found, ["key", "digest"]).select("doc_id", starts.alias("starts")).filter(F.size("starts") > 0)
     return removed.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
@@ -359,14 +399,19 @@ def remove_repeats(docs: DataFrame, settings: Settings = PRODUCTION, key: str =
     """
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = chosen.filter(F.col("doc_id").isNotNull())
-    found = repeated_windows(named, settings)
-    matched = named.join(found.withColumnRenamed("doc_id", "owner"), F.col("doc_id") == F.col("owner"), "left").select("doc_id", "text", "starts")
-    nameless = chosen.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
+    whole = copies(named, settings)
+    prints = whole.groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("print").alias("prints"))
+    # ids may be repeated, so a copy is known by its id and its text
+    own = named.join(prints, F.col("doc_id") == F.col("copy_id"), "left")
+    own = own.filter(F.col("prints").isNull() | ~F.array_contains("prints", F.xxhash64("text"))).select("doc_id", "text")
+    found = repeated_windows(own, settings)
+    matched = own.join(found.withColumnRenamed("doc_id", "owner"), F.col("doc_id") == F.col("owner"), "left").select("doc_id", "text", "starts", _mark().alias("mark"))
+    nameless = chosen.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<long>").alias("starts"), F.lit(0).alias("mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
             n_words, n_removed, kept = [], [], []
-            for t, s in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
+            for t, s, m in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "mark"))):
                 words = (t or "").encode().split()
                 n_words.append(len(words))
                 gone = 0
@@ -374,6 +419,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = PRODUCTION, key: str =
                     # +1 where a window begins and -1 behind it: positive sums are covered
                     change = np.zeros(len(words) + 1, dtype=np.int64)
                     at = np.unique(np.array(s))
+                    at = at[at >> 32 == m] & 0xFFFFFFFF
                     change[at] += 1
                     change[at + settings.window] -= 1
                     covered = np.cumsum(change[:-1]) > 0
@@ -385,4 +431,5 @@ def remove_repeats(docs: DataFrame, settings: Settings = PRODUCTION, key: str =
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
 
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string")
-    return matched.unionByName(nameless).mapInArrow(run, schema)
+    gone = whole.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"))
+    return matched.unionByName(nameless).mapInArrow(run, schema).unionByName(gone)
