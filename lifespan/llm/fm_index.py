@@ -183,11 +183,13 @@ def _pairs(docs: DataFrame, settings: Settings, skip: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, doc_id long")
 
 
-def common_anchors(docs: DataFrame, settings: Settings) -> np.ndarray:
-    """Anchors found in many documents of a bounded sample, sorted."""
+def common_anchors(docs: DataFrame, whole: DataFrame, settings: Settings) -> np.ndarray:
+    """Anchors found in many documents of a bounded sample, copies (``whole``) left out, sorted."""
     n = docs.count()
     share = min(1.0, settings.sample / max(1, n))
+    # drawn by id before anything else, so that only the sample is moved
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = drawn.withColumn("print", F.xxhash64("text")).join(whole, ["doc_id", "print"], "left_anti")
     counted = _pairs(drawn, settings, np.zeros(0, dtype=np.int64)).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     return np.sort(np.array([r["anchor"] for r in counted.filter(F.col("n") >= settings.common).collect()], dtype=np.int64))
 
@@ -367,13 +369,13 @@ def copies(docs: DataFrame, settings: Settings = PRODUCTION) -> DataFrame:
     return cut(digests.join(first, ["a", "b", "n_words"]).filter("first < doc_id").select("doc_id", "print", "n_words"))
 
 
-def repeated_windows(docs: DataFrame, settings: Settings = PRODUCTION) -> DataFrame:
+def repeated_windows(docs: DataFrame, common: np.ndarray, settings: Settings = PRODUCTION) -> DataFrame:
     """``doc_id, starts``: first words of the windows that also start in a smaller document, each
     behind 32 bits of the hash of the text.
 
-    ``docs`` has ``doc_id`` (long, not null) and ``text``.  Documents without such windows have no row.
+    ``docs`` has ``doc_id`` (long, not null) and ``text``; ``common`` are anchors known to be repeated.
+    Documents without such windows have no row.
     """
-    common = common_anchors(docs, settings)
     shared = _shared(_pairs(docs, settings, common))
     lists = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     # texts meet the lists, and later what is removed, by one exchange on their id
@@ -404,7 +406,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = PRODUCTION, key: str =
     # ids may be repeated, so a copy is known by its id and its text
     own = named.join(prints, F.col("doc_id") == F.col("copy_id"), "left")
     own = own.filter(F.col("prints").isNull() | ~F.array_contains("prints", F.xxhash64("text"))).select("doc_id", "text")
-    found = repeated_windows(own, settings)
+    found = repeated_windows(own, common_anchors(named, whole, settings), settings)
     matched = own.join(found.withColumnRenamed("doc_id", "owner"), F.col("doc_id") == F.col("owner"), "left").select("doc_id", "text", "starts", _mark().alias("mark"))
     nameless = chosen.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<long>").alias("starts"), F.lit(0).alias("mark"))
 
