@@ -156,7 +156,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, tex
     """
     order = [F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first()]
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ranged = chosen.repartitionByRange(partitions_of(docs.sparkSession), *order).sortWithinPartitions(*order)
+    # cut by key alone: the cuts come from a sample that reaches the driver
+    ranged = chosen.repartitionByRange(partitions_of(docs.sparkSession), order[0]).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
