@@ -399,7 +399,9 @@ def remove_repeats(docs: DataFrame, settings: Settings = PRODUCTION, key: str =
     smaller id; windows are judged on the input.  Null text has no words; rows without an id are
     neither larger nor smaller than others, and repeated ids are not smaller than each other.
     """
-    chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # columns that are right as they are keep their identity: only then is the exchange of texts shared
+    fits = key == "doc_id" and text == "text" and docs.schema[key].dataType == T.LongType()
+    chosen = docs.select("doc_id", "text") if fits else docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = chosen.filter(F.col("doc_id").isNotNull())
     whole = copies(named, settings)
     prints = whole.groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("print").alias("prints"))
