@@ -41,15 +41,20 @@ def search_key(column: Column) -> Column:
 
 
 # -- values ----------------------------------------------------------------
+def _number(cell: Column) -> Column:
+    """Double of a trimmed cell; type suffixes and hexadecimal forms, which a cast takes, are no numbers."""
+    return F.when(~cell.rlike(r"(?i)^[+-]?0x|[0-9.][df]$"), cell.try_cast("double"))
+
+
 def parse_value(text: Column) -> Column:
     """Finite double of a cell, null when the cell is not one."""
-    return finite_or_null(F.trim(text).try_cast("double"))
+    return finite_or_null(_number(F.trim(text)))
 
 
 def value_issue(text: Column) -> Column:
     """Why a cell is not a finite number; null when it is one."""
     cell = F.trim(text)
-    number = cell.try_cast("double")
+    number = _number(cell)
     return (
         F.when(F.coalesce(cell, F.lit("")) == "", "empty_value")
         .when(cell.rlike(r"^[\[{]"), "nested_table_cell")

@@ -33,10 +33,11 @@ def members_wide(members: DataFrame, key: list[str], value: str = "y_norm") -> D
 
 
 def aggregate_members(mode: str, columns: list[str] | None = None) -> Column:
-    """Median or mean of the three members, or the first seed alone."""
+    """Median or mean of the three members (null if one is missing), or the first seed alone."""
     columns = columns or [f"m{s}" for s in MEMBER_SEEDS]
     if mode == "median3":
-        return F.get(F.sort_array(F.array(*columns)), F.lit(1))
+        whole = sg.all_of([F.col(c).isNotNull() for c in columns])
+        return F.when(whole, F.get(F.sort_array(F.array(*columns)), F.lit(len(columns) // 2)))
     if mode == "mean3":
         return sum((F.col(c) for c in columns[1:]), F.col(columns[0])) / len(columns)
     if mode == "seed17":

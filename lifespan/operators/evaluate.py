@@ -51,13 +51,13 @@ def seed_metric_summary(results: DataFrame, metric: str, key: str = "component")
     usable = (
         adopted
         & (F.lower(F.trim("split")) == "val")
-        & seed_text.rlike(r"^\d{1,12}$")
+        & seed_text.rlike(r"^\d{1,12}(\.0+)?$")
         & sc.finite(value)
         & value.between(0.0, 1.0)
     )
     per_seed = (
         results.where(usable)
-        .groupBy(key, seed_text.cast("bigint").alias("seed"))
+        .groupBy(key, seed_text.cast("double").cast("bigint").alias("seed"))
         .agg(F.min(value).alias("low"), F.max(value).alias("high"))
     )
     summary = per_seed.groupBy(key).agg(

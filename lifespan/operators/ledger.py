@@ -57,7 +57,7 @@ def inside_root(path: Column, aliases: dict[str, str] = {}) -> tuple[Column, Col
     relative = path
     for prefix, target in aliases.items():
         relative = F.when(
-            path.startswith(prefix), F.concat(F.lit(target), F.substring(path, len(prefix) + 1, 1_000_000))
+            path.startswith(prefix), F.concat(F.lit(target), path.substr(F.lit(len(prefix) + 1), F.length(path)))
         ).otherwise(relative)
     escapes = (
         relative.startswith("/")

@@ -26,7 +26,8 @@ def risk_state(rows: DataFrame, margin: float, order: list[str], p10: str = "p10
 
 def maintenance_slack(rows: DataFrame, margin: float, p10: str = "p10") -> DataFrame:
     """Time left before the maintenance margin, null without a lower bound."""
-    return rows.withColumn("slack", F.greatest(F.lit(0.0), finite_or_null(F.col(p10)) - margin))
+    bound = finite_or_null(F.col(p10))
+    return rows.withColumn("slack", F.when(bound.isNotNull(), F.greatest(F.lit(0.0), bound - margin)))
 
 
 def replay_state(telemetry: DataFrame, predictions: DataFrame, estimates: list[str]) -> DataFrame:

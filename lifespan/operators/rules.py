@@ -126,12 +126,13 @@ def index_axis(steps: DataFrame, axis: Axis, index: str = "t") -> DataFrame:
         F.explode(
             F.filter(
                 F.array(
-                    F.struct(F.lit("index_not_integer").alias("code"), F.col("not_integer").cast("double").alias("detail")),
-                    F.struct(F.lit("index_negative").alias("code"), F.col("negative").cast("double").alias("detail")),
-                    F.struct(F.lit("index_origin").alias("code"), F.when(F.col("first") == 0, 0.0).otherwise(F.col("first")).alias("detail")),
-                    F.struct(F.lit("time_gap").alias("code"), F.coalesce("missing_from", F.lit(0.0)).alias("detail")),
+                    F.struct(F.lit("index_not_integer").alias("code"), F.when(F.col("not_integer") > 0, F.col("not_integer").cast("double")).alias("detail")),
+                    F.struct(F.lit("index_negative").alias("code"), F.when(F.col("negative") > 0, F.col("negative").cast("double")).alias("detail")),
+                    F.struct(F.lit("index_origin").alias("code"), F.when(F.col("first") != 0, F.col("first")).alias("detail")),
+                    F.struct(F.lit("time_gap").alias("code"), F.col("missing_from").alias("detail")),
                 ),
-                lambda s: s["detail"] != 0,
+                # no fault, no detail; the first missing index may be 0
+                lambda s: s["detail"].isNotNull(),
             )
         ).alias("v"),
     ).select("unit_id", "v.code", "v.detail")
@@ -155,12 +156,16 @@ def bin_axis(bins: DataFrame, axis: Axis, required: list[str]) -> DataFrame:
     )
 
 
-def history_length(steps: DataFrame, length: int, stride: int, max_windows: int = fv.MAX_WINDOWS_PER_FILE) -> DataFrame:
+def history_length(steps: DataFrame, length: int, stride: int, max_windows: int | None = None) -> DataFrame:
+    """Units with too short a history; with ``max_windows`` also those with more windows than that."""
     from lifespan.operators.windows import window_count
 
     n = steps.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n"))
+    short = _found(n.where(F.col("n") < length), "insufficient_history", F.col("n"))
+    if max_windows is None:
+        return short
     return collect(
-        _found(n.where(F.col("n") < length), "insufficient_history", F.col("n")),
+        short,
         _found(
             n.where(window_count(F.col("n"), length, stride) > max_windows),
             "too_many_windows",
@@ -320,10 +325,9 @@ def exact_attributes(names: Column, expected=fv.LABEL_ATTRIBUTES) -> Column:
 
 
 # -- splits, contracts, predictions ------------------------------------------
-def split_overlap(train: DataFrame, val: DataFrame, show: int = 3) -> DataFrame:
-    """Units found on both sides: how many, and the first few."""
-    both = train.select("unit_id").distinct().join(val.select("unit_id").distinct(), "unit_id", "left_semi")
-    return both.orderBy("unit_id").limit(show)
+def split_overlap(train: DataFrame, val: DataFrame) -> DataFrame:
+    """Units found on both sides, all of them."""
+    return train.select("unit_id").distinct().join(val.select("unit_id").distinct(), "unit_id", "left_semi")
 
 
 def holdout_leaks(used: DataFrame, holdout: DataFrame) -> DataFrame:

@@ -354,8 +354,7 @@ def exact_attributes(spark, base):
 
 @query(
     "v17_split_overlap",
-    """SELECT DISTINCT user_id AS unit_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE value > 300) AND user_id IN (SELECT user_id FROM events WHERE value < 0.1)
-       ORDER BY 1 LIMIT 3""",
+    """SELECT DISTINCT user_id AS unit_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE value > 300) AND user_id IN (SELECT user_id FROM events WHERE value < 0.1)""",
 )
 def split_overlap(spark, base):
     ev = tb.event_readings(spark, base)

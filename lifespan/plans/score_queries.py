@@ -285,7 +285,7 @@ def age_blend(spark, base):
 
 @query(
     "m06_aggregate_members",
-    "WITH" + PRED_SQL + """ SELECT unit_id, step, round(quantile_cont(v, 0.5), 6) AS median3, round(avg(v), 6) AS mean3, round(max(v) FILTER (seed = 17), 6) AS seed17,
+    "WITH" + PRED_SQL + """ SELECT unit_id, step, round(CASE WHEN count(v) = 3 THEN quantile_cont(v, 0.5) END, 6) AS median3, round(CASE WHEN count(v) = 3 THEN avg(v) END, 6) AS mean3, round(max(v) FILTER (seed = 17), 6) AS seed17,
  count(*) = 3 AS complete FROM (SELECT unit_id, step, unnest([17, 42, 73]) AS seed, unnest([m17, m42, m73]) AS v FROM pr) WHERE NOT (seed = 73 AND v > 1.5) GROUP BY 1, 2""",
 )
 def aggregate_members(spark, base):
@@ -294,13 +294,7 @@ def aggregate_members(spark, base):
         "seed", F.substring("name", 2, 2).cast("int")
     ).where("not (seed = 73 and y_norm > 1.5)")
     wide = ensemble.members_wide(long, ["unit_id", "step"])
-    values = F.array_compact(F.array("m17", "m42", "m73"))
-    n = F.size(values)
-    ordered = F.sort_array(values)
-    median = F.when(F.col("complete"), ensemble.aggregate_members("median3")).otherwise(
-        (F.get(ordered, F.lit(0)) + F.get(ordered, n - 1)) / 2
-    )
-    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
+    median, mean = (ensemble.aggregate_members(m) for m in ("median3", "mean3"))
     return wide.select(
         "unit_id", "step", F.round(median, 6).alias("median3"), F.round(mean, 6).alias("mean3"),
         F.round(ensemble.aggregate_members("seed17"), 6).alias("seed17"), "complete",
@@ -624,7 +618,7 @@ def risk_state(spark, base):
 )
 def maintenance_slack(spark, base):
     p = predictions(spark, base).withColumn("p10", F.when(F.col("m17") > -0.3, F.col("m17") * 20))
-    out = policy.maintenance_slack(p, 5.0).withColumn("slack", F.when(F.col("p10").isNotNull(), F.col("slack")))
+    out = policy.maintenance_slack(p, 5.0)
     return rounded(out.select("unit_id", "step", "slack"), ["slack"])
 
 

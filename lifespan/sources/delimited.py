@@ -53,8 +53,9 @@ def read_commented_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_prediction_csv(spark: SparkSession, path: str, route: str) -> DataFrame:
-    schema = ", ".join(f"{c} string" for c in PREDICTION_COLUMNS)
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
+    """Columns are found by their header, in any order; one that is missing is null."""
+    found = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    raw = found.select(*(F.col(f"`{c}`") if c in found.columns else F.lit(None).cast("string").alias(c) for c in PREDICTION_COLUMNS))
     return classify_predictions(raw, route)
 
 
