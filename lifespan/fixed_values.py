@@ -30,9 +30,12 @@ BATTERY_REQUIRED = ("bat.capacity_ah", "bat.temp_mean_c", "bat.charge_time_s")
 WHEEL_BASE_CHANNELS = ("rw.speed_rpm", "rw.motor_current_a", "rw.bearing_temp_c")
 WHEEL_STATISTICS = ("mean", "std", "min", "max")
 WHEEL_FRICTION = "rw.fric_tc.mean"
-WHEEL_CHANNELS = tuple(
-    f"{base}.{stat}" for base in WHEEL_BASE_CHANNELS for stat in WHEEL_STATISTICS
-) + (WHEEL_FRICTION,)
+WHEEL_CHANNELS = (
+    "rw.speed_rpm.mean", "rw.speed_rpm.std", "rw.speed_rpm.min", "rw.speed_rpm.max",
+    "rw.motor_current_a.mean", "rw.motor_current_a.std", "rw.motor_current_a.min", "rw.motor_current_a.max",
+    "rw.bearing_temp_c.mean", "rw.bearing_temp_c.std", "rw.bearing_temp_c.min", "rw.bearing_temp_c.max",
+    "rw.fric_tc.mean",
+)
 
 CHANNEL_ALIASES = {
     "bat.capacity_ah": ("capacity_ah", "battery_capacity_ah", "电池容量ah", "容量ah", "容量(Ah)"),
@@ -58,6 +61,19 @@ CHANNEL_UNITS = {
     "rw.speed_rpm": "rpm",
     "rw.motor_current_a": "A",
     "rw.bearing_temp_c": "degC",
+    "rw.speed_rpm.mean": "rpm",
+    "rw.speed_rpm.std": "rpm",
+    "rw.speed_rpm.min": "rpm",
+    "rw.speed_rpm.max": "rpm",
+    "rw.motor_current_a.mean": "A",
+    "rw.motor_current_a.std": "A",
+    "rw.motor_current_a.min": "A",
+    "rw.motor_current_a.max": "A",
+    "rw.bearing_temp_c.mean": "degC",
+    "rw.bearing_temp_c.std": "degC",
+    "rw.bearing_temp_c.min": "degC",
+    "rw.bearing_temp_c.max": "degC",
+    "rw.fric_tc.mean": "A",
 }
 UNIT_ALIASES = {
     "Ah": ("ah", "ampere-hour", "ampere hour", "ampere-hours", "安时", "安培小时"),

@@ -70,13 +70,25 @@ def round_half_even(column: Column, digits: int = 4) -> Column:
 
 # -- time ------------------------------------------------------------------
 _ISO_ZONE = r"(?i)(z|[+-]\d{2}:?\d{2})$"
+_ISO = r"(?i)^\d{4}-\d{2}-\d{2}([ t]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(z|[+-]\d{2}:?\d{2})?)?$"
+
+
+def _stamp(cell: Column) -> Column:
+    """Timestamp of an ISO date or date and time; one without a zone is in UTC, whatever the session's is."""
+    timed = F.regexp_replace(cell, "^(.{16})(?!:)", "$1:00")
+    zoned = (
+        F.when(F.length(cell) == 10, F.concat(cell, F.lit("T00:00:00Z")))
+        .when(cell.rlike(_ISO_ZONE), timed)
+        .otherwise(F.concat(timed, F.lit("Z")))
+    )
+    return F.when(cell.rlike(_ISO), F.try_to_timestamp(F.upper(zoned)))
 
 
 def time_kind(text: Column) -> Column:
     """numeric, iso_aware, iso_naive, or null when the text is no time."""
     cell = F.trim(text)
-    number = cell.try_cast("double")
-    stamp = F.try_to_timestamp(cell)
+    number = _number(cell)
+    stamp = _stamp(cell)
     return (
         F.when(number.isNotNull(), F.when(finite(number), "numeric"))
         .when(stamp.isNull(), None)
@@ -88,8 +100,8 @@ def time_kind(text: Column) -> Column:
 def time_order(text: Column) -> Column:
     """Position on the time axis: the number itself, or seconds since 1970 (UTC)."""
     cell = F.trim(text)
-    number = finite_or_null(cell.try_cast("double"))
-    stamp = F.unix_micros(F.try_to_timestamp(cell)) / F.lit(1e6)
+    number = finite_or_null(_number(cell))
+    stamp = F.unix_micros(_stamp(cell)) / F.lit(1e6)
     return F.coalesce(F.when(number == 0, 0.0).otherwise(number), stamp)
 
 
@@ -198,7 +210,7 @@ def note_pairs(column: Column, keys) -> Column:
     return F.map_from_entries(
         F.filter(
             F.transform(wanted, lambda e, i: F.struct(e["key"], F.when(
-                ~F.exists(F.slice(wanted, i + 2, 1_000_000), lambda later: later["key"] == e["key"]),
+                ~F.exists(F.slice(wanted, i + 2, F.size(wanted)), lambda later: later["key"] == e["key"]),
                 e["value"],
             ).alias("value"))),
             lambda e: e["value"].isNotNull(),

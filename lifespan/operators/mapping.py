@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lifespan import fixed_values as fv
 from lifespan.functions import scalar as sc
@@ -43,6 +44,12 @@ def channel_aliases(spark: SparkSession) -> DataFrame:
     return joins.alias_table(spark, fv.CHANNEL_ALIASES, sc.name_key)
 
 
+def resolve_channels(spark: SparkSession, df: DataFrame, label: str, out: str = "channel") -> DataFrame:
+    """Canonical channel of a label, compared in compatibility form, else ``unknown:<label>``."""
+    plain = with_nfkc(df, label, "__plain")
+    return joins.resolve_aliases(plain, label, sc.name_key(F.col("__plain")), channel_aliases(spark), out).drop("__plain")
+
+
 def file_headers(spark: SparkSession, file_columns: DataFrame) -> DataFrame:
     """Meaning of every column of many files: role, canonical name and time unit hint."""
     hints = joins.dimension(
@@ -50,9 +57,10 @@ def file_headers(spark: SparkSession, file_columns: DataFrame) -> DataFrame:
         [(alias, unit) for unit, group in fv.TIME_UNIT_HEADERS.items() for alias in group],
         "hint_alias string, time_hint string",
     )
-    keyed = file_columns.withColumn("header_key", sc.header_key(F.col("column"))).withColumn(
-        "channel_key", sc.name_key(F.col("column"))
-    )
+    plain = with_nfkc(file_columns, "column", "__plain")
+    keyed = plain.withColumns(
+        {"header_key": sc.header_key(F.col("__plain")), "channel_key": sc.name_key(F.col("__plain"))}
+    ).drop("__plain")
     head = header_aliases(spark).toDF("header_key", "semantic")
     meta = metadata_aliases(spark).toDF("header_key", "metadata")
     chan = channel_aliases(spark).toDF("channel_key", "channel")
@@ -150,9 +158,10 @@ def metadata_summary(rows: DataFrame, key: list[str], columns: list[str], shown:
 
 
 def first_values(rows: DataFrame, key: list[str], column: str, shown: int = 8) -> DataFrame:
-    """The first distinct values per key as rows; ranks use hashed slots, not one window."""
+    """The first distinct values per key as rows, in byte order of their text.
+
+    Every partition keeps ``shown`` rows of a key before the exchange, so a hot key is no burden.
+    """
     distinct = rows.select(*key, F.trim(column).alias("text")).where("text <> ''").distinct()
-    slot = F.ascii(F.substring("text", 1, 1)) * 256 + F.coalesce(F.ascii(F.substring("text", 2, 1)), F.lit(0))
-    axis = sg.Axis(tuple(key), ("__slot", "text"), 1.0)
-    ranked = sg.row_numbers(distinct.withColumn("__slot", slot), axis, "rank")
-    return ranked.where(F.col("rank") < shown).drop("__slot")
+    placed = distinct.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("text")))
+    return placed.where(F.col("rank") <= shown).withColumn("rank", (F.col("rank") - 1).cast("long"))

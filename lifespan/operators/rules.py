@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lifespan import fixed_values as fv
 from lifespan.functions import scalar as sc
+from lifespan.operators import mapping
 from lifespan.operators import segments as sg
 from lifespan.operators.segments import Axis
 
@@ -66,11 +67,10 @@ def unit_mismatch(declared: DataFrame, expected: DataFrame, aliases: DataFrame)
     ``expected (channel, expected_unit)`` and ``aliases (alias, canonical)`` come from the
     fixed unit tables.
     """
+    seen = declared.where("declared_unit is not null").select("unit_id", "channel", "declared_unit").distinct()
     named = (
-        declared.where("declared_unit is not null")
-        .withColumn("alias", sc.name_key(F.col("declared_unit")))
-        .groupBy("unit_id", "channel", "declared_unit", "alias")
-        .agg(F.count(F.lit(1)).alias("n"))
+        mapping.with_nfkc(seen, "declared_unit", "plain")
+        .withColumn("alias", sc.name_key(F.col("plain")))
         .join(F.broadcast(expected), "channel")
         .join(F.broadcast(aliases), "alias", "left")
     )

@@ -41,10 +41,10 @@ def compatibility_form(spark, base):
     """SELECT event_id, CASE event_type WHEN 'click' THEN 'bat.capacity_ah' WHEN 'error' THEN 'rw.speed_rpm' WHEN 'view' THEN 'bat.temp_mean_c' WHEN 'signup' THEN 'rw.motor_current_a' ELSE 'unknown:Purchase Total' END AS canonical FROM events""",
 )
 def resolve_aliases(spark, base):
-    spelled = {"click": "Battery Capacity_Ah", "error": "Wheel-Speed (RPM)", "view": "电池平均温度C", "signup": "电机电流(A)", "purchase": "Purchase Total"}
+    spelled = {"click": "ｂａｔｔｅｒｙ＿capacity_ah", "error": "Wheel-Speed (RPM)", "view": "电池温度（℃）", "signup": "电机电流(A)", "purchase": "Purchase Total"}
     names = F.create_map(*[F.lit(x) for kv in spelled.items() for x in kv])
     e = tb.read(spark, base, "events").select("event_id", names[F.col("event_type")].alias("label"))
-    return joins.resolve_aliases(e, "label", sc.name_key(F.col("label")), mapping.channel_aliases(spark)).select("event_id", "canonical")
+    return mapping.resolve_channels(spark, e, "label", "canonical").select("event_id", "canonical")
 
 
 _HEADER_SETS = {
@@ -547,31 +547,32 @@ def read_json_records(spark, base):
     path = _folder(spark, "records")
     e = tb.read(spark, base, "events")
     e.select(F.to_json(F.struct("event_id", "user_id")).alias("value")).write.text(path)
-    cells, _ = records.read_json_records(spark, path)
-    return cells.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text").cast("bigint")).cast("double").alias("total"))
+    cells, issues = records.read_json_records(spark, path)
+    read = cells.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text").cast("bigint")).cast("double").alias("total"))
+    return read.unionByName(issues.groupBy(F.col("code").alias("column")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("total")))
 
 
 @query("s04_ingest_many_files", """SELECT l_suppkey AS unit_id, count(*) AS n_rows, round(sum(l_quantity), 4) AS quantity FROM lineitem GROUP BY 1""")
 def ingest_many_files(spark, base):
     path = _folder(spark, "many")
     li = tb.read(spark, base, "lineitem").select("l_suppkey", "l_linenumber", "l_quantity")
-    li.repartition(16, "l_suppkey").write.partitionBy("l_suppkey").parquet(path)
-    cells = files.decode_files(files.read_small_files(spark, f"{path}/*/*.parquet"))
+    li.repartition("l_suppkey").write.partitionBy("l_suppkey").parquet(path)
+    found = files.read_columnar(spark, f"{path}/*/*.parquet")
     unit = F.regexp_extract("source", r"l_suppkey=(\d+)", 1).cast("bigint")
-    quantity = F.col("column") == "l_quantity"
-    return cells.groupBy(unit.alias("unit_id")).agg(
-        F.count_if(quantity).alias("n_rows"), F.round(F.sum(F.when(quantity, F.col("text").cast("double"))), 4).alias("quantity")
-    )
+    return found.groupBy(unit.alias("unit_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
 
 
 @query("s05_expand_archives", """SELECT 'c_custkey' AS "column", count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS total FROM customer UNION ALL SELECT 'c_nationkey', count(*), CAST(sum(c_nationkey) AS BIGINT) FROM customer""")
 def expand_archives(spark, base):
     path = _folder(spark, "archives")
     c = tb.read(spark, base, "customer").select("c_custkey", "c_nationkey")
-    c.repartition(4, "c_nationkey").write.option("header", True).option("compression", "gzip").csv(path)
-    parts, _ = files.expand_archives(files.read_small_files(spark, f"{path}/*.csv.gz"))
+    c.repartition("c_nationkey").write.option("header", True).option("compression", "gzip").csv(path)
+    parts, issues = files.expand_archives(files.read_small_files(spark, f"{path}/*.csv.gz"))
     cells = files.decode_files(parts)
-    return cells.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text").cast("bigint")).alias("total"))
+    issues = issues.unionByName(cells.where("code is not null").select("source", "code"))
+    read = cells.where("code is null").groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text").cast("bigint")).alias("total"))
+    # archives and members that could not be read come as rows of their own
+    return read.unionByName(issues.groupBy(F.col("code").alias("column")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("bigint").alias("total")))
 
 
 @query("s11_read_commented_csv", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")

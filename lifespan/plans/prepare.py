@@ -60,9 +60,7 @@ def parse_readings(spark: SparkSession, raw: DataFrame) -> DataFrame:
             sc.value_issue(F.col("value_text")),
         ).alias("issue"),
     )
-    from lifespan.operators import joins
-
-    return joins.resolve_aliases(typed, "label", sc.name_key(F.col("label")), mapping.channel_aliases(spark), "channel")
+    return mapping.resolve_channels(spark, typed, "label")
 
 
 def parse_violations(parsed: DataFrame) -> DataFrame:

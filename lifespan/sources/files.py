@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lifespan import fixed_values as fv
 from lifespan.functions.scalar import design_id
+from lifespan.operators import mapping
 from lifespan.operators import segments as sg
 
 _CELLS = "source string, row_number long, column string, text string, code string"
@@ -59,13 +60,15 @@ def discover_inputs(files: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
-def read_small_files(spark: SparkSession, glob: str, max_bytes: int = fv.MAX_FILE_BYTES) -> DataFrame:
-    """``(source, length, content)``; the size limit is pushed to the scan."""
-    return (
-        spark.read.format("binaryFile").load(glob)
-        .where(F.col("length") <= max_bytes)
-        .select(F.col("path").alias("source"), "length", "content")
-    )
+def read_small_files(spark: SparkSession, glob: str, max_bytes: int | None = None) -> DataFrame:
+    """``(source, length, content)`` of all files; a limit, where one is wanted, is pushed to the scan.
+
+    With a limit ``oversized_files`` names the files left out.
+    """
+    found = spark.read.format("binaryFile").load(glob)
+    if max_bytes is not None:
+        found = found.where(F.col("length") <= max_bytes)
+    return found.select(F.col("path").alias("source"), "length", "content")
 
 
 def oversized_files(spark: SparkSession, glob: str, max_bytes: int = fv.MAX_FILE_BYTES) -> DataFrame:
@@ -109,25 +112,50 @@ def decode_files(files: DataFrame) -> DataFrame:
             tab = lower.endswith((".tsv", ".tab"))
             sep = "\t" if tab else max((",", "\t", ";"), key=head.count)
             rows = [r for r in csv.reader(io.StringIO(lines, newline=""), delimiter=sep) if r]
-            header = [h.strip() for h in rows[0]]
+            return headed(rows)
+
+        def unique_keys(pairs):
+            record = dict(pairs)
+            if len(record) != len(pairs):
+                raise ValueError("duplicate_json_key")
+            return record
+
+        def json_columns(content, lines):
+            whole = text_of(content)
+            try:
+                parts = [x for x in whole.splitlines() if x.strip()] if lines else [whole]
+                found = [json.loads(x, object_pairs_hook=unique_keys) for x in parts]
+            except json.JSONDecodeError:
+                raise ValueError("invalid_json_line" if lines else "invalid_json") from None
+            items = found if lines else found[0]
+            shapes = (dict,) if lines else (dict, list)
+            if not isinstance(items, list) or not all(isinstance(r, shapes) for r in items[: len(items) if lines else 1]):
+                raise ValueError("json_layout_required")
+            if not items:
+                raise ValueError("no_observations")
+            first = items[0]
+            if any(type(r) is not type(first) for r in items):
+                raise ValueError("json_record_shape")
+            if isinstance(first, dict):
+                if any(r.keys() != first.keys() for r in items):
+                    raise ValueError("json_record_shape")
+                return {h: [r[h] for r in items] for h in first}
+            return headed(items)
+
+        def headed(rows):
+            header = [str(h).strip() for h in rows[0]]
             if len(set(header)) != len(header):
                 raise ValueError("ambiguous_header")
             if any(len(r) != len(header) for r in rows):
                 raise ValueError("row_column_count")
             return {h: [r[i] for r in rows[1:]] for i, h in enumerate(header)}
 
-        def json_columns(content):
-            items = json.loads(text_of(content))
-            header = items[0] if isinstance(items[0], list) else list(items[0])
-            rows = items[1:] if isinstance(items[0], list) else [[r[h] for h in header] for r in items]
-            return {h: [r[i] for r in rows] for i, h in enumerate(header)}
-
         def columns_of(name, content):
             lower = name.lower()
             if lower.endswith((".csv", ".tsv", ".txt", ".tab", ".dat")):
                 return delimited_columns(lower, content)
-            if lower.endswith(".json"):
-                return json_columns(content)
+            if lower.endswith(tuple(fv.JSON_SUFFIXES)):
+                return json_columns(content, lines=not lower.endswith(".json"))
             if lower.endswith((".parquet", ".pq")):
                 return parquet.read_table(io.BytesIO(content)).to_pydict()
             if lower.endswith((".feather", ".arrow", ".ipc")):
@@ -151,7 +179,10 @@ def decode_files(files: DataFrame) -> DataFrame:
             try:
                 columns = columns_of(name, content)
             except ValueError as exc:
-                known = ("ambiguous_header", "row_column_count", "unsupported_encoding")
+                known = (
+                    "ambiguous_header", "row_column_count", "unsupported_encoding", "duplicate_json_key", "json_record_shape",
+                    "json_layout_required", "no_observations", "invalid_json", "invalid_json_line",
+                )
                 if str(exc) in known:
                     return None, str(exc)
                 return None, "unsafe_object_array" if "allow_pickle" in str(exc) else "invalid_file"
@@ -204,8 +235,6 @@ _MEMBERS = "source string, kind string, member string, size long, encrypted bool
 
 
 def _open_archives(files: DataFrame, with_content: bool) -> DataFrame:
-    limit = fv.MAX_FILE_BYTES
-
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import gzip
         import io
@@ -220,28 +249,35 @@ def _open_archives(files: DataFrame, with_content: bool) -> DataFrame:
                         if not i.is_dir():
                             link = (i.external_attr >> 16) & 0o170000 == 0o120000
                             locked = bool(i.flag_bits & 1)
-                            take = with_content and not locked and i.file_size <= limit
-                            data = z.open(i).read(limit + 1) if take else None
+                            data = z.read(i) if with_content and not locked else None
                             yield "zip", i.filename, i.file_size, locked, link, data
             elif lower.endswith(".gz") and not lower.endswith(".tar.gz"):
                 with gzip.GzipFile(fileobj=io.BytesIO(content)) as g:
-                    data = g.read(limit + 1)
-                yield "gzip", name.rsplit("/", 1)[-1][:-3], len(data), False, False, data if with_content else None
+                    if with_content:
+                        data = g.read()
+                        size = len(data)
+                    else:
+                        data, size = None, sum(map(len, iter(lambda: g.read(1 << 20), b"")))
+                yield "gzip", name.rsplit("/", 1)[-1][:-3], size, False, False, data
             else:
                 with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
                     for i in t:
                         if not i.isdir():
                             link = not i.isfile()
-                            take = with_content and not link and i.size <= limit
-                            data = t.extractfile(i).read(limit + 1) if take else None
+                            data = t.extractfile(i).read() if with_content and not link else None
                             yield "tar", i.name, i.size, False, link, data
 
         names = ["kind", "member", "size", "encrypted", "is_link", "content"]
         for batch in batches:
             for source, content in zip(batch["source"], batch["content"]):
                 try:
+                    empty = True
                     for row in members(source, content):
+                        empty = False
                         yield pd.DataFrame([(source, *row)], columns=["source", *names])
+                    if empty:
+                        kind = "empty_zip" if source.lower().endswith(".zip") else "empty_tar"
+                        yield pd.DataFrame([(source, kind, None, None, False, False, None)], columns=["source", *names])
                 except Exception:
                     yield pd.DataFrame([(source, "unreadable", None, None, False, False, None)], columns=["source", *names])
 
@@ -255,11 +291,15 @@ def list_members(files: DataFrame) -> DataFrame:
 
 def member_issues(
     members: DataFrame,
-    max_members: int = fv.MAX_FILES,
-    max_bytes: int = fv.MAX_FILE_BYTES,
-    max_total: int = fv.MAX_TOTAL_BYTES,
+    max_members: int | None = None,
+    max_bytes: int | None = None,
+    max_total: int | None = None,
 ) -> DataFrame:
-    """Codes per archive; an archive with any code is not unpacked."""
+    """Codes per archive; an archive with any code is not unpacked.
+
+    Limits on members and bytes hold only where they are given.  Member names count as equal in
+    compatibility form and without case.
+    """
     path = F.coalesce("member", F.lit(""))
     unsafe = (
         F.col("encrypted")
@@ -274,18 +314,19 @@ def member_issues(
     data = [*fv.TEXT_SUFFIXES, *fv.JSON_SUFFIXES, *fv.COLUMNAR_SUFFIXES, *fv.ARRAY_SUFFIXES, *fv.OTHER_DATA_SUFFIXES]
     code = (
         F.when(F.col("kind") == "unreadable", "invalid_archive")
+        .when(F.col("kind").startswith("empty_"), F.concat(F.regexp_replace("kind", "empty_", ""), F.lit("_member_count")))
         .when(unsafe, F.concat(F.lit("unsafe_"), "kind", F.lit("_member")))
         .when(~suffix(path).isin(*data), "archive_member_unsupported")
-        .when((F.col("size") < 0) | (F.col("size") > max_bytes), "expanded_file_too_large")
+        .when((F.col("size") < 0) | (F.col("size") > F.lit(max_bytes).cast("long")), "expanded_file_too_large")
     )
     single = members.select("source", code.alias("code")).where("code is not null")
-    same = members.groupBy("source", "kind", F.lower(F.regexp_replace(path, r"(^|/)\./", "$1")).alias("p")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    plain = F.lower(F.regexp_replace(F.coalesce("plain", F.lit("")), r"(^|/)\./", "$1"))
+    named = mapping.with_nfkc(members.select("source", "kind", "member"), "member", "plain")
+    same = named.groupBy("source", "kind", plain.alias("p")).agg(F.count(F.lit(1)).alias("n"))
     doubled = same.where("n > 1").select("source", F.concat(F.lit("duplicate_"), "kind", F.lit("_member")).alias("code"))
     totals = members.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
-    many = totals.where(F.col("n") > max_members).select("source", F.lit("too_many_files").alias("code"))
-    large = totals.where(F.col("b") > max_total).select("source", F.lit("expanded_batch_too_large").alias("code"))
+    many = totals.where(F.col("n") > F.lit(max_members).cast("long")).select("source", F.lit("too_many_files").alias("code"))
+    large = totals.where(F.col("b") > F.lit(max_total).cast("long")).select("source", F.lit("expanded_batch_too_large").alias("code"))
     return single.unionByName(doubled).unionByName(many).unionByName(large).distinct()
 
 

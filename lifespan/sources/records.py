@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifespan.fixed_values import MAX_FILE_BYTES
 from lifespan.operators import segments as sg
 from lifespan.sources.files import read_small_files
 
@@ -13,13 +12,14 @@ from lifespan.sources.files import read_small_files
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """One raw object per non-empty line with its file."""
     lines = spark.read.text(path).withColumn("source", F.input_file_name())
-    return lines.where(F.trim("value") != "").withColumnRenamed("value", "record")
+    kept = lines.where(F.trim("value") != "").withColumnRenamed("value", "record")
+    return kept.withColumn("record_id", F.monotonically_increasing_id())
 
 
-def read_json_arrays(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def read_json_arrays(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Elements of the top-level array of each file; a header row makes objects of the rest.
 
-    A file is one value here, so files over the size limit are left to ``oversized_files``.
+    A file is one value here; with a limit, files over it are left to ``oversized_files``.
     """
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^\\ufeff", "")
     small = read_small_files(spark, path, max_bytes)
@@ -27,11 +27,12 @@ def read_json_arrays(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_B
     first = F.get("items", F.lit(0))
     header = F.from_json(first, "array<string>")
     from_rows = F.transform(
-        F.slice("items", 2, 2_000_000_000),
+        F.slice("items", 2, F.greatest(F.size("items"), F.lit(0))),
         lambda r: F.to_json(F.map_from_arrays(header, F.from_json(r, "array<string>"))),
     )
     records = F.when(first.startswith("["), from_rows).otherwise(F.col("items"))
-    return items.select("source", F.explode_outer(records).alias("record"))
+    each = items.select("source", F.explode_outer(records).alias("record"))
+    return each.withColumn("record_id", F.monotonically_increasing_id())
 
 
 def record_issues(records: DataFrame) -> DataFrame:
@@ -65,4 +66,4 @@ def record_cells(records: DataFrame) -> DataFrame:
     # one file may hold most records, so the rows of a file are spread over the join
     sound = sg.spread_join(records, record_issues(records).select("source"), ["source"], "left_anti")
     cells = F.from_json("record", "map<string,string>")
-    return sound.select("source", F.xxhash64("record").alias("record_id"), F.explode(cells).alias("column", "text"))
+    return sound.select("source", "record_id", F.explode(cells).alias("column", "text"))
