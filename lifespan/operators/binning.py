@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifespan import fixed_values as fv
@@ -136,18 +136,23 @@ def sustained_exceedance(df: DataFrame, axis: Axis, value: str, limit: float, du
     )
 
 
-def unit_registry(rows: DataFrame, t: str = "t") -> DataFrame:
+def unit_registry(
+    rows: DataFrame, t: str = "t", failure_time: Column | None = None, failure_code: Column | None = None
+) -> DataFrame:
     """Per unit: row count, time range, failure time, censoring and failure mode.
 
-    ``rows`` carries ``failure_time`` and ``failure_code`` on every row of a unit.
+    ``failure_time`` and ``failure_code`` are aggregates over the rows of a unit; by default the
+    rows carry them as columns.
     """
+    failure_time = F.max("failure_time") if failure_time is None else failure_time
+    failure_code = F.max("failure_code") if failure_code is None else failure_code
     names = F.create_map(*[F.lit(x) for kv in fv.FAILURE_CODES.items() for x in kv])
     grouped = rows.groupBy("unit_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min(t).alias("t_start"),
         F.max(t).alias("t_end"),
-        F.max("failure_time").alias("failure_time"),
-        F.max("failure_code").alias("failure_code"),
+        failure_time.alias("failure_time"),
+        failure_code.alias("failure_code"),
     )
     code = F.when(F.col("failure_time").isNull(), 0).otherwise(F.col("failure_code"))
     return (

@@ -51,10 +51,11 @@ def split_differences(computed: DataFrame, recorded: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, maximum: int, seed: int, key: str) -> DataFrame:
-    """Repeatable sample without replacement; everything when there are few rows."""
-    keyed = df.withColumn("__g", F.lit(0)).withColumn("__d", digest(seed, key))
-    ranked = sg.rank_by_hash(keyed, ["__g"], "__d", "__r", "__n")
-    return ranked.where(F.col("__r") < maximum).drop("__g", "__d", "__r", "__n")
+    """Repeatable sample without replacement; everything when there are few rows.
+
+    Each partition keeps its ``maximum`` smallest digests, and only those meet.
+    """
+    return df.orderBy(digest(seed, key), key).limit(maximum)
 
 
 def unit_channels(readings: DataFrame, channels: list[str]) -> DataFrame:

@@ -80,9 +80,14 @@ def window_count(rows: Column, length: int, stride: int) -> Column:
     return F.when(rows >= length, F.floor((rows - length) / stride) + 1).otherwise(F.lit(0))
 
 
+def label_allowed(label: str) -> Column:
+    """Whether an end label is not below zero; an unknown one is allowed."""
+    return F.col(label).isNull() | F.isnan(label) | (F.col(label) >= 0)
+
+
 def drop_negative(windows: DataFrame, label: str) -> DataFrame:
     """Keep windows whose end label is not below zero (an unknown label stays)."""
-    return windows.where(F.col(label).isNull() | F.isnan(label) | (F.col(label) >= 0))
+    return windows.where(label_allowed(label))
 
 
 def trend_targets(

@@ -195,11 +195,8 @@ FROM st JOIN f USING (unit_id) GROUP BY st.unit_id""",
 )
 def unit_registry(spark, base):
     st = tb.event_steps(spark, base)
-    f = st.groupBy("unit_id").agg(
-        F.max(F.when(F.col("value") >= 150, F.col("t"))).alias("failure_time"),
-        (F.max("k").cast("bigint") % 3).cast("int").alias("failure_code"),
-    )
-    return binning.unit_registry(st.join(f, "unit_id")).drop("failure_code")
+    failed = F.max(F.when(F.col("value") >= 150, F.col("t")))
+    return binning.unit_registry(st, failure_time=failed, failure_code=(F.max("k").cast("bigint") % 3).cast("int")).drop("failure_code")
 
 
 # -- normalisation -----------------------------------------------------------
@@ -393,12 +390,9 @@ SELECT unit_id, count(*) AS n_windows, count(*) FILTER (y >= 0) AS n_kept, count
 )
 def drop_negative(spark, base):
     w = step_windows(spark, base).withColumn("y", F.col("n_steps") - 10 - F.col("end_step"))
-    kept = windows.drop_negative(w.drop("x"), "y")
-    totals = w.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    left = kept.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_kept"))
-    n_kept = F.coalesce("n_kept", F.lit(0))
-    return totals.join(left, "unit_id", "left").select(
-        "unit_id", "n_windows", n_kept.alias("n_kept"), (F.col("n_windows") - n_kept).alias("n_dropped")
+    kept = windows.label_allowed("y")
+    return w.groupBy("unit_id").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.count_if(kept).alias("n_kept"), F.count_if(~kept).alias("n_dropped")
     )
 
 
