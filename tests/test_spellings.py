@@ -99,3 +99,10 @@ def test_equal_records_stay_apart(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"t": 0, "v": 1}\n{"t": 0, "v": 1}\n')
     cells, issues = records.read_json_records(spark, str(tmp_path))
     assert cells.count() == 4 and cells.select("record_id").distinct().count() == 2 and issues.isEmpty()
+
+
+def test_negative_labels_go_and_unknown_ones_stay(spark):
+    from lifespan.operators import windows
+
+    df = spark.createDataFrame([(0, 1.0), (1, -0.5), (2, None), (3, float("nan")), (4, 0.0)], "i int, y double")
+    assert sorted(r.i for r in windows.drop_negative(df, "y").collect()) == [0, 2, 3, 4]
