@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,9 +46,18 @@ def channel_aliases(spark: SparkSession) -> DataFrame:
 
 
 def resolve_channels(spark: SparkSession, df: DataFrame, label: str, out: str = "channel") -> DataFrame:
-    """Canonical channel of a label, compared in compatibility form, else ``unknown:<label>``."""
-    plain = with_nfkc(df, label, "__plain")
-    return joins.resolve_aliases(plain, label, sc.name_key(F.col("__plain")), channel_aliases(spark), out).drop("__plain")
+    """Canonical channel of a label, compared in compatibility form, else ``unknown:<label>``.
+
+    The table of distinct labels is written once, since readings are used many times after this; its
+    known size lets Spark broadcast it where it is small and shuffle it where it is not.
+    """
+    from lifespan.sources.storage import checkpoint_folder
+
+    path = f"{checkpoint_folder(spark).rstrip('/')}/labels-{uuid.uuid4().hex}"
+    plain = with_nfkc(df.select(label).distinct(), label, "__plain")
+    named = joins.resolve_aliases(plain, label, sc.name_key(F.col("__plain")), channel_aliases(spark), out)
+    named.where(F.col(label).isNotNull()).select(label, out).write.parquet(path)
+    return df.join(spark.read.parquet(path), label, "left")
 
 
 def file_headers(spark: SparkSession, file_columns: DataFrame) -> DataFrame:
