@@ -287,15 +287,22 @@ def period_minutes(a: Column) -> Column:
     return F.lit(2 * math.pi) * F.sqrt(a * a * a / F.lit(MU)) / 60
 
 
-def orbit_facts(a: Column, e: Column, energy: Column | None = None) -> dict[str, Column]:
-    """Apsides, period, speeds, class and drawability of a Keplerian orbit."""
+def orbit_facts(
+    a: Column, e: Column, energy: Column | None = None, parameter: Column | None = None
+) -> dict[str, Column]:
+    """Apsides, period, speeds, class and drawability of a Keplerian orbit.
+
+    A parabola has no semi-major axis; its perigee comes from ``parameter``, the semi-latus rectum.
+    """
     energy = F.coalesce(energy, -F.lit(MU) / (2 * a)) if energy is not None else -F.lit(MU) / (2 * a)
     closed = (a > 0) & (e < 1)
     perigee = F.when(e < 1, a * (1 - e) - F.lit(RADIUS)).when(
         e > 1, F.abs(a) * (e - 1) - F.lit(RADIUS)
     )
+    if parameter is not None:
+        perigee = perigee.when((e == 1) & (parameter > 0), parameter / 2 - F.lit(RADIUS))
     apogee = F.when(e < 1, a * (1 + e) - F.lit(RADIUS))
-    clash = (a > 0) & (e >= 1) & (energy < -1e-8)
+    clash = F.coalesce((a > 0) & (e >= 1) & (energy < -1e-8), F.lit(False))
     clear = F.coalesce(perigee >= fv.MIN_PERIGEE_KM, F.lit(False))
 
     def speed(height):

@@ -331,7 +331,8 @@ def split_overlap(train: DataFrame, val: DataFrame) -> DataFrame:
 
 
 def holdout_leaks(used: DataFrame, holdout: DataFrame) -> DataFrame:
-    """Used units that are on the hold-out list."""
+    """Used units that are on the hold-out list; an empty list is an error."""
+    holdout = require_rows(holdout, "the hold-out list")
     return used.select("unit_id").distinct().join(holdout.select("unit_id").distinct(), "unit_id", "left_semi")
 
 

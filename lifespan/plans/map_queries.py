@@ -142,6 +142,17 @@ def resolve_time_unit(spark, base):
     return out.select("c_custkey", "r.unit", "r.code", "r.basis")
 
 
+@query(
+    "p08_batch_units",
+    """SELECT c_custkey, 'hour' AS for_all, (['second', 'cycle', 'hour'])[CAST(c_custkey % 4 AS INTEGER) + 1] AS by_position FROM customer""",
+)
+def batch_units(spark, base):
+    position = (F.col("c_custkey") % 4).cast("int").alias("file_index")
+    files_ = tb.read(spark, base, "customer").select("c_custkey", position)
+    one = mapping.requested_units(files_, ["hour"]).withColumnRenamed("requested", "for_all")
+    return mapping.requested_units(one, ["second", "cycle", "hour"]).select("c_custkey", "for_all", F.col("requested").alias("by_position"))
+
+
 @query(
     "p08_time_headers",
     """SELECT c_name AS source, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'second' WHEN 'BUILDING' THEN 'cycle' WHEN 'MACHINERY' THEN 'hour' END AS time_hint FROM customer""",
@@ -304,6 +315,28 @@ def orbit_facts(spark, base):
     return rounded(out, ["perigee_km", "apogee_km", "period_min", "speed_min_km_s", "speed_max_km_s"])
 
 
+@query(
+    "p21_parabola",
+    f"""WITH p AS (SELECT c_custkey, {fv.EARTH_RADIUS_KM} + c_acctbal / 10 AS q FROM customer)
+SELECT c_custkey, round(q - {fv.EARTH_RADIUS_KM}, 6) AS perigee_km, 'parabola' AS orbit_class, q - {fv.EARTH_RADIUS_KM} >= {fv.MIN_PERIGEE_KM} AS drawable FROM p""",
+)
+def parabola(spark, base):
+    parameter = 2 * (F.lit(fv.EARTH_RADIUS_KM) + F.col("c_acctbal") / 10)
+    facts = sc.orbit_facts(F.lit(None).cast("double"), F.lit(1.0), parameter=parameter)
+    out = tb.read(spark, base, "customer").select("c_custkey", *[facts[c].alias(c) for c in ("perigee_km", "orbit_class", "drawable")])
+    return rounded(out, ["perigee_km"])
+
+
+@query(
+    "p21_elements_valid",
+    f"""SELECT c_custkey, c_acctbal > 0 AND c_nationkey * 8 <= 180 AS valid, round({fv.EARTH_RADIUS_KM} + c_acctbal, 6) AS a, 0e0 AS e FROM customer""",
+)
+def elements_valid(spark, base):
+    a, e = sc.orbit_from_circular(F.col("c_acctbal"))
+    valid = sc.elements_valid(a, e, F.col("c_nationkey") * 8.0)
+    return tb.read(spark, base, "customer").select("c_custkey", valid.alias("valid"), F.round(a, 6).alias("a"), e.alias("e"))
+
+
 @query(
     "p22_orbit_from_apsides",
     f"""SELECT c_custkey, round((2 * {fv.EARTH_RADIUS_KM} + 200 + c_custkey + 400 + 2 * c_custkey) / 2, 6) AS a, round((200 + c_custkey) / (2 * {fv.EARTH_RADIUS_KM} + 600 + 3 * c_custkey), 9) AS e FROM customer""",

@@ -17,6 +17,7 @@ from lifespan.functions import scalar as sc
 from lifespan.operators import binning, mapping, rules, split
 from lifespan.operators.segments import Axis
 from lifespan.plans import scoring
+from lifespan.sources.storage import cut_lineage
 
 INDEX_AXIS = Axis(("unit_id",), ("t",), 50_000.0)
 BIN_AXIS = Axis(("unit_id",), ("bin",), 50_000.0)
@@ -165,6 +166,19 @@ def prepare_wheel_raw(
     return ready, violations
 
 
+def battery_upload(spark: SparkSession, raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Text cells of battery units to their readings, the steps of units that passed, and every refusal.
+
+    The typed readings feed every check, so they are written once.
+    """
+    parsed = cut_lineage(parse_readings(spark, raw))
+    refused = parse_violations(parsed)
+    routes = route_units(parsed, "battery")
+    refused = refused.unionByName(route_violations(routes))
+    steps, violations = prepare_battery(rules.valid_units(parsed, refused))
+    return parsed, steps, refused.unionByName(violations)
+
+
 def short(channel: str) -> str:
     """Column name of a channel (dots are awkward in Spark column names)."""
     return channel.replace(".", "_")

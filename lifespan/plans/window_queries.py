@@ -140,6 +140,18 @@ def failure_cycle(spark, base):
     )
 
 
+@query(
+    "a04_failure_cross_check",
+    _CYCLE_SQL + """, f AS (SELECT unit_id, min(cycle) FILTER (capacity <= 1.6 + 1e-9) AS failure_cycle FROM cyc GROUP BY 1)
+SELECT unit_id, failure_cycle FROM f WHERE failure_cycle IS NOT NULL AND unit_id % 4 >= 2""",
+)
+def failure_cross_check(spark, base):
+    labelled = binning.failure_cycle(_cycles(spark, base)).select(
+        "unit_id", "failure_cycle", (F.col("failure_cycle") + F.col("unit_id") % 4 + 0.5).alias("failure_days")
+    )
+    return binning.failure_cross_check(labelled, "failure_days", tb.DAY_S).select("unit_id", "failure_cycle").distinct()
+
+
 @query(
     "j09_settlement_join",
     "WITH" + SUPPLIER_DAYS + """,
