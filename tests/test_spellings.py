@@ -106,3 +106,10 @@ def test_negative_labels_go_and_unknown_ones_stay(spark):
 
     df = spark.createDataFrame([(0, 1.0), (1, -0.5), (2, None), (3, float("nan")), (4, 0.0)], "i int, y double")
     assert sorted(r.i for r in windows.drop_negative(df, "y").collect()) == [0, 2, 3, 4]
+
+
+def test_empty_holdout_list_is_an_error(spark):
+    used = spark.createDataFrame([(1,), (2,)], "unit_id int")
+    assert [r.unit_id for r in rules.holdout_leaks(used, used.where("unit_id = 2")).collect()] == [2]
+    with pytest.raises(ValueError, match="hold-out"):
+        rules.holdout_leaks(used, used.where("unit_id > 2"))
