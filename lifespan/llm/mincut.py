@@ -40,12 +40,18 @@ NOISE_WORDS = frozenset(
     "respond widget toolbar pagination pager copyright masthead topbar skip search form contentinfo complementary hidden".split()
 )
 CONTENT_TAGS = frozenset(["article", "main"])
+#: Elements that hold the whole page; their names speak of its layout.
+WHOLE = frozenset(["html", "body"])
 CONTENT_WORDS = frozenset("article content main post entry story body text prose".split())
 
 
 @dataclass(frozen=True)
 class Costs:
-    """Weights of the classifier and of the edges; whole numbers, so cuts are exact."""
+    """Weights of the classifier and of the edges; whole numbers, so cuts are exact.
+
+    ``noise`` is the cost of each mark of noise around a block, ``hidden`` of one that is not shown;
+    edges between blocks of different such costs have one part in ``border`` of their capacity.
+    """
 
     prior: int = -40
     words: int = 6
@@ -55,29 +61,48 @@ class Costs:
     sentence: int = 20
     links: int = 120
     content: int = 90
-    noise: int = 400
+    noise: int = 150
+    hidden: int = 400
     next_block: int = 10
     same_parent: int = 15
+    border: int = 2
 
 
 PRODUCTION = Costs()
 
 
+@dataclass(eq=False)
+class Mark:
+    """An element that looks like noise: not shown, or an article by its tag."""
+
+    hidden: bool
+    article: bool
+
+
 @dataclass
 class Block:
+    """``marks`` from the outermost; the first ``core`` of them are around an article or main that holds the block (-1: none does)."""
+
     text: str
     tag: str
     parent: int
     linked: int
-    noise: bool
+    marks: tuple[Mark, ...]
+    core: int
     content: bool
 
+    def words(self) -> int:
+        """Words outside of links."""
+        n = self.text.count(" ") + 1
+        return n - n * self.linked // len(self.text)
+
 
 @dataclass
 class _Element:
     tag: str
     number: int
-    noise: bool
+    marks: tuple[Mark, ...]
+    core: int
     content: bool
     link: bool
 
@@ -94,7 +119,7 @@ class _Reader:
         for e in reversed(self.stack):
             if e.tag not in INLINE:
                 return e
-        return _Element("", 0, False, False, False)
+        return _Element("", 0, (), -1, False, False)
 
     def text(self, data: str) -> None:
         if "&" in data:
@@ -107,10 +132,10 @@ class _Reader:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                e, top = self.holder(), self.stack[-1] if self.stack else None
+                e = self.holder()
+                top = self.stack[-1] if self.stack else e
                 parent = next((x.number for x in reversed(self.stack[:-1]) if x.tag not in INLINE), 0)
-                noise = bool(top and top.noise)
-                self.blocks.append(Block(text, e.tag, parent, min(self.linked, len(text)), noise, e.content and not noise))
+                self.blocks.append(Block(text, e.tag, parent, min(self.linked, len(text)), top.marks, top.core, e.content))
             self.parts, self.linked = [], 0
 
     def open(self, tag: str, attributes: str) -> None:
@@ -128,15 +153,18 @@ class _Reader:
                     break
                 if self.stack[k].tag not in INLINE and self.stack[k].tag not in ("p",):
                     break
-        above = self.stack[-1] if self.stack else _Element("", 0, False, False, False)
-        noise, content = above.noise, above.content
-        words = _names(attributes) if attributes else frozenset()
-        if tag in NOISE_TAGS or (tag == "header" and not content) or words & NOISE_WORDS:
-            noise = True
-        elif tag in CONTENT_TAGS or words & CONTENT_WORDS:
-            content = True
+        above = self.stack[-1] if self.stack else _Element("", 0, (), -1, False, False)
+        marks, core, content = above.marks, above.core, above.content
+        words = _names(attributes) if attributes and tag not in WHOLE else frozenset()
+        main = tag == "main" or "role=main" in words
+        marked = tag in NOISE_TAGS or (tag == "header" and not content) or bool(words & NOISE_WORDS)
+        if "not shown" in words or (marked and not main):
+            marks = (*marks, Mark("not shown" in words, tag == "article"))
+        if main or (tag == "article" and marks is above.marks):
+            core = len(marks)
+        content = content or main or tag in CONTENT_TAGS or bool(words & CONTENT_WORDS)
         self.made += 1
-        self.stack.append(_Element(tag, self.made, noise, content, above.link or tag == "a"))
+        self.stack.append(_Element(tag, self.made, marks, core, content, above.link or tag == "a"))
 
     def close(self, tag: str) -> None:
         if tag not in INLINE:
@@ -156,8 +184,10 @@ def _names(attributes: str) -> frozenset[str]:
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "role"):
             found.update(w for w in re.split(r"[^a-z]+", value) if w)
+            if key == "role" and value.strip() == "main":
+                found.add("role=main")
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            found.add("hidden")
+            found.add("not shown")
     return frozenset(found)
 
 
@@ -186,28 +216,61 @@ def blocks_of(page: str) -> list[Block]:
     return reader.blocks
 
 
-def capacities(blocks: list[Block], costs: Costs = PRODUCTION) -> list[int]:
+def noise_costs(blocks: list[Block], costs: Costs = PRODUCTION) -> list[int | None]:
+    """Per block the cost of the marks around it, which depends on what else the page has.
+
+    A mark is lifted if it is around an article or main (a fifth or more of the words of all
+    of them), or is an article with more words than the unmarked content.  If it has over four
+    times the words of the unmarked content, it costs less from a third of the page's words on,
+    and nothing from half of them on, though its border stays.  None: all marks are lifted.
+    """
+    size = [b.words() for b in blocks]
+    total, core = sum(size), sum(n for b, n in zip(blocks, size) if b.core >= 0)
+    inside: dict[Mark, int] = {}
+    around: dict[Mark, int] = {}
+    for b, n in zip(blocks, size):
+        for k, m in enumerate(b.marks):
+            inside[m] = inside.get(m, 0) + n
+            around[m] = around.get(m, 0) + n * (k < b.core)
+    cost = {m: costs.hidden if m.hidden else costs.noise for m in inside if not around[m] or 5 * around[m] < core}
+    rival = sum(n for b, n in zip(blocks, size) if b.content and not any(m in cost for m in b.marks))
+    for m in list(cost):
+        n = inside[m]
+        if m.article and n > rival:
+            del cost[m]
+        elif n > 4 * rival:
+            cost[m] = max(0, min(cost[m], cost[m] * (3 * total - 6 * n) // total))
+    left = [[cost[m] for m in b.marks if m in cost] for b in blocks]
+    return [sum(c) if c else None for c in left]
+
+
+def capacities(blocks: list[Block], noise: list[int | None], costs: Costs = PRODUCTION) -> list[int]:
     """Per block: what it costs to call it boilerplate (positive) or content (negative)."""
     out = []
-    for b in blocks:
-        n = b.text.count(" ") + 1
+    for b, against in zip(blocks, noise):
+        n, against = b.text.count(" ") + 1, against or 0
         score = costs.prior + min(costs.words * n, costs.words_most) - costs.links * b.linked // len(b.text)
         score += costs.paragraph * (b.tag == "p") + costs.heading * (len(b.tag) == 2 and b.tag[0] == "h")
         score += costs.sentence * (b.text[-1] in ".!?…:;\"'”»)")
-        out.append(score + costs.content * b.content - costs.noise * b.noise)
+        # an article inside of noise counts as content, plain noise inside of an article does not
+        out.append(score + costs.content * (b.content and (against < costs.content or b.core == len(b.marks))) - against)
     return out
 
 
-def edges(blocks: list[Block], costs: Costs = PRODUCTION) -> list[tuple[int, int, int]]:
-    """Ties between neighbours in the page and in the tree; none across the border of noise."""
+def edges(blocks: list[Block], noise: list[int | None], costs: Costs = PRODUCTION) -> list[tuple[int, int, int]]:
+    """Ties between neighbours in the page and in the tree; weaker ones across a border of noise."""
     last: dict[int, int] = {}
     out = []
+
+    def tie(i: int, j: int, price: int) -> None:
+        out.append((i, j, price if noise[i] == noise[j] else price // costs.border))
+
     for i, b in enumerate(blocks):
-        if i and blocks[i - 1].noise == b.noise:
-            out.append((i - 1, i, costs.next_block))
+        if i:
+            tie(i - 1, i, costs.next_block)
         j = last.get(b.parent)
-        if j is not None and blocks[j].noise == b.noise:
-            out.append((j, i, costs.same_parent))
+        if j is not None:
+            tie(j, i, costs.same_parent)
         last[b.parent] = i
     return out
 
@@ -273,7 +336,13 @@ def source_side(terminal: list[int], ties: list[tuple[int, int, int]]) -> list[b
 
 def main_text(page: str | None, costs: Costs = PRODUCTION) -> str:
     blocks = blocks_of(page or "")
-    kept = source_side(capacities(blocks, costs), edges(blocks, costs))
+    noise = noise_costs(blocks, costs)
+    terminal, ties = capacities(blocks, noise, costs), edges(blocks, noise, costs)
+    for i, j, price in ties:
+        # content may draw noise to its side, and is not drawn to the other side by it
+        if noise[i] != noise[j]:
+            terminal[min(i, j, key=lambda k: -1 if noise[k] is None else noise[k])] += price
+    kept = source_side(terminal, ties)
     return " ".join(b.text for b, k in zip(blocks, kept) if k)
 
 

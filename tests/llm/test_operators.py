@@ -74,6 +74,34 @@ def test_main_text():
     assert mincut.main_text("<div>" * 3000 + "A paragraph with enough words in it to be kept as content, really." + "</div>" * 3000)
 
 
+LONG = "This paragraph has enough words in it to be the text of a page, as anybody who reads it to its end can see."
+NOISY = [
+    '<body class="no-sidebar">{}</body>', '<html class="menu-open"><body class="single has-sidebar">{}</body></html>', '<div class="menu-open">{}</div>',
+    "<body><form><div>{}</div></form></body>", '<div style="display:none">{}</div>', '<div class="with-sidebar"><form>{}</form></div>',
+]
+
+
+def test_marks_around_the_whole_page():
+    nav = '<nav><ul><li><a href="/a">Home</a></li></ul></nav>'
+    rest = '<div class="ad"><p>Buy this.</p></div><aside><p>Other stories.</p></aside><footer>&copy; me</footer>'
+    for page in NOISY:
+        for text in (f"<article><h1>Head</h1><p>{LONG}</p></article>", f"<main><h1>Head</h1><p>{LONG}</p></main>", f"<div><h1>Head</h1><p>{LONG}</p></div>"):
+            assert mincut.main_text(page.format(nav + text + rest)) == f"Head {LONG}", (page, text)
+    assert mincut.main_text(f'<main class="has-sidebar"><p>{LONG}</p></main>') == mincut.main_text(f'<article class="no-share"><p>{LONG}</p></article>') == LONG
+
+
+def test_noise_is_a_capacity():
+    page = f'<div><p>{LONG}</p>{{}}<p>{LONG}</p></div>'
+    # ties to both neighbours outweigh the name of a paragraph, but not that of a box, of what is not shown, or of short text
+    assert mincut.main_text(page.format(f'<p class="notice">{LONG}</p>')) == f"{LONG} {LONG} {LONG}"
+    for noise in (f'<div class="ad"><p>{LONG}</p></div>', f'<div class="ad">{LONG}</div>', f"<p hidden>{LONG}</p>", '<p class="notice">Log in.</p>'):
+        assert mincut.main_text(page.format(noise)) == f"{LONG} {LONG}", noise
+    assert mincut.main_text("<nav><a>x</a></nav><p>Read.</p><footer>&copy; me</footer>") == "Read."
+    comments = f'<section id="comments"><article class="comment"><p>{LONG}</p></article><article class="comment"><p>{LONG}</p></article></section>'
+    article = f"<article><p>{LONG}</p><p>{LONG}</p></article>"
+    assert mincut.main_text(article + comments) == mincut.main_text(f"<form>{article}{comments}</form>") == f"{LONG} {LONG}"
+
+
 def test_minimum_cut_equals_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):
