@@ -2,7 +2,7 @@
 
 Texts are scanned once for candidates.  Values are hashed, and a hash is counted by distinct
 repositories and distinct owners: one that many owners hold is a copied example, one that few hold
-looks live.  Spans of the base kinds are always reported; spans of the wider kinds only if their
+looks live, in however many repositories it stands.  Spans of the base kinds are always reported; spans of the wider kinds only if their
 value is not copied.
 """
 
@@ -51,10 +51,9 @@ FOUND = T.ArrayType(
 
 @dataclass(frozen=True)
 class Policy:
-    """A value is a copied example if more owners than this hold it, or as many repositories."""
+    """A value is a copied example if more owners than this hold it; repositories do not decide."""
 
     owners: int = 3
-    repositories: int = 20
 
 
 PRODUCTION = Policy()
@@ -143,7 +142,7 @@ def spans(docs: DataFrame, policy: Policy = PRODUCTION, repository: str = "doc_i
     found = cut(candidates(chosen)).withColumn("row", F.monotonically_increasing_id())
     each = found.filter(F.size("found") > 0).select("row", "doc_id", "print", F.explode("found").alias("c"))
     counted = each.join(ownership(found).withColumnRenamed("hash", "owned"), F.col("c.hash") == F.col("owned"))
-    copied = (F.col("owners") > policy.owners) | (F.col("repositories") >= policy.repositories)
+    copied = F.col("owners") > policy.owners
     judged = counted.withColumn("copied", copied).filter((F.col("c.kind") < len(BASE)) | ~F.col("copied"))
     span = F.struct("c.start", "c.kind", "c.end", "copied", "owners", "repositories")
     grouped = judged.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))

@@ -47,6 +47,16 @@ def test_spans_and_ownership(spark):
     assert secret_scan.spans(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("owners", [1, 3])
+def test_values_of_few_owners_are_live_in_any_number_of_documents(spark, owners):
+    values = [TOKEN, "ghp_" + TOKEN, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl", "-----BEGIN PRIVATE KEY-----" + "MIIEvQ" * 10]
+    data = [(i, f"key {values[i % 4]}\n", None, f"s{i // 4 % owners}", 7) for i in range(200)]
+    found = secret_scan.spans(frame(spark, data)).collect()
+    assert len(found) == 200 and all([(s.copied, s.owners, s.repositories) for s in r.spans] == [(False, owners, 50)] for r in found)
+    texts = [r.text for r in secret_scan.redact(frame(spark, data)).collect()]
+    assert len(texts) == 200 and all("[SECRET]" in t and not any(v in t for v in values) for t in texts)
+
+
 def test_redaction(spark):
     data = [(i, t, None, "s", 7) for i, t in enumerate(SECRETS)] + [(0, SECRETS[0], None, "s", 7)] + rows()
     docs = frame(spark, data, extra=CLASH)
