@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
-    return superminhash.keep_one(docs)
+    """One document of each group of near duplicates (0.8 or more alike) stays, the one with the smallest id."""
+    return superminhash.keep_one(docs, superminhash.Settings(percent=80))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from lifespan.llm import centroids, fm_index, mincut, multiset, queries, secret_scan, superminhash
 from tests.conftest import DATA
 from tests.llm.cases import frame, prose, rows, words_of
@@ -205,6 +206,16 @@ def test_small_blocks_find_the_same(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_near(data)[0]
 
 
+def test_pipeline_takes_near_duplicates_from_four_fifths_on(spark):
+    def edited(name, n, places):
+        return " ".join(f"other{i}" if i in places else f"{name}{i}" for i in range(n + 4))
+
+    # two words changed: 90 of 110 runs of five words in common (0.82), and 70 of 90 (0.78)
+    data = [(k, edited(name, n, places), None, None, None) for k, (name, n, places) in enumerate([("a", 100, ()), ("a", 100, (30, 60)), ("b", 80, ()), ("b", 80, (30, 60))])]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, data), "").collect()) == [0, 2, 3]
+    assert superminhash.near_duplicates(frame(spark, data)).filter("kept").count() == 4
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 99), (99, 98), (7, 7)] + [(200, i) for i in range(201, 230)]
     got = {r.node: r.comp for r in superminhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
