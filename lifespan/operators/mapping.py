@@ -82,8 +82,8 @@ def file_headers(spark: SparkSession, file_columns: DataFrame) -> DataFrame:
     )
 
 
-def detect_layout(headers: DataFrame, max_columns: int = fv.MAX_COLUMNS) -> DataFrame:
-    """Per source: long, wide, or the code of the first fault of its header row."""
+def detect_layout(headers: DataFrame, max_columns: int | None = None) -> DataFrame:
+    """Per source: long, wide, or the code of the first fault; more columns than ``max_columns`` are one, where it is given."""
     # the meanings follow from the key, so they can be grouping columns
     named = headers.groupBy("source", "header_key", "semantic", "metadata", "channel").agg(
         F.count(F.lit(1)).alias("same_key"),
@@ -105,8 +105,9 @@ def detect_layout(headers: DataFrame, max_columns: int = fv.MAX_COLUMNS) -> Data
     )
     long = F.col("roles") == F.array(F.lit("telemetry"), F.lit("time"), F.lit("value"))
     wide = F.col("roles") == F.array(F.lit("time"))
+    many = F.lit(False) if max_columns is None else F.col("n_columns") > max_columns
     state = (
-        F.when((F.col("n_columns") < 2) | (F.col("n_columns") > max_columns) | F.col("blank"), "telemetry_table_columns_required")
+        F.when((F.col("n_columns") < 2) | many | F.col("blank"), "telemetry_table_columns_required")
         .when(F.col("dup_header") | F.col("dup_semantic"), "ambiguous_header")
         .when(long & (F.col("n_known") > 0), "mixed_table_layout")
         .when(F.col("dup_metadata") & (long | wide), "ambiguous_metadata_header")

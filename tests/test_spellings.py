@@ -113,3 +113,12 @@ def test_empty_holdout_list_is_an_error(spark):
     assert [r.unit_id for r in rules.holdout_leaks(used, used.where("unit_id = 2")).collect()] == [2]
     with pytest.raises(ValueError, match="hold-out"):
         rules.holdout_leaks(used, used.where("unit_id > 2"))
+
+
+def test_wide_sources_of_any_number_of_columns(spark):
+    meanings = [("time", "time", None)] + [(f"channel{i}", None, f"channel{i}") for i in range(40)]
+    data = [("s", key, semantic, None, channel, key) for key, semantic, channel in meanings]
+    headers = spark.createDataFrame(data, "source string, header_key string, semantic string, metadata string, channel string, column string")
+    refused = "telemetry_table_columns_required"
+    assert refused not in mapping.detect_layout(headers).first().asDict().values()
+    assert refused in mapping.detect_layout(headers, fv.MAX_COLUMNS).first().asDict().values()
