@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifespan.llm import centroids, fm_index, mincut, mixing, multiset, pieces, quality, records, secret_scan, superminhash
+from lifespan.llm import alignment, centroids, fm_index, mincut, mixing, multiset, pieces, quality, records, secret_scan, superminhash
 from lifespan.llm.common import documents, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def query(name: str, sql: str | None = None):
@@ -180,3 +181,16 @@ FROM w LEFT JOIN k USING (doc_id)"""
 def op10_fm_index(spark: SparkSession, base: str) -> DataFrame:
     done = fm_index.remove_repeats(documents(spark, base))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, base: str) -> DataFrame:
+    path_a, path_b = tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_MODEL)
+    aligned = alignment.align(documents(spark, base).select("doc_id", "text"), path_a, path_b)
+    # an alignment without tokens has no groups to hash
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    kept = aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times")
+    folder = new_folder(spark, "alignment")
+    kept.write.option("compression", "zstd").parquet(folder)
+    counted = alignment.with_counts(spark.read.parquet(folder), alignment.base_of(path_b))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
