@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifespan.llm import alignment, centroids, fm_index, mincut, mixing, multiset, pieces, quality, records, secret_scan, superminhash
+from lifespan.llm import alignment, centroids, fm_index, mincut, mixing, multiset, pieces, quality, ranking, records, secret_scan, superminhash
 from lifespan.llm.common import documents, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,23 @@ def op11_token_alignment(spark: SparkSession, base: str) -> DataFrame:
     kept.write.option("compression", "zstd").parquet(folder)
     counted = alignment.with_counts(spark.read.parquet(folder), alignment.base_of(path_b))
     return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+RANK_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format(t="text")} AS ts FROM documents),
+c AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM d),
+p AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY 1, 2),
+f AS MATERIALIZED (SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY t, n_docs),
+m AS (SELECT r, doc_id, 25 + (75 * len(ts) * n_docs) // total AS m FROM d, c WHERE len(ts) > 0),
+q AS (SELECT i, item_id, t, count(*) AS times
+      FROM (SELECT row_number() OVER () AS i, item_id, unnest({_TERMS.format(t="text")}) AS t FROM benchmark) GROUP BY 1, 2, 3),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN f USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY 1, 2, 3, 4)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+
+@query("op12_shared_search", RANK_SQL)
+def op12_shared_search(spark: SparkSession, base: str) -> DataFrame:
+    return ranking.rank(documents(spark, base), spark.read.parquet(f"{base}/benchmark.parquet"))
