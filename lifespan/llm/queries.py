@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifespan.llm import alignment, centroids, fm_index, mincut, mixing, multiset, pieces, quality, ranking, records, secret_scan, superminhash
+from lifespan.llm import alignment, centroids, fm_index, mincut, mixing, multiset, pieces, quality, ranking, records, secret_scan, superminhash, toxicity
 from lifespan.llm.common import documents, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +214,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NU
 @query("op12_shared_search", RANK_SQL)
 def op12_shared_search(spark: SparkSession, base: str) -> DataFrame:
     return ranking.rank(documents(spark, base), spark.read.parquet(f"{base}/benchmark.parquet"))
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark: SparkSession, base: str) -> DataFrame:
+    docs = documents(spark, base).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{base}/labels.parquet"))
+    scored = toxicity.score(docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
