@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -150,9 +151,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, tex
     """Write the token ids of each text in ascending key order; returns the manifest, a row per shard.
 
     Shards are cut by ranges of the key, so their order is the order of keys (null first; rows of
-    one key by text).  A shard is written under a name of its own attempt and moved to its final
-    name when it is whole: a task that runs again, or twice, leaves the same file.  Null text
-    counts as empty: its record holds the end id alone.  An empty table gives an empty manifest.
+    one key by text).  Each attempt of a task writes files under a name of its own, and the manifest
+    has the name of the attempt that counted, so nothing is renamed or written over; files of
+    other attempts are removed at the end.  Null text counts as empty: its record holds the end id
+    alone.  An empty table gives an empty manifest.
     """
     order = [F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first()]
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -160,16 +162,14 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, tex
     ranged = chosen.repartitionByRange(partitions_of(docs.sparkSession), order[0]).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        shard = task.partitionId()
+        shard = TaskContext.get().partitionId()
         store, root = _store(folder)
-        name = f"{root}/part-{shard:06d}"
-        mine = f"{root}/_attempt-{shard:06d}-{task.taskAttemptId()}"
+        name = f"part-{shard:06d}-{uuid.uuid4().hex[:12]}"
         table = word_table(tokenizer, TABLE_LIMIT)
         last = np.array([end_id], dtype="<u4")
         offset = n_ids = n = 0
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{mine}.rec") as out, store.open_output_stream(f"{mine}.idx") as index:
+        with store.open_output_stream(f"{root}/{name}.rec") as out, store.open_output_stream(f"{root}/{name}.idx") as index:
             for batch in pieces_of(batches, "text"):
                 entries = np.zeros(batch.num_rows, dtype=ENTRY)
                 frames = []
@@ -180,13 +180,23 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, tex
                     offset, n_ids, n = offset + len(frames[-1]), n_ids + len(ids), n + 1
                 out.write(b"".join(frames))
                 index.write(entries.tobytes())
-        for kind in ("rec", "idx"):
-            store.move(f"{mine}.{kind}", f"{name}.{kind}")
         if n:
-            row = {"shard": shard, "file": f"part-{shard:06d}", "n_records": n, "n_ids": n_ids, "n_bytes": offset}
+            row = {"shard": shard, "file": name, "n_records": n, "n_ids": n_ids, "n_bytes": offset}
             yield pa.RecordBatch.from_pylist([row])
 
-    return cut(ranged.mapInArrow(run, MANIFEST))
+    manifest = cut(ranged.mapInArrow(run, MANIFEST))
+    _remove_others(folder, {r["file"] for r in manifest.select("file").collect()})
+    return manifest
+
+
+def _remove_others(folder: str, named: set[str]) -> None:
+    """Files of attempts that failed or came second, and of shards without records."""
+    from pyarrow import fs
+
+    store, root = _store(folder)
+    for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith("part-") and info.base_name.rpartition(".")[0] not in named:
+            store.delete_file(info.path)
 
 
 def read_records(manifest: DataFrame, folder: str, chunk: int = 8 << 20) -> DataFrame:
