@@ -72,18 +72,34 @@ class Scanner:
             out += [
                 (m.start(), kind, m.end(), _hash(m.group(group))) for m in pattern.finditer(text) if len(m.group(group)) >= least
             ]
-        taken = [(a, b) for a, _, b, _ in out]
+        taken = _merged([(a, b) for a, _, b, _ in out])
         for kind, (pattern, group, least) in enumerate(self.wider, len(BASE)):
+            # both rise: one pass over the matches and the ranges taken before
+            own, at = [], 0
             for m in pattern.finditer(text):
+                while at < len(taken) and taken[at][1] <= m.start():
+                    at += 1
                 value = m.group(group)
-                if len(value) < least or (KINDS[kind] == "opaque" and not _random_looking(value)):
+                if len(value) < least or (at < len(taken) and taken[at][0] < m.end()):
                     continue
-                if not any(a < m.end() and m.start() < b for a, b in taken):
+                if KINDS[kind] != "opaque" or _random_looking(value):
                     out.append((m.start(), kind, m.end(), _hash(value)))
-                    taken.append((m.start(), m.end()))
+                    own.append((m.start(), m.end()))
+            taken = _merged(taken + own)
         return sorted(out)
 
 
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(ranges):
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
+
+
 def _hash(value: str) -> bytes:
     return hashlib.sha256(value.encode()).digest()[:16]
 
