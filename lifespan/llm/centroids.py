@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lifespan.llm.common import free_names, pieces_of
+from lifespan.llm.common import cut, free_names, pieces_of
 from lifespan.llm.words import text_bytes
 
 UNKNOWN = "und"
@@ -37,6 +37,8 @@ class Settings:
 
 
 PRODUCTION = Settings()
+#: Groups in which the smallest hashes of a language are looked for before they meet.
+SHARES = 64
 _FOLD = np.zeros(256, dtype=np.uint32)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _FOLD[ord("A") : ord("Z") + 1] = np.arange(1, 27)
@@ -105,7 +107,9 @@ def fit(train: DataFrame, settings: Settings = PRODUCTION) -> Model:
     """Learn from ``text`` and ``lang`` of the given rows; null languages and texts are left out.
 
     Document frequencies come from all rows.  Centroids come from a sample that is bounded by
-    ``per_language`` and ``sample``: of each language the rows with the smallest hashes.
+    ``per_language`` and ``sample``: of each language the distinct texts with the smallest hashes.
+    Each task keeps so many hashes of a language, then each of ``SHARES`` groups, then one task;
+    texts are read for those that are left.
     """
     rows = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("draw"))
     dims = settings.dimensions
@@ -125,8 +129,13 @@ def fit(train: DataFrame, settings: Settings = PRODUCTION) -> Model:
     df[list(seen)] = list(seen.values())
     idf = (np.log((1 + n_rows) / (1 + df)) + 1).astype(np.float32)
 
-    placed = Window.partitionBy("lang").orderBy("draw", "text")
-    sampled = rows.withColumn("place", F.row_number().over(placed)).filter(F.col("place") <= settings.per_language)
+    drawn = rows.select("lang", "draw").mapInArrow(_least(settings.per_language), T.StructType([rows.schema["lang"], T.StructField("draw", T.LongType())]))
+    share = Window.partitionBy("lang", F.pmod("draw", F.lit(SHARES)))
+    few = drawn.distinct().withColumn("place", F.row_number().over(share.orderBy("draw"))).filter(F.col("place") <= settings.per_language)
+    chosen = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).filter(F.col("place") <= settings.per_language)
+    # at most ``sample`` rows in all
+    chosen = cut(chosen.orderBy("place", "lang").limit(settings.sample))
+    sampled = rows.join(F.broadcast(chosen), ["lang", "draw"]).groupBy("lang", "place").agg(F.min("text").alias("text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", 1 << 20):
@@ -135,8 +144,8 @@ def fit(train: DataFrame, settings: Settings = PRODUCTION) -> Model:
             packed = [np.stack([i, r[i]]).astype("<i4").tobytes() for i, r in zip(at, table)]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), pa.array(packed, pa.binary())], ["lang", "place", "v"])
 
-    drawn = sampled.select("lang", "place", "text").mapInArrow(sparse, T.StructType([rows.schema["lang"], T.StructField("place", T.IntegerType()), T.StructField("v", T.BinaryType())]))
-    sample = drawn.orderBy("place", "lang").limit(settings.sample).collect()
+    packed = sampled.select("lang", "place", "text").mapInArrow(sparse, T.StructType([rows.schema["lang"], T.StructField("place", T.IntegerType()), T.StructField("v", T.BinaryType())]))
+    sample = packed.orderBy("place", "lang").collect()
     centres, names, least = [], [], []
     model = Model(idf, np.zeros((0, dims), np.float32), [], np.zeros(0), settings)
     for language in sorted({r.lang for r in sample}):
@@ -147,12 +156,29 @@ def fit(train: DataFrame, settings: Settings = PRODUCTION) -> Model:
         for centre, near in _clusters(model.vectors(table), settings):
             centres.append(centre)
             names.append(language)
-            least.append(np.quantile(near, 1 - settings.quantile) * 0.5)
+            least.append(np.quantile(near, 1 - settings.quantile))
     if names:
         model = Model(idf, np.stack(centres).astype(np.float32), names, np.array(least), settings)
     return model
 
 
+def _least(n: int):
+    """The ``n`` smallest distinct hashes of each language among the rows of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            draw = batch.column("draw").to_numpy()
+            found = batch.column("lang").dictionary_encode()
+            code = found.indices.to_numpy()
+            for k, lang in enumerate(found.dictionary.to_pylist()):
+                held[lang] = np.unique(np.concatenate([held.get(lang, draw[:0]), draw[code == k]]))[:n]
+        for lang, values in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values)], ["lang", "draw"])
+
+    return run
+
+
 def _clusters(x: np.ndarray, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Spherical k-means from far-apart starts: centroid, and the cosines of its members."""
     start = [int((x @ unit(x.sum(axis=0, keepdims=True)).T).argmax())]
