@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,8 +24,10 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|aria-label)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
-#: Elements whose text is never shown as part of the page.
-RAW = frozenset("script style noscript template svg iframe textarea title object canvas math xmp noframes noembed".split())
+#: Elements that hold no markup: their end tag is the next one of their name.
+RAW = frozenset("script style noscript iframe textarea title xmp noframes noembed".split())
+#: Elements that hold others, none of it text of the page; they may close themselves, and without an end tag hold nothing.
+SKIPPED = frozenset("template svg object canvas math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub "
@@ -37,7 +39,7 @@ NOISE_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside footer foot ad ads advert adverts advertisement "
     "advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
     "subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies "
-    "respond widget toolbar pagination pager copyright masthead topbar skip search form contentinfo complementary hidden".split()
+    "respond discussion feedback widget toolbar pagination pager copyright masthead topbar skip search form contentinfo complementary hidden".split()
 )
 CONTENT_TAGS = frozenset(["article", "main"])
 #: Elements that hold the whole page; their names speak of its layout.
@@ -73,22 +75,24 @@ PRODUCTION = Costs()
 
 @dataclass(eq=False)
 class Mark:
-    """An element that looks like noise: not shown, or an article by its tag."""
+    """An element that looks like noise: not shown, or an article by its tag; the next mark around it."""
 
+    above: Mark | None
     hidden: bool
     article: bool
 
 
 @dataclass
 class Block:
-    """``marks`` from the outermost; the first ``core`` of them are around an article or main that holds the block (-1: none does)."""
+    """``mark``: the innermost one around the block.  ``core``: the innermost one around the article or
+    main that holds the block; ``False`` if none does."""
 
     text: str
     tag: str
     parent: int
     linked: int
-    marks: tuple[Mark, ...]
-    core: int
+    mark: Mark | None
+    core: Mark | None | bool
     content: bool
 
     def words(self) -> int:
@@ -99,29 +103,34 @@ class Block:
 
 @dataclass
 class _Element:
+    """``holder``: tag and number of the nearest element that is not inline, ``parent`` the number of the one around that."""
+
     tag: str
-    number: int
-    marks: tuple[Mark, ...]
-    core: int
+    holder: tuple[str, int]
+    parent: int
+    mark: Mark | None
+    core: Mark | None | bool
     content: bool
     link: bool
+    skipped: bool
+
+
+_PAGE = _Element("", ("", 0), 0, None, False, False, False, False)
 
 
 @dataclass
 class _Reader:
     blocks: list[Block] = field(default_factory=list)
+    marks: list[Mark] = field(default_factory=list)
     stack: list[_Element] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
+    opened: Counter[str] = field(default_factory=Counter)
     linked: int = 0
     made: int = 0
 
-    def holder(self) -> _Element:
-        for e in reversed(self.stack):
-            if e.tag not in INLINE:
-                return e
-        return _Element("", 0, (), -1, False, False)
-
     def text(self, data: str) -> None:
+        if self.stack and self.stack[-1].skipped:
+            return
         if "&" in data:
             data = entities.unescape(data)
         self.parts.append(data)
@@ -132,12 +141,16 @@ class _Reader:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                e = self.holder()
-                top = self.stack[-1] if self.stack else e
-                parent = next((x.number for x in reversed(self.stack[:-1]) if x.tag not in INLINE), 0)
-                self.blocks.append(Block(text, e.tag, parent, min(self.linked, len(text)), top.marks, top.core, e.content))
+                top = self.stack[-1] if self.stack else _PAGE
+                self.blocks.append(Block(text, top.holder[0], top.parent, min(self.linked, len(text)), top.mark, top.core, top.content))
             self.parts, self.linked = [], 0
 
+    def cut(self, k: int) -> None:
+        """End the elements from the k-th on."""
+        for e in self.stack[k:]:
+            self.opened[e.tag] -= 1
+        del self.stack[k:]
+
     def open(self, tag: str, attributes: str) -> None:
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -149,41 +162,50 @@ class _Reader:
             ends = {"p"} if tag not in ("li", "td", "th", "tr", "dt", "dd", "option") else {"p", tag}
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k].tag in ends:
-                    del self.stack[k:]
+                    self.cut(k)
                     break
                 if self.stack[k].tag not in INLINE and self.stack[k].tag not in ("p",):
                     break
-        above = self.stack[-1] if self.stack else _Element("", 0, (), -1, False, False)
-        marks, core, content = above.marks, above.core, above.content
-        words = _names(attributes) if attributes and tag not in WHOLE else frozenset()
+        above = self.stack[-1] if self.stack else _PAGE
+        mark, core, content = above.mark, above.core, above.content
+        # the names of an article may be those of its subject, so parts of them say nothing
+        words = _names(attributes, whole=tag == "article") if attributes and tag not in WHOLE else frozenset()
         main = tag == "main" or "role=main" in words
         marked = tag in NOISE_TAGS or (tag == "header" and not content) or bool(words & NOISE_WORDS)
         if "not shown" in words or (marked and not main):
-            marks = (*marks, Mark("not shown" in words, tag == "article"))
-        if main or (tag == "article" and marks is above.marks):
-            core = len(marks)
-        content = content or main or tag in CONTENT_TAGS or bool(words & CONTENT_WORDS)
+            mark = Mark(mark, "not shown" in words, tag == "article")
+            self.marks.append(mark)
+        if main or (tag == "article" and mark is above.mark):
+            core = mark
+        content = content or main or tag in CONTENT_TAGS or (tag not in INLINE and bool(words & CONTENT_WORDS))
         self.made += 1
-        self.stack.append(_Element(tag, self.made, marks, core, content, above.link or tag == "a"))
+        self.opened[tag] += 1
+        inline = tag in INLINE
+        holder, parent = (above.holder, above.parent) if inline else ((tag, self.made), above.holder[1])
+        skipped = above.skipped or tag in SKIPPED
+        self.stack.append(_Element(tag, holder, parent, mark, core, content, above.link or tag == "a", skipped))
 
     def close(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
+        if not self.opened[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k].tag == tag:
-                del self.stack[k:]
+                self.cut(k)
                 return
             # an inline end tag does not close the blocks around it
             if tag in INLINE and self.stack[k].tag not in INLINE:
                 return
 
 
-def _names(attributes: str) -> frozenset[str]:
+def _names(attributes: str, whole: bool = False) -> frozenset[str]:
+    """Words of the class, id and role (whole names only, if ``whole``), and whether it is shown."""
     found: set[str] = set()
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "role"):
-            found.update(w for w in re.split(r"[^a-z]+", value) if w)
+            found.update(w for w in (value.split() if whole else re.split(r"[^a-z]+", value)) if w)
             if key == "role" and value.strip() == "main":
                 found.add("role=main")
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
@@ -191,9 +213,18 @@ def _names(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of the whole page in order, white space folded, character references decoded."""
+def blocks_of(page: str) -> tuple[list[Block], list[Mark]]:
+    """Blocks of the whole page in order, white space folded, character references decoded; its marks
+    from the outside in."""
     reader, at, n = _Reader(), 0, len(page)
+    unclosed: set[str] = set()  # names without an end tag in the rest of the page
+
+    def end_of(tag: str, at: int) -> re.Match | None:
+        end = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
+        if end is None:
+            unclosed.add(tag)
+        return end
+
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -207,16 +238,21 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if m[1]:
             reader.close(tag)
-        elif tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
-            at = end.end() if end else n
+        elif tag in RAW and not (reader.stack and reader.stack[-1].skipped and m[3].endswith("/")):
+            end = end_of(tag, at)
+            # code without an end goes to the end of the page; of others without an end only the tag goes
+            at = end.end() if end else n if tag in ("script", "style") else at
+        elif tag in SKIPPED and (m[3].endswith("/") or not end_of(tag, at)):
+            continue
+        elif reader.stack and reader.stack[-1].skipped and m[3].endswith("/"):
+            continue
         else:
             reader.open(tag, m[3])
     reader.flush()
-    return reader.blocks
+    return reader.blocks, reader.marks
 
 
-def noise_costs(blocks: list[Block], costs: Costs = PRODUCTION) -> list[int | None]:
+def noise_costs(blocks: list[Block], marks: list[Mark], costs: Costs = PRODUCTION) -> list[int | None]:
     """Per block the cost of the marks around it, which depends on what else the page has.
 
     A mark is lifted if it is around an article or main (a fifth or more of the words of all
@@ -225,23 +261,36 @@ def noise_costs(blocks: list[Block], costs: Costs = PRODUCTION) -> list[int | No
     and nothing from half of them on, though its border stays.  None: all marks are lifted.
     """
     size = [b.words() for b in blocks]
-    total, core = sum(size), sum(n for b, n in zip(blocks, size) if b.core >= 0)
-    inside: dict[Mark, int] = {}
-    around: dict[Mark, int] = {}
+    total, core = sum(size), sum(n for b, n in zip(blocks, size) if b.core is not False)
+    inside, around = dict.fromkeys(marks, 0), dict.fromkeys(marks, 0)
     for b, n in zip(blocks, size):
-        for k, m in enumerate(b.marks):
-            inside[m] = inside.get(m, 0) + n
-            around[m] = around.get(m, 0) + n * (k < b.core)
-    cost = {m: costs.hidden if m.hidden else costs.noise for m in inside if not around[m] or 5 * around[m] < core}
-    rival = sum(n for b, n in zip(blocks, size) if b.content and not any(m in cost for m in b.marks))
+        if b.mark:
+            inside[b.mark] += n
+        if b.core:
+            around[b.core] += n
+    for m in reversed(marks):  # a mark comes behind those around it
+        if m.above:
+            inside[m.above] += inside[m]
+            around[m.above] += around[m]
+    cost = {m: costs.hidden if m.hidden else costs.noise for m in marks if not around[m] or 5 * around[m] < core}
+
+    def summed() -> dict[Mark | None, int | None]:
+        """The costs of a mark and of those around it; None if all are lifted."""
+        out: dict[Mark | None, int | None] = {None: None}
+        for m in marks:
+            out[m] = (out[m.above] or 0) + cost[m] if m in cost else out[m.above]
+        return out
+
+    before = summed()
+    rival = sum(n for b, n in zip(blocks, size) if b.content and before[b.mark] is None)
     for m in list(cost):
         n = inside[m]
         if m.article and n > rival:
             del cost[m]
         elif n > 4 * rival:
             cost[m] = max(0, min(cost[m], cost[m] * (3 * total - 6 * n) // total))
-    left = [[cost[m] for m in b.marks if m in cost] for b in blocks]
-    return [sum(c) if c else None for c in left]
+    after = summed()
+    return [after[b.mark] for b in blocks]
 
 
 def capacities(blocks: list[Block], noise: list[int | None], costs: Costs = PRODUCTION) -> list[int]:
@@ -253,7 +302,7 @@ def capacities(blocks: list[Block], noise: list[int | None], costs: Costs = PROD
         score += costs.paragraph * (b.tag == "p") + costs.heading * (len(b.tag) == 2 and b.tag[0] == "h")
         score += costs.sentence * (b.text[-1] in ".!?…:;\"'”»)")
         # an article inside of noise counts as content, plain noise inside of an article does not
-        out.append(score + costs.content * (b.content and (against < costs.content or b.core == len(b.marks))) - against)
+        out.append(score + costs.content * (b.content and (against < costs.content or b.core is b.mark)) - against)
     return out
 
 
@@ -335,8 +384,8 @@ def source_side(terminal: list[int], ties: list[tuple[int, int, int]]) -> list[b
 
 
 def main_text(page: str | None, costs: Costs = PRODUCTION) -> str:
-    blocks = blocks_of(page or "")
-    noise = noise_costs(blocks, costs)
+    blocks, marks = blocks_of(page or "")
+    noise = noise_costs(blocks, marks, costs)
     terminal, ties = capacities(blocks, noise, costs), edges(blocks, noise, costs)
     for i, j, price in ties:
         # content may draw noise to its side, and is not drawn to the other side by it
