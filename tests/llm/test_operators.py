@@ -1,6 +1,8 @@
 """Secrets, pages, languages, near duplicates, fingerprints and repeats against brute force."""
 
+import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -68,6 +70,23 @@ def test_redaction(spark):
     assert all(r.n_chars == len(r.text) for r in out.collect() if "[SECRET]" in (r.text or ""))
 
 
+def test_wider_spans_are_clear_of_all_others(spark):
+    scanner = secret_scan.Scanner()
+    text = " ".join([f"token={TOKEN}{i}", f"ghp_{TOKEN}{i}", f"{TOKEN[::-1]}{i}+x"][i % 3] for i in range(6000))
+    began = time.perf_counter()
+    found = scanner.scan(text)
+    assert time.perf_counter() - began < 5 and len(found) == 6000
+    # the plain rule: kind after kind, a wider match counts if it meets no span so far
+    text = " ".join(f"secret: {TOKEN}/eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl{i} {TOKEN}eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2ln{i}" for i in range(30))
+    want = [(a, k, b) for a, k, b in base_spans(text)]
+    for k, (pattern, group, least) in enumerate(scanner.wider, len(secret_scan.BASE)):
+        for m in pattern.finditer(text):
+            if len(m[group]) >= least and (secret_scan.KINDS[k] != "opaque" or secret_scan._random_looking(m[group])):
+                if not any(a < m.end() and m.start() < b for a, _, b in want):
+                    want.append((m.start(), k, m.end()))
+    assert [x[:3] for x in scanner.scan(text)] == sorted(want)
+
+
 # -- pages ----------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header><h1>Site</h1></header>
@@ -136,6 +155,44 @@ def test_pages_table(spark):
 # -- languages ------------------------------------------------------------------
 
 
+@pytest.mark.parametrize(
+    "between",
+    [
+        '<svg class="i"/>', "<svg><title>no</title><g><text>no</text><svg/></g></svg>", "<object data=x>", "<iframe src=x>", "<textarea/>", "<math><mi>x</mi></math>",
+        "<template><p>no</p><template>no</template><p>no</p></template>", "<canvas>no</canvas>", "<object><object>no</object><p>no</p></object>", "</section></b>",
+    ],
+)
+def test_elements_without_text_take_nothing_else(between):
+    for outer in ("<article>{}</article>", "<div>{}</div>", "{}"):
+        page = f"<p>{LONG}</p>{between}<p>{LONG}</p><p>{LONG}</p>"
+        assert mincut.main_text(outer.format(page)) == " ".join([LONG] * 3)
+
+
+def test_names_of_articles_and_of_comments():
+    teaser = f'<div class="teaser">{f"<p>{LONG}</p>" * 5}</div>'
+    assert mincut.main_text(f'<article id="subscription-models-compared"><p>{LONG}</p><p>Of its own.</p></article>{teaser}').startswith(f"{LONG} Of its own.")
+    for name in ("discussion", "user-feedback", "comments"):
+        assert mincut.main_text(f'<article><p>{LONG}</p><p>{LONG}</p></article><section class="{name}"><p>{LONG}</p></section>') == f"{LONG} {LONG}"
+
+
+@pytest.mark.parametrize("tag", ["div", "b", 'div class="ad"', "nav", "section"])
+def test_deep_pages_take_linear_time(tag):
+    began = time.perf_counter()
+    text = mincut.main_text(f"<article><p>{LONG}</p></article>" + f"<{tag}>" * 100_000 + "x" + f"</{tag.split()[0]}>" * 100_000 + "</i>" * 1000)
+    assert text.startswith(LONG) and time.perf_counter() - began < 20
+    assert mincut.main_text("<article>" + f"<p>{LONG}</p>" * 3000 + "</article>") == " ".join([LONG] * 3000)
+
+
+def test_ties_change_labels():
+    """On pages without names the cut differs from the sign of the costs: short lines between paragraphs stay."""
+    page = "<div>" + f"<p>{LONG}</p><div>A note</div><p>{LONG}</p><div>one two</div>" * 5 + f"<p>{LONG}</p></div>" + "<div>a</div>" * 3
+    blocks, marks = mincut.blocks_of(page)
+    noise = mincut.noise_costs(blocks, marks)
+    terminal = mincut.capacities(blocks, noise)
+    kept = mincut.source_side(terminal, mincut.edges(blocks, noise))
+    assert sum(k != (c > 0) for k, c in zip(kept, terminal)) >= 10 and not any(kept[-3:])
+
+
 def test_held_out_accuracy(spark):
     base = f"{DATA.rsplit('/', 1)[0]}/sf0.01"
     lang = {r.doc_id: (r.lang, r.text) for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
@@ -264,7 +321,43 @@ def brute_repeats(data):
     return out
 
 
-@pytest.mark.parametrize("settings", [fm_index.PRODUCTION, fm_index.Settings(shard_words=50, common=3)])
+def test_likeness_of_long_runs_and_of_known_shares():
+    many = ["word " * n for n in (32_767, 32_769, 32_771, 70_000)]
+    prints = [multiset.fingerprint(t) for t in many]
+    assert all(multiset.likeness(a, b) > 0.99 for a in prints for b in prints)
+    # the estimate against the exact cosine of the counts of runs of three words
+    for share in range(0, 101, 10):
+        a = prose(1, 600, PLAIN).split()
+        b = a[: 6 * share] + prose(2, 600, PLAIN).split()[6 * share :]
+        x, y = (Counter(zip(t, t[1:], t[2:])) for t in (a, b))
+        exact = sum(n * y[k] for k, n in x.items()) / (sum(n * n for n in x.values()) * sum(n * n for n in y.values())) ** 0.5
+        assert abs(multiset.likeness(*(multiset.fingerprint(" ".join(t)) for t in (a, b))) - exact) < 0.2
+
+
+def test_fingerprints_add_up_by_hand():
+    text = "one two three four\n\nred blue\nred blue\ngreen"
+    equal = np.zeros(multiset.EQUAL, dtype=np.uint32)
+    for p in ("one two three four", "red blue", "red blue", "green"):
+        equal += np.frombuffer(hashlib.shake_128(p.encode()).digest(4 * multiset.EQUAL), "<u4")
+    assert multiset.fingerprint(text)[: 4 * multiset.EQUAL] == equal.tobytes()
+    whole, part = multiset.fingerprint(text), multiset.fingerprint("red blue\ngreen")
+    assert multiset.combine(whole, part, -1) == multiset.fingerprint("red blue\none two three four")
+
+
+def test_sample_is_of_distinct_texts(spark):
+    texts = [prose(i, 30, PLAIN) for i in range(40)]
+    data = [(i, texts[0], "en", None, None) for i in range(500)] + [(600 + i, t, "en", None, None) for i, t in enumerate(texts)]
+    few = centroids.fit(frame(spark, data), centroids.Settings(per_language=20))
+    # copies weigh on document frequencies only: the sample is that of the distinct texts
+    seen = centroids._least(20)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"lang": ["a", "b", "a", "a"], "draw": [5, 1, 5, -3]})
+    assert {(r["lang"], r["draw"]) for b in seen([batch, batch]) for r in b.to_pylist()} == {("a", -3), ("a", 5), ("b", 1)}
+    assert few.language and len(few.language) > 1
+
+
+@pytest.mark.parametrize("settings", [fm_index.PRODUCTION, fm_index.Settings(shard_words=50, common=3), fm_index.Settings(common=1 << 30, deal=3)])
 def test_repeats_equal_brute_force(spark, settings):
     shared = prose(5, 60, PLAIN)
     data = rows() + [(300 + i, f"{prose(i, 20, PLAIN)} {shared} {prose(i + 50, 30, PLAIN)}", None, None, None) for i in range(25)]
