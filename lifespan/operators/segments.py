@@ -2,11 +2,12 @@
 
 A unit may hold a third of all rows, so a window over a whole unit is only opened where
 every unit is known to be small.  ``Axis.fit`` counts the rows per unit first.  With no
-large unit, one window per unit does the work.  Otherwise the time axis of each large
-unit is cut into segments of bounded row count; ordered work runs inside
-``(unit, segment)`` and one summary row per segment carries the state (row count, last
-row, running minimum) over the segment borders.  Only the summary rows of a unit meet
-in one task.
+large unit, one window per unit does the work.  Otherwise each large unit is cut by rank:
+a sample of its positions (time and what breaks ties, so also inside one second), drawn by
+hash, gives cut points so many rows apart.  Ordered work runs inside ``(unit, segment)``
+and one summary row per segment carries the state (row count, last row, running minimum)
+over the segment borders.  Only the summary rows of a unit meet in one task: as many as it
+has rows over the rows of a segment, however its rows lie in time.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ SEG = "__segment"
 BLOCK = "__block"
 _ROW = "__row"
 _CARRY = "__carry"
-_WIDTH = "__width"
+_CUTS = "__cuts"
+#: Sampled positions for each cut point, and cut points of a unit at most.
+SAMPLED, MOST_CUTS = 64, 10_000
 
 
 def columns_of(df: DataFrame) -> list[Column]:
@@ -35,40 +38,46 @@ def columns_of(df: DataFrame) -> list[Column]:
 class Axis:
     """Unit keys, ordering columns (the first is numeric) and how units are cut.
 
-    ``width`` is the extent of one segment on the first ordering column; None leaves a
-    unit whole.  ``large`` holds a width of their own for the units that need one.
+    ``width`` is the extent of one segment on a dense or even first ordering column; None
+    leaves a unit whole.  ``large`` holds the cut points of the units that need some: positions
+    on ``cut_order``, rising, each the first of its segment.
     """
 
     unit: tuple[str, ...]
     order: tuple[str, ...]
     width: float | None = None
     large: DataFrame | None = field(default=None, compare=False)
-    n_large: int = 0
+    cut_order: tuple[str, ...] = ()
+    most_cuts: int = 0
+    all_cuts: int = 0
 
     @classmethod
-    def fit(cls, df: DataFrame, unit: tuple[str, ...], order: tuple[str, ...], grain: float, rows: int = SEGMENT_ROWS) -> Axis:
+    def fit(cls, df: DataFrame, unit: tuple[str, ...], order: tuple[str, ...], rows: int = SEGMENT_ROWS) -> Axis:
         """Axis for ``df``: whole units where all are small, segments for the large ones.
 
-        ``grain`` is the shortest segment worth making.  The first job reads the unit
-        columns alone; only if there are large units a second one reads their times.
+        The first job reads the unit columns alone; only if there are large units a second one
+        draws their positions.  A segment has about ``rows`` rows (``MOST_CUTS`` segments of a unit
+        at most, then evenly more); rows of one and the same position stay together.
         """
         from lifespan.sources.storage import cut_lineage
 
-        counts = df.groupBy(*unit).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
+        counts = df.groupBy(*unit).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows)
         if counts.isEmpty():
             return cls(unit, order)
-        ids = cut_lineage(counts.select(*unit))
-        n_large = ids.count()
-        small = F.broadcast(ids) if n_large <= BROADCAST_ROWS else ids
-        mine = df.select(*unit, order[0]).join(small, list(unit), "left_semi")
-        density = (
-            mine.groupBy(*unit, F.floor(F.col(order[0]) / F.lit(float(grain))).alias("__grain"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .groupBy(*unit)
-            .agg(F.max("n").alias("n"))
-        )
-        width = F.lit(float(grain)) * F.greatest(F.lit(1.0), F.floor(F.lit(float(rows)) / F.col("n")))
-        return cls(unit, order, None, cut_lineage(density.select(*unit, width.alias(_WIDTH))), n_large)
+        # of each unit: segments, and every how many sampled positions one is a cut
+        parts = F.least(F.ceil(F.col("__n") / F.lit(rows)), F.lit(MOST_CUTS))
+        every = F.least(F.lit(SAMPLED), F.ceil(F.col("__n") / parts))
+        sized = cut_lineage(counts.select(*unit, every.alias("__every"), (every * parts / F.col("__n")).alias("__share")))
+        fields = tuple(c for c in order if c in df.columns)
+        position = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(fields)])
+        side = F.broadcast(sized) if sized.count() <= BROADCAST_ROWS else sized
+        placed = df.select(*unit, position.alias("__at")).join(side, list(unit))
+        drawn = placed.where(F.pmod(F.xxhash64(*unit, "__at", F.lit(1)), F.lit(1 << 30)) < F.col("__share") * F.lit(1 << 30))
+        nth = F.row_number().over(Window.partitionBy(*unit).orderBy("__at"))
+        cuts = drawn.withColumn("__nth", nth).where(F.col("__nth") % F.col("__every") == 0)
+        large = cut_lineage(cuts.groupBy(*unit).agg(F.sort_array(F.collect_list("__at")).alias(_CUTS)))
+        size = large.agg(F.max(F.size(_CUTS)), F.sum(F.size(_CUTS))).first()
+        return cls(unit, order, None, large, fields, size[0] or 0, size[1] or 0)
 
     @property
     def whole_units(self) -> bool:
@@ -92,12 +101,32 @@ class Axis:
         t = F.col(self.order[0])
         if self.large is None:
             return df.withColumn(SEG, F.floor(t / F.lit(float(self.width))))
-        widths = (
+        cut = (
             df.join(F.broadcast(self.large), list(self.unit), "left")
-            if self.n_large <= BROADCAST_ROWS
+            if self.all_cuts <= BROADCAST_ROWS
             else spread_join(df, self.large, list(self.unit), "left")
         )
-        return widths.withColumn(SEG, F.coalesce(F.floor(t / F.col(_WIDTH)), F.lit(0))).drop(_WIDTH)
+        return cut.withColumn(SEG, self._cuts_passed()).drop(_CUTS)
+
+    def _cuts_passed(self) -> Column:
+        """How many cut points are not behind the row, by halving their list."""
+        kinds = self.large.schema[_CUTS].dataType.elementType.fields
+        if self.order[: len(kinds)] == self.cut_order:
+            own = F.struct(*[F.col(c).cast(k.dataType).alias(k.name) for c, k in zip(self.order, kinds)])
+            passed = lambda cut: cut <= own
+        else:  # another order of ties: rows of one time stay together
+            own = F.col(self.order[0]).cast(kinds[0].dataType)
+            passed = lambda cut: cut["p0"] <= own
+
+        def halve(s: Column, _: Column) -> Column:
+            middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+            right = passed(F.get(F.col(_CUTS), middle))
+            low, high = F.when(right, middle + 1).otherwise(s["low"]), F.when(right, s["high"]).otherwise(middle)
+            return F.when(s["low"] < s["high"], F.struct(low.alias("low"), high.alias("high"))).otherwise(s)
+
+        start = F.struct(F.lit(0).alias("low"), F.size(_CUTS).alias("high"))
+        turns = F.sequence(F.lit(1), F.lit(max(1, self.most_cuts.bit_length())))
+        return F.coalesce(F.when(F.col(_CUTS).isNotNull(), F.aggregate(turns, start, halve, lambda s: s["low"])), F.lit(0))
 
     def local(self):
         return Window.partitionBy(*self.keys).orderBy(*self.order)
@@ -281,7 +310,7 @@ def rank_by_hash(df: DataFrame, group: list[str], digest: str, name: str, total:
     huge group into equal parts.
     """
     slots = df.withColumn("__slot", F.conv(F.substring(digest, 1, 4), 16, 10).cast("long"))
-    axis = Axis.fit(slots, tuple(group), ("__slot", digest), grain=1.0)
+    axis = Axis.fit(slots, tuple(group), ("__slot", digest))
     return row_numbers(slots, axis, name, total).drop("__slot")
 
 

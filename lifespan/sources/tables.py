@@ -41,9 +41,9 @@ def event_readings(spark: SparkSession, base: str) -> DataFrame:
 def event_axis(spark: SparkSession, base: str) -> Axis:
     """Axis of the event times, cut where a user has very many events."""
     keyed = read(spark, base, "events").select(
-        F.col("user_id").alias("unit_id"), (seconds("ts") - F.lit(EPOCH_2024_S)).alias("t")
+        F.col("user_id").alias("unit_id"), (seconds("ts") - F.lit(EPOCH_2024_S)).alias("t"), F.col("event_id").alias("row_number")
     )
-    return Axis.fit(keyed, ("unit_id",), ("t", "row_number"), grain=1.0)
+    return Axis.fit(keyed, ("unit_id",), ("t", "row_number"))
 
 
 def event_rows(spark: SparkSession, base: str) -> DataFrame:

@@ -76,7 +76,7 @@ def test_query_with_cut_units(spark, duck, name, monkeypatch):
 
     def narrow(session, base):
         keyed = tb.event_rows(session, base).select("unit_id", "t")
-        axis = Axis.fit(keyed, ("unit_id",), ("t", "row_number"), grain=1.0, rows=3)
+        axis = Axis.fit(keyed, ("unit_id",), ("t", "row_number"), rows=3)
         assert not axis.whole_units
         return axis
 

@@ -15,7 +15,7 @@ both_axes = pytest.mark.parametrize("axis", [NARROW, WHOLE, "fitted"])
 
 
 def resolve(axis, df):
-    return Axis.fit(df, ("unit_id",), ("t", "row"), grain=1.0, rows=30) if axis == "fitted" else axis
+    return Axis.fit(df, ("unit_id",), ("t", "row"), rows=30) if axis == "fitted" else axis
 
 
 @pytest.fixture(scope="module")
@@ -80,11 +80,34 @@ def test_last_known(spark, skewed, axis):
 
 def test_fitted_axis_cuts_only_large_units(spark, skewed):
     df = as_spark(spark, skewed)
-    axis = Axis.fit(df, ("unit_id",), ("t", "row"), grain=1.0, rows=30)
+    axis = Axis.fit(df, ("unit_id",), ("t", "row"), rows=30)
     sizes = axis.segmented(df).groupBy("unit_id", sg.SEG).count().toPandas().set_index("unit_id")
-    assert axis.n_large == 2 and sizes.loc["hot", "count"].max() <= 30
+    assert axis.large.count() == 2 and sizes.loc["hot", "count"].max() <= 30
     assert (sizes.loc[["b", "c"], sg.SEG] == 0).all()
-    assert Axis.fit(df, ("unit_id",), ("t", "row"), grain=1.0, rows=1000).whole_units
+    assert Axis.fit(df, ("unit_id",), ("t", "row"), rows=1000).whole_units
+
+
+@pytest.mark.parametrize("shape", ["burst", "one second", "even"])
+def test_cuts_follow_ranks_not_times(spark, shape):
+    """Rows of a segment stay near what is asked for, in a burst and inside one second too."""
+    n = 40_000
+    t = {"burst": "if(id < 39000, 1e6 + id / 1e6, id * 100.0)", "one second": "5.0", "even": "id * 3.0"}[shape]
+    df = spark.range(n).selectExpr("'u' as unit_id", f"double({t}) as t", "id as row", "double(id % 7) as value", "double(null) as maybe")
+    axis = Axis.fit(df, ("unit_id",), ("t", "row"), rows=200)
+    sizes = [r["count"] for r in axis.segmented(df).groupBy("unit_id", sg.SEG).count().collect()]
+    assert len(sizes) <= 2 * n / 200 and max(sizes) <= 2 * 200 and sum(sizes) == n
+    numbered = sg.row_numbers(df, axis, "step").toPandas().sort_values(["t", "row"])
+    assert numbered["step"].tolist() == list(range(n))
+
+
+def test_cuts_with_nulls_and_equal_positions(spark):
+    rows = [("u", None if i % 3 == 0 else float(i % 5), None if i % 7 == 0 else i) for i in range(300)] + [("u", 2.0, 9)] * 100
+    df = spark.createDataFrame(rows, "unit_id string, t double, row long")
+    axis = Axis.fit(df, ("unit_id",), ("t", "row"), rows=20)
+    out = sg.row_numbers(df, axis, "step", "n").toPandas()
+    assert sorted(out["step"]) == list(range(400)) and (out["n"] == 400).all()
+    by_step = out.sort_values("step")
+    assert by_step["t"].isna().tolist() == [True] * 100 + [False] * 300 and by_step["t"].dropna().is_monotonic_increasing
 
 
 @pytest.mark.parametrize("whole", [False, True])
