@@ -8,8 +8,11 @@ FM-index of its distinct segments (Burrows-Wheeler transform in a wavelet matrix
 and streams them through it.  Backward search gives the matching statistics of every window; where
 they reach 13 words, the range of suffixes gives the smallest document that holds the window.
 
-An anchor that a sample finds in many documents would gather too much in one shard; it is known to
-be repeated, and its windows are dealt out one by one, by their own hash.
+Words are compared by their 64-bit hashes, and a segment travels as the hashes of its words.
+
+An anchor that many documents hold would gather too much in one shard, so its windows are dealt out
+one by one, by their own hash.  A sample finds those of half a per cent of all documents or more,
+which are not even counted; the others are counted exactly.
 """
 
 from __future__ import annotations
@@ -31,13 +34,15 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` rows at most (about) look for common anchors; ``common`` of them make one common."""
+    """``sample`` rows at most (about) look for common anchors; ``common`` of them make one common.
+    ``deal`` documents that hold an anchor make its windows go one by one."""
 
     window: int = 13
     anchor: int = 5
     shard_words: int = 400_000
     sample: int = 3000
     common: int = 15
+    deal: int = 20_000
 
 
 PRODUCTION = Settings()
@@ -114,16 +119,16 @@ def matches(index: FMIndex, text: np.ndarray, starts: np.ndarray, length: int) -
     return going, low, high
 
 
-def least_documents(segments: list[bytes], document: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each distinct segment and window in it the smallest document that has the window.
+def least_documents(words: np.ndarray, counts: np.ndarray, document: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each segment the smallest document that has it, and windows per segment.
 
-    ``document`` is the smallest document of each whole segment.
+    ``words`` are the hashes of the words of all (distinct) segments, ``counts`` their numbers,
+    ``document`` the smallest document of each whole segment.
     """
-    w = split(pa.array(segments, pa.binary()).cast(pa.string()))
-    counts = w.counts()
-    known, symbol = np.unique(hashes(w), return_inverse=True)
-    text = np.zeros(len(symbol) + len(segments), dtype=np.int64)
-    text[np.arange(len(symbol)) + w.row] = symbol + 1
+    _, symbol = np.unique(words, return_inverse=True)
+    row = np.repeat(np.arange(len(counts)), counts)
+    text = np.zeros(len(symbol) + len(counts), dtype=np.int64)
+    text[np.arange(len(symbol)) + row] = symbol + 1
     begin = np.concatenate([[0], np.cumsum(counts + 1)[:-1]])
     windows = np.maximum(counts - length + 1, 0)
     offset = np.concatenate([[0], np.cumsum(windows)])
@@ -133,10 +138,11 @@ def least_documents(segments: list[bytes], document: np.ndarray, length: int) ->
     found, low, high = matches(index, text, starts, length)
     if len(found):
         owner = np.repeat(document, counts + 1)[index.suffixes]
-        bounds, which = np.unique(np.stack([low, high], axis=1), axis=0, return_inverse=True)
-        smallest = np.minimum.reduceat(np.append(owner, np.iinfo(np.int64).max), bounds.ravel())[::2]
-        least[found] = smallest[which.ravel()]
-    return np.split(least, offset[1:-1])
+        bounds, which = np.unique(low * np.int64(index.n + 1) + high, return_inverse=True)
+        ranges = np.stack([bounds // (index.n + 1), bounds % (index.n + 1)], axis=1)
+        smallest = np.minimum.reduceat(np.append(owner, np.iinfo(np.int64).max), ranges.ravel())[::2]
+        least[found] = smallest[which]
+    return least, windows
 
 
 # -- anchors and segments -------------------------------------------------------
@@ -161,7 +167,8 @@ def anchors(w: Words, value: np.ndarray, settings: Settings) -> tuple[np.ndarray
 
 def _anchored(texts: pa.Array, settings: Settings):
     w = split(texts)
-    return w, *anchors(w, hashes(w), settings)
+    value = hashes(w)
+    return w, value, *anchors(w, value, settings)
 
 
 def _pairs(docs: DataFrame, settings: Settings, skip: np.ndarray) -> DataFrame:
@@ -169,7 +176,7 @@ def _pairs(docs: DataFrame, settings: Settings, skip: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", SLICE):
-            w, start, _, anchor = _anchored(batch.column("text"), settings)
+            w, _, start, _, anchor = _anchored(batch.column("text"), settings)
             row = w.row[start]
             new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]) if len(row) else np.zeros(0, dtype=bool)
             anchor, row = anchor[new].view(np.int64), row[new]
@@ -194,148 +201,192 @@ def common_anchors(docs: DataFrame, whole: DataFrame, settings: Settings) -> np.
     return np.sort(np.array([r["anchor"] for r in counted.filter(F.col("n") >= settings.common).collect()], dtype=np.int64))
 
 
-def _shared(pairs: DataFrame) -> DataFrame:
-    """Those of ``anchor, doc_id`` whose anchor stands in two documents or more."""
+def _shared(pairs: DataFrame, settings: Settings) -> DataFrame:
+    """Those of ``anchor, doc_id`` whose anchor stands in two documents or more, and ``many``: whether
+    it stands in more than ``deal``.  A task holds that many rows of an anchor until it knows."""
     n = partitions_of(pairs.sparkSession)
     ordered = pairs.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of the last anchor so far: its value, a document waiting for a second one, or None
-        last, waiting = None, None
+        def rows(anchor: np.ndarray, ids: np.ndarray, many: bool | np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(anchor), pa.array(ids), pa.array(np.broadcast_to(many, len(anchor)).copy())]
+            return pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "many"])
+
+        # the last anchor so far: its rows, or only that it has been found to stand in many documents
+        last, held, many = None, [], False
         for batch in batches:
             if not batch.num_rows:
                 continue
             anchor, ids = batch.column("anchor").to_numpy(), batch.column("doc_id").to_numpy()
-            if last is not None and anchor[0] == last and waiting is not None:
-                anchor, ids = np.append(last, anchor), np.append(waiting, ids)
-            known = last if waiting is None else None
-            first = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-            group = np.cumsum(first) - 1
-            begin = np.flatnonzero(first)
-            end = np.append(begin[1:], len(anchor)) - 1
-            shared = ids[begin] != ids[end]
-            if known is not None and anchor[0] == known:
-                shared[0] = True
-            last, waiting = anchor[-1], None if shared[-1] else ids[-1]
-            keep = shared[group]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(ids[keep])], ["anchor", "doc_id"])
-
-    return ordered.mapInArrow(run, "anchor long, doc_id long")
-
-
-def _segments(texts: pa.Array, wanted: list, common: np.ndarray, settings: Settings) -> Iterator[tuple[int, int, int, bytes]]:
-    """Row, key, first word and bytes of every segment of windows with wanted or common anchors."""
-    w, start, place, anchor = _anchored(texts, settings)
+            own = int(np.searchsorted(anchor, last, side="right")) if last is not None and anchor[0] == last else 0
+            if many and own:
+                yield rows(anchor[:own], ids[:own], True)
+                anchor, ids = anchor[own:], ids[own:]
+            elif held:
+                before = np.concatenate(held)
+                anchor, ids = np.concatenate([np.full(len(before), last), anchor]), np.concatenate([before, ids])
+            if not len(anchor):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            size = np.diff(np.append(first, len(anchor)))
+            # the last anchor may go on in the next batch
+            done = first[-1]
+            keep = np.repeat(ids[first] != ids[first + size - 1], size)[:done]
+            large = np.repeat(size > settings.deal, size)[:done]
+            yield rows(anchor[:done][keep], ids[:done][keep], large[keep])
+            last, held, many = anchor[-1], [ids[done:]], bool(size[-1] > settings.deal)
+            if many:
+                yield rows(anchor[done:], ids[done:], True)
+                held = []
+        if held and held[0][0] != held[0][-1]:
+            yield rows(np.full(len(held[0]), last), held[0], False)
+
+    return ordered.mapInArrow(run, "anchor long, doc_id long, many boolean")
+
+
+@dataclass
+class Segments:
+    """Runs of windows with one anchor in one place: row, key, first word in the text, hash of the
+    word sequence; and the words' hashes, one segment behind the other."""
+
+    row: np.ndarray
+    key: np.ndarray
+    first: np.ndarray
+    digest: np.ndarray
+    size: np.ndarray
+    words: np.ndarray
+
+
+def _within(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the sizes."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _segments(batch: pa.RecordBatch, common: np.ndarray, settings: Settings) -> Segments | None:
+    """Every segment of windows with wanted (``anchors``) or common anchors; those of an anchor that
+    many documents hold (``many``) are single windows with keys of their own."""
+    w, value, start, place, anchor = _anchored(batch.column("text"), settings)
     row, anchor = w.row[start], anchor.view(np.int64)
-    lists = [np.asarray(x if x is not None else [], dtype=np.int64) for x in wanted]
-    # anchors wanted of each row: compare (row, anchor) by a mix of both, then exactly by row
-    hot = np.isin(anchor, common)
     bounds = np.searchsorted(row, np.arange(w.n_rows + 1))
-    chosen = hot.copy()
-    for r, x in enumerate(lists):
-        if len(x):
-            chosen[bounds[r] : bounds[r + 1]] |= np.isin(anchor[bounds[r] : bounds[r + 1]], x)
+    single = np.isin(anchor, common)
+    chosen = single.copy()
+    for name, into in (("anchors", chosen), ("many", single)):
+        lists = batch.column(name)
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for r in np.flatnonzero(np.diff(ends) > 0):
+            at = slice(bounds[r], bounds[r + 1])
+            into[at] |= np.isin(anchor[at], flat[ends[r] : ends[r + 1]])
     at = np.flatnonzero(chosen)
     if not len(at):
-        return
+        return None
     # a segment goes on while the next window has the same anchor in the same place
-    begins = np.concatenate([[True], (place[at[1:]] != place[at[:-1]]) | (row[at[1:]] != row[at[:-1]]) | hot[at[1:]]])
-    heads = np.flatnonzero(begins)
-    sizes = np.diff(np.append(heads, len(at)))
-    base = w.bounds()
-    data = w.data.tobytes()
-    single = runs(hashes(w), settings.window).view(np.int64) if hot[at].any() else None
-    for head, size in zip(heads.tolist(), sizes.tolist()):
-        k = at[head]
-        a = int(start[k])
-        b = a + size - 1 + settings.window
-        # words joined by one space, whatever stood between them
-        text = b" ".join(data[w.start[a] : w.end[b - 1]].split())
-        yield int(row[k]), int(single[a] if hot[k] else anchor[k]), a - int(base[row[k]]), text
+    begins = np.concatenate([[True], (place[at[1:]] != place[at[:-1]]) | (row[at[1:]] != row[at[:-1]]) | single[at[1:]]])
+    head = np.flatnonzero(begins)
+    size = np.diff(np.append(head, len(at))) - 1 + settings.window
+    head = at[head]
+    begin, within = start[head], _within(size)
+    words = value[within + np.repeat(begin, size)]
+    digest = np.add.reduceat(mixed(words + mixed(within.astype(np.uint64) + _U(1))), np.cumsum(size) - size).view(np.int64)
+    # the digest of a single window is also the key that deals it out
+    return Segments(row[head], np.where(single[head], digest, anchor[head]), begin - w.bounds()[row[head]], digest, size, words)
+
+
+def _binary(words: np.ndarray, size: np.ndarray) -> pa.Array:
+    """One binary value for each segment, 8 bytes a word."""
+    ends = np.concatenate([[0], np.cumsum(size) * 8])
+    if ends[-1] < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
+    data = words.tobytes()
+    return pa.array([data[x:y] for x, y in zip(ends, ends[1:])], pa.binary())
 
 
 def _distinct(joined: DataFrame, common: np.ndarray, settings: Settings) -> DataFrame:
-    """``key, segment, doc_id`` (the smallest) and ``n`` (how often), combined within each batch."""
+    """``key, digest, segment, doc_id`` (the smallest) and ``n`` (how often), combined within each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            found: dict[tuple[int, bytes], list[int]] = {}
+            found: list[tuple[Segments, np.ndarray]] = []
             for batch in pieces_of([whole], "text", SLICE):
-                ids = batch.column("doc_id").to_pylist()
-                for row, key, _, text in _segments(batch.column("text"), batch.column("anchors").to_pylist(), common, settings):
-                    seen = found.setdefault((key, text), [ids[row], 0])
-                    seen[0], seen[1] = min(seen[0], ids[row]), seen[1] + 1
-            if found:
-                key, text = zip(*found)
-                least, n = zip(*found.values())
-                columns = [pa.array(key, pa.int64()), pa.array(text, pa.binary()), pa.array(least, pa.int64()), pa.array(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "segment", "doc_id", "n"])
-
-    return joined.mapInArrow(run, "key long, segment binary, doc_id long, n long")
+                made = _segments(batch, common, settings)
+                if made is not None:
+                    found.append((made, batch.column("doc_id").to_numpy()[made.row]))
+            if not found:
+                continue
+            key, digest, size = (np.concatenate([getattr(f, x) for f, _ in found]) for x in ("key", "digest", "size"))
+            ids = np.concatenate([d for _, d in found])
+            order = np.lexsort((ids, digest, key))
+            new = np.concatenate([[True], (key[order[1:]] != key[order[:-1]]) | (digest[order[1:]] != digest[order[:-1]])])
+            first = np.flatnonzero(new)
+            kept, n = order[first], np.diff(np.append(first, len(order)))
+            words = np.concatenate([f.words for f, _ in found])
+            begin = np.cumsum(size) - size
+            own = size[kept]
+            words = words[_within(own) + np.repeat(begin[kept], own)]
+            columns = [pa.array(key[kept]), pa.array(digest[kept]), _binary(words, own), pa.array(ids[kept]), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "digest", "segment", "doc_id", "n"])
+
+    return joined.mapInArrow(run, "key long, digest long, segment binary, doc_id long, n long")
 
 
 def _searched(segments: DataFrame, settings: Settings) -> DataFrame:
     """``key, digest, least``: the smallest document of each window of a segment, where it matters."""
     n = partitions_of(segments.sparkSession)
-    placed = segments.repartition(n, "key").sortWithinPartitions("key", "segment")
+    placed = segments.repartition(n, "key").sortWithinPartitions("key", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: list[int] = []
-        text: list[bytes] = []
-        least: list[int] = []
-        count: list[int] = []
-        words = 0
+        held: list[pa.RecordBatch] = []
+        words, limit = 0, settings.shard_words
         for batch in batches:
-            for k, t, d, c in zip(*(batch.column(x).to_pylist() for x in ("key", "segment", "doc_id", "n"))):
-                if key and k == key[-1] and t == text[-1]:
-                    least[-1], count[-1] = min(least[-1], d), count[-1] + c
-                    continue
-                if words >= settings.shard_words and k != key[-1]:
-                    yield _shard(key, text, least, count, settings)
-                    key, text, least, count, words = [], [], [], [], 0
-                key.append(k)
-                text.append(t)
-                least.append(d)
-                count.append(c)
-                words += t.count(b" ") + 1
-        if key:
-            yield _shard(key, text, least, count, settings)
-
-    return placed.mapInArrow(run, "key long, segment binary, least array<long>")
-
-
-def _shard(key: list[int], text: list[bytes], least: list[int], count: list[int], settings: Settings) -> pa.RecordBatch:
-    own = np.array(least, dtype=np.int64)
-    found = least_documents(text, own, settings.window)
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            words += batch.column("segment").nbytes // 8
+            if words < limit:
+                continue
+            # shards end between two keys
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            key = table.column("key").to_numpy()
+            done = int(np.searchsorted(key, key[-1]))
+            if done:
+                yield _shard(table.slice(0, done), settings)
+            rest = table.slice(done)
+            held, words = [rest], rest.column("segment").nbytes // 8
+            limit = max(settings.shard_words, 2 * words)
+        if held:
+            yield _shard(pa.Table.from_batches(held).combine_chunks().to_batches()[0], settings)
+
+    return placed.mapInArrow(run, "key long, digest long, least array<long>")
+
+
+def _shard(rows: pa.RecordBatch, settings: Settings) -> pa.RecordBatch:
+    key, digest, ids, n = (rows.column(c).to_numpy() for c in ("key", "digest", "doc_id", "n"))
+    # rows of one segment from several batches are one
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])]))
+    own, count = np.minimum.reduceat(ids, first), np.add.reduceat(n, first)
+    segments = rows.column("segment").take(pa.array(first)).to_pylist()
+    size = np.array([len(x) // 8 for x in segments])
+    least, windows = least_documents(np.frombuffer(b"".join(segments), dtype="<u8"), size, own, settings.window)
     # a segment of one document in which nothing stands in a smaller one removes nothing
-    use = [i for i, x in enumerate(found) if count[i] > 1 or (x < own[i]).any()]
-    columns = [
-        pa.array([key[i] for i in use], pa.int64()),
-        pa.array([text[i] for i in use], pa.binary()),
-        pa.array([found[i].tolist() for i in use], pa.list_(pa.int64())),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["key", "segment", "least"])
+    begin = np.cumsum(windows) - windows
+    use = (count > 1) | np.logical_or.reduceat(least < np.repeat(own, windows), begin)
+    kept = np.repeat(use, windows)
+    ends = np.concatenate([[0], np.cumsum(windows[use])]).astype(np.int32)
+    columns = [pa.array(key[first][use]), pa.array(digest[first][use]), pa.ListArray.from_arrays(pa.array(ends), pa.array(least[kept]))]
+    return pa.RecordBatch.from_arrays(columns, ["key", "digest", "least"])
 
 
 def _occurrences(joined: DataFrame, common: np.ndarray, settings: Settings) -> DataFrame:
-    """``key, segment, doc_id, mark, first``: where the segments stand."""
+    """``key, digest, doc_id, mark, first``: where the segments stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", SLICE):
-            ids, marks = batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist()
-            rows = list(_segments(batch.column("text"), batch.column("anchors").to_pylist(), common, settings))
-            if rows:
-                row, key, first, text = zip(*rows)
-                columns = [
-                    pa.array(key, pa.int64()),
-                    pa.array(text, pa.binary()),
-                    pa.array([ids[r] for r in row], pa.int64()),
-                    pa.array([marks[r] for r in row], pa.int32()),
-                    pa.array(first, pa.int32()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "segment", "doc_id", "mark", "first"])
-
-    return joined.mapInArrow(run, "key long, segment binary, doc_id long, mark int, first int")
+            made = _segments(batch, common, settings)
+            if made is not None:
+                at = pa.array(made.row)
+                columns = [pa.array(made.key), pa.array(made.digest), batch.column("doc_id").take(at), batch.column("mark").take(at)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(made.first.astype(np.int32))], ["key", "digest", "doc_id", "mark", "first"])
+
+    return joined.mapInArrow(run, "key long, digest long, doc_id long, mark int, first int")
 
 
 def _mark() -> Column:
@@ -365,8 +416,13 @@ def copies(docs: DataFrame, settings: Settings = PRODUCTION) -> DataFrame:
 
     schema = "doc_id long, print long, n_words long, a long, b long"
     digests = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(run, schema))
-    first = digests.groupBy("a", "b", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    return cut(digests.join(first, ["a", "b", "n_words"]).filter("first < doc_id").select("doc_id", "print", "n_words"))
+    same = ["a", "b", "n_words"]
+    first = digests.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    first = cut(first.filter("first < last"))
+    # groups of more than a thousandth of all rows, a thousand at most, come to their rows
+    large = F.broadcast(first.filter(F.col("n") > digests.count() / 1000).select(*same, "first"))
+    found = digests.join(large, same).unionByName(digests.join(large, same, "left_anti").join(first.select(*same, "first"), same))
+    return cut(found.filter("first < doc_id").select("doc_id", "print", "n_words"))
 
 
 def repeated_windows(docs: DataFrame, common: np.ndarray, settings: Settings = PRODUCTION) -> DataFrame:
@@ -376,15 +432,14 @@ def repeated_windows(docs: DataFrame, common: np.ndarray, settings: Settings = P
     ``docs`` has ``doc_id`` (long, not null) and ``text``; ``common`` are anchors known to be repeated.
     Documents without such windows have no row.
     """
-    shared = _shared(_pairs(docs, settings, common))
-    lists = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    shared = _shared(_pairs(docs, settings, common), settings)
+    lists = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("many"), F.col("anchor"))).alias("many"))
     # texts meet the lists, and later what is removed, by one exchange on their id
     joined = docs.join(lists.withColumnRenamed("doc_id", "owner"), F.col("doc_id") == F.col("owner"), "left")
-    joined = joined.select("doc_id", "text", "anchors", _mark().alias("mark"))
-    searched = _searched(_distinct(joined, common, settings), settings)
-    digest = F.xxhash64("segment")
-    found = searched.select("key", digest.alias("digest"), "least")
-    places = _occurrences(joined, common, settings).select("key", digest.alias("digest"), "doc_id", "mark", "first")
+    none = F.array().cast("array<long>")
+    joined = joined.select("doc_id", "text", F.coalesce("anchors", none).alias("anchors"), F.coalesce("many", none).alias("many"), _mark().alias("mark"))
+    found = _searched(_distinct(joined, common, settings), settings)
+    places = _occurrences(joined, common, settings)
     # ids may be repeated: 32 bits of the text's hash say which row a start belongs to
     start = lambda i: F.shiftleft(F.col("mark").cast("long"), 32).bitwiseOR((F.col("first") + i).cast("long"))
     starts = F.filter(F.transform("least", lambda d, i: F.when(d < F.col("doc_id"), start(i))), lambda x: x.isNotNull())
