@@ -12,7 +12,7 @@ from lifespan.operators import evaluate, joins, mapping
 from lifespan.operators import segments as sg
 from lifespan.plans.registry import READINGS, STEPS, SUPPLIER_DAYS, query
 from lifespan.plans.window_queries import rounded
-from lifespan.sources import delimited, files, records, storage
+from lifespan.sources import delimited, files, fixtures, packed, records, storage
 from lifespan.sources import tables as tb
 
 
@@ -585,27 +585,40 @@ def read_json_records(spark, base):
     return read.unionByName(issues.groupBy(F.col("code").alias("column")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("total")))
 
 
-@query("s04_ingest_many_files", """SELECT l_suppkey AS unit_id, count(*) AS n_rows, round(sum(l_quantity), 4) AS quantity FROM lineitem GROUP BY 1""")
+def _packed_totals(cells, issues):
+    """Rows and sum of each column, and the number of files and members of each code."""
+    read = cells.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text").try_cast("double")).cast("bigint").alias("total"))
+    return read.unionByName(issues.groupBy(F.col("code").alias("column")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("bigint").alias("total")))
+
+
+@query(
+    "s04_ingest_many_files",
+    """WITH c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer)
+SELECT 'key' AS "column", count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM c WHERE n % 8 < 6 UNION ALL SELECT 'nation', count(*), CAST(sum(n) AS BIGINT) FROM c WHERE n % 8 < 6
+UNION ALL SELECT 'note', count(*), NULL FROM c WHERE n % 8 = 1 HAVING count(*) > 0
+UNION ALL SELECT CASE n % 8 WHEN 6 THEN 'binary_column_length' ELSE 'row_column_count' END, count(DISTINCT n), NULL FROM c WHERE n % 8 >= 6 GROUP BY 1""",
+)
 def ingest_many_files(spark, base):
-    path = _folder(spark, "many")
-    li = tb.read(spark, base, "lineitem").select("l_suppkey", "l_linenumber", "l_quantity")
-    li.repartition("l_suppkey").write.partitionBy("l_suppkey").parquet(path)
-    found = files.read_columnar(spark, f"{path}/*/*.parquet")
-    unit = F.regexp_extract("source", r"l_suppkey=(\d+)", 1).cast("bigint")
-    return found.groupBy(unit.alias("unit_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
+    """A file a nation: delimited (UTF-8 and GB18030), Feather, Arrow stream, NPY, NPZ, and files with faults."""
+    path, folder = _folder(spark, "many"), _folder(spark, "many-read")
+    c = tb.read(spark, base, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"))
+    fixtures.write_each(c, "nation", path, fixtures.table_file).collect()
+    return _packed_totals(*packed.read_packed(spark, path, folder, packed.Limits(rows=1000)))
 
 
-@query("s05_expand_archives", """SELECT 'c_custkey' AS "column", count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS total FROM customer UNION ALL SELECT 'c_nationkey', count(*), CAST(sum(c_nationkey) AS BIGINT) FROM customer""")
+@query(
+    "s05_expand_archives",
+    """WITH c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer), g AS (SELECT * FROM c WHERE n % 5 < 3)
+SELECT 'key' AS "column", count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM g UNION ALL SELECT 'nation', count(*), CAST(sum(n) AS BIGINT) FROM g
+UNION ALL SELECT CASE n % 5 WHEN 3 THEN 'unsafe_zip_member' ELSE 'duplicate_tar_member' END, count(DISTINCT n), NULL FROM c WHERE n % 5 >= 3 GROUP BY 1
+UNION ALL SELECT 'row_column_count', count(DISTINCT n), NULL FROM c WHERE n % 5 = 0 HAVING count(*) > 0""",
+)
 def expand_archives(spark, base):
-    path = _folder(spark, "archives")
-    c = tb.read(spark, base, "customer").select("c_custkey", "c_nationkey")
-    c.repartition("c_nationkey").write.option("header", True).option("compression", "gzip").csv(path)
-    parts, issues = files.expand_archives(files.read_small_files(spark, f"{path}/*.csv.gz"))
-    cells = files.decode_files(parts)
-    issues = issues.unionByName(cells.where("code is not null").select("source", "code"))
-    read = cells.where("code is null").groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text").cast("bigint")).alias("total"))
-    # archives and members that could not be read come as rows of their own
-    return read.unionByName(issues.groupBy(F.col("code").alias("column")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("bigint").alias("total")))
+    """An archive a nation: zip and tar.xz with tables of several kinds, single gzip files, and archives with faults."""
+    path, folder = _folder(spark, "archives"), _folder(spark, "archives-read")
+    c = tb.read(spark, base, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"))
+    fixtures.write_each(c, "nation", path, fixtures.archive_file).collect()
+    return _packed_totals(*packed.read_packed(spark, path, folder))
 
 
 @query("s11_read_commented_csv", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")

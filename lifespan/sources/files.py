@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +10,6 @@ from lifespan.functions.scalar import design_id
 from lifespan.operators import mapping
 from lifespan.operators import segments as sg
 
-_CELLS = "source string, row_number long, column string, text string, code string"
-
 
 # -- scans -----------------------------------------------------------------
 def read_columnar(spark: SparkSession, path: str) -> DataFrame:
@@ -79,271 +74,6 @@ def oversized_files(spark: SparkSession, glob: str, max_bytes: int = fv.MAX_FILE
     )
 
 
-def decode_files(files: DataFrame) -> DataFrame:
-    """Cells ``(source, row_number, column, text, code)`` of small files, read by their suffix.
-
-    Delimited text and JSON arrays, Feather, Arrow, Parquet, and NumPy tables.
-
-    One Arrow batch of bounded files at a time; a file that cannot be read gives one row
-    with a code instead.
-    """
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import csv
-        import io
-        import json
-
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.feather as feather
-        import pyarrow.parquet as parquet
-
-        def text_of(content):
-            for encoding in ("utf-8-sig", "gb18030"):
-                try:
-                    return content.decode(encoding)
-                except UnicodeDecodeError:
-                    continue
-            raise ValueError("unsupported_encoding")
-
-        def delimited_columns(lower, content):
-            lines = text_of(content)
-            head = lines.split("\n", 1)[0]
-            tab = lower.endswith((".tsv", ".tab"))
-            sep = "\t" if tab else max((",", "\t", ";"), key=head.count)
-            rows = [r for r in csv.reader(io.StringIO(lines, newline=""), delimiter=sep) if r]
-            return headed(rows)
-
-        def unique_keys(pairs):
-            record = dict(pairs)
-            if len(record) != len(pairs):
-                raise ValueError("duplicate_json_key")
-            return record
-
-        def json_columns(content, lines):
-            whole = text_of(content)
-            try:
-                parts = [x for x in whole.splitlines() if x.strip()] if lines else [whole]
-                found = [json.loads(x, object_pairs_hook=unique_keys) for x in parts]
-            except json.JSONDecodeError:
-                raise ValueError("invalid_json_line" if lines else "invalid_json") from None
-            items = found if lines else found[0]
-            shapes = (dict,) if lines else (dict, list)
-            if not isinstance(items, list) or not all(isinstance(r, shapes) for r in items[: len(items) if lines else 1]):
-                raise ValueError("json_layout_required")
-            if not items:
-                raise ValueError("no_observations")
-            first = items[0]
-            if any(type(r) is not type(first) for r in items):
-                raise ValueError("json_record_shape")
-            if isinstance(first, dict):
-                if any(r.keys() != first.keys() for r in items):
-                    raise ValueError("json_record_shape")
-                return {h: [r[h] for r in items] for h in first}
-            return headed(items)
-
-        def headed(rows):
-            header = [str(h).strip() for h in rows[0]]
-            if len(set(header)) != len(header):
-                raise ValueError("ambiguous_header")
-            if any(len(r) != len(header) for r in rows):
-                raise ValueError("row_column_count")
-            return {h: [r[i] for r in rows[1:]] for i, h in enumerate(header)}
-
-        def columns_of(name, content):
-            lower = name.lower()
-            if lower.endswith((".csv", ".tsv", ".txt", ".tab", ".dat")):
-                return delimited_columns(lower, content)
-            if lower.endswith(tuple(fv.JSON_SUFFIXES)):
-                return json_columns(content, lines=not lower.endswith(".json"))
-            if lower.endswith((".parquet", ".pq")):
-                return parquet.read_table(io.BytesIO(content)).to_pydict()
-            if lower.endswith((".feather", ".arrow", ".ipc")):
-                try:
-                    return feather.read_table(io.BytesIO(content)).to_pydict()
-                except pa.ArrowInvalid:
-                    return pa.ipc.open_stream(io.BytesIO(content)).read_all().to_pydict()
-            loaded = np.load(io.BytesIO(content), allow_pickle=False)
-            if isinstance(loaded, np.ndarray):
-                loaded = {"": loaded}
-            named = {}
-            for key in loaded.files if hasattr(loaded, "files") else loaded:
-                array = loaded[key]
-                if array.dtype.names:
-                    named.update({n: array[n] for n in array.dtype.names})
-                else:
-                    named[key] = array
-            return named
-
-        def rows_of(name, content):
-            try:
-                columns = columns_of(name, content)
-            except ValueError as exc:
-                known = (
-                    "ambiguous_header", "row_column_count", "unsupported_encoding", "duplicate_json_key", "json_record_shape",
-                    "json_layout_required", "no_observations", "invalid_json", "invalid_json_line",
-                )
-                if str(exc) in known:
-                    return None, str(exc)
-                return None, "unsafe_object_array" if "allow_pickle" in str(exc) else "invalid_file"
-            except Exception:
-                return None, "invalid_file"
-            sizes = set()
-            for values in columns.values():
-                if getattr(values, "ndim", 1) != 1:
-                    return None, "binary_layout_required"
-                sizes.add(len(values))
-            if len(columns) < 2 or "" in columns:
-                return None, "binary_layout_required"
-            if len(sizes) != 1:
-                return None, "binary_column_length"
-            return columns, None
-
-        def text(v):
-            if v is None:
-                return None
-            if isinstance(v, bytes):
-                return v.decode("utf-8", "replace").strip()
-            if hasattr(v, "item"):
-                v = v.item()
-            if hasattr(v, "isoformat"):
-                return v.isoformat()
-            return (repr(v) if isinstance(v, float) else str(v)).strip()
-
-        for batch in batches:
-            for source, content in zip(batch["source"], batch["content"]):
-                columns, code = rows_of(source, content)
-                if code:
-                    yield pd.DataFrame({"source": [source], "row_number": [None], "column": [None], "text": [None], "code": [code]})
-                    continue
-                for column, values in columns.items():
-                    yield pd.DataFrame(
-                        {
-                            "source": source,
-                            "row_number": range(len(values)),
-                            "column": column,
-                            "text": [text(v) for v in values],
-                            "code": None,
-                        }
-                    )
-
-    return files.select("source", "content").mapInPandas(decode, _CELLS)
-
-
-# -- archives --------------------------------------------------------------
-_MEMBERS = "source string, kind string, member string, size long, encrypted boolean, is_link boolean, content binary"
-
-
-def _open_archives(files: DataFrame, with_content: bool) -> DataFrame:
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
-        import io
-        import tarfile
-        import zipfile
-
-        def members(name, content):
-            lower = name.lower()
-            if lower.endswith(".zip"):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for i in z.infolist():
-                        if not i.is_dir():
-                            link = (i.external_attr >> 16) & 0o170000 == 0o120000
-                            locked = bool(i.flag_bits & 1)
-                            data = z.read(i) if with_content and not locked else None
-                            yield "zip", i.filename, i.file_size, locked, link, data
-            elif lower.endswith(".gz") and not lower.endswith(".tar.gz"):
-                with gzip.GzipFile(fileobj=io.BytesIO(content)) as g:
-                    if with_content:
-                        data = g.read()
-                        size = len(data)
-                    else:
-                        data, size = None, sum(map(len, iter(lambda: g.read(1 << 20), b"")))
-                yield "gzip", name.rsplit("/", 1)[-1][:-3], size, False, False, data
-            else:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
-                    for i in t:
-                        if not i.isdir():
-                            link = not i.isfile()
-                            data = t.extractfile(i).read() if with_content and not link else None
-                            yield "tar", i.name, i.size, False, link, data
-
-        names = ["kind", "member", "size", "encrypted", "is_link", "content"]
-        for batch in batches:
-            for source, content in zip(batch["source"], batch["content"]):
-                try:
-                    empty = True
-                    for row in members(source, content):
-                        empty = False
-                        yield pd.DataFrame([(source, *row)], columns=["source", *names])
-                    if empty:
-                        kind = "empty_zip" if source.lower().endswith(".zip") else "empty_tar"
-                        yield pd.DataFrame([(source, kind, None, None, False, False, None)], columns=["source", *names])
-                except Exception:
-                    yield pd.DataFrame([(source, "unreadable", None, None, False, False, None)], columns=["source", *names])
-
-    return files.select("source", "content").mapInPandas(walk, _MEMBERS)
-
-
-def list_members(files: DataFrame) -> DataFrame:
-    """Members of zip, tar (gz, bz2, xz) and gz files without unpacking them."""
-    return _open_archives(files, with_content=False).drop("content")
-
-
-def member_issues(
-    members: DataFrame,
-    max_members: int | None = None,
-    max_bytes: int | None = None,
-    max_total: int | None = None,
-) -> DataFrame:
-    """Codes per archive; an archive with any code is not unpacked.
-
-    Limits on members and bytes hold only where they are given.  Member names count as equal in
-    compatibility form and without case.
-    """
-    path = F.coalesce("member", F.lit(""))
-    unsafe = (
-        F.col("encrypted")
-        | F.col("is_link")
-        | (path == "")
-        | path.contains("\\")
-        | path.rlike(r"[\x00-\x1f]")
-        | path.startswith("/")
-        | path.rlike(r"(^|/)\.\.(/|$)")
-        | path.rlike(r"^[A-Za-z]:")
-    )
-    data = [*fv.TEXT_SUFFIXES, *fv.JSON_SUFFIXES, *fv.COLUMNAR_SUFFIXES, *fv.ARRAY_SUFFIXES, *fv.OTHER_DATA_SUFFIXES]
-    code = (
-        F.when(F.col("kind") == "unreadable", "invalid_archive")
-        .when(F.col("kind").startswith("empty_"), F.concat(F.regexp_replace("kind", "empty_", ""), F.lit("_member_count")))
-        .when(unsafe, F.concat(F.lit("unsafe_"), "kind", F.lit("_member")))
-        .when(~suffix(path).isin(*data), "archive_member_unsupported")
-        .when((F.col("size") < 0) | (F.col("size") > F.lit(max_bytes).cast("long")), "expanded_file_too_large")
-    )
-    single = members.select("source", code.alias("code")).where("code is not null")
-    plain = F.lower(F.regexp_replace(F.coalesce("plain", F.lit("")), r"(^|/)\./", "$1"))
-    named = mapping.with_nfkc(members.select("source", "kind", "member"), "member", "plain")
-    same = named.groupBy("source", "kind", plain.alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    doubled = same.where("n > 1").select("source", F.concat(F.lit("duplicate_"), "kind", F.lit("_member")).alias("code"))
-    totals = members.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
-    many = totals.where(F.col("n") > F.lit(max_members).cast("long")).select("source", F.lit("too_many_files").alias("code"))
-    large = totals.where(F.col("b") > F.lit(max_total).cast("long")).select("source", F.lit("expanded_batch_too_large").alias("code"))
-    return single.unionByName(doubled).unionByName(many).unionByName(large).distinct()
-
-
-def expand_archives(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of sound archives as files ``(source, content, container)``, and the issues."""
-    issues = member_issues(list_members(files))
-    sound = files.join(issues.select("source").distinct(), "source", "left_anti")
-    members = _open_archives(sound, with_content=True)
-    return (
-        members.select(
-            F.concat_ws("::", "source", "member").alias("source"), "content",
-            F.col("source").alias("container"), "member",
-        ),
-        issues,
-    )
-
-
 # -- sinks -----------------------------------------------------------------
 def guard_output(path: str, protected: list[str]) -> str:
     """Refuse to write below a raw or hold-out root."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lifespan.operators import ledger
 from lifespan.operators.segments import Axis
-from lifespan.sources import delimited, files, records
+from lifespan.sources import delimited, files, packed, records
 
 
 def test_delimited(spark, tmp_path):
@@ -73,14 +73,51 @@ def binaries(tmp_path):
     return tmp_path
 
 
-def test_binary_tables(spark, binaries):
-    small = files.read_small_files(spark, str(binaries / "*"))
-    out = files.decode_files(small).withColumn("file", F.element_at(F.split("source", "/"), -1)).toPandas()
+def names_of(rows, column="source"):
+    return rows.withColumn("file", F.element_at(F.split(column, "/"), -1))
+
+
+def read_all(spark, path, **limits):
+    cells, issues = packed.read_packed(spark, str(path), str(path) + "-read", packed.Limits(**limits))
+    return names_of(cells).toPandas(), {(r.file, r.member): r.code for r in names_of(issues).collect()}
+
+
+@pytest.mark.parametrize("rows", [1, 1 << 20])
+def test_binary_tables(spark, binaries, rows):
+    out, codes = read_all(spark, binaries, rows=rows)
     for name in ("a.feather", "s.arrow", "b.npz", "c.npy", "g.csv", "j.json"):
         cells = out[(out.file == name)].sort_values(["column", "row_number"])
-        assert cells["text"].tolist() == ["0", "1", "1.5", "2.5"], name
-    codes = out.dropna(subset=["code"]).set_index("file")["code"].to_dict()
-    assert codes == {"o.npy": "unsafe_object_array", "len.npz": "binary_column_length", "dim.npz": "binary_layout_required", "w.tsv": "row_column_count"}
+        assert cells["text"].tolist() == ["0", "1", "1.5", "2.5"] and cells["row_number"].tolist() == [0, 1, 0, 1], name
+    assert codes == {
+        ("o.npy", None): "unsafe_object_array", ("len.npz", None): "binary_column_length", ("dim.npz", None): "binary_layout_required",
+        ("w.tsv", None): "row_column_count",
+    }
+    assert set(out.file) == {"a.feather", "s.arrow", "b.npz", "c.npy", "g.csv", "j.json"}
+
+
+def test_arrays_are_read_by_ranges(spark, tmp_path):
+    n = 50_000
+    np.save(tmp_path / "big.npy", np.array([(i, i / 2) for i in range(n)], dtype=[("t", "<i8"), ("v", "<f4")]))
+    reader = packed.PackedReader(str(tmp_path), packed.Limits(rows=7000))
+    parts = reader.partitions()
+    assert [(p.first, p.count) for p in parts] == [(i, min(7000, n - i)) for i in range(0, n, 7000)]
+    out, codes = read_all(spark, tmp_path, rows=7000)
+    v = out[out.column == "v"].sort_values("row_number")
+    assert not codes and v["row_number"].tolist() == list(range(n)) and v["text"].astype(float).tolist() == [i / 2 for i in range(n)]
+    # a file that ends early has a code and no cells
+    data = (tmp_path / "big.npy").read_bytes()
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "short.npy").write_bytes(data[:-5])
+    out, codes = read_all(spark, tmp_path / "cut", rows=7000)
+    assert codes == {("short.npy", None): "invalid_file"} and out.empty
+
+
+def test_charset_of_lines():
+    lines = ["a;b\n".encode(), "é;1\n".encode(), "温;2\n".encode()]
+    assert list(packed.text_lines(lines)) == ["a;b\n", "é;1\n", "温;2\n"]
+    assert list(packed.text_lines([b"\xef\xbb\xbfa\n", "温\n".encode("gb18030")])) == ["a\n", "温\n"]
+    with pytest.raises(packed.Refused, match="unsupported_encoding"):
+        list(packed.text_lines(["é\n".encode(), "温\n".encode("gb18030")]))
 
 
 def test_size_limit(spark, binaries):
@@ -108,15 +145,38 @@ def test_archives(spark, tmp_path):
         t.addfile(info)
     (tmp_path / "one.csv.gz").write_bytes(gzip.compress(b"t,v\n"))
     (tmp_path / "broken.zip").write_bytes(b"no archive")
-    small = files.read_small_files(spark, str(tmp_path / "*"))
-    parts, issues = files.expand_archives(small)
-    codes = {r.source.rsplit("/", 1)[1]: r.code for r in issues.collect()}
+    (tmp_path / "cut.csv.gz").write_bytes(gzip.compress(b"t,v\n" + b"0,1\n" * 5000)[:-20])
+    with tarfile.open(tmp_path / "two.tar.xz", "w:xz") as t:
+        for name, text in (("a.csv", b"t,v\n0,5\n"), ("b/c.json", b'[{"t": 1, "v": 6}]'), ("b/d.csv", b"t,v\n7\n")):
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            t.addfile(info, io.BytesIO(text))
+    (tmp_path / "cut.tar.xz").write_bytes((tmp_path / "two.tar.xz").read_bytes()[:100])
+    out, codes = read_all(spark, tmp_path)
     assert codes == {
-        "up.zip": "unsafe_zip_member", "nested.zip": "archive_member_unsupported", "twice.zip": "duplicate_zip_member",
-        "link.tar": "unsafe_tar_member", "broken.zip": "invalid_archive",
+        ("up.zip", None): "unsafe_zip_member", ("nested.zip", None): "archive_member_unsupported", ("twice.zip", None): "duplicate_zip_member",
+        ("link.tar", None): "unsafe_tar_member", ("broken.zip", None): "invalid_archive", ("cut.csv.gz", "cut.csv"): "invalid_file",
+        ("two.tar.xz", "b/d.csv"): "row_column_count", ("cut.tar.xz", None): "invalid_archive",
     }
-    found = {r.source.rsplit("/", 1)[1] if "d/b" not in r.source else "d/b": bytes(r.content) for r in parts.collect()}
-    assert found == {"good.zip::a.csv": b"t,v\n0,1\n", "d/b": b"t,v\n0,2\n", "t.tar.gz::x.csv": b"a,b", "one.csv.gz::one.csv": b"t,v\n"}
+    found = sorted((r.file, r.member, r.row_number, r.column, r.text) for r in out.itertuples())
+    assert found == [
+        ("good.zip", "a.csv", 0, "t", "0"), ("good.zip", "a.csv", 0, "v", "1"), ("good.zip", "d/b.csv", 0, "t", "0"), ("good.zip", "d/b.csv", 0, "v", "2"),
+        ("two.tar.xz", "a.csv", 0, "t", "0"), ("two.tar.xz", "a.csv", 0, "v", "5"), ("two.tar.xz", "b/c.json", 0, "t", "1"), ("two.tar.xz", "b/c.json", 0, "v", "6"),
+    ]
+
+
+def test_nothing_is_unpacked_twice(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for i in range(6):
+            z.writestr(f"m{i}.csv", f"t,v\n{i},1\n")
+    reader = packed.PackedReader(str(tmp_path), packed.Limits(size=20))
+    parts = reader.partitions()
+    assert sorted(n for p in parts for n in p.names) == [f"m{i}.csv" for i in range(6)] and len(parts) > 1
+    opened = []
+    original = zipfile.ZipFile.open
+    monkeypatch.setattr(zipfile.ZipFile, "open", lambda self, name, *a, **k: opened.append(name) or original(self, name, *a, **k))
+    cells = [b for p in parts for b in reader.read(p)]
+    assert sorted(opened) == [f"m{i}.csv" for i in range(6)] and sum(b.num_rows for b in cells) == 12
 
 
 def test_file_kinds(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lifespan import fixed_values as fv
 from lifespan.functions import scalar as sc
 from lifespan.operators import joins, mapping, rules
-from lifespan.sources import files, records
+from lifespan.sources import packed, records
 
 
 def test_labels_and_headers_are_compared_in_compatibility_form(spark):
@@ -64,12 +64,14 @@ def test_files_and_archives_of_any_size_are_read_whole(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "same.zip", "w") as z:
         z.writestr("Ａ.csv", "t,v\n")
         z.writestr("a.csv", "t,v\n")
-    parts, issues = files.expand_archives(files.read_small_files(spark, str(tmp_path / "*")))
+    cells, issues = packed.read_packed(spark, str(tmp_path), str(tmp_path) + "-read")
     assert {r.source.rsplit("/", 1)[1]: r.code for r in issues.collect()} == {"none.zip": "zip_member_count", "same.zip": "duplicate_zip_member"}
-    cells = files.decode_files(parts).where("column = 't'")
-    assert {r["n"] for r in cells.groupBy("container" if "container" in cells.columns else F.col("source").contains("big")).agg(F.count("*").alias("n")).collect()} == {n, fv.MAX_FILES + 1}
-    limited = files.member_issues(files.list_members(files.read_small_files(spark, str(tmp_path / "*"))), max_members=fv.MAX_FILES, max_bytes=fv.MAX_FILE_BYTES)
-    assert {"too_many_files", "expanded_file_too_large"} <= {r.code for r in limited.collect()}
+    counted = cells.where("column = 't'").groupBy("source").count().collect()
+    assert {r["source"].rsplit("/", 1)[1]: r["count"] for r in counted} == {"big.csv.gz": n, "many.zip": fv.MAX_FILES + 1}
+    limits = packed.Limits(members=fv.MAX_FILES, member_bytes=10)
+    limited = packed.read_packed(spark, str(tmp_path), str(tmp_path) + "-limited", limits)[1]
+    assert {"too_many_files", "duplicate_zip_member"} <= {r.code for r in limited.collect()}
+    assert "expanded_file_too_large" in packed.Limits(member_bytes=2).codes(1, 3, 3)
 
 
 def test_json_files(spark, tmp_path):
@@ -86,10 +88,12 @@ def test_json_files(spark, tmp_path):
     }
     for name, text in cases.items():
         (tmp_path / name).write_text(text)
-    out = files.decode_files(files.read_small_files(spark, str(tmp_path / "*"))).withColumn("file", F.element_at(F.split("source", "/"), -1)).toPandas()
+    cells, issues = packed.read_packed(spark, str(tmp_path), str(tmp_path) + "-read")
+    last = F.element_at(F.split("source", "/"), -1)
+    out = cells.withColumn("file", last).toPandas()
     for name in ("lines.jsonl", "rows.json"):
         assert out[out.file == name].sort_values(["column", "row_number"])["text"].tolist() == ["0", "1", "1", "2"]
-    assert out.dropna(subset=["code"]).set_index("file")["code"].to_dict() == {
+    assert {r.file: r.code for r in issues.withColumn("file", last).collect()} == {
         "more.json": "json_record_shape", "twice.json": "duplicate_json_key", "short.json": "row_column_count", "none.json": "no_observations",
         "object.json": "json_layout_required", "bad.jsonl": "invalid_json_line", "list.jsonl": "json_layout_required",
     }
