@@ -235,3 +235,13 @@ HEALTH_ZONES = ((0.0, 0.6, "nominal"), (0.6, 0.85, "caution"), (0.85, 1.5, "crit
 CRITICAL_SHARE = 0.45
 MAINTENANCE_MARGIN = {"battery": 15.0, "wheel": 0.03}
 NOTE_FIELDS = ("romax_product", "romax_version", "bearing_catalog_entry", "loss_model", "lubricant")
+
+# fixed values: public names of fields in answers
+PUBLIC_NAMES = {
+    "manifest_sha256": "model_version_hash",
+    "member_sha256s": "member_hashes",
+    "interval_member_seeds": "member_count",
+    "production_point_seed": "selected_member",
+    "uncertainty_mode": "uncertainty_description",
+    "input_contract": "input_requirements",
+}

@@ -246,14 +246,17 @@ def config_lines(column: Column) -> Column:
     )
 
 
-def contains_all_tokens(fields: list[Column], query: str) -> Column:
-    """All comma- or space-separated tokens of a query occur in the joined fields."""
+def contains_all_tokens(fields: list[Column], query: str, normal: list[Column] | None = None) -> Column:
+    """All comma- or space-separated tokens of a query occur in the joined fields or their search keys.
+
+    ``normal`` has the fields in compatibility form.
+    """
     import re
     import unicodedata
 
     text = unicodedata.normalize("NFKC", query.lower())
     tokens = [re.sub(r"[\s_\-./\\:：，,。；;（）()\[\]{}]+", "", t) for t in re.split(r"[\s,，]+", text)]
-    haystack = F.lower(F.concat_ws(" ", *fields, *[search_key(f) for f in fields]))
+    haystack = F.lower(F.concat_ws(" ", *fields, *[search_key(f) for f in normal or fields]))
     hit = F.lit(True)
     for token in filter(None, tokens):
         hit = hit & haystack.contains(token)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lifespan import fixed_values as fv
 from lifespan.functions import scalar as sc
@@ -186,33 +187,52 @@ def dataset_tiers(manifest: DataFrame, declared: DataFrame) -> DataFrame:
     return joined.withColumn("matches", same)
 
 
-def dataset_header(dataset_id: str, t_unit: str, names: list[str]) -> Column:
-    """Dataset document without its units: identity and channel list as JSON."""
-    channels = [
-        F.struct(
-            F.lit(n).alias("name"),
-            F.lit(t_unit if fv.CHANNEL_DICTIONARY[n][0] == "t_unit" else fv.CHANNEL_DICTIONARY[n][0]).alias("unit"),
-            F.lit(fv.CHANNEL_DICTIONARY[n][1]).alias("visibility"),
-            F.lit(fv.CHANNEL_DICTIONARY[n][2]).alias("dtype"),
-        )
-        for n in names
-    ]
-    return F.to_json(
-        F.struct(F.lit(dataset_id).alias("dataset_id"), F.lit(t_unit).alias("t_unit"), F.array(*channels).alias("channels"))
-    )
+#: Fixed order of the fields that say what a dataset is.
+DATASET_FIELDS = (
+    "schema_version", "dataset_id", "display_name", "domain", "role", "product_line", "profile", "t_unit", "license_cite", "source_url",
+    "parser", "created_utc", "native_checksums_ref", "notes",
+)
 
 
-def unit_documents(registry: DataFrame, part_units: int = 1000) -> DataFrame:
-    """Units of a dataset as JSON maps sorted by id, in hashed parts of bounded size."""
-    total = registry.count()
-    parts = max(1, -(-total // part_units))
-    entry = F.struct(*[c for c in registry.columns if c != "unit_id"])
-    grouped = registry.groupBy(F.pmod(F.xxhash64(F.col("unit_id").cast("string")), F.lit(parts)).alias("part")).agg(
-        F.map_from_entries(
-            F.sort_array(F.collect_list(F.struct(F.col("unit_id").cast("string").alias("key"), entry.alias("value"))))
-        ).alias("units")
-    )
-    return grouped.select("part", F.size("units").alias("n_units"), F.to_json("units").alias("document"))
+def channel_list(t_unit: Column, names: list[str], described: dict[str, str] = {}) -> Column:
+    """Name, unit, visibility, type and description of channels; the unit of time is the dataset's."""
+    unit = lambda n: t_unit if fv.CHANNEL_DICTIONARY[n][0] == "t_unit" else F.lit(fv.CHANNEL_DICTIONARY[n][0])
+    return F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("name"), unit(n).alias("unit"), F.lit(fv.CHANNEL_DICTIONARY[n][1]).alias("visibility"),
+                F.lit(fv.CHANNEL_DICTIONARY[n][2]).alias("dtype"), F.lit(described.get(n, "")).alias("desc"),
+            )
+            for n in names
+        ]
+    )
+
+
+def dataset_documents(datasets: DataFrame, names: list[str], described: dict[str, str] = {}) -> DataFrame:
+    """``dataset_id, document``: the document of each dataset without its units, as JSON.
+
+    ``datasets`` has a row per dataset with the columns of ``DATASET_FIELDS`` it knows; the others
+    are empty texts, as is a null.
+    """
+    known = {f.name: f.dataType for f in datasets.schema.fields}
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) if isinstance(known[c], T.StringType) else F.col(c)
+    fields = [(blank(c) if c in known else F.lit("")).alias(c) for c in DATASET_FIELDS]
+    channels = channel_list(F.col("t_unit"), names, described).alias("channels")
+    return datasets.select("dataset_id", F.to_json(F.struct(*fields, channels)).alias("document"))
+
+
+def unit_documents(registry: DataFrame, keys: tuple[str, ...] = (), part_units: int = 1000) -> DataFrame:
+    """Units of each dataset as JSON maps sorted by id, in hashed parts of bounded size.
+
+    A part has about ``part_units`` units: the number of parts follows that of the units.
+    """
+    total = registry.agg(F.count(F.lit(1))).scalar()
+    parts = F.greatest(F.lit(1), F.ceil(total / F.lit(part_units)))
+    entry = F.struct(*[c for c in registry.columns if c not in ("unit_id", *keys)])
+    part = F.pmod(F.xxhash64(F.col("unit_id").cast("string")), parts).alias("part")
+    pairs = F.sort_array(F.collect_list(F.struct(F.col("unit_id").cast("string").alias("key"), entry.alias("value"))))
+    grouped = registry.groupBy(*keys, part).agg(F.map_from_entries(pairs).alias("units"))
+    return grouped.select(*keys, "part", F.size("units").alias("n_units"), F.to_json("units").alias("document"))
 
 
 # -- public view -------------------------------------------------------------
@@ -242,12 +262,42 @@ def public_projection(
     return firsts.select(key, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
-def rename_public(df: DataFrame, names: dict[str, str], replaced: dict[str, dict[str, str]], counted: list[str]) -> DataFrame:
-    """Public column names, lists shown as counts, private words replaced in texts."""
-    out = df
-    for column in counted:
-        out = out.withColumn(column, F.size(column))
-    for column, words in replaced.items():
-        for old, new in words.items():
-            out = out.withColumn(column, F.replace(F.col(column), F.lit(old), F.lit(new)))
-    return out.withColumnsRenamed(names)
+def rename_public(df: DataFrame, names: dict[str, str], words: dict[str, str], counted: tuple[str, ...] = ()) -> DataFrame:
+    """Public names of columns and of fields at any depth, private words replaced in all texts.
+
+    A field in ``counted`` is shown as the length of its list (null if it is none).  Two fields that
+    would get one name are an error.  Keys of maps are renamed as names are.
+    """
+
+    def public(key: str) -> str:
+        return names.get(key, key)
+
+    def cell(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType):
+            for old, new in words.items():
+                value = F.replace(value, F.lit(old), F.lit(new))
+            return value
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: cell(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            renamed = F.transform_values(value, lambda k, v: cell(v, kind.valueType))
+            if not isinstance(kind.keyType, T.StringType):
+                return renamed
+            listed = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.create_map()
+            return F.transform_keys(renamed, lambda k, v: F.coalesce(F.try_element_at(listed, k), k))
+        if isinstance(kind, T.StructType):
+            fields = [member(value[f.name], f) for f in kind.fields]
+            return F.when(value.isNotNull(), F.struct(*fields))
+        return value
+
+    def member(value: Column, field: T.StructField) -> Column:
+        if field.name in counted:
+            is_list = isinstance(field.dataType, T.ArrayType)
+            value = F.when(value.isNotNull(), F.size(value)) if is_list else F.lit(None).cast("int")
+            return value.alias(public(field.name))
+        return cell(value, field.dataType).alias(public(field.name))
+
+    shown = [public(f.name) for f in df.schema.fields]
+    if len(set(shown)) < len(shown):
+        raise ValueError(f"two columns would be named {sorted(n for n in shown if shown.count(n) > 1)[0]}")
+    return df.select(*[member(F.col(f"`{f.name}`"), f) for f in df.schema.fields])

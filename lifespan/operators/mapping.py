@@ -168,11 +168,32 @@ def metadata_summary(rows: DataFrame, key: list[str], columns: list[str], shown:
     return ranked.withColumn("truncated", F.col("n_distinct") > shown).withColumn("is_static", F.col("n_distinct") == 1)
 
 
-def first_values(rows: DataFrame, key: list[str], column: str, shown: int = 8) -> DataFrame:
-    """The first distinct values per key as rows, in byte order of their text.
+def first_values(rows: DataFrame, key: list[str], column: str, shown: int = 8, order: list[str] | None = None) -> DataFrame:
+    """The first distinct values per key as rows: by ``order`` of appearance, else in byte order.
 
-    Every partition keeps ``shown`` rows of a key before the exchange, so a hot key is no burden.
+    Values are reduced to their first place before the exchange, and every partition keeps ``shown``
+    rows of a key, so a hot key is no burden.
     """
-    distinct = rows.select(*key, F.trim(column).alias("text")).where("text <> ''").distinct()
-    placed = distinct.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("text")))
-    return placed.where(F.col("rank") <= shown).withColumn("rank", (F.col("rank") - 1).cast("long"))
+    filled = rows.withColumn("text", F.trim(column)).where("text <> ''")
+    place = F.struct(*order) if order else F.col("text")
+    values = filled.groupBy(*key, "text").agg(F.min(place).alias("__place"))
+    placed = values.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("__place")))
+    return placed.where(F.col("rank") <= shown).select(*key, "text", (F.col("rank") - 1).cast("long").alias("rank"))
+
+
+def values_by_channel(rows: DataFrame, key: list[str], channel: str, column: str, order: list[str], shown: int = 8) -> DataFrame:
+    """The first distinct values of each channel in order of appearance, and whether it has several."""
+    firsts = first_values(rows, [*key, channel], column, shown, order)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])
+    return firsts.groupBy(*key, channel).agg(listed.alias("texts")).withColumn("inconsistent", F.size("texts") > 1)
+
+
+def text_search(rows: DataFrame, fields: list[str], query: str) -> DataFrame:
+    """Rows whose fields hold all tokens of a query, as they stand or as search keys (compatibility
+    form, lower case, without separators)."""
+    found, keys = rows, []
+    for i, f in enumerate(fields):
+        found = with_nfkc(found, f, f"__nfkc{i}")
+        keys.append(f"__nfkc{i}")
+    hit = sc.contains_all_tokens([F.col(f) for f in fields], query, [F.col(k) for k in keys])
+    return found.where(hit).select(*sg.columns_of(rows))

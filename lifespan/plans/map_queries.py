@@ -407,11 +407,22 @@ def json_scalar(spark, base):
 
 @query(
     "p27_rename_public_keys",
-    """SELECT s_suppkey, replace(s_name, 'Supplier', 'Source') AS source_name, CAST(3 AS INTEGER) AS member_count FROM supplier""",
+    """SELECT s_suppkey, CAST(NULL AS INTEGER) AS selected_member, '{"model_version_hash":"' || replace(s_name, 'Supplier', 'Source') || '","members":[{"member_count":' || (s_suppkey % 4) ||
+ ',"note":"' || CASE WHEN s_suppkey % 2 = 0 THEN 'three_model' ELSE 'requirements Source' END || '"},{"member_count":0,"note":"requirements"}],"by_name":{"input_requirements":"Source ' || s_nationkey || '"}}' AS record FROM supplier""",
 )
 def rename_public(spark, base):
-    s = tb.read(spark, base, "supplier").select("s_suppkey", "s_name", F.array(F.lit(17), F.lit(42), F.lit(73)).alias("seeds"))
-    return evaluate.rename_public(s, {"s_name": "source_name", "seeds": "member_count"}, {"s_name": {"Supplier": "Source"}}, ["seeds"])
+    """A nested record: keys renamed at every depth, lists shown as counts, words replaced in all texts."""
+    s = tb.read(spark, base, "supplier")
+    seeds = F.slice(F.array(F.lit(17), F.lit(42), F.lit(73)), 1, (F.col("s_suppkey") % 4).cast("int"))
+    note = F.when(F.col("s_suppkey") % 2 == 0, "three_seed").otherwise("contract Supplier")
+    first = F.struct(seeds.alias("interval_member_seeds"), note.alias("note"))
+    second = F.struct(F.array().cast("array<int>").alias("interval_member_seeds"), F.lit("contract").alias("note"))
+    by_name = F.create_map(F.lit("input_contract"), F.concat(F.lit("Supplier "), F.col("s_nationkey").cast("string")))
+    record = F.struct(F.col("s_name").alias("manifest_sha256"), F.array(first, second).alias("members"), by_name.alias("by_name"))
+    rows = s.select("s_suppkey", F.col("s_suppkey").alias("production_point_seed"), record.alias("record"))
+    words = {"three_seed": "three_model", "contract": "requirements", "Supplier": "Source"}
+    out = evaluate.rename_public(rows, fv.PUBLIC_NAMES, words, ("interval_member_seeds", "production_point_seed"))
+    return out.withColumn("record", F.to_json("record"))
 
 
 @query(
@@ -419,8 +430,9 @@ def rename_public(spark, base):
     "SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand)) || ' ' || regexp_replace(lower(p_name), '[\\s_.-]+', '', 'g') || ' ' || regexp_replace(lower(p_brand), '[\\s_.#-]+', '', 'g'), 'red') AND contains(lower(p_brand), 'brand#1')",
 )
 def text_search(spark, base):
-    p = tb.read(spark, base, "part")
-    return p.where(sc.contains_all_tokens([F.col("p_name"), F.col("p_brand")], "Brand#1, RED")).select("p_partkey")
+    # names in full-width letters are found by their compatibility form
+    p = tb.read(spark, base, "part").withColumn("p_name", F.translate("p_name", "red", "ＲＥＤ"))
+    return mapping.text_search(p, ["p_name", "p_brand"], "Brand#1, RED").select("p_partkey")
 
 
 @query(
@@ -436,10 +448,21 @@ def metadata_summary(spark, base):
 
 @query(
     "a11_first_values",
-    "SELECT user_id, text, rank FROM (SELECT user_id, props AS text, row_number() OVER (PARTITION BY user_id ORDER BY props) - 1 AS rank FROM (SELECT DISTINCT user_id, props FROM events)) WHERE rank < 8",
+    "SELECT user_id, text, rank FROM (SELECT user_id, props AS text, row_number() OVER (PARTITION BY user_id ORDER BY first) - 1 AS rank FROM (SELECT user_id, props, min(event_id) AS first FROM events GROUP BY 1, 2)) WHERE rank < 8",
 )
 def first_values(spark, base):
-    return mapping.first_values(tb.read(spark, base, "events"), ["user_id"], "props")
+    return mapping.first_values(tb.read(spark, base, "events"), ["user_id"], "props", order=["event_id"])
+
+
+@query(
+    "a11_values_by_channel",
+    """WITH f AS (SELECT user_id, event_type, props, min(event_id) AS first FROM events GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY first) AS rank FROM f)
+SELECT user_id, event_type, string_agg(props, '|' ORDER BY rank) AS texts, count(*) > 1 AS inconsistent FROM r WHERE rank <= 8 GROUP BY 1, 2""",
+)
+def values_by_channel(spark, base):
+    found = mapping.values_by_channel(tb.read(spark, base, "events"), ["user_id"], "event_type", "props", ["event_id"])
+    return found.withColumn("texts", F.array_join("texts", "|"))
 
 
 @query(
@@ -455,23 +478,37 @@ def dataset_tiers(spark, base):
     return evaluate.dataset_tiers(d, declared)
 
 
-@query("a26_dataset_metadata", "SELECT c_mktsegment AS dataset_id, count(*) AS n_units, 13 AS n_channels, 'day' AS rul_unit FROM customer GROUP BY 1")
+_A26_CHANNELS = ("t", "orbit.beta_deg", "rw.speed_rpm", "rw.friction_torque_nm", "label.rul")
+
+
+@query(
+    "a26_dataset_metadata",
+    """SELECT c_mktsegment AS dataset_id, '{"schema_version":"1","dataset_id":"' || c_mktsegment || '","display_name":"' || lower(c_mktsegment) || '","domain":"","role":"","product_line":"","profile":"timeseries","t_unit":"day","license_cite":"","source_url":"",'
+ || '"parser":{"module":"tables","version":"' || count(*) || '"},"created_utc":"","native_checksums_ref":"","notes":"","channels":['
+ || '{"name":"t","unit":"day","visibility":"index","dtype":"float64","desc":"time"},{"name":"orbit.beta_deg","unit":"deg","visibility":"env","dtype":"float32","desc":""},{"name":"rw.speed_rpm","unit":"rpm","visibility":"telemetry","dtype":"float32","desc":""},'
+ || '{"name":"rw.friction_torque_nm","unit":"N·m","visibility":"privileged","dtype":"float32","desc":""},{"name":"label.rul","unit":"day","visibility":"label","dtype":"float32","desc":""}]}' AS document FROM customer GROUP BY c_mktsegment""",
+)
 def dataset_metadata(spark, base):
-    names = ["t", "orbit.eclipse_flag", "orbit.beta_deg", "rw.speed_rpm", "rw.motor_current_a", "rw.cmd_torque_nm", "rw.bearing_temp_c",
-             "rw.friction_torque_nm", "rw.wear_volume_mm3", "rw.lube_level", "label.rul", "label.hi", "label.fail"]
-    c = tb.read(spark, base, "customer").groupBy(F.col("c_mktsegment").alias("dataset_id")).agg(F.count(F.lit(1)).alias("n_units"))
-    doc = c.withColumn("doc", evaluate.dataset_header("sim", "day", names))
-    channels = F.from_json(F.get_json_object("doc", "$.channels"), "array<struct<name:string,unit:string>>")
-    return doc.select(
-        "dataset_id", "n_units", F.size(channels).alias("n_channels"),
-        F.get(F.filter(channels, lambda x: x["name"] == "label.rul"), F.lit(0))["unit"].alias("rul_unit"),
+    c = tb.read(spark, base, "customer").groupBy(F.col("c_mktsegment").alias("dataset_id")).agg(F.count(F.lit(1)).alias("n"))
+    parser = F.struct(F.lit("tables").alias("module"), F.col("n").cast("string").alias("version"))
+    known = c.select(
+        "dataset_id", F.lower("dataset_id").alias("display_name"), F.lit("1").alias("schema_version"), F.lit("timeseries").alias("profile"),
+        F.lit("day").alias("t_unit"), parser.alias("parser"), F.lit(None).cast("string").alias("notes"),
     )
+    return evaluate.dataset_documents(known, list(_A26_CHANNELS), {"t": "time"})
 
 
-@query("a26_unit_documents", "SELECT CAST(count(*) AS BIGINT) AS n_units FROM customer")
+@query(
+    "a26_unit_documents",
+    """SELECT c_mktsegment AS dataset_id, CAST(c_custkey AS VARCHAR) AS unit_id, '{"c_nationkey":' || c_nationkey || ',"c_name":"' || c_name || '"}' AS document FROM customer""",
+)
 def unit_documents(spark, base):
-    reg = tb.read(spark, base, "customer").select(F.col("c_custkey").alias("unit_id"), "c_mktsegment", "c_acctbal")
-    return evaluate.unit_documents(reg, 100).agg(F.sum("n_units").alias("n_units"))
+    """Every unit of every document, taken out of it again; parts are bounded and sorted by id."""
+    reg = tb.read(spark, base, "customer").select(F.col("c_custkey").alias("unit_id"), F.col("c_mktsegment").alias("dataset_id"), "c_nationkey", "c_name")
+    parts = evaluate.unit_documents(reg, ("dataset_id",), 100)
+    units = F.from_json("document", "map<string, struct<c_nationkey: int, c_name: string>>")
+    each = parts.select("dataset_id", F.explode(units).alias("unit_id", "unit"))
+    return each.select("dataset_id", "unit_id", F.to_json("unit").alias("document"))
 
 
 # -- sources and sinks ----------------------------------------------------------------
