@@ -92,8 +92,3 @@ def stored_differences(stored: DataFrame, computed: DataFrame) -> DataFrame:
         stored.exceptAll(computed).withColumn("only_in", F.lit("stored"))
         .unionByName(computed.exceptAll(stored).withColumn("only_in", F.lit("computed")))
     )
-
-
-def append_run(ledger_path: str, receipt: DataFrame) -> None:
-    """Append the receipt of a run to the ledger table."""
-    receipt.withColumn("recorded_at", F.current_timestamp()).write.mode("append").parquet(ledger_path)

@@ -12,7 +12,7 @@ from lifespan.operators import evaluate, joins, mapping
 from lifespan.operators import segments as sg
 from lifespan.plans.registry import READINGS, STEPS, SUPPLIER_DAYS, query
 from lifespan.plans.window_queries import rounded
-from lifespan.sources import delimited, files, fixtures, packed, records, storage
+from lifespan.sources import delimited, files, fixtures, packed, records, runs, storage
 from lifespan.sources import tables as tb
 
 
@@ -542,32 +542,37 @@ def write_predictions(spark, base):
 
 @query(
     "s08_export_batch",
-    """SELECT CAST(c_name AS VARCHAR) AS filename, CAST(o_orderkey AS BIGINT) AS window_index, '' AS production_point_seed, '17;42;73' AS interval_member_seeds, o_totalprice AS y_pred_rul FROM orders JOIN customer ON c_custkey = o_custkey""",
+    """SELECT CAST(c_name AS VARCHAR) AS filename, sha256(c_name) AS input_sha256, CASE WHEN c_custkey % 2 = 0 THEN 'box.zip' ELSE '' END AS container_filename, '' AS container_sha256,
+ CASE WHEN c_custkey % 2 = 0 THEN c_name || '.csv' ELSE '' END AS archive_member, 'battery' AS line, 'ensemble' AS model_name, 'spark' AS framework, sha256(c_mktsegment) AS manifest_sha256,
+ 'a;' || c_nationkey AS member_sha256s, 'median3' AS selection_aggregation, 'median3' AS production_point_aggregation, '' AS production_point_seed, '17;42;73' AS interval_member_seeds,
+ 'members' AS uncertainty_mode, CAST(o_orderkey AS BIGINT) AS window_index, strftime(o_orderdate, '%Y-%m-%d') AS time, CAST(o_orderkey AS DOUBLE) AS time_order, 'cycles' AS rul_unit,
+ o_totalprice AS y_pred_rul_raw, greatest(0, o_totalprice - 1000) AS y_pred_rul, o_totalprice < 1000 AS rul_output_clamped, o_totalprice - 1 AS p10, o_totalprice AS p50, o_totalprice + 1 AS p90,
+ o_totalprice / 4 AS ensemble_std FROM orders JOIN customer ON c_custkey = o_custkey""",
 )
 def export_batch(spark, base):
     o = tb.read(spark, base, "orders")
     c = tb.read(spark, base, "customer")
-    blank = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    price = F.col("o_totalprice")
     preds = o.join(c, F.col("c_custkey") == F.col("o_custkey")).select(
-        F.col("c_name").alias("filename"), F.col("o_orderkey").alias("window_index"), F.col("o_orderdate").cast("string").alias("time"),
-        F.col("o_orderkey").cast("double").alias("time_order"), F.col("o_totalprice").alias("y_pred_rul_raw"), F.col("o_totalprice").alias("y_pred_rul"),
-        F.lit(False).alias("rul_output_clamped"), F.lit(1.0).alias("p10"), F.lit(2.0).alias("p50"), F.lit(3.0).alias("p90"), F.lit(0.5).alias("ensemble_std"),
+        F.col("c_name").alias("filename"), F.col("o_orderkey").cast("bigint").alias("window_index"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("time"),
+        F.col("o_orderkey").cast("double").alias("time_order"), price.alias("y_pred_rul_raw"), F.greatest(F.lit(0.0), price - 1000).alias("y_pred_rul"),
+        (price < 1000).alias("rul_output_clamped"), (price - 1).alias("p10"), price.alias("p50"), (price + 1).alias("p90"), (price / 4).alias("ensemble_std"),
     )
+    packed_in = F.col("c_custkey") % 2 == 0
     registry = c.select(
         F.col("c_name").alias("filename"), F.sha2("c_name", 256).alias("input_sha256"),
-        *blank("container_filename", "container_sha256", "archive_member", "production_point_seed"),
-        F.lit("battery").alias("line"), F.lit("ensemble").alias("model_name"), F.lit("spark").alias("framework"), F.lit("0").alias("manifest_sha256"),
-        F.array(F.lit("a"), F.lit("b")).alias("member_sha256s"), F.lit("median3").alias("selection_aggregation"),
+        F.when(packed_in, "box.zip").alias("container_filename"), F.lit(None).cast("string").alias("container_sha256"),
+        F.when(packed_in, F.concat("c_name", F.lit(".csv"))).alias("archive_member"), F.lit(None).cast("int").alias("production_point_seed"),
+        F.lit("battery").alias("line"), F.lit("ensemble").alias("model_name"), F.lit("spark").alias("framework"), F.sha2("c_mktsegment", 256).alias("manifest_sha256"),
+        F.array(F.lit("a"), F.col("c_nationkey").cast("string")).alias("member_sha256s"), F.lit("median3").alias("selection_aggregation"),
         F.lit("median3").alias("production_point_aggregation"), F.array(F.lit(17), F.lit(42), F.lit(73)).alias("interval_member_seeds"),
         F.lit("members").alias("uncertainty_mode"), F.lit("cycles").alias("rul_unit"),
     )
-    return files.export_batch(preds, registry).select("filename", "window_index", "production_point_seed", "interval_member_seeds", "y_pred_rul")
+    return files.export_batch(preds, registry)
 
 
-_PRED_TEXT = """x AS (SELECT event_id, user_id, event_type, value, CASE WHEN value > 300 THEN 'nan' WHEN value < 1 THEN 'bad' ELSE CAST(value AS VARCHAR) END AS p FROM events)"""
-
-
-def _prediction_text(spark, base):
+def _event_predictions(spark, base):
+    """Predictions of events with cells that are no prediction: no unit, another route, no number."""
     e = tb.read(spark, base, "events")
     v = F.col("value")
     return e.select(
@@ -579,22 +584,46 @@ def _prediction_text(spark, base):
 
 @query(
     "s10_read_predictions",
-    "WITH " + _PRED_TEXT + """ SELECT count(*) FILTER (event_type NOT IN ('signup', 'view') AND value BETWEEN 1 AND 300) AS n_windows,
- count(*) FILTER (event_type IN ('signup', 'view') OR value > 300 OR value < 1) AS invalid_rows, count(DISTINCT CASE WHEN event_type NOT IN ('signup', 'view') AND value BETWEEN 1 AND 300 THEN user_id END) AS n_units FROM x""",
+    """SELECT count(*) FILTER (event_type NOT IN ('signup', 'view') AND value BETWEEN 1 AND 300) AS n_windows,
+ count(*) FILTER (event_type IN ('signup', 'view') OR value > 300 OR value < 1) AS invalid_rows, count(DISTINCT CASE WHEN event_type NOT IN ('signup', 'view') AND value BETWEEN 1 AND 300 THEN user_id END) AS n_units FROM events""",
 )
 def read_predictions(spark, base):
-    return delimited.prediction_counts(delimited.classify_predictions(_prediction_text(spark, base), "wheel"))
+    """Written as CSV with its columns in another order and one more, read by header."""
+    path = _folder(spark, "prediction-csv")
+    rows = _event_predictions(spark, base)
+    rows.select("truth", F.lit("x").alias("more"), *[c for c in rows.columns if c != "truth"]).write.option("header", True).csv(path)
+    return delimited.prediction_counts(delimited.read_prediction_csv(spark, path, "wheel"))
 
 
-@query("s09_append_run_ledger", "SELECT c_mktsegment AS component, count(*) AS n_windows, count(*) AS runs FROM (SELECT DISTINCT c_mktsegment, 1 AS one FROM customer) GROUP BY 1")
+@query(
+    "s09_append_run_ledger",
+    """WITH p AS (SELECT o_custkey % 10 AS t, o_totalprice AS y, o_totalprice + o_orderkey % 7 AS p FROM orders)
+SELECT 'run-a' AS run_id, 'prediction' AS stage, 'pass' AS status, 'battery' AS component, 'validation' AS split, 'R1' AS route_id, 'cycles' AS rul_unit, count(*) AS n_windows,
+ count(*) AS n_in_files, count(*) AS n_read, count(*) AS n_input, 1 AS n_receipts, TRUE AS digests, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round(avg(abs(p - y)), 6) AS mae, round(avg(p - y), 6) AS bias FROM p""",
+)
 def run_ledger(spark, base):
-    from lifespan.operators import ledger
-
-    path = f"{storage.checkpoint_folder(spark)}/ledger-{uuid.uuid4().hex}"
-    receipt = tb.read(spark, base, "customer").groupBy(F.col("c_mktsegment").alias("component")).agg(F.lit(1).cast("bigint").alias("n_windows"))
-    ledger.append_run(path, receipt)
-    back = spark.read.parquet(path)
-    return back.groupBy("component").agg(F.sum("n_windows").alias("n_windows"), F.count(F.lit(1)).alias("runs"))
+    """A run written twice under one id: one receipt, files with their digests, and the predictions it names."""
+    path = _folder(spark, "runs")
+    o = tb.read(spark, base, "orders")
+    predictions = o.select(
+        F.col("o_orderkey").alias("window_id"), F.col("o_custkey").alias("unit_id"), F.col("o_orderkey").cast("double").alias("t_end"), F.lit("R1").alias("route_id"),
+        (F.col("o_totalprice") + F.col("o_orderkey") % 7).alias("prediction"), F.lit("cycles").alias("rul_unit"), F.col("o_totalprice").alias("truth"),
+    )
+    for _ in range(2):
+        runs.write_run(spark, path, "run-a", predictions, "battery", "validation", "R1", "cycles", {"orders": o})
+    back = runs.read_run(spark, path, "run-a", "R1").where("valid").agg(F.count(F.lit(1))).scalar()
+    stored = spark.read.format("binaryFile").load(f"{path}/runs/run-a/*.csv")
+    found = stored.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    whole = lambda rows: rows.agg(F.sort_array(F.collect_list(F.concat_ws(":", "name", F.col("bytes").cast("string"), "sha256")))).scalar()
+    receipts = runs.read_ledger(spark, path)
+    named = receipts.select(F.explode("files").alias("f")).select("f.*")
+    metric = lambda k: F.round(F.col("metrics")[k], 6).alias(k)
+    return receipts.select(
+        "run_id", "stage", "status", "component", "split", "route_id", "rul_unit", "n_windows",
+        F.aggregate("files", F.lit(0).cast("bigint"), lambda s, f: s + f["n_rows"]).alias("n_in_files"), back.alias("n_read"),
+        F.col("inputs")[0]["n_rows"].alias("n_input"), receipts.agg(F.count(F.lit(1)).cast("int")).scalar().alias("n_receipts"),
+        (whole(found) == whole(named)).alias("digests"), metric("rmse"), metric("mae"), metric("bias"),
+    )
 
 
 def _folder(spark, kind):

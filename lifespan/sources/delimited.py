@@ -52,7 +52,7 @@ def read_commented_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("comment", "#").csv(path)
 
 
-def read_prediction_csv(spark: SparkSession, path: str, route: str) -> DataFrame:
+def read_prediction_csv(spark: SparkSession, path: str | list[str], route: str) -> DataFrame:
     """Columns are found by their header, in any order; one that is missing is null."""
     found = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     raw = found.select(*(F.col(f"`{c}`") if c in found.columns else F.lit(None).cast("string").alias(c) for c in PREDICTION_COLUMNS))

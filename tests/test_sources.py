@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lifespan.operators import ledger
 from lifespan.operators.segments import Axis
-from lifespan.sources import delimited, files, packed, records
+from lifespan.sources import delimited, files, packed, records, runs
 
 
 def test_delimited(spark, tmp_path):
@@ -219,3 +219,45 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     one = ledger.fingerprint(df, cols).first().fingerprint
     assert ledger.fingerprint(df.orderBy(F.desc("a")), cols).first().fingerprint == one
     assert ledger.fingerprint(df.na.fill("", ["b"]), cols).first().fingerprint != one
+
+
+# -- runs ----------------------------------------------------------------------
+
+
+def predicted(spark, n, shift):
+    return spark.range(n).selectExpr(
+        "id as window_id", "concat('u', id % 3) as unit_id", "double(id) as t_end", "'R' as route_id", f"double(id) + {shift} as prediction",
+        "'cycles' as rul_unit", "if(id % 4 = 0, null, double(id)) as truth",
+    )
+
+
+def test_runs_are_replaced_whole(spark, tmp_path):
+    path, source = str(tmp_path / "runs"), spark.range(7)
+    runs.write_run(spark, path, "a", predicted(spark, 40, 1.0).repartition(5), "battery", "validation", "R", "cycles", {"x": source})
+    first = runs.read_ledger(spark, path).first()
+    runs.write_run(spark, path, "a", predicted(spark, 20, 2.0).repartition(3), "battery", "validation", "R", "cycles", {"x": source})
+    runs.write_run(spark, path, "b", predicted(spark, 0, 2.0), "battery", "holdout", "R", "cycles", {"x": source.limit(0)})
+    receipts = {r.run_id: r for r in runs.read_ledger(spark, path).collect()}
+    assert set(receipts) == {"a", "b"} and receipts["a"].n_windows == 20 and receipts["b"].n_windows == 0 and receipts["b"].metrics is None
+    a = receipts["a"]
+    assert (a.metrics.rmse, a.metrics.mae, a.metrics.bias, a.metrics.n) == (2.0, 2.0, 2.0, 15)
+    assert a.inputs == first.inputs and a.inputs[0].n_rows == 7
+    stored = {p.name: p for p in (tmp_path / "runs" / "runs" / "a").glob("part-*")}
+    assert {f.name for f in a.files} == set(stored)
+    import hashlib
+
+    assert all(hashlib.sha256(stored[f.name].read_bytes()).hexdigest() == f.sha256 and stored[f.name].stat().st_size == f.bytes for f in a.files)
+    rows = runs.read_run(spark, path, "a", "R").collect()
+    assert len(rows) == 20 and sum(r.valid for r in rows) == 15
+    with pytest.raises(ValueError, match="no run"):
+        runs.read_run(spark, path, "c", "R")
+
+
+def test_a_run_that_fails_leaves_no_receipt(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    bad = predicted(spark, 40, 1.0).repartition(4).withColumn("prediction", F.expr("if(window_id = 17, raise_error('x'), prediction)"))
+    with pytest.raises(Exception):
+        runs.write_run(spark, path, "a", bad, "battery", "validation", "R", "cycles", {})
+    assert not list((tmp_path / "runs").glob("ledger/*"))
+    with pytest.raises(ValueError, match="run id"):
+        runs.write_run(spark, path, "../a", predicted(spark, 1, 0.0), "battery", "validation", "R", "cycles", {})
