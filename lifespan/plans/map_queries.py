@@ -630,12 +630,23 @@ def _folder(spark, kind):
     return f"{storage.checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-@query("s01_read_delimited", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_acctbal AS VARCHAR) AS c_acctbal FROM customer")
+@query(
+    "s01_read_delimited",
+    """WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, c_name, c_acctbal FROM customer)
+SELECT CAST(k AS VARCHAR) AS key, CASE WHEN n % 5 = 3 THEN '名' || c_name ELSE c_name END AS name, CASE WHEN n % 5 < 4 THEN CAST(c_acctbal AS VARCHAR) END AS balance, NULL AS code FROM c
+UNION ALL SELECT NULL, '1;2;3;4', NULL, 'row_column_count' FROM c WHERE n % 5 = 1 GROUP BY n""",
+)
 def read_delimited(spark, base):
-    path = _folder(spark, "delimited")
-    c = tb.read(spark, base, "customer").select("c_custkey", "c_name", "c_acctbal")
-    c.write.option("header", True).option("sep", ";").csv(path)
-    return delimited.read_delimited(spark, path).drop("source")
+    """A file a nation: comma, semicolon, tab, GB18030, and one of another width; some with a bad line."""
+    path, folder = _folder(spark, "delimited"), _folder(spark, "delimited-utf8")
+    c = tb.read(spark, base, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").cast("string").alias("balance"), F.col("c_nationkey").alias("nation"))
+    fixtures.write_each(c, "nation", path, fixtures.delimited_file).collect()
+    cells, issues = delimited.read_delimited_files(spark, path, folder)
+    cell = lambda name: F.max(F.when(F.col("column") == name, F.col("text"))).alias(name)
+    wide = cells.groupBy("source", "record_id").agg(cell("key"), cell("name"), cell("balance"))
+    read = wide.select("key", "name", "balance", F.lit(None).cast("string").alias("code"))
+    bad = issues.select(F.lit(None).cast("string").alias("key"), F.col("line").alias("name"), F.lit(None).cast("string").alias("balance"), "code")
+    return read.unionByName(bad)
 
 
 @query(

@@ -2,49 +2,141 @@
 
 from __future__ import annotations
 
+import codecs
+import csv
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lifespan.config import BROADCAST_ROWS
 from lifespan.functions.scalar import finite, mask_ids, round_half_even
+from lifespan.sources.storage import cut_lineage, listed, opened
 
 SEPARATORS = (",", "\t", ";")
-SPARK_CHARSETS = ("UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32", "US-ASCII", "ISO-8859-1")
 PREDICTION_COLUMNS = ("window_id", "unit_id", "t_end", "route_id", "prediction", "rul_unit", "truth")
 
 
-def sniff_separator(spark: SparkSession, path: str) -> str:
-    """The separator that occurs most in the first line (tab by suffix)."""
-    if path.lower().endswith((".tsv", ".tab")):
-        return "\t"
-    first = spark.read.text(path).where(F.trim("value") != "").first()
-    if first is None:
-        raise ValueError("empty_file")
-    counts = {s: first[0].count(s) for s in SEPARATORS}
-    best = max(SEPARATORS, key=lambda s: counts[s])
-    if counts[best] == 0:
-        raise ValueError("delimiter_unknown")
-    return best
-
-
-def read_delimited(
-    spark: SparkSession, path: str, separator: str | None = None, encoding: str = "UTF-8"
-) -> DataFrame:
-    """Every column as text, with the file it came from; rows of another width fail."""
-    if encoding.upper() not in SPARK_CHARSETS:
-        # Spark reads the other JVM charsets (GB18030 is one of them) only with this set
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    sep = separator or sniff_separator(spark, path)
-    df = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("encoding", encoding)
-        .option("mode", "FAILFAST")
-        .option("enforceSchema", False)
-        .csv(path)
-    )
-    first = df.columns[0]
-    df = df.withColumnRenamed(first, first.lstrip("﻿"))
-    return df.withColumn("source", F.input_file_name())
+# -- dialects --------------------------------------------------------------
+DIALECTS = "source string, read_from string, charset string, separator string, header array<string>, code string"
+HEAD_BYTES = 1 << 16
+
+
+def _dialect(name: str, head: bytes, whole: bool) -> tuple:
+    """Charset, separator and header of a file by its first block; a code if it has none."""
+    if not head.strip():
+        return None, None, None, "empty_file"
+    charset = None
+    for tried in ("utf-8-sig", "gb18030"):
+        try:
+            # the block may end within a character
+            text = codecs.getincrementaldecoder(tried)().decode(head, final=whole)
+            charset = tried
+            break
+        except UnicodeDecodeError:
+            continue
+    if charset is None:
+        return None, None, None, "unsupported_encoding"
+    lines = [x for x in text.splitlines() if x.strip()]
+    tab = name.lower().endswith((".tsv", ".tab"))
+    separator = "\t" if tab else max(SEPARATORS, key=lines[0].count)
+    if separator not in lines[0]:
+        return charset, None, None, "delimiter_unknown"
+    header = [h.strip() for h in next(csv.reader([lines[0]], delimiter=separator))]
+    return charset, separator, header, "ambiguous_header" if len(set(header)) < len(header) or "" in header else None
+
+
+def dialects(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Per file ``source, read_from, charset, separator, header, code``, by one block of each.
+
+    ``path`` is a folder, a file or a pattern of file names.  Spark reads text as UTF-8, so files in
+    GB18030 are written again as UTF-8 below ``folder``, a chunk at a time, and read from there.  A
+    file whose first block is ASCII counts as UTF-8; lines that are not give a code when it is read.
+    """
+    store, names = listed(path)
+    files = spark.createDataFrame([(n,) for n in names], "source string").repartition(max(1, min(len(names), 200)), "source")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = opened(path)
+        for batch in batches:
+            rows = []
+            for name in batch.column("source").to_pylist():
+                with store.open_input_stream(name, compression=None) as f:
+                    head = f.read(HEAD_BYTES)
+                charset, separator, header, code = _dialect(name, head, len(head) < HEAD_BYTES)
+                read_from = name
+                if charset == "gb18030" and code is None:
+                    read_from = f"{opened(folder)[1]}/{uuid.uuid4().hex}.csv"
+                    code = _as_utf8(store, name, read_from)
+                rows.append((name, read_from, charset, separator, header, code))
+            columns = zip(*rows) if rows else [()] * 6
+            kinds = [pa.string()] * 4 + [pa.list_(pa.string()), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in DIALECTS.split(", ")])
+
+    opened(folder)[0].create_dir(opened(folder)[1], recursive=True)
+    return cut_lineage(files.mapInArrow(look, DIALECTS))
+
+
+def _as_utf8(store, name: str, target: str) -> str | None:
+    decoder = codecs.getincrementaldecoder("gb18030")()
+    try:
+        with store.open_input_stream(name, compression=None) as f, store.open_output_stream(target, compression=None) as out:
+            while data := f.read(1 << 20):
+                out.write(decoder.decode(data).encode())
+            out.write(decoder.decode(b"", final=True).encode())
+    except UnicodeDecodeError:
+        return "unsupported_encoding"
+    return None
+
+
+def read_delimited_files(spark: SparkSession, path: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``(source, record_id, column, text)`` cells of all files, and ``(source, line, code)`` issues.
+
+    Files of one separator and width are read together, by Spark's own splittable reader.  A line of
+    another width, or one that is not text, is an issue and gives no cells; a file that has no
+    dialect is an issue without a line.  The other lines and files are read.
+    """
+    found = dialects(spark, path, folder)
+    issues = found.where(F.col("code").isNotNull()).select("source", F.lit(None).cast("string").alias("line"), "code")
+    sound = found.where(F.col("code").isNull()).withColumn("width", F.size("header"))
+    # a row per file, as in any listing of files that is planned
+    groups: dict[tuple[str, int], list[str]] = {}
+    for r in sound.select("read_from", "separator", "width").collect():
+        groups.setdefault((r["separator"], r["width"]), []).append(r["read_from"])
+    heads = sound.select(F.col("read_from").alias("__from"), "source", "header")
+    side = F.broadcast(heads) if sum(map(len, groups.values())) <= BROADCAST_ROWS else heads
+    parts = []
+    for (separator, width), names in sorted(groups.items()):
+        fields = [f"c{i}" for i in range(width)]
+        schema = ", ".join(f"{c} string" for c in [*fields, "__bad"])
+        prefix = scheme(path)
+        raw = (
+            spark.read.schema(schema).option("header", True).option("sep", separator).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "__bad").option("escape", '"').csv([prefix + n for n in names])
+        )
+        parts.append(raw.select(F.array(*fields).alias("values"), "__bad", F.col("_metadata.file_path").alias("__path")))
+    if not parts:
+        return spark.createDataFrame([], "source string, record_id long, column string, text string"), issues
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    plain = F.regexp_replace(F.url_decode(F.replace("__path", F.lit("+"), F.lit("%2B"))), r"^[a-zA-Z][a-zA-Z0-9+.-]*:/{0,2}(?=/)", "")
+    named = rows.withColumn("__from", plain).join(side, "__from").withColumn("record_id", F.monotonically_increasing_id())
+    broken = F.exists("values", lambda v: v.contains("\ufffd"))
+    code = F.when(F.col("__bad").isNotNull(), "row_column_count").when(broken, "unsupported_encoding")
+    marked = named.withColumn("code", code)
+    bad = marked.where(F.col("code").isNotNull())
+    line = F.coalesce("__bad", F.array_join("values", ","))
+    pairs = F.explode(F.arrays_zip(F.col("header").alias("column"), F.transform("values", lambda v: F.coalesce(v, F.lit(""))).alias("text"))).alias("cell")
+    cells = marked.where(F.col("code").isNull()).select("source", "record_id", pairs)
+    return cells.select("source", "record_id", "cell.column", "cell.text"), issues.unionByName(bad.select("source", line.alias("line"), "code"))
+
+
+def scheme(path: str) -> str:
+    """What stands before the path of a file in its address."""
+    return path[: path.index("://") + 3] if "://" in path else "file:" if path.startswith("file:") else ""
 
 
 def read_commented_csv(spark: SparkSession, path: str) -> DataFrame:

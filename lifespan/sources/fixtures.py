@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.feather as feather
 from pyspark.sql import DataFrame
 
-from lifespan.sources.packed import opened
+from lifespan.sources.storage import opened
 
 
 def _delimited(rows: pd.DataFrame, sep: str = ",") -> bytes:
@@ -81,6 +81,19 @@ def table_file(number: int, rows: pd.DataFrame) -> tuple[str, bytes]:
     return f"group{number}.{suffix}", make()
 
 
+def delimited_file(number: int, rows: pd.DataFrame) -> tuple[str, bytes]:
+    """Name and bytes of a delimited table by the number of its group: separator, charset and width differ."""
+    rows = rows.drop(columns="nation")
+    kind = number % 5
+    if kind == 1:
+        return f"group{number}.csv", _delimited(rows, ";") + b"1;2;3;4\n"
+    if kind == 2:
+        return f"group{number}.tsv", b"\xef\xbb\xbf" + _delimited(rows, "\t")
+    if kind == 3:
+        return f"group{number}.txt", _delimited(rows.assign(name="名" + rows["name"]), ";").decode().encode("gb18030")
+    return f"group{number}.csv", _delimited(rows if kind == 0 else rows[["name", "key"]])
+
+
 def archive_file(number: int, rows: pd.DataFrame) -> tuple[str, bytes]:
     """Name and bytes of an archive by the number of its group; kinds 3 and 4 have faults, and kind 0 a member with one."""
     half = len(rows) // 2

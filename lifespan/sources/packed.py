@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import bz2
 import csv
-import fnmatch
 import gzip
 import io
 import json
@@ -31,6 +30,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lifespan import fixed_values as fv
 from lifespan.config import BROADCAST_ROWS
+from lifespan.sources.storage import listed, opened
 
 CELLS = pa.schema(
     [("source", pa.string()), ("member", pa.string()), ("row_number", pa.int64()), ("column", pa.string()), ("text", pa.string()), ("code", pa.string())]
@@ -368,14 +368,7 @@ class PackedReader(DataSourceReader):
         self.path, self.limits = path, limits
 
     def partitions(self) -> list[Part]:
-        store, pattern = opened(self.path)
-        from pyarrow import fs
-
-        folder = posixpath.dirname(pattern) if any(c in pattern for c in "*?[") else pattern
-        info = store.get_file_info(folder)
-        found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(folder))
-        chosen = [i for i in found if i.type == fs.FileType.File and (folder == pattern or fnmatch.fnmatchcase(i.path, pattern))]
-        names = [i.path for i in sorted(chosen, key=lambda i: i.path) if not i.base_name.startswith((".", "_"))]
+        store, names = listed(self.path)
         return [p for name in names for p in self._planned(store, name)] or [Part("", "nothing")]
 
     def _planned(self, store, name: str) -> list[Part]:
@@ -544,15 +537,6 @@ def _random(file) -> io.BufferedReader:
     return io.BufferedReader(_Random(file))
 
 
-def opened(url: str):
-    """A file system and the path in it; any that pyarrow knows by its address, else local."""
-    from pyarrow import fs
-
-    if "://" in url or url.startswith("file:"):
-        return fs.FileSystem.from_uri(url if "://" in url else "file://" + url.removeprefix("file:"))
-    return fs.LocalFileSystem(), url
-
-
 class PackedTables(DataSource):
     """``spark.read.format("packed_tables")``: a folder, a file, or a pattern of file names."""
 

@@ -27,7 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from lifespan.operators import ledger
 from lifespan.sources.delimited import PREDICTION_COLUMNS, read_prediction_csv
-from lifespan.sources.packed import opened
+from lifespan.sources.storage import opened
 
 RECEIPT = (
     "run_id string, stage string, status string, created_at string, component string, split string, route_id string, rul_unit string, "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+import posixpath
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +28,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder once and go on from there."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def opened(url: str):
+    """A file system and the path in it; any that pyarrow knows by its address, else local."""
+    from pyarrow import fs
+
+    if "://" in url or url.startswith("file:"):
+        return fs.FileSystem.from_uri(url if "://" in url else "file://" + url.removeprefix("file:"))
+    return fs.LocalFileSystem(), url
+
+
+def listed(path: str):
+    """The file system of a path and the files that it names."""
+    from pyarrow import fs
+
+    store, pattern = opened(path)
+    folder = posixpath.dirname(pattern) if any(c in pattern for c in "*?[") else pattern
+    info = store.get_file_info(folder)
+    found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(folder))
+    chosen = [i for i in found if i.type == fs.FileType.File and (folder == pattern or fnmatch.fnmatchcase(i.path, pattern))]
+    return store, sorted(i.path for i in chosen if not i.base_name.startswith((".", "_")))

@@ -18,14 +18,33 @@ from lifespan.sources import delimited, files, packed, records, runs
 
 
 def test_delimited(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("﻿time_s;channel;value\n0;x;1\n1;x;2\n", encoding="utf-8")
-    df = delimited.read_delimited(spark, str(tmp_path / "a.csv"))
-    assert df.columns == ["time_s", "channel", "value", "source"] and df.count() == 2
-    (tmp_path / "g.tsv").write_bytes("时间\t值\n0\t1\n".encode("gb18030"))
-    assert delimited.read_delimited(spark, str(tmp_path / "g.tsv"), encoding="GB18030").columns[:2] == ["时间", "值"]
-    (tmp_path / "bad.csv").write_text("a,b\n1,2\n3\n")
-    with pytest.raises(Exception):
-        delimited.read_delimited(spark, str(tmp_path / "bad.csv")).collect()
+    files_of = {
+        "a.csv": "\ufefftime_s;channel;value\n0;x;1\n1;x;2\n".encode(),
+        "b c+.csv": 'time_s,value\n0,"1,5"\n1,"say ""hi"""\n\n'.encode(),
+        "g.tsv": "时间\t值\n0\t中\n1\t\n".encode("gb18030"),
+        "bad.csv": b"a,b\n1,2\n3\n4,5,6\n7,8\n",
+        "late.csv": b"a,b\n" + b"1,2\n" * 30_000 + "3,中\n".encode("gb18030"),
+        "empty.csv": b" \n", "one.csv": b"alone\n1\n", "twice.csv": b"a,a\n1,2\n", "odd.csv": b"a,b\n\xff\xff,1\n",
+    }
+    (tmp_path / "in").mkdir()
+    for name, data in files_of.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    cells, issues = delimited.read_delimited_files(spark, str(tmp_path / "in"), str(tmp_path / "utf8"))
+    found = sorted((r.file, r.column, r.text) for r in names_of(cells.where("source not like '%late%'")).collect())
+    assert found == sorted([
+        ("a.csv", "time_s", "0"), ("a.csv", "channel", "x"), ("a.csv", "value", "1"), ("a.csv", "time_s", "1"), ("a.csv", "channel", "x"), ("a.csv", "value", "2"),
+        ("b c+.csv", "time_s", "0"), ("b c+.csv", "value", "1,5"), ("b c+.csv", "time_s", "1"), ("b c+.csv", "value", 'say "hi"'),
+        ("g.tsv", "时间", "0"), ("g.tsv", "值", "中"), ("g.tsv", "时间", "1"), ("g.tsv", "值", ""),
+        ("bad.csv", "a", "1"), ("bad.csv", "b", "2"), ("bad.csv", "a", "7"), ("bad.csv", "b", "8"),
+    ])
+    assert cells.where("source like '%late%'").count() == 60_000
+    codes = sorted((r.file, r.code, r.line if r.file == "bad.csv" else None) for r in names_of(issues).collect())
+    assert codes == [
+        ("bad.csv", "row_column_count", "3"), ("bad.csv", "row_column_count", "4,5,6"), ("empty.csv", "empty_file", None), ("late.csv", "unsupported_encoding", None),
+        ("odd.csv", "unsupported_encoding", None), ("one.csv", "delimiter_unknown", None), ("twice.csv", "ambiguous_header", None),
+    ]
+    one = delimited.dialects(spark, str(tmp_path / "in" / "*.tsv"), str(tmp_path / "utf8")).first()
+    assert (one.charset, one.separator, one.header) == ("gb18030", "\t", ["时间", "值"])
 
 
 def test_commented_and_prediction_csv(spark, tmp_path):
