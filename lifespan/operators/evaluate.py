@@ -145,23 +145,26 @@ def interval_coverage(rows: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def alpha_lambda(rows: DataFrame, alpha: float = 0.2, segment: float = 1000.0) -> DataFrame:
+def alpha_lambda(rows: DataFrame, alpha: float = 0.2, axis: Axis | None = None) -> DataFrame:
     """Share of windows within ±alpha of the truth and the earliest lasting relative life.
 
     ``horizon`` is one minus the relative age after which no window leaves the band
-    (null when the last window is outside).
+    (null when the last window is outside).  Windows meet once per unit and end; the end behind the
+    last one outside comes from its neighbour, so nothing is joined.
     """
     inside = F.abs(F.col("y_pred") - F.col("y_true")) <= alpha * F.col("y_true")
-    axis = Axis(("unit_id",), ("t_end",), segment)
-    out = F.max(F.when(~F.col("inside"), F.col("t_end")))
-    marked = sg.unit_values(rows.withColumn("inside", inside), axis, {"last_out": (out, F.max)})
-    after = F.col("last_out").isNull() | (F.col("t_end") > F.col("last_out"))
-    per_unit = marked.groupBy("unit_id").agg(
-        F.avg(F.col("inside").cast("double")).alias("accuracy"),
+    ends = rows.groupBy("unit_id", "t_end").agg(F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("n_inside"))
+    placed = sg.next_row(ends, axis or Axis.fit(ends, ("unit_id",), ("t_end",)), ["t_end"])
+    outside = F.when(F.col("n_inside") < F.col("n"), F.col("t_end"))
+    per_unit = placed.groupBy("unit_id").agg(
+        (F.sum("n_inside") / F.sum("n")).alias("accuracy"),
         F.max("t_end").alias("life"),
-        F.min(F.when(after, F.col("t_end"))).alias("start"),
+        F.min("t_end").alias("first"),
+        F.max(outside).alias("last_out"),
+        F.max_by("next_t_end", outside).alias("after"),
     )
-    return per_unit.select("unit_id", "accuracy", (1.0 - F.col("start") / F.col("life")).alias("horizon"))
+    start = F.when(F.col("last_out").isNull(), F.col("first")).otherwise(F.col("after"))
+    return per_unit.select("unit_id", "accuracy", (1.0 - start / F.col("life")).alias("horizon"))
 
 
 def metrics_by_split(ledger: DataFrame) -> DataFrame:

@@ -131,9 +131,9 @@ def version_state(
 def version_compare(samples: DataFrame, active: DataFrame, key: str = "line") -> DataFrame:
     """Compare the table version a sample was made with to the one active for its line.
 
-    ``active`` has one row per product line, a fixed handful.
+    ``active`` has one row per product line; whether it is broadcast follows from its size.
     """
-    joined = samples.join(F.broadcast(active), key, "left")
+    joined = samples.join(active, key, "left")
     return joined.withColumn(
         "state",
         version_state(

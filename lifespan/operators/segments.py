@@ -303,6 +303,12 @@ def with_halo(
     )
 
 
+def top_rows(df: DataFrame, unit: list[str], order: list, k: int, name: str) -> DataFrame:
+    """The first ``k`` rows of each unit with their places from 0; every partition keeps ``k`` before the exchange."""
+    placed = df.withColumn(name, F.row_number().over(Window.partitionBy(*unit).orderBy(*order)))
+    return placed.where(F.col(name) <= k).withColumn(name, (F.col(name) - 1).cast("long"))
+
+
 def rank_by_hash(df: DataFrame, group: list[str], digest: str, name: str, total: str) -> DataFrame:
     """Zero-based rank and size inside a group, ordered by a hex digest.
 

@@ -230,19 +230,19 @@ def mask_ids(spark, base):
 
 @query(
     "p14_public_projection",
-    """WITH d AS (SELECT source AS src, doc_id, lang, n_chars / 20000 AS ratio, n_chars, substr(text, 1, 60) AS head FROM documents)
+    """WITH d AS (SELECT doc_id, lang, n_chars / 20000 AS ratio, n_chars, text AS body FROM documents)
 SELECT 'id.' || doc_id AS doc_id, doc_id AS ord, CASE WHEN trim(lang) <> '' AND NOT regexp_matches(lang, '^d') THEN lang END AS lang, CASE WHEN n_chars <= 8000 THEN CAST(n_chars AS DOUBLE) END AS size,
- CASE WHEN ratio <= 1 THEN ratio END AS ratio, CASE WHEN n_chars <= 8000 THEN n_chars END AS n FROM d""",
+ CASE WHEN ratio <= 1 THEN ratio END AS ratio, CASE WHEN n_chars <= 8000 THEN n_chars END AS n, CASE WHEN trim(body) <> '' AND length(trim(body)) <= 2000 AND NOT regexp_matches(trim(body), '^d') THEN trim(body) END AS text FROM d""",
 )
 def public_projection(spark, base):
     d = tb.read(spark, base, "documents")
     size = F.when(F.col("n_chars") > 8000, float("inf")).otherwise(F.col("n_chars").cast("double"))
     rows = d.select(
         F.concat(F.lit("id."), "doc_id").alias("doc_id"), F.col("doc_id").alias("ord"), "lang", size.alias("size"),
-        (F.col("n_chars") / 20000).alias("ratio"), size.alias("n"),
+        (F.col("n_chars") / 20000).alias("ratio"), size.alias("n"), "text",
     )
     again = rows.withColumn("ord", F.col("ord") + 1_000_000).withColumn("lang", F.lit("zz"))
-    return evaluate.public_projection(rows.unionByName(again), "doc_id", {"lang": 40}, ["size"], ["ratio"], ["n"], "^d", "ord")
+    return evaluate.public_projection(rows.unionByName(again), "doc_id", {"lang": 40, "text": 2000}, ["size"], ["ratio"], ["n"], "^d", "ord")
 
 
 @query(
@@ -668,6 +668,21 @@ def _packed_totals(cells, issues):
     return read.unionByName(issues.groupBy(F.col("code").alias("column")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("bigint").alias("total")))
 
 
+@query(
+    "s02_json_arrays",
+    """SELECT 'key' AS "column", count(*) AS n, CAST(sum(c_custkey) AS DOUBLE) AS total FROM customer WHERE c_nationkey % 4 < 3 UNION ALL
+SELECT 'name', count(*), NULL FROM customer WHERE c_nationkey % 4 < 3 UNION ALL SELECT 'json_record_shape', count(DISTINCT c_nationkey), NULL FROM customer WHERE c_nationkey % 4 = 3 HAVING count(*) > 0""",
+)
+def read_json_arrays(spark, base):
+    """A JSON array a nation: of objects, of rows below a header, and of records of two shapes."""
+    path = _folder(spark, "json-arrays")
+    c = tb.read(spark, base, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    fixtures.write_each(c, "nation", path, fixtures.json_file).collect()
+    cells, issues = records.read_json_records(spark, path, lines=False)
+    read = cells.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text").try_cast("double")).alias("total"))
+    return read.unionByName(issues.groupBy(F.col("code").alias("column")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("total")))
+
+
 @query(
     "s04_ingest_many_files",
     """WITH c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer)

@@ -5,6 +5,8 @@ Faults are written into columns derived from the tables, so each rule finds some
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lifespan import fixed_values as fv
@@ -12,6 +14,7 @@ from lifespan.functions import scalar as sc
 from lifespan.operators import joins, ledger, rules
 from lifespan.operators.segments import Axis
 from lifespan.plans.registry import READINGS, STEPS, SUPPLIER_DAYS, query
+from lifespan.sources import fixtures, storage
 from lifespan.sources import tables as tb
 
 CHANNEL_OF = {
@@ -373,20 +376,27 @@ def holdout_leaks(spark, base):
 
 @query(
     "v19_manifest_audit",
-    """WITH f AS (SELECT 'docs/' || doc_id || '.txt' AS path, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS sha, n_chars, lang FROM documents)
-SELECT path, CASE WHEN n_chars < 120 THEN 'extra' WHEN n_chars > 5000 THEN 'missing' WHEN lang = 'de' THEN 'changed' ELSE 'ok' END AS state FROM f""",
+    """WITH g AS (SELECT DISTINCT doc_id % 40 AS g FROM documents)
+SELECT 'group' || g || '.txt' AS path, CASE g % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'changed' WHEN 2 THEN 'extra' ELSE 'changed' END AS state FROM g
+UNION ALL SELECT 'gone' || g || '.txt', 'missing' FROM g WHERE g % 4 = 0""",
 )
 def manifest_audit(spark, base):
-    d = tb.read(spark, base, "documents")
-    path = F.concat(F.lit("docs/"), F.col("doc_id"), F.lit(".txt")).alias("path")
-    size, sha = F.octet_length("text").cast("bigint"), F.sha2("text", 256)
-    found = d.where("n_chars <= 5000").select(path, size.alias("bytes"), sha.alias("sha256"))
-    manifest = d.where("n_chars >= 120").select(
-        path,
-        size.alias("expected_bytes"),
-        F.when(F.col("lang") == "de", F.reverse(sha)).otherwise(sha).alias("expected_sha256"),
+    """Files written from the table, read back as bytes, against a manifest made from the table: some
+    entries have another digest, another size, or no file, and some files no entry."""
+    path = f"{storage.checkpoint_folder(spark)}/audited-{uuid.uuid4().hex}"
+    d = tb.read(spark, base, "documents").select("doc_id", (F.col("doc_id") % 40).alias("g"), F.coalesce("text", F.lit("")).alias("text"))
+    fixtures.write_each(d, "g", path, fixtures.text_file).collect()
+    stored = spark.read.format("binaryFile").load(path)
+    found = stored.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
+    whole = d.groupBy("g").agg(F.array_join(texts, "\n").alias("whole"))
+    sha, size, kind = F.sha2("whole", 256), F.octet_length("whole").cast("bigint"), F.col("g") % 4
+    named = lambda stem: F.concat(F.lit(stem), F.col("g").cast("string"), F.lit(".txt")).alias("path")
+    listed = whole.where(kind != 2).select(
+        named("group"), F.when(kind == 3, size + 1).otherwise(size).alias("expected_bytes"), F.when(kind == 1, F.reverse(sha)).otherwise(sha).alias("expected_sha256")
     )
-    return ledger.manifest_audit(found, manifest)
+    gone = whole.where(kind == 0).select(named("gone"), size.alias("expected_bytes"), sha.alias("expected_sha256"))
+    return ledger.manifest_audit(found, listed.unionByName(gone))
 
 
 @query(

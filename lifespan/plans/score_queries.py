@@ -248,7 +248,8 @@ def ignored_channels(spark, base):
     "WITH" + STEPS + " SELECT unit_id, step, t, value FROM st WHERE step < 5",
 )
 def top_k(spark, base):
-    return tb.event_steps(spark, base).where("step < 5").select("unit_id", "step", "t", "value")
+    rows = tb.event_rows(spark, base).select("unit_id", "t", "row_number", "value")
+    return sg.top_rows(rows, ["unit_id"], ["t", "row_number"], 5, "step").select("unit_id", "step", "t", "value")
 
 
 @query(

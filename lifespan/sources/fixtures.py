@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 import tarfile
 import zipfile
 from collections.abc import Callable
@@ -94,6 +95,22 @@ def delimited_file(number: int, rows: pd.DataFrame) -> tuple[str, bytes]:
     return f"group{number}.csv", _delimited(rows if kind == 0 else rows[["name", "key"]])
 
 
+def json_file(number: int, rows: pd.DataFrame) -> tuple[str, bytes]:
+    """Name and bytes of a JSON array by the number of its group: objects, rows below a header, or two shapes."""
+    rows = rows.drop(columns="nation")
+    items = [dict(zip(rows.columns, r)) for r in rows.astype(object).itertuples(index=False)]
+    if number % 4 == 2:
+        items = [list(rows.columns), *(list(x.values()) for x in items)]
+    if number % 4 == 3:
+        items.append({"key": 1, "other": 2})
+    return f"group{number}.json", json.dumps(items).encode()
+
+
+def text_file(number: int, rows: pd.DataFrame) -> tuple[str, bytes]:
+    """All texts of a group, a line between them."""
+    return f"group{number}.txt", "\n".join(rows["text"]).encode()
+
+
 def archive_file(number: int, rows: pd.DataFrame) -> tuple[str, bytes]:
     """Name and bytes of an archive by the number of its group; kinds 3 and 4 have faults, and kind 0 a member with one."""
     half = len(rows) // 2
