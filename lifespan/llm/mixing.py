@@ -105,7 +105,11 @@ def with_copies(docs: DataFrame, rated: DataFrame, name: str = "copies") -> Data
 
 
 def emit(docs: DataFrame, weights: Weights = PRODUCTION) -> DataFrame:
-    """The mixture: rows of ``docs`` repeated, with its columns unchanged."""
+    """The mixture: rows of ``docs`` repeated, with its columns unchanged.
+
+    A null source is one of its own, the last; null and empty texts have size 0 and the rate of their
+    source.  Equal rows draw alike; columns of any name stay, and an empty table stays empty.
+    """
     columns = docs.columns
     packed = docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
     drawn = with_copies(packed, rates(docs, weights))

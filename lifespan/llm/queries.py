@@ -86,6 +86,10 @@ def op4_mix_sources(spark: SparkSession, base: str) -> DataFrame:
 
 
 def piece_digests(docs: DataFrame) -> DataFrame:
+    """``doc_id``, number of ids and digests of the ids and of the decoded text of every row.
+
+    Null text counts as empty (begin and end alone); ids that are null or repeated stay as they are.
+    """
     done = pieces.encode_decode(docs.select("doc_id", "text"), tokenizer_path(PIECE_MODEL))
     return done.select(
         "doc_id",
