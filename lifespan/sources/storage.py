@@ -49,3 +49,10 @@ def listed(path: str):
     found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(folder))
     chosen = [i for i in found if i.type == fs.FileType.File and (folder == pattern or fnmatch.fnmatchcase(i.path, pattern))]
     return store, sorted(i.path for i in chosen if not i.base_name.startswith((".", "_")))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results, in whatever file system it is."""
+    jvm, context = spark._jvm, spark.sparkContext
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
