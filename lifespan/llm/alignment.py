@@ -162,6 +162,9 @@ class ChunkTable:
         self.a, self.b, self.settings, self.base = a, b, settings, len(b.bytes)
         self.length_a = np.array([len(x) for x in a.bytes], dtype=np.int64)
         self.length_b = np.array([len(x) for x in b.bytes], dtype=np.int64)
+        # how ids are written within a group and at its end
+        written = [f"{i}{end}" for n, ends in ((len(a.bytes), ",|"), (len(b.bytes), ",;")) for end in ends for i in range(n)]
+        self.written = np.array(written, dtype=object)
         self.clear()
 
     def clear(self) -> None:
@@ -172,7 +175,7 @@ class ChunkTable:
 
     def add(self, chunks: Iterable[str]) -> None:
         """Align the chunks that are not held yet; the table begins anew when it would be too full."""
-        new = [c for c in chunks if c not in self.place]
+        new = list(set(chunks).difference(self.place))
         counts, pairs = [self.counts], [self.pairs]
         sizes: list[np.ndarray] = []
         start = 0
@@ -217,25 +220,35 @@ class ChunkTable:
                 yield from self._aligned(chunks[half:])
             return
         ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-        cut_a, cut_b, of_a, of_b = overlaps(np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b]))
+        ends_a = np.cumsum(self.length_a[ids_a])
+        cut_a, cut_b, of_a, of_b = overlaps(ends_a, np.cumsum(self.length_b[ids_b]))
         # chunks end where both tokenizations end a token
         chunk_end = np.cumsum([len(c.encode("utf-8", "surrogatepass")) + 1 for c in chunks])
-        group_end = np.cumsum(self.length_a[ids_a])[cut_a - 1]
+        group_end = ends_a[cut_a - 1]
         last = np.searchsorted(group_end, chunk_end)
         assert np.array_equal(group_end[last], chunk_end), "a token goes over a chunk"
         n_a, n_b, n_groups = (np.diff(x, prepend=0) for x in (cut_a[last], cut_b[last], last + 1))
-        text_a, text_b = list(map(str, a)), list(map(str, b))
-        groups, p, q = [], 0, 0
-        for i, j in zip(cut_a.tolist(), cut_b.tolist()):
-            groups.append(",".join(text_a[p:i]) + "|" + ",".join(text_b[q:j]))
-            p, q = i, j
-        bounds = [0, *(last + 1).tolist()]
-        texts = [";".join(groups[x:y]) for x, y in zip(bounds, bounds[1:])]
+        texts = self._texts(ids_a, ids_b, cut_a, cut_b, last)
         order = np.argsort(of_a, kind="stable")
         pairs = (ids_a[of_a] * self.base + ids_b[of_b])[order]
         sizes = np.diff(np.searchsorted(of_a[order], cut_a[last]), prepend=0)
         yield np.stack([n_a, n_b, n_groups], axis=1), texts, sizes, pairs
 
+    def _texts(self, ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, last: np.ndarray) -> list[str]:
+        """The groups of each chunk: ids of A, then those of B, each written with what follows it."""
+        n_a, n_b = len(self.length_a), len(self.length_b)
+        size_a, size_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
+        place_a = np.arange(len(ids_a)) + np.repeat(cut_b - size_b, size_a)
+        place_b = np.arange(len(ids_b)) + np.repeat(cut_a, size_b)
+        end_a, end_b = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64)
+        end_a[cut_a - 1] = n_a
+        end_b[cut_b - 1] = n_b
+        order = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+        order[place_a], order[place_b] = ids_a + end_a, ids_b + end_b + 2 * n_a
+        parts = self.written[order].tolist()
+        bounds = [0, *(cut_a[last] + cut_b[last]).tolist()]
+        return ["".join(parts[x:y])[:-1] for x, y in zip(bounds, bounds[1:])]
+
 
 def chunks_of(text: str) -> list[str]:
     """The text cut at spaces that no token of either tokenizer goes over."""
@@ -250,7 +263,9 @@ def _table(path_a: str, path_b: str, settings: Settings) -> ChunkTable:
 def _rows(texts: list[str], table: ChunkTable) -> tuple[list[np.ndarray], list[str], list[np.ndarray], list[np.ndarray]]:
     """Counts, groups, distinct pairs (rising) and how often each is linked, of each text."""
     split = [chunks_of(t) if t else [] for t in texts]
-    wanted = dict.fromkeys(c for chunks in split for c in chunks)
+    wanted: set[str] = set()
+    for chunks in split:
+        wanted.update(chunks)
     if len(table.place) + len(wanted) > table.settings.table:
         table.clear()
     table.add(wanted)
