@@ -524,10 +524,20 @@ def write_unit_dataset(spark, base):
     path = f"{storage.checkpoint_folder(spark)}/units-{uuid.uuid4().hex}"
     d = tb.supplier_days(spark, base).select("unit_id", "t", "quantity", "price")
     files.write_unit_dataset(d, path, tb.DAY_AXIS)
-    back = spark.read.parquet(path)
+    back = files.read_unit_dataset(spark, path)
     return back.select(F.col("unit_id").cast("bigint").alias("unit_id"), "t", "quantity", "price")
 
 
+@query("s06_read_units", "WITH" + SUPPLIER_DAYS + " SELECT unit_id, t, quantity FROM sd WHERE unit_id IN (1, 7)")
+def read_units(spark, base):
+    """Two units of a stored dataset that has been written twice: only their buckets are read."""
+    path = f"{storage.checkpoint_folder(spark)}/units-{uuid.uuid4().hex}"
+    d = tb.supplier_days(spark, base).select("unit_id", "t", "quantity")
+    files.write_unit_dataset(d.where("unit_id < 5"), path, tb.DAY_AXIS)
+    files.write_unit_dataset(d, path, tb.DAY_AXIS)
+    return files.read_unit_dataset(spark, path, [(1,), (7,)])
+
+
 @query("s07_write_predictions", "SELECT CAST(event_id AS VARCHAR) AS window_id, CAST(user_id AS VARCHAR) AS unit_id, value AS prediction, 'days' AS rul_unit FROM events")
 def write_predictions(spark, base):
     path = f"{storage.checkpoint_folder(spark)}/predictions-{uuid.uuid4().hex}"

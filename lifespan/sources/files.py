@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from lifespan import fixed_values as fv
 from lifespan.functions.scalar import design_id
 from lifespan.operators import mapping
 from lifespan.operators import segments as sg
+from lifespan.sources import storage
 
 
 # -- scans -----------------------------------------------------------------
@@ -87,25 +91,63 @@ def guard_output(path: str, protected: list[str]) -> str:
     return path
 
 
+BUCKET = "__bucket"
+
+
+def _bucket(unit: list[Column], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*[u.cast("string") for u in unit]), F.lit(buckets)).cast("int")
+
+
 def write_unit_dataset(
-    df: DataFrame, path: str, axis: sg.Axis, protected: list[str] = (), compression: str = "zstd"
+    df: DataFrame, path: str, axis: sg.Axis, protected: list[str] = (), compression: str = "zstd", buckets: int = 64
 ) -> None:
-    """One folder of Parquet files per unit.
+    """Rows sorted by unit and time in ``buckets`` folders by the hash of the unit, with a Bloom filter on it.
 
-    Rows move by unit and time segment, so a very long unit is written by many tasks.
-    Folders of units that are not part of ``df`` are left out of the new version.
+    The number of files follows that of buckets, not of units; rows move by bucket and segment, so a
+    very long unit is written by many tasks.  A new version is written beside the old one and becomes
+    current when its manifest is; units that are not part of ``df`` are in the old one only, which goes.
     """
+    spark = df.sparkSession
     guard_output(path, list(protected))
-    rows = axis.segmented(df)
-    (
-        rows.repartition(*axis.keys)
-        .sortWithinPartitions(*axis.keys, *axis.order)
-        .drop(sg.SEG)
-        .write.mode("overwrite")
-        .partitionBy(*axis.unit)
-        .option("compression", compression)
-        .parquet(path)
-    )
+    store, root = storage.opened(path)
+    before = _current(store, root)
+    version = uuid.uuid4().hex
+    rows = axis.segmented(df).withColumn(BUCKET, _bucket([F.col(u) for u in axis.unit], buckets))
+    keys = [k for k in axis.keys if k not in axis.unit]
+    writer = (
+        rows.repartition(buckets, BUCKET, *keys).sortWithinPartitions(BUCKET, *axis.unit, *keys, *axis.order).drop(sg.SEG)
+        .write.partitionBy(BUCKET).option("compression", compression)
+    )
+    for u in axis.unit:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{u}", "true")
+    writer.parquet(f"{path}/data/{version}")
+    with store.open_output_stream(f"{root}/current.json", compression=None) as out:
+        out.write(json.dumps({"version": version, "buckets": buckets, "unit": list(axis.unit)}).encode())
+    if before:
+        storage.remove(spark, f"{path}/data/{before['version']}")
+
+
+def _current(store, root: str) -> dict | None:
+    try:
+        with store.open_input_stream(f"{root}/current.json", compression=None) as f:
+            return json.loads(f.read())
+    except FileNotFoundError:
+        return None
+
+
+def read_unit_dataset(spark: SparkSession, path: str, units: list[tuple] | None = None) -> DataFrame:
+    """The current version; with ``units`` (values of the unit columns) only their buckets are read."""
+    current = _current(*storage.opened(path))
+    if current is None:
+        raise FileNotFoundError(f"no dataset at {path}")
+    rows = spark.read.parquet(f"{path}/data/{current['version']}")
+    if units is None:
+        return rows.drop(BUCKET)
+    hashed = [_bucket([F.lit(v) for v in unit], current["buckets"]).alias(f"b{i}") for i, unit in enumerate(units)]
+    wanted = sorted(set(spark.range(1).select(*hashed).first())) if units else []
+    one = lambda unit: sg.all_of([F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(current["unit"], unit)])
+    chosen = sg.any_of([one(u) for u in units]) if units else F.lit(False)
+    return rows.where(F.col(BUCKET).isin(wanted) & chosen).drop(BUCKET)
 
 
 def write_predictions(predictions: DataFrame, path: str, protected: list[str] = ()) -> None:

@@ -205,15 +205,27 @@ def test_file_kinds(spark):
 
 
 def test_unit_dataset_round_trip(spark, tmp_path):
-    df = spark.range(100).selectExpr("concat('u', id % 3) as unit_id", "double(id) as t", "double(id) / 7 as v")
+    df = spark.range(3000).selectExpr("concat('u', id % 300) as unit_id", "double(id) as t", "double(id) / 7 as v")
+    df = df.unionByName(spark.range(400).selectExpr("cast(null as string) as unit_id", "double(id) as t", "1.0 as v"))
     path = str(tmp_path / "out" / "units")
-    files.write_unit_dataset(df, path, Axis(("unit_id",), ("t",), 10.0))
-    back = spark.read.parquet(path).select("unit_id", "t", "v")
-    assert ledger.stored_differences(back, df).count() == 0
-    files.write_unit_dataset(df.where("unit_id <> 'u2'"), path, Axis(("unit_id",), ("t",), 10.0))
-    assert spark.read.parquet(path).where("unit_id = 'u2'").count() == 0
+    for axis in (Axis(("unit_id",), ("t",)), Axis.fit(df, ("unit_id",), ("t",), rows=50)):
+        files.write_unit_dataset(df, path, axis, buckets=8)
+        back = files.read_unit_dataset(spark, path).select("unit_id", "t", "v")
+        assert ledger.stored_differences(back, df).count() == 0
+        # one version, files by bucket and segment whatever the number of units
+        assert len(list((tmp_path / "out" / "units" / "data").iterdir())) == 1
+        assert len(list((tmp_path / "out" / "units").rglob("*.parquet"))) <= 8 + 8 * (not axis.whole_units)
+    one = files.read_unit_dataset(spark, path, [("u7",)])
+    assert one.count() == 10 and len(one.inputFiles()) <= 8
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "__bucket" in plan.split("PartitionFilters")[1][:80]
+    assert files.read_unit_dataset(spark, path, [(None,)]).count() == 400 and files.read_unit_dataset(spark, path, []).count() == 0
+    files.write_unit_dataset(df.where("unit_id <> 'u2'"), path, Axis(("unit_id",), ("t",)))
+    assert files.read_unit_dataset(spark, path, [("u2",)]).count() == 0 and files.read_unit_dataset(spark, path).count() == 2990
     with pytest.raises(PermissionError):
         files.write_unit_dataset(df, str(tmp_path / "raw" / "x"), Axis(("unit_id",), ("t",), 10.0), [str(tmp_path / "raw")])
+    with pytest.raises(FileNotFoundError):
+        files.read_unit_dataset(spark, str(tmp_path / "nothing"))
 
 
 def test_manifest_of_files(spark, tmp_path):
