@@ -184,14 +184,26 @@ def unit_values(df: DataFrame, axis: Axis, values: dict[str, tuple]) -> DataFram
     return rows.join(merged, axis.keys).drop(SEG)
 
 
-def spread_join(df: DataFrame, units: DataFrame, keys: list[str], how: str, salts: int = 16) -> DataFrame:
+def spread_join(df: DataFrame, units: DataFrame, keys: list[str], how: str, rows: int = SEGMENT_ROWS) -> DataFrame:
     """Join rows to a table with one row per key when a single key may hold most rows.
 
-    The small side is repeated once per salt and the rows of a key spread over the
-    salts.  The salt comes from the row itself, so a repeated task gives the same one.
+    Keys are counted first.  The rows of a key with more than ``rows`` of them spread over as many
+    salts as that takes, and its row on the other side is repeated once per salt; all other keys are
+    joined as they are.  The salt comes from the row itself, so a repeated task gives the same one.
+    Rows without a key match nothing and are spread too.
     """
-    copies = units.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*columns_of(df)), F.lit(salts)).cast("int"))
+    from lifespan.sources.storage import cut_lineage
+
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows)
+    if counts.isEmpty():
+        return df.join(units, keys, how)
+    hot = cut_lineage(counts.select(*keys, F.ceil(F.col("__n") / F.lit(rows)).cast("int").alias("__salts")))
+    side = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    none = any_of([F.col(k).isNull() for k in keys])
+    salts = F.when(none, 64).otherwise(F.coalesce("__salts", F.lit(1)))
+    salted = df.join(side, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*columns_of(df)), salts).cast("int")).drop("__salts")
+    copies = units.join(side, keys, "left")
+    copies = copies.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 

@@ -141,9 +141,14 @@ def test_unit_values_and_spread_join(spark, skewed, axis):
     want = ordered(skewed).groupby("unit_id")["value"]
     assert out["top"].tolist() == want.transform("max").tolist() and out["n"].tolist() == want.transform("size").tolist()
     units = spark.createDataFrame([("hot", 1), ("b", 2)], "unit_id string, tag int")
-    assert sg.spread_join(df, units, ["unit_id"], "left_anti").count() == 41
-    assert sg.spread_join(df, units, ["unit_id"], "inner").count() == 603
-    assert sg.spread_join(df, units, ["unit_id"], "left").count() == len(skewed)
+    for rows in (50, 100_000):
+        assert sg.spread_join(df, units, ["unit_id"], "left_anti", rows).count() == 41
+        assert sg.spread_join(df, units, ["unit_id"], "inner", rows).count() == 603
+        assert sg.spread_join(df, units, ["unit_id"], "left", rows).count() == len(skewed)
+    nameless = df.withColumn("unit_id", F.when(F.col("unit_id") != "hot", F.col("unit_id")))
+    out = sg.spread_join(nameless, units, ["unit_id"], "left", 50).toPandas()
+    assert len(out) == len(skewed) and out["tag"].notna().sum() == 3 and out.columns[0] == "unit_id"
+    assert sg.spread_join(nameless, units, ["unit_id"], "left_anti", 50).count() == 641
 
 
 def brute_isotonic(values):
