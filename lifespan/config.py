@@ -71,7 +71,7 @@ WHEEL = Contract(
     rmax=0.2,
     unit="days",
     time_units=tuple(fv.SECONDS_PER_UNIT),
-    age_threshold=21810.0 / 86400.0,
+    age_threshold=fv.WHEEL_AGE_THRESHOLD_S / fv.SECONDS_PER_UNIT["day"],
     low_weight=0.7,
     high_weight=1.0,
     boosting=Boosting(800, 63, 255, 20, 0.03, 0.001),

@@ -166,6 +166,8 @@ ORBIT_PERIOD_S = 5740.0
 SAMPLE_PERIOD_S = 10.0
 SAMPLES_PER_ORBIT = 574
 BIN_WIDTH_S = 574.0
+#: Age of a wheel at which the weights of the blend change.
+WHEEL_AGE_THRESHOLD_S = 21810.0
 
 # --- fixed values: failure modes and data dictionary --------------------------
 FAILURE_CODES = {

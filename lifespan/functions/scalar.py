@@ -34,9 +34,13 @@ def name_key(column: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(column)), r"[\s_.\-/:()\[\]{}]+", "")
 
 
+# fixed values: what a search key leaves out
+SEARCH_MARKS = r"[\s_\-./\\:：，,。；;（）()\[\]{}]+"
+
+
 def search_key(column: Column) -> Column:
     return F.regexp_replace(
-        F.lower(F.coalesce(column, F.lit(""))), r"[\s_\-./\\:：，,。；;（）()\[\]{}]+", ""
+        F.lower(F.coalesce(column, F.lit(""))), SEARCH_MARKS, ""
     )
 
 
@@ -105,11 +109,6 @@ def time_order(text: Column) -> Column:
     return F.coalesce(F.when(number == 0, 0.0).otherwise(number), stamp)
 
 
-def time_key(text: Column) -> Column:
-    """One spelling per instant, so that -0 equals 0 and offsets do not matter."""
-    return F.concat_ws(":", time_kind(text), time_order(text).cast("string"))
-
-
 def to_seconds(t: Column, unit: Column) -> Column:
     """Seconds of a reading in a named unit; null for units without a length."""
     factor = F.create_map(*[F.lit(x) for kv in fv.SECONDS_PER_UNIT.items() for x in kv])
@@ -255,7 +254,7 @@ def contains_all_tokens(fields: list[Column], query: str, normal: list[Column] |
     import unicodedata
 
     text = unicodedata.normalize("NFKC", query.lower())
-    tokens = [re.sub(r"[\s_\-./\\:：，,。；;（）()\[\]{}]+", "", t) for t in re.split(r"[\s,，]+", text)]
+    tokens = [re.sub(SEARCH_MARKS, "", t) for t in re.split(r"[\s,，]+", text)]
     haystack = F.lower(F.concat_ws(" ", *fields, *[search_key(f) for f in normal or fields]))
     hit = F.lit(True)
     for token in filter(None, tokens):

@@ -725,10 +725,8 @@ def expand_archives(spark, base):
 
 @query("s11_read_commented_csv", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")
 def read_commented_csv(spark, base):
+    """A file a nation, with comments before the header and between the rows."""
     path = _folder(spark, "commented")
-    s = tb.read(spark, base, "supplier")
-    line = F.concat_ws(",", F.col("s_suppkey").cast("string"), "s_name")
-    text = F.concat(F.lit("# exported\ns_suppkey,s_name\n# row\n"), line)
-    s.repartition(100).select(text.alias("value")).write.text(path)
-    # every part file has the comment, the header and one row; the header occurs once per file
-    return delimited.read_commented_csv(spark, path).where("s_suppkey <> 's_suppkey'")
+    s = tb.read(spark, base, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("nation"))
+    fixtures.write_each(s, "nation", path, fixtures.commented_file).collect()
+    return delimited.read_commented_csv(spark, path)

@@ -38,11 +38,3 @@ def battery_cycles(rows: DataFrame, q0: float = fv.NOMINAL_CAPACITY_AH) -> DataF
     samples = rows.select("unit_id", "t", "current", "temp", "soh", "hi")
     cycles = binning.reconstruct_cycles(samples, fv.ORBIT_PERIOD_S, fv.SAMPLE_PERIOD_S, q0)
     return binning.failure_cycle(cycles, q0)
-
-
-def cycle_registry(cycles: DataFrame, failure_codes: DataFrame) -> DataFrame:
-    """Unit registry of a cycle table; ``failure_codes`` is ``(unit_id, failure_code)``."""
-    rows = cycles.withColumn("failure_time", F.col("failure_cycle").cast("double")).join(
-        failure_codes, "unit_id", "left"
-    )
-    return binning.unit_registry(rows, "cycle")

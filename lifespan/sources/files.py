@@ -20,11 +20,6 @@ def read_columnar(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("source", F.input_file_name())
 
 
-def records_over_cap(df: DataFrame, maximum: int = fv.MAX_RECORDS_PER_FILE) -> DataFrame:
-    """Files with more records than a single logical file may hold."""
-    return df.groupBy("source").agg(F.count(F.lit(1)).alias("n_records")).where(F.col("n_records") > maximum)
-
-
 def explode_sample_arrays(df: DataFrame, channels: list[str], keys: list[str]) -> DataFrame:
     """Channel arrays of equal length become one row per sample."""
     return df.select(*keys, F.posexplode(F.arrays_zip(*channels)).alias("sample", "__v")).select(

@@ -95,6 +95,13 @@ def delimited_file(number: int, rows: pd.DataFrame) -> tuple[str, bytes]:
     return f"group{number}.csv", _delimited(rows if kind == 0 else rows[["name", "key"]])
 
 
+def commented_file(number: int, rows: pd.DataFrame) -> tuple[str, bytes]:
+    """A delimited table with comment lines before its header and between its rows."""
+    header, *lines = _delimited(rows.drop(columns="nation")).decode().splitlines()
+    text = ["# exported", header, *(x for i, line in enumerate(lines) for x in (f"# row {i}, group {number}", line))]
+    return f"group{number}.csv", "\n".join(text).encode() + b"\n"
+
+
 def json_file(number: int, rows: pd.DataFrame) -> tuple[str, bytes]:
     """Name and bytes of a JSON array by the number of its group: objects, rows below a header, or two shapes."""
     rows = rows.drop(columns="nation")
