@@ -227,15 +227,26 @@ def _close_pairs(group: pa.Table, settings: Settings) -> Iterator[tuple[int, int
 
 
 def _cells(member: DataFrame, labels: DataFrame, packed: DataFrame, settings: Settings) -> DataFrame:
-    """Rows of the buckets that hold several components, once per pair of blocks they stand in."""
+    """Rows of the buckets that hold several components, once per pair of blocks they stand in.
+
+    The largest component of a bucket is not compared with itself, so its blocks only meet those of
+    the other nodes: a bucket of one component and a few outsiders costs a pass over it.
+    """
     named = member.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed_ = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    parts = F.ceil(F.col("size") / settings.block).cast("int")
-    placed = named.join(mixed_, "key").select("key", "band", "node", "comp", parts.alias("parts"))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j"))))
-    each = placed.select("key", "band", "node", "comp", "part", cell.alias("cell"))
-    return each.select("key", "band", "node", "comp", "part", "cell.i", "cell.j")
+    counted = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed_ = counted.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("big"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("comps"))
+    blocks = lambda n: F.ceil(n / F.lit(settings.block)).cast("int")
+    mixed_ = mixed_.filter("comps > 1").select(
+        "key", F.col("big.comp").alias("big"), blocks(F.col("big.n")).alias("inner"), blocks(F.col("all") - F.col("big.n")).alias("outer")
+    )
+    placed = named.join(mixed_, "key")
+    # blocks of the largest component come first, then those of the others
+    large, node = F.col("comp") == F.col("big"), F.xxhash64("node")
+    part = F.when(large, F.pmod(node, F.col("inner"))).otherwise(F.col("inner") + F.pmod(node, F.col("outer"))).cast("int")
+    first = F.when(large, F.col("inner")).otherwise(F.lit(0))
+    against = F.sequence(first, F.col("inner") + F.col("outer") - 1)
+    each = placed.withColumn("part", part).withColumn("other", F.explode(against))
+    return each.select("key", "band", "node", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
 
 def _by_cell(rows: DataFrame, packed: DataFrame, columns: list[str]) -> DataFrame:
@@ -345,7 +356,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = PRODUCTION) -> DataFra
 
 
 def keep_one(docs: DataFrame, settings: Settings = PRODUCTION) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, columns unchanged."""
+    """``docs`` with one row of each group of near duplicates, columns unchanged.
+
+    Null texts and texts without a word are like nothing and stay; of rows that are equal one stays,
+    and of equal texts the one with the smallest id (null last).  Columns of any name stay, and an empty
+    table stays empty.
+    """
     w_id, w_print, single = free_names(docs, "w_id", "w_print", "single__")
     judged = near_duplicates(docs, settings).groupBy("doc_id", "print").agg(F.count_if("stays").alias("n_stay"), F.count(F.lit(1)).alias("n"))
     # of rows that are repeated as they are only one may stay

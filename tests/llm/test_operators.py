@@ -378,3 +378,21 @@ def test_index_counts_patterns():
                 low, high = index.extend(np.array([c]), low, high)
             want = [i for i in range(len(text) - n + 1) if (text[i : i + n] == text[start : start + n]).all()]
             assert sorted(index.suffixes[low[0] : high[0]].tolist()) == want
+
+
+def test_one_outsider_costs_one_pass(spark):
+    """A bucket of one large component and a few others: rows of all cells stay near the size of the bucket."""
+    rules = superminhash.Settings(block=10)
+    member = spark.createDataFrame([(1, 0, n, 500) for n in range(500)], "key long, band int, node long, size long")
+    for outsiders in (1, 15):
+        labels = spark.createDataFrame([(n, n if n < outsiders else 1000) for n in range(500)], "node long, comp long")
+        cells = superminhash._cells(member, labels, member, rules).collect()
+        inner, outer = -(-(500 - outsiders) // 10), -(-outsiders // 10)
+        assert len(cells) == (500 - outsiders) * outer + outsiders * (inner + outer)
+        # every pair of different components meets in exactly one cell
+        met = Counter()
+        for i, j in {(r.i, r.j) for r in cells}:
+            rows = [r for r in cells if (r.i, r.j) == (i, j)]
+            met.update((a.node, b.node) for k, a in enumerate(rows) for b in rows[k + 1 :] if a.comp != b.comp and (i == j or a.part != b.part))
+        pairs = Counter(tuple(sorted(p)) for p in met.elements())
+        assert set(pairs.values()) == {1} and len(pairs) == outsiders * (500 - outsiders) + outsiders * (outsiders - 1) // 2
