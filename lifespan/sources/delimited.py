@@ -40,7 +40,7 @@ def _dialect(name: str, head: bytes, whole: bool) -> tuple:
     if charset is None:
         return None, None, None, "unsupported_encoding"
     lines = [x for x in text.splitlines() if x.strip()]
-    tab = name.lower().endswith((".tsv", ".tab"))
+    tab = name.lower().removesuffix(".gz").endswith((".tsv", ".tab"))
     separator = "\t" if tab else max(SEPARATORS, key=lines[0].count)
     if separator not in lines[0]:
         return charset, None, None, "delimiter_unknown"
@@ -53,7 +53,7 @@ def dialects(spark: SparkSession, path: str, folder: str) -> DataFrame:
 
     ``path`` is a folder, a file or a pattern of file names.  Spark reads text as UTF-8, so files in
     GB18030 are written again as UTF-8 below ``folder``, a chunk at a time, and read from there.  A
-    file whose first block is ASCII counts as UTF-8; lines that are not give a code when it is read.
+    file whose first block is ASCII counts as UTF-8, and one that ends in ``.gz`` is read unpacked; lines that are not give a code when it is read.
     """
     store, names = listed(path)
     files = spark.createDataFrame([(n,) for n in names], "source string").repartition(max(1, min(len(names), 200)), "source")
@@ -63,8 +63,12 @@ def dialects(spark: SparkSession, path: str, folder: str) -> DataFrame:
         for batch in batches:
             rows = []
             for name in batch.column("source").to_pylist():
-                with store.open_input_stream(name, compression=None) as f:
-                    head = f.read(HEAD_BYTES)
+                try:
+                    with store.open_input_stream(name) as f:  # unpacked by suffix, as Spark does
+                        head = f.read(HEAD_BYTES)
+                except OSError:
+                    rows.append((name, name, None, None, None, "invalid_file"))
+                    continue
                 charset, separator, header, code = _dialect(name, head, len(head) < HEAD_BYTES)
                 read_from = name
                 if charset == "gb18030" and code is None:
@@ -82,12 +86,14 @@ def dialects(spark: SparkSession, path: str, folder: str) -> DataFrame:
 def _as_utf8(store, name: str, target: str) -> str | None:
     decoder = codecs.getincrementaldecoder("gb18030")()
     try:
-        with store.open_input_stream(name, compression=None) as f, store.open_output_stream(target, compression=None) as out:
+        with store.open_input_stream(name) as f, store.open_output_stream(target, compression=None) as out:
             while data := f.read(1 << 20):
                 out.write(decoder.decode(data).encode())
             out.write(decoder.decode(b"", final=True).encode())
     except UnicodeDecodeError:
         return "unsupported_encoding"
+    except OSError:
+        return "invalid_file"
     return None
 
 

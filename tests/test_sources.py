@@ -22,6 +22,7 @@ def test_delimited(spark, tmp_path):
         "a.csv": "\ufefftime_s;channel;value\n0;x;1\n1;x;2\n".encode(),
         "b c+.csv": 'time_s,value\n0,"1,5"\n1,"say ""hi"""\n\n'.encode(),
         "g.tsv": "时间\t值\n0\t中\n1\t\n".encode("gb18030"),
+        "z.tsv.gz": gzip.compress("t\tv\n0\té\n".encode()), "y.csv.gz": gzip.compress("时;v\n0;中\n".encode("gb18030")), "x.csv.gz": b"no gzip",
         "bad.csv": b"a,b\n1,2\n3\n4,5,6\n7,8\n",
         "late.csv": b"a,b\n" + b"1,2\n" * 30_000 + "3,中\n".encode("gb18030"),
         "empty.csv": b" \n", "one.csv": b"alone\n1\n", "twice.csv": b"a,a\n1,2\n", "odd.csv": b"a,b\n\xff\xff,1\n",
@@ -35,6 +36,7 @@ def test_delimited(spark, tmp_path):
         ("a.csv", "time_s", "0"), ("a.csv", "channel", "x"), ("a.csv", "value", "1"), ("a.csv", "time_s", "1"), ("a.csv", "channel", "x"), ("a.csv", "value", "2"),
         ("b c+.csv", "time_s", "0"), ("b c+.csv", "value", "1,5"), ("b c+.csv", "time_s", "1"), ("b c+.csv", "value", 'say "hi"'),
         ("g.tsv", "时间", "0"), ("g.tsv", "值", "中"), ("g.tsv", "时间", "1"), ("g.tsv", "值", ""),
+        ("z.tsv.gz", "t", "0"), ("z.tsv.gz", "v", "é"), ("y.csv.gz", "时", "0"), ("y.csv.gz", "v", "中"),
         ("bad.csv", "a", "1"), ("bad.csv", "b", "2"), ("bad.csv", "a", "7"), ("bad.csv", "b", "8"),
     ])
     assert cells.where("source like '%late%'").count() == 60_000
@@ -42,6 +44,7 @@ def test_delimited(spark, tmp_path):
     assert codes == [
         ("bad.csv", "row_column_count", "3"), ("bad.csv", "row_column_count", "4,5,6"), ("empty.csv", "empty_file", None), ("late.csv", "unsupported_encoding", None),
         ("odd.csv", "unsupported_encoding", None), ("one.csv", "delimiter_unknown", None), ("twice.csv", "ambiguous_header", None),
+        ("x.csv.gz", "invalid_file", None),
     ]
     one = delimited.dialects(spark, str(tmp_path / "in" / "*.tsv"), str(tmp_path / "utf8")).first()
     assert (one.charset, one.separator, one.header) == ("gb18030", "\t", ["时间", "值"])
