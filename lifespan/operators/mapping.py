@@ -51,10 +51,10 @@ def resolve_channels(spark: SparkSession, df: DataFrame, label: str, out: str =
     The table of distinct labels is written once, since readings are used many times after this; its
     known size lets Spark broadcast it where it is small and shuffle it where it is not.
     """
-    from lifespan.sources.storage import checkpoint_folder
+    from lifespan.sources.storage import checkpoint_folder, cut_lineage
 
     path = f"{checkpoint_folder(spark).rstrip('/')}/labels-{uuid.uuid4().hex}"
-    plain = with_nfkc(df.select(label).distinct(), label, "__plain")
+    plain = with_nfkc(cut_lineage(df.select(label).distinct()), label, "__plain")
     named = joins.resolve_aliases(plain, label, sc.name_key(F.col("__plain")), channel_aliases(spark), out)
     named.where(F.col(label).isNotNull()).select(label, out).write.parquet(path)
     return df.join(spark.read.parquet(path), label, "left")

@@ -89,12 +89,12 @@ def ambiguous_wide_unit(columns: DataFrame) -> DataFrame:
 def incomplete_steps(readings: DataFrame, axis: Axis, required: list[str], examples: int = 5) -> DataFrame:
     """Units with steps that lack a required channel: how many, and the first few."""
     t = axis.order[0]
-    need = F.array(*[F.lit(c) for c in sorted(required)])
+    need = sorted({*required})
     steps = (
         readings.where(F.col("channel").isin(*required))
         .groupBy("unit_id", t)
-        .agg(F.collect_set("channel").alias("have"))
-        .withColumn("missing", F.array_except(need, F.col("have")))
+        .agg(*sg.value_flags("channel", need))
+        .select("unit_id", t, sg.flagged(need, present=False).alias("missing"))
         .where(F.size("missing") > 0)
     )
     numbered = sg.row_numbers(steps, axis, "position", "n_steps").where(F.col("position") < examples)

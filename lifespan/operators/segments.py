@@ -362,6 +362,18 @@ def _with_ranks(summed):
     ).drop("upto")
 
 
+def value_flags(column: str, values: list[str]) -> list[Column]:
+    """Aggregates that say which of a few values a group has: flags of fixed size, unlike a set, so the
+    groups stay in a hash aggregation."""
+    return [F.bool_or(F.col(column) == v).alias(f"__has{i}") for i, v in enumerate(values)]
+
+
+def flagged(values: list[str], present: bool = True) -> Column:
+    """The values whose flag is set (or is not), in the order of ``values``."""
+    has = [F.coalesce(F.col(f"__has{i}"), F.lit(False)) for i in range(len(values))]
+    return F.array_compact(F.array(*[F.when(h if present else ~h, F.lit(v)) for h, v in zip(has, values)]))
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 

@@ -60,9 +60,8 @@ def sample_rows(df: DataFrame, maximum: int, seed: int, key: str) -> DataFrame:
 
 def unit_channels(readings: DataFrame, channels: list[str]) -> DataFrame:
     """Which of the contract channels a unit has (bounded by the contracts)."""
-    return readings.groupBy("unit_id").agg(
-        F.collect_set(F.when(F.col("channel").isin(*channels), F.col("channel"))).alias("have")
-    )
+    flags = sg.value_flags("channel", channels)
+    return readings.groupBy("unit_id").agg(*flags).select("unit_id", sg.flagged(channels).alias("have"))
 
 
 def route_state(have: Column, routes: dict[str, list[list[str]]], requested: str = "auto") -> Column:

@@ -17,10 +17,11 @@ from lifespan.functions import scalar as sc
 from lifespan.operators import binning, mapping, rules, split
 from lifespan.operators.segments import Axis
 from lifespan.plans import scoring
-from lifespan.sources.storage import cut_lineage
+from lifespan.sources.storage import written
 
 INDEX_AXIS = Axis(("unit_id",), ("t",), 50_000.0)
 BIN_AXIS = Axis(("unit_id",), ("bin",), 50_000.0)
+KNOWN_CHANNELS = sorted({*fv.BATTERY_REQUIRED, *fv.WHEEL_CHANNELS, *fv.WHEEL_BASE_CHANNELS})
 STAGES = ("parse", "route", "time", "axis", "history")
 
 
@@ -47,15 +48,17 @@ def _passed(df: DataFrame, violations: DataFrame) -> DataFrame:
 
 def parse_readings(spark: SparkSession, raw: DataFrame) -> DataFrame:
     """Text cells ``(unit_id, time_text, channel_text, value_text)`` as typed readings with issues."""
-    typed = raw.select(
+    # times first: in one expression with the values the code of a row is too long to be compiled
+    timed = raw.withColumns({"time_kind": sc.time_kind(F.col("time_text")), "t": sc.time_order(F.col("time_text"))})
+    typed = timed.select(
         "unit_id",
-        sc.time_kind(F.col("time_text")).alias("time_kind"),
-        sc.time_order(F.col("time_text")).alias("t"),
+        "time_kind",
+        "t",
         F.trim("channel_text").alias("label"),
         sc.parse_value(F.col("value_text")).alias("value"),
         F.coalesce(
             F.when(F.coalesce(F.trim("time_text"), F.lit("")) == "", "empty_time"),
-            F.when(sc.time_kind(F.col("time_text")).isNull(), "invalid_time"),
+            F.when(F.col("time_kind").isNull(), "invalid_time"),
             F.when(F.trim("channel_text") == "", "empty_telemetry"),
             F.when(F.char_length(F.trim("channel_text")) > fv.MAX_NAME_LENGTH, "telemetry_name_too_long"),
             sc.value_issue(F.col("value_text")),
@@ -69,14 +72,28 @@ def parse_violations(parsed: DataFrame) -> DataFrame:
     kinds = parsed.groupBy("unit_id").agg(F.count_distinct("time_kind").alias("n")).where("n > 1").select(
         "unit_id", F.lit("mixed_time_types").alias("code")
     )
-    same = parsed.groupBy("unit_id", "t", "channel").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    doubled = same.select("unit_id", F.lit("duplicate_observation").alias("code")).distinct()
+    doubled = doubled_cells(parsed).select("unit_id", F.lit("duplicate_observation").alias("code")).distinct()
     return _collect(*[_stage(d, "parse") for d in (cells, kinds, doubled)])
 
 
+def doubled_cells(parsed: DataFrame) -> DataFrame:
+    """Units and times with two readings of one channel.
+
+    At one time the readings of contract channels are compared with the bits of the channels seen, so
+    the cells of a step are one row before the exchange.  Other channels are counted by name.
+    """
+    bit = F.lit(None).cast("int")
+    for i, c in enumerate(KNOWN_CHANNELS):
+        bit = F.when(F.col("channel") == c, i).otherwise(bit)
+    seen = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bit"))).alias("seen")
+    cells = parsed.select("unit_id", "t", "channel", bit.alias("__bit"))
+    known = cells.groupBy("unit_id", "t").agg(F.count("__bit").alias("n"), seen).where(F.col("n") > F.bit_count("seen"))
+    others = cells.where("__bit is null").groupBy("unit_id", "t", "channel").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return known.select("unit_id", "t").unionByName(others.select("unit_id", "t"))
+
+
 def route_units(parsed: DataFrame, requested: str = "auto") -> DataFrame:
-    known = sorted({*fv.BATTERY_REQUIRED, *fv.WHEEL_CHANNELS, *fv.WHEEL_BASE_CHANNELS})
-    have = split.unit_channels(parsed, known)
+    have = split.unit_channels(parsed, KNOWN_CHANNELS)
     return have.select("unit_id", "have", split.route_state(F.col("have"), split.model_routes(), requested).alias("route"))
 
 
@@ -90,17 +107,22 @@ def _history(steps: DataFrame, contract: Contract) -> DataFrame:
 
 
 def prepare_battery(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cycle table of a battery: index 0, 1, 2, … and three channels, the fourth absent."""
+    """Cycle table of a battery: index 0, 1, 2, … and three channels, the fourth absent.
+
+    Steps and violations feed checks and scores, so both are written once.
+    """
     required = list(BATTERY.required)
     present = readings.where("channel = 'bat.ir_proxy_ohm'").select(
         "unit_id", F.lit("unsupported_bat_ir_proxy_present").alias("code")
     ).distinct()
-    steps = mapping.long_to_steps(readings, required)
-    violations = _collect(
-        _stage(present, "route"),
-        _stage(rules.incomplete_steps(readings, INDEX_AXIS, required), "route"),
-        _stage(rules.index_axis(steps, INDEX_AXIS), "axis", "bat_cycle_"),
-        _history(steps, BATTERY),
+    steps = written(mapping.long_to_steps(readings, required))
+    violations = written(
+        _collect(
+            _stage(present, "route"),
+            _stage(rules.incomplete_steps(readings, INDEX_AXIS, required), "route"),
+            _stage(rules.index_axis(steps, INDEX_AXIS), "axis", "bat_cycle_"),
+            _history(steps, BATTERY),
+        )
     )
     ready = _passed(steps, violations).select(
         "unit_id",
@@ -169,12 +191,12 @@ def prepare_wheel_raw(
 def battery_upload(spark: SparkSession, raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Text cells of battery units to their readings, the steps of units that passed, and every refusal.
 
-    The typed readings feed every check, so they are written once.
+    Cells are read for their labels and for their values, and the typed readings and the refusals feed
+    every check, so each of them is written once.
     """
-    parsed = cut_lineage(parse_readings(spark, raw))
-    refused = parse_violations(parsed)
+    parsed = written(parse_readings(spark, written(raw)))
     routes = route_units(parsed, "battery")
-    refused = refused.unionByName(route_violations(routes))
+    refused = written(parse_violations(parsed).unionByName(route_violations(routes)))
     steps, violations = prepare_battery(rules.valid_units(parsed, refused))
     return parsed, steps, refused.unionByName(violations)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lifespan.config import BATTERY
+from lifespan.operators.segments import Axis
 from lifespan.plans import prepare, scoring
 from lifespan.plans.registry import STEPS, query
 from lifespan.plans.score_queries import closed_form
@@ -53,7 +54,8 @@ def upload_status(spark, base):
     parsed, steps, violations = prepare.battery_upload(spark, upload_cells(spark, base))
     plan = prepare.scoring_plan(BATTERY)
     fitted = scoring.step_statistics(steps, plan.channels, F.max("age").alias("age_scale"))
-    scored = scoring.predict_batch(scoring.normalise_steps(steps, fitted, plan.channels), plan, closed_form)
+    axis = Axis.fit(steps, ("unit_id",), ("step",)).dense("window_index")
+    scored = scoring.predict_batch(scoring.normalise_steps(steps, fitted, plan.channels), plan, closed_form, axis)
     windows = scored.groupBy("unit_id").agg(
         F.count(F.lit(1)).alias("n_windows"),
         F.max("t_end").alias("last_t"),

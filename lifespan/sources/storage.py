@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import posixpath
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Like ``cut_lineage`` in columns, so that later reads take only the columns they need."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def opened(url: str):
     """A file system and the path in it; any that pyarrow knows by its address, else local."""
     from pyarrow import fs

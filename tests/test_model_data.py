@@ -1,5 +1,10 @@
 """Golden values and NumPy cross-checks for features, cycles, preparation and scoring."""
 
+import contextlib
+import io
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,7 +13,7 @@ from pyspark.sql import functions as F
 from lifespan import fixed_values as fv
 from lifespan.config import BATTERY, WHEEL, edge_length
 from lifespan.functions import scalar as sc
-from lifespan.operators import ensemble, features, mapping, stats
+from lifespan.operators import ensemble, features, mapping, rules, split, stats
 from lifespan.operators.segments import Axis
 from lifespan.plans import prepare, reconstruct, scoring
 
@@ -228,3 +233,60 @@ def test_full_width_names(spark):
 def test_bin_index_uses_half_open_bins(spark):
     df = spark.createDataFrame([(0.0,), (573.999,), (574.0,), (-0.5,)], "s double")
     assert [r[0] for r in df.select(sc.bin_index(F.col("s"))).collect()] == [0, 0, 1, -1]
+
+
+def test_battery_upload_reads_its_input_once(spark):
+    """Labels, checks, steps and status all go on from rows that were written."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    raw = battery_text("good", 90) + battery_text("gap", 90, skip=(40,)) + battery_text("short", 20) + wheel_text("wheel", 40)
+    cells = spark.createDataFrame(raw, RAW)
+    cells = cells.select("unit_id", *[counted(c).alias(c) for c in ("time_text", "channel_text", "value_text")])
+    parsed, steps, violations = prepare.battery_upload(spark, cells)
+    assert score_steps(steps, BATTERY).count() == 7
+    codes = {r.unit_id: r.code for r in prepare.file_status(parsed, violations).collect()}
+    assert codes == {"good": None, "gap": "bat_cycle_time_gap", "short": "insufficient_history", "wheel": "line_mismatch"}
+    assert seen.value == 3 * len(raw)
+
+
+def test_cells_are_parsed_in_compiled_code(spark):
+    """The JVM runs a method of 8,000 bytes or more uncompiled."""
+    raw = spark.createDataFrame(battery_text("u", 3), RAW).localCheckpoint()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with contextlib.redirect_stdout(io.StringIO()) as shown:
+            prepare.parse_readings(spark, raw).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_doubled_cells_of_known_and_other_channels(spark):
+    known, wheel = "bat.capacity_ah", "rw.speed_rpm"
+    rows = [("one", 0.0, known), ("one", 0.0, wheel), ("one", 0.0, "x"), ("one", 1.0, known), ("one", 0.0, None)]
+    rows += [("known", 0.0, known), ("known", 0.0, wheel), ("known", 0.0, known)]
+    rows += [("other", 2.0, "x"), ("other", 2.0, "y"), ("other", 2.0, "x")]
+    rows += [("unnamed", 0.0, None), ("unnamed", 0.0, None), ("untimed", None, known), ("untimed", None, known)]
+    rows += [(None, 0.0, known), (None, 0.0, known)]
+    got = prepare.doubled_cells(spark.createDataFrame(rows, "unit_id string, t double, channel string")).collect()
+    places = Counter(rows)
+    assert {(r.unit_id, r.t) for r in got} == {k[:2] for k, n in places.items() if n > 1}
+
+
+def test_channel_sets_stay_in_a_hash_aggregation(spark):
+    rows = [("a", 0.0, "x"), ("a", 0.0, "x"), ("a", 0.0, "y"), ("a", 1.0, "y"), ("b", 0.0, None), ("b", None, "x"), (None, 0.0, "z")]
+    df = spark.createDataFrame(rows, "unit_id string, t double, channel string")
+    have = split.unit_channels(df, ["x", "y"])
+    assert {r.unit_id: r.have for r in have.collect()} == {"a": ["x", "y"], "b": ["x"], None: []}
+    missing = rules.incomplete_steps(df, prepare.INDEX_AXIS, ["y", "x"])
+    assert {r.unit_id: [(e.t, e.missing) for e in r.examples] for r in missing.collect() if r.unit_id == "a"} == {"a": [(1.0, ["x"])]}
+    with contextlib.redirect_stdout(io.StringIO()) as shown:
+        have.explain()
+    assert "HashAggregate" in shown.getvalue() and "ObjectHashAggregate" not in shown.getvalue()
